@@ -113,7 +113,7 @@ def vector_best_fit(counts: dict[int, int], capacity: int = CAPACITY, max_docume
             fits = (have[:k] > 0) & (room[:k] >= size).all(axis=1)
             if not fits.any():
                 many = int(min(full // size))  # as many into each new bin as best fit itself would add, one after another
-                if many > 1 and todo >= many:
+                if todo >= many:
                     add({length: many}, full - many * size, todo // many)
                     todo %= many
                 else:
