@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing
+from . import decontaminate, minhash, packing, quality, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op4_minhash": op4_minhash, "op7_decontaminate": op7_decontaminate}
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op4_minhash": op4_minhash, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL}
