@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _blocks(batches, dim: int, rows: int = 1024):
     for b in batches:
-        b = b.filter(pa.compute.equal(pa.compute.list_value_length(b.column("v")), dim))
+        b = b.filter(pc.equal(pc.list_value_length(b.column("v")), dim))
         for at in range(0, b.num_rows, rows):
             yield _whole(b.slice(at, rows))
 
@@ -147,8 +148,8 @@ def _search(rows: DataFrame, own: list, dim: int, k: int) -> DataFrame:
 
 
 SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
