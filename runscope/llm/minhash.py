@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ from . import textkit as K
 from .shared import components, small_batches, texts, written
 
 BANDS, ROWS, LEAST, PERCENT, WIDTH = 40, 3, 3, 75, 5
+COORDINATES, BLOCK = 1024, 2048
 _U = np.uint64
 
 
@@ -114,6 +116,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _detail(batches):
+    for b in K.slices(batches, "grams"):
+        size = pc.binary_length(b.column("grams")).to_numpy() // 8
+        flat = np.frombuffer(b"".join(b.column("grams").to_pylist()), np.uint64)
+        sk = sketch(np.repeat(np.arange(b.num_rows), size), flat, b.num_rows, COORDINATES).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), K.packed(sk.ravel(), np.full(b.num_rows, COORDINATES))], ["doc_id", "sk"])
+
+
+def _across(percent: int, least: int):
+    """Pairs of different components in one block of a bucket that may be similar enough.
+
+    A pair is looked at in the first bucket that it shares. Coordinates (a byte
+    each) agree with a probability of at least the similarity; five standard
+    deviations below the threshold, less than one pair in a million is missed.
+    """
+    low = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, n, comp, i = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp", "i"))
+        main = table.column("of_main").to_numpy()
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(doc), -1)
+        sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint8).reshape(len(doc), -1)
+        band = int((keys[0] == table.column("key")[0].as_py()).argmax())
+        within = (block := table.column("block")[0].as_py())["lo"] == block["hi"]
+        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for x in np.flatnonzero(~main):
+            fit = (comp != comp[x]) & (main | (doc > doc[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            y = np.flatnonzero(fit if within else fit & (i != i[x]))
+            same = keys[y] == keys[x]
+            y = y[(same.argmax(axis=1) == band) & (same.sum(axis=1) >= least)]
+            y = y[(sk[y] == sk[x]).mean(axis=1) >= low]
+            out.append(np.stack([np.minimum(doc[y], doc[x]), np.maximum(doc[y], doc[x])], axis=1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, kept."""
     small_batches(docs.sparkSession)
@@ -145,15 +185,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(confirmed(best, sets, percent), "links")
     comp = components(links)
 
-    # members of different components that still share enough bands
-    in_comp = bucket.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("comp"))
-    in_comp = written(in_comp, "comps")
+    # members of different components: compared by sketches where their first shared bucket is
+    in_comp = written(bucket.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("comp")), "comps")
     size = in_comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = size.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
-    rest = in_comp.join(mixed, "key")
-    stray = rest.where("comp <> main").select("key", F.col("doc_id").alias("a"), "n", F.col("comp").alias("ca"))
-    other = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), "main")
-    pairs = stray.join(other, "key").where(f"ca <> cb and (cb = main or a < b) and {fits}").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("s")).where(f"s >= {least}")
+    mixed = size.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("members")).where("comps > 1")
+    rest = written(in_comp.join(mixed, "key").select("key", "doc_id", "n", "comp", (F.col("comp") == F.col("main")).alias("of_main"), F.ceil(F.col("members") / BLOCK).alias("chunks")), "mixed")
+    detail = written(sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_detail, "doc_id long, sk binary").join(first.select("doc_id", "keys"), "doc_id"), "detail")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("i")
+    block = F.explode(F.expr("transform(sequence(0L, chunks - 1), j -> struct(least(i, j) as lo, greatest(i, j) as hi))")).alias("block")
+    blocks = rest.withColumn("i", mine).select("key", "doc_id", "n", "comp", "of_main", "i", block).join(detail, "doc_id")
+    pairs = blocks.groupBy("key", "block").applyInArrow(_across(percent, least), "a long, b long").distinct()
     more = confirmed(pairs, sets, percent)
     all_links = written(links.unionByName(more), "links")
     comp = components(all_links)
