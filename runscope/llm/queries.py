@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, quality, topk
+from . import decontaminate, minhash, packing, quality, sentences, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -33,5 +41,5 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op4_minhash": op4_minhash, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk}
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op4_minhash": op4_minhash, "op5_sentences": op5_sentences, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL, "op5_sentences": sentences.SQL}
