@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, quality, sentences, topk, toxicity
+from . import decontaminate, lines, minhash, packing, quality, sentences, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +41,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op4_minhash": op4_minhash, "op5_sentences": op5_sentences, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk}
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL, "op5_sentences": sentences.SQL}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op4_minhash": op4_minhash, "op5_sentences": op5_sentences, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk, "op10_lines": op10_lines}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL, "op10_lines": lines.SQL, "op5_sentences": sentences.SQL}
