@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, minhash, packing, quality, sentences, topk, toxicity
+from . import chat, decontaminate, lines, minhash, packing, quality, sentences, suffixes, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -29,6 +33,10 @@ def op5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reply_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -45,5 +53,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op4_minhash": op4_minhash, "op5_sentences": op5_sentences, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk, "op10_lines": op10_lines}
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL, "op10_lines": lines.SQL, "op5_sentences": sentences.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_sentences": op5_sentences, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk, "op10_lines": op10_lines}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL, "op10_lines": lines.SQL, "op5_sentences": sentences.SQL, "op6_chat": chat.SQL}
