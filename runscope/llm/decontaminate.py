@@ -193,3 +193,9 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n
        sha256(coalesce(s.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
 """
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all columns, whose id has no row in which a benchmark window occurs."""
+    dirty = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
+    return docs.join(dirty, docs[id_col].cast("long") == F.col("__dirty"), "left_anti").select(*[docs[c] for c in docs.columns])

@@ -8,8 +8,8 @@ byte offsets, and the score of a document is a logistic function of its largest
 marginal and its number of toxic tokens.
 
 *Labelled tokens.* Labels mark whole documents. In the training documents a word,
-or a beginning of four or five bytes, that occurs in `MIN_DOCS` toxic ones and
-nearly only there marks its tokens toxic in toxic documents; all others are clean.
+or a beginning of four or five bytes, that occurs in `MIN_DOCS` toxic ones (and a
+share `MIN_SHARE` of them) and nearly only there marks its tokens toxic in toxic documents; all others are clean.
 Weights and transitions then maximise the conditional likelihood of those tokens.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1, a sample of at
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .shared import small_batches, texts
 
-BUCKETS, PER_CLASS, MAX_CHARS, MIN_DOCS, PURE, EPOCHS, THRESHOLD, CHUNK = 1 << 18, 2000, 20_000, 3, 0.95, 40, 0.7, 256
+BUCKETS, PER_CLASS, MAX_CHARS, MIN_DOCS, MIN_SHARE, PURE, EPOCHS, THRESHOLD, CHUNK = 1 << 18, 2000, 20_000, 3, 0.01, 0.95, 40, 0.7, 256
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
 
 
@@ -132,7 +132,7 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
         u = np.unique(own * BUCKETS + f[:, j])
         np.add.at(seen, (y[u // BUCKETS], u % BUCKETS), 1)
     share = seen[1] / max(1, (y == 1).sum()) / (seen[1] / max(1, (y == 1).sum()) + (seen[0] + 0.5) / max(1, (y == 0).sum()))
-    mark = (seen[1] >= MIN_DOCS) & (share >= PURE)
+    mark = (seen[1] >= max(MIN_DOCS, MIN_SHARE * (y == 1).sum())) & (share >= PURE)
     rate = seen[1] / (seen[1] + seen[0] + 1e-9)
     label = (mark & (rate > 0.9))[f].any(axis=1) & (y[own] == 1)
     w, trans, g_w, g_t = np.zeros(BUCKETS), np.log(np.array([[0.9, 0.1], [0.6, 0.4]])), np.full(BUCKETS, 1e-3), np.full((2, 2), 1e-3)
