@@ -120,8 +120,22 @@ def _document_inputs(p: np.ndarray, words: K.Words) -> np.ndarray:
     return np.stack([np.ones(n), np.log(top / (1 - top)) / 5, np.log1p(many)], axis=1)
 
 
+def _distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Without near copies, whose words would count once a copy: a text goes if an earlier one has two of its eight smallest shingles."""
+    owner, sh = K.shingles(K.Words(pa.array([t for t, _ in rows], pa.string())))
+    at = np.searchsorted(owner, np.arange(len(rows) + 1))
+    seen, out = set(), []
+    for i, row in enumerate(rows):
+        few = set(sh[at[i] : min(at[i] + 8, at[i + 1])].tolist())
+        if len(few & seen) < min(2, len(few)):
+            seen |= few
+            out.append(row)
+    return out
+
+
 def train(rows: list[tuple[str, int]]) -> dict | None:
     """rows: text and label of at most twice PER_CLASS documents."""
+    rows = _distinct(rows)
     y = np.array([t for _, t in rows])
     if not len(y) or y.min() == y.max():
         return None
