@@ -1,24 +1,25 @@
 """Line de-duplication by an exact set-similarity join.
 
-A line is the set of its distinct words (digits, letters, non-ASCII; A-Z in lower
-case); one of fewer than `min_words` distinct words is left alone. A line goes if
-an earlier line (by doc_id, then place) has Jaccard similarity of at least
-`percent` / 100 with it, whether or not that line goes itself.
+A line's tokens are its distinct runs of `width` words (digits, letters, non-ASCII;
+A-Z in lower case); a line of fewer words is left alone. A line goes if an earlier
+line (by doc_id, then place) has Jaccard similarity of at least `percent` / 100 with
+it, whether or not that line goes itself.
 
-1. *Copies.* Lines with equal sets are one class; all but its first line go.
-2. *Prefix filter.* Words are ordered by rarity: exact counts of hashed words over
+1. *Copies.* Lines with equal token sets are one class; all but its first line go.
+2. *Prefix filter.* Tokens are ordered by rarity: exact counts of hashed tokens over
    all documents (ties by hash, so that the order is total and no pair is lost). Two
-   similar sets share a word among the first n - ceil(n * percent / 100) + 1 of each.
-   Each first line sends those words; a frequent word is split by a hash of the line.
-3. *Candidates.* Per word, lines are compared with the word's first line; then, only
-   if they did not go, with the other earlier lines. Sizes must allow the
-   similarity (length filter), and so must what follows the shared word in both
-   (positional filter).
-4. *Verification.* Full sets of the lines in question are compared.
-
-Word sets are 64-bit hashes. Null texts and rows with null ids have no lines that
-count; repeated rows with one doc_id are copies, of which the first in row order
-stays. An empty table gives no rows. Lines may be of any length. Other columns are
+   similar sets share a token among the first n - ceil(n * percent / 100) + 1 of each.
+   Those tokens are sent once a class and slice of a task, so copies don't add up; a
+   token that is very frequent is split by a hash of the class.
+3. *Candidates.* Of tokens with several classes, a class is compared with the
+   token's first class; then, only if it did not go, with all earlier ones. Sizes
+   must allow the similarity (length filter), and so must what follows the shared
+   token in both (positional filter).
+4. *Verification.* Full token sets of the classes in question are compared.
+
+Tokens and classes are 64-bit hashes (128 bits for copies). Null texts and rows with
+null ids have no lines that count; repeated rows with one doc_id are that document
+again. An empty table gives no rows. Lines may be of any length. Other columns are
 passed through by `without_lines`.
 """
 
@@ -32,170 +33,176 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .shared import small_batches, texts, written
 
-PERCENT, MIN_WORDS, BUCKETS, HOT = 75, 5, 1 << 18, 1 << 20
+PERCENT, WIDTH, BUCKETS, HOT = 75, 5, 1 << 18, 1 << 20
 _CELL = 4096
 _U = np.uint64
 
 
 class Lines:
-    """Distinct words of each line of some texts: line, hash (both sorted), and of each line its text and place."""
+    """Distinct tokens of each line that has some (``hash``, sorted in a line; lines begin at ``at``), and each line's text and place."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, width: int):
         w = K.Words(column, K.ALNUM)
         d = w.data
         breaks = np.concatenate([[0], np.cumsum(d == 10)]) if len(d) else np.zeros(1, np.int64)
         first = breaks[w.text_at[:-1]] + np.arange(len(column))  # number of each text's first line among all lines
-        own = w.owner()
-        line = breaks[w.start] + own
-        order = np.lexsort((w.hash, line))
-        l, h = line[order], w.hash[order]
-        new = np.ones(len(l), bool)
-        new[1:] = (l[1:] != l[:-1]) | (h[1:] != h[:-1])
-        l, self.hash = l[new], h[new]
-        begin = np.ones(len(l), bool)
-        begin[1:] = l[1:] != l[:-1]
-        self.at = np.append(np.flatnonzero(begin), len(l))
-        which = l[self.at[:-1]]
+        line = breaks[w.start] + w.owner()
+        g = K.runs(w.hash, width)
+        ok = line[: len(g)] == line[len(line) - len(g) :]
+        line, h = line[: len(g)][ok], g[ok]
+        bits = max(1, int(line[-1]).bit_length()) if len(line) else 1
+        order = np.argsort((line.astype(np.uint64) << _U(64 - bits)) | (h >> _U(bits)))
+        line, h = line[order], h[order]
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+        line, self.hash = line[new], h[new]
+        begin = np.ones(len(line), bool)
+        begin[1:] = line[1:] != line[:-1]
+        self.at = np.append(np.flatnonzero(begin), len(line))
+        which = line[self.at[:-1]]
         self.text = np.searchsorted(first, which, "right") - 1
         self.place = which - first[self.text]
         self.size = np.diff(self.at)
 
-
-def _counting(batches):
-    seen = np.zeros(BUCKETS, np.int64)
-    for b in K.slices(batches, "text"):
-        seen += np.bincount((Lines(b.column("text")).hash % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS // _CELL)), pa.array([x.tobytes() for x in seen.reshape(-1, _CELL)], pa.binary())], ["cell", "n"])
+    def identity(self, salt: int) -> np.ndarray:
+        return np.add.reduceat(K.mix(self.hash, salt), self.at[:-1]) if len(self.hash) else np.zeros(0, np.uint64)
 
 
-def _summing(table: pa.Table) -> pa.Table:
-    n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64).reshape(-1, _CELL).sum(axis=0)
-    return pa.table({"cell": [table.column("cell")[0].as_py()], "n": pa.array([n.tobytes()], pa.binary())})
+def _reading(width: int):
+    """A row for each line (its identity), and at a task's end the counts of its tokens by hash bucket."""
 
+    def run(batches):
+        seen = np.zeros(BUCKETS, np.int64)
+        names = ["doc_id", "line", "s1", "s2", "cell", "n"]
+        for b in K.slices(batches, "text"):
+            x = Lines(b.column("text"), width)
+            seen += np.bincount((x.hash % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            k = len(x.size)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("doc_id").to_numpy()[x.text]), pa.array(x.place), K.signed(x.identity(21)), K.signed(x.identity(22)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+        k = BUCKETS // _CELL
+        null = pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(np.arange(k)), pa.array([c.tobytes() for c in seen.reshape(-1, _CELL)], pa.binary())], names)
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Lines in which a word of each hash bucket occurs: a table of fixed size."""
-    cells = docs.select("text").mapInArrow(_counting, "cell long, n binary").groupBy("cell").applyInArrow(_summing, "cell long, n binary").orderBy("cell").collect()
-    return np.concatenate([np.frombuffer(r["n"], np.int64) for r in cells]) if cells else np.zeros(BUCKETS, np.int64)
-
+    return run
 
-def _classes(percent: int, min_words: int, shared):
-    """doc_id, line, n, the identity of the set (s1, s2), and its prefix: word hashes by rarity."""
 
-    def make(b: pa.RecordBatch) -> list:
-        x = Lines(b.column("text"))
-        of = np.repeat(np.arange(len(x.size)), x.size)
-        s1, s2 = (np.add.reduceat(K.mix(x.hash, s), x.at[:-1]) if len(of) else np.zeros(0, np.uint64) for s in (21, 22))
-        order = np.lexsort((x.hash, shared.value[(x.hash % _U(BUCKETS)).astype(np.int64)], of))
-        keep = x.size - -(-x.size * percent // 100) + 1
-        ok = x.size >= min_words
-        take = (np.arange(len(of)) - x.at[:-1][of] < keep[of]) & ok[of]
-        docs = b.column("doc_id").to_numpy()
-        return [pa.array(docs[x.text[ok]]), pa.array(x.place[ok]), pa.array(x.size[ok]), K.signed(s1[ok]), K.signed(s2[ok]), K.packed(x.hash[order][take], keep[ok])]
+def _summing(table: pa.Table) -> pa.Table:
+    n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64).reshape(-1, _CELL).sum(axis=0)
+    return pa.table({"cell": [table.column("cell")[0].as_py()], "n": pa.array([n.tobytes()], pa.binary())})
 
-    return K.per_slice("text", ["doc_id", "line", "n", "s1", "s2", "prefix"], make)
 
+def _prefixes(percent: int, width: int, shared):
+    """(token, cell, s1, np, hot): the rarest tokens of each class; np packs the number of tokens and the place in the order."""
 
-def _spread(shared):
     def run(batches):
-        for b in batches:
-            p = b.column("prefix").to_pylist()
-            size = np.array([len(x) // 8 for x in p], np.int64)
-            word = np.frombuffer(b"".join(p), np.uint64)
-            at = np.repeat(np.arange(len(size)), size)
-            pos = np.arange(len(word)) - (np.cumsum(size) - size)[at]
-            doc, line, n = (b.column(c).to_numpy()[at] for c in ("doc_id", "line", "n"))
-            count = shared.value[(word % _U(BUCKETS)).astype(np.int64)]
-            parts = (count // HOT + 1).astype(np.uint64)
-            cell = (K.mix(doc.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + line.astype(np.uint64), 9) % parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([K.signed(word), pa.array(cell), pa.array(doc), pa.array(line), pa.array((n << 32) | pos), pa.array(parts > 1)], ["word", "cell", "doc_id", "line", "np", "hot"])
+        for b in K.slices(batches, "text"):
+            x = Lines(b.column("text"), width)
+            s1 = x.identity(21)
+            _, one = np.unique(s1, return_index=True)  # copies of a line in this slice count once
+            of = np.repeat(np.arange(len(x.size)), x.size)
+            first = np.zeros(len(x.size), bool)
+            first[one] = True
+            use = np.flatnonzero(first[of])
+            of, h = of[use], x.hash[use]
+            count = shared.value[(h % _U(BUCKETS)).astype(np.int64)]
+            order = np.lexsort((h, count, of))
+            of, h, count = of[order], h[order], count[order]
+            begin = np.searchsorted(of, of)
+            pos = np.arange(len(of)) - begin
+            keep = pos < (x.size - -(-x.size * percent // 100) + 1)[of]
+            of, h, pos, count = of[keep], h[keep], pos[keep], count[keep]
+            parts = count // HOT + 1
+            cell = (K.mix(s1[of], 9) % parts.astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([K.signed(h), pa.array(cell), K.signed(s1[of]), pa.array((x.size[of] << 32) | pos), pa.array(parts > 1)], ["token", "cell", "s1", "np", "hot"])
 
     return run
 
 
 def _grouped(batches):
-    """Of rows sorted by word and cell: those whose word has another row, or is split over cells."""
-    held = None
-    names = ["word", "doc_id", "line", "np"]
-
-    def out(t):
-        w, c = t.column("word").to_numpy(), t.column("cell").to_numpy()
-        same = (w[1:] == w[:-1]) & (c[1:] == c[:-1])
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | t.column("hot").to_numpy(zero_copy_only=False)
-        return keep
-
+    """Of rows sorted by token, cell and class: one for each class of a token that has several, or is split over cells."""
+    held, wanted = None, False
+    names = ["token", "s1", "np"]
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held[0], pa.Table.from_batches([b])])
-        keep = out(t)
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        w, c, s = (t.column(x).to_numpy() for x in ("token", "cell", "s1"))
+        group = (w[1:] == w[:-1]) & (c[1:] == c[:-1])
+        copy = group & (s[1:] == s[:-1])
+        new = np.concatenate([[True], ~copy])
+        t, w, c = t.filter(pa.array(new)), w[new], c[new]
+        group = (w[1:] == w[:-1]) & (c[1:] == c[:-1])
+        keep = np.concatenate([[wanted], group]) | np.concatenate([group, [False]]) | t.column("hot").to_numpy()
         done = t.num_rows - 1  # the last row waits for what follows
-        had = held is not None and held[1]
-        if had:
-            keep[0] = True
-        for r in t.slice(0, done).filter(pa.array(keep[:done])).select(names).to_batches():
-            yield r
-        held = (t.slice(done), bool(keep[done]))
-    if held is not None and held[1]:
-        yield from held[0].select(names).to_batches()
+        yield from t.slice(0, done).filter(pa.array(keep[:done])).select(names).to_batches()
+        held, wanted = t.slice(done), bool(keep[done])
+    if held is not None and wanted:
+        yield from held.select(names).to_batches()
 
 
-def _sets(batches):
-    for b in K.slices(batches, "text"):
-        x = Lines(b.column("text"))
-        want = b.column("lines").to_pylist()
-        ok = np.array([p in w for p, w in zip(x.place.tolist(), ([set(v) for v in want][t] for t in x.text.tolist()), strict=True)], bool) if len(x.size) else np.zeros(0, bool)
-        of = np.repeat(np.arange(len(x.size)), x.size)
-        yield pa.RecordBatch.from_arrays([pa.array(b.column("doc_id").to_numpy()[x.text[ok]]), pa.array(x.place[ok]), K.packed(x.hash[ok[of]], x.size[ok])], ["doc_id", "line", "words"])
+def _sets(width: int):
+    def run(batches):
+        for b in K.slices(batches, "text"):
+            x = Lines(b.column("text"), width)
+            want = [set(v) for v in b.column("lines").to_pylist()]
+            ok = np.array([p in want[t] for p, t in zip(x.place.tolist(), x.text.tolist(), strict=True)], bool)
+            of = np.repeat(np.arange(len(x.size)), x.size)
+            yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), K.packed(x.hash[ok[of]], x.size[ok])], ["s1", "tokens"])
+
+    return run
 
 
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column("wa"), b.column("wb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
+                x, y = np.sort(np.frombuffer(x.as_buffer(), np.uint64)), np.sort(np.frombuffer(y.as_buffer(), np.uint64))
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "la"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["a"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line (from 0): the lines that go. Lines of one class and repeated rows count by doc_id and place."""
-    small_batches(docs.sparkSession)
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, line (from 0): the lines that go."""
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    classes = docs.mapInArrow(_classes(percent, min_words, shared), "doc_id long, line long, n long, s1 long, s2 long, prefix binary")
-    ids = written(classes.select("doc_id", "line", "s1", "s2"), "lines")
-    lead = ids.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("f"))
-    copies = ids.join(lead.select("s1", "s2", F.col("f.doc_id").alias("fd"), F.col("f.line").alias("fl")), ["s1", "s2"]).where("doc_id <> fd or line <> fl").select("doc_id", "line")
-    first = classes.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line", "n", "prefix")).alias("f")).select("f.*")
-    rows = first.mapInArrow(_spread(shared), "word long, cell int, doc_id long, line long, np long, hot boolean")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = written(rows.repartition(parts, "word", "cell").sortWithinPartitions("word", "cell").mapInArrow(_grouped, "word long, doc_id long, line long, np long"), "prefixes")
-    bucket = bucket.select("word", "doc_id", "line", F.shiftright("np", 32).alias("n"), F.expr("np & 4294967295").alias("p"))
-
-    other = bucket.select("word", F.col("doc_id").alias("b"), F.col("line").alias("lb"), F.col("n").alias("m"), F.col("p").alias("q"))
+    read = written(docs.mapInArrow(_reading(width), "doc_id long, line long, s1 long, s2 long, cell long, n binary"), "lines")
+    cells = read.where("cell is not null").select("cell", "n").groupBy("cell").applyInArrow(_summing, "cell long, n binary").orderBy("cell").collect()  # a table of fixed size
+    shared = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r["n"], np.int64) for r in cells]) if cells else np.zeros(BUCKETS, np.int64))
+    ids = read.where("doc_id is not null").select("doc_id", "line", "s1", "s2")
+    place = F.struct("doc_id", "line")
+    lead = ids.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"))
+    copies = ids.join(lead.where("n > 1").select("s1", "s2", "f"), ["s1", "s2"]).where("doc_id <> f.doc_id or line <> f.line").select("doc_id", "line")
+
+    rows = docs.mapInArrow(_prefixes(percent, width, shared), "token long, cell int, s1 long, np long, hot boolean")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = written(rows.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "s1").mapInArrow(_grouped, "token long, s1 long, np long"), "prefixes")
+    first = written(ids.join(bucket.select("s1").distinct(), "s1", "left_semi").groupBy("s1").agg(F.min(place).alias("f")), "firsts")
+    bucket = bucket.join(first, "s1").select("token", "s1", "f", F.shiftright("np", 32).alias("n"), F.expr("np & 4294967295").alias("p")).distinct()
+
+    other = bucket.select("token", F.col("s1").alias("b"), F.col("f").alias("fb"), F.col("n").alias("m"), F.col("p").alias("q"))
+    mine = bucket.withColumnRenamed("s1", "a")
     need = f"ceil({percent} * (n + m) / {100.0 + percent})"
-    fits = F.expr(f"(b < a or b = a and lb < la) and 100 * least(n, m) >= {percent} * greatest(n, m) and least(n - p, m - q) >= {need}")
-    mine = bucket.withColumnsRenamed({"doc_id": "a", "line": "la"})
-    head = other.groupBy("word").agg(F.min(F.struct("b", "lb", "m", "q")).alias("h")).select("word", "h.*")
-    best = mine.join(head, "word").where(fits).groupBy("a", "la", "b", "lb").agg(F.count(F.lit(1)).alias("s")).groupBy("a", "la").agg(F.max_by(F.struct("b", "lb"), F.struct("s", -F.col("b"), -F.col("lb"))).alias("o")).select("a", "la", "o.*")
-    nodes = bucket.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    sets = written(docs.join(nodes, "doc_id").mapInArrow(_sets, "doc_id long, line long, words binary").dropDuplicates(["doc_id", "line"]), "sets")
+    fits = F.expr(f"fb < f and 100 * least(n, m) >= {percent} * greatest(n, m) and least(n - p, m - q) >= {need}")
+    head = other.groupBy("token").agg(F.min(F.struct("fb", "b", "m", "q")).alias("h")).select("token", "h.*")
+    best = mine.join(head, "token").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s")).groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("b"))
+    nodes = first.select("f.*").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    sets = written(docs.join(nodes, "doc_id").mapInArrow(_sets(width), "s1 long, tokens binary").dropDuplicates(["s1"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda i: sets.select(F.col("doc_id").alias(i), F.col("line").alias(f"l{i}"), F.col("words").alias(f"w{i}"))
-        return pairs.join(side("a"), ["a", "la"]).join(side("b"), ["b", "lb"]).select("a", "la", "wa", "wb").mapInArrow(_confirm(percent), "a long, la long")
+        side = lambda i: sets.select(F.col("s1").alias(i), F.col("tokens").alias(f"t{i}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "ta", "tb").mapInArrow(_confirm(percent), "a long").distinct()
 
-    gone = written(confirmed(best).distinct(), "gone")
-    left = mine.join(gone, ["a", "la"], "left_anti").join(other, "word").where(fits).select("a", "la", "b", "lb").distinct()
-    more = confirmed(left).distinct()
-    return copies.unionByName(gone.unionByName(more).toDF("doc_id", "line")).distinct()
+    gone = written(confirmed(best), "gone")
+    left = mine.join(gone, "a", "left_anti").join(other, "token").where(fits).select("a", "b").distinct()
+    near = gone.unionByName(confirmed(left)).join(first.withColumnRenamed("s1", "a"), "a").select("f.*")
+    return copies.unionByName(near).distinct()
 
 
 def _cutting(batches):
@@ -209,24 +216,25 @@ def _cutting(batches):
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """All rows and columns of docs; texts without the lines that go."""
-    gone = removed_lines(docs, id_col, text_col, percent=percent, min_words=min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("gone"))
+    gone = removed_lines(docs, id_col, text_col, percent=percent, width=width).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("gone"))
     rows = docs.select(F.struct(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
     cut = rows.join(gone, "__id", "left").select("row", "text", "gone").mapInArrow(_cutting, f"row {docs.schema.simpleString()}, text string")
     return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, removed (line numbers in order), n_removed: a row for each document that loses lines."""
-    gone = removed_lines(docs, id_col, text_col, percent=percent, min_words=min_words)
+    gone = removed_lines(docs, id_col, text_col, percent=percent, width=width)
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")).withColumn("n_removed", F.size("removed").cast("long"))
 
 
-_W = r"list_sort(list_distinct(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')))"
+_W = r"regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
-WITH l AS (SELECT doc_id, line, {_W} AS w FROM (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
-k AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS id, len(w) AS n FROM l WHERE len(w) >= {MIN_WORDS}),
+WITH x AS (SELECT doc_id, line, {_W} AS ws FROM (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
+l AS (SELECT doc_id, line, list_sort(list_distinct(list_transform(range(1, len(ws) - {WIDTH - 2}), lambda i: array_to_string(ws[i:i + {WIDTH - 1}], ' ')))) AS w FROM x WHERE len(ws) >= {WIDTH}),
+k AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS id, len(w) AS n FROM l),
 t AS (SELECT id, n, unnest(w) AS w FROM k),
 f AS (SELECT w, count(*) AS c FROM t GROUP BY w),
 p AS (SELECT id, n, w FROM (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY c, t.w) AS r FROM t JOIN f ON t.w = f.w) WHERE r <= n - ceil(n * {PERCENT} / 100.0) + 1),
