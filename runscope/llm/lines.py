@@ -178,7 +178,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = read.where("doc_id is not null").select("doc_id", "line", "s1", "s2")
     place = F.struct("doc_id", "line")
     lead = ids.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"))
-    copies = ids.join(lead.where("n > 1").select("s1", "s2", "f"), ["s1", "s2"]).where("doc_id <> f.doc_id or line <> f.line").select("doc_id", "line")
+    lead = written(lead.where("n > 1").select("s1", "s2", "f"), "leads")  # so that the join can split a hot line
+    copies = ids.join(lead, ["s1", "s2"]).where("doc_id <> f.doc_id or line <> f.line").select("doc_id", "line")
 
     rows = docs.mapInArrow(_prefixes(percent, width, shared), "token long, cell int, s1 long, np long, hot boolean")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
     sig = written(signatures(docs, bands, rows, width), "sig")
     ids = sig.select("doc_id", "n_shingles", "s1", "s2")
-    classes = ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"))
+    classes = written(ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")  # so that the join can split a hot class
     member = ids.join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
 
     # one row a band of every class; buckets of one class are of no use
@@ -174,6 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spreads = first.mapInArrow(spread, "key long, doc_id long, n long")
     shared = spreads.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "n")).alias("lead")).where("members > 1")
+    shared = written(shared, "shared")
     bucket = written(spreads.join(shared, "key").select("key", "doc_id", "n", "lead"), "buckets")
     nodes = bucket.select("doc_id").distinct()
     sets = written(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")

@@ -168,7 +168,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reach = window - 1
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
     anchors = written(docs.mapInArrow(_anchors(seed, window), "h long, doc_id long, pos int"), "anchors")
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")  # a table of its own, so that the join below can split a hot run
     places = anchors.join(often, "h", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     suffix = written(docs.join(places, "doc_id").mapInArrow(_suffixes(seed, reach), "h long, before binary, after binary, doc_id long, pos int"), "suffixes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
