@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 RUN = ["workflow_id", "run_id"]
-_W = Window.partitionBy(*RUN).orderBy("line_no")
-_SO_FAR = _W.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _so_far():
+    return Window.partitionBy(*RUN).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -22,8 +24,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     p = lines.select(*RUN, "line_no", "line", S.rule_start(x).alias("rule_start"), S.job_id(x).alias("job_id"), S.finished(x).alias("finished"), S.error_rule(x).alias("error_rule"), S.timestamp(x).alias("ts"), S.found(x, S.WILDCARDS).alias("wildcards"), S.threads(x).alias("threads"), S.log_path(x).alias("log"))
     opens = F.col("error_rule").isNotNull()
     closes = F.col("rule_start").isNotNull() | F.col("ts").isNotNull()
-    p = p.withColumn("block", F.sum(F.col("rule_start").isNotNull().cast("int")).over(_SO_FAR)).withColumn("error_block", F.sum((opens | closes).cast("int")).over(_SO_FAR))
-    return p.withColumn("last_ts", F.last("ts", True).over(_SO_FAR)).withColumn("rule", F.last("rule_start", True).over(_SO_FAR)).withColumn("in_error", F.max(opens.cast("int")).over(Window.partitionBy(*RUN, "error_block")) == 1)
+    p = p.withColumn("block", F.sum(F.col("rule_start").isNotNull().cast("int")).over(_so_far())).withColumn("error_block", F.sum((opens | closes).cast("int")).over(_so_far()))
+    return p.withColumn("last_ts", F.last("ts", True).over(_so_far())).withColumn("rule", F.last("rule_start", True).over(_so_far())).withColumn("in_error", F.max(opens.cast("int")).over(Window.partitionBy(*RUN, "error_block")) == 1)
 
 
 def latest_progress(lines: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def running_jobs(lines: DataFrame) -> DataFrame:
 
 def expected_counts(lines: DataFrame) -> DataFrame:
     """The rules and counts of the job statistics table."""
-    head = F.max(F.when(F.col("line") == "Job stats:", F.col("line_no"))).over(_SO_FAR)
+    head = F.max(F.when(F.col("line") == "Job stats:", F.col("line_no"))).over(_so_far())
     x = lines.withColumn("head", head).where("head is not null")
     data = F.col("line").rlike(r"^\w+\s+\d+\s*$") & ~F.col("line").startswith("total")
     end = F.min(F.when((F.trim("line") == "") & (F.col("line_no") > F.col("head") + 2), F.col("line_no"))).over(Window.partitionBy(*RUN, "head"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 
 RUN = ["workflow_id", "run_id"]
-_ORDER = F.struct("timestamp", "seq")
+def _order() -> Column:
+    return F.struct("timestamp", "seq")
 
 
 def _is(kind: str) -> Column:
@@ -16,11 +17,11 @@ def _is(kind: str) -> Column:
 
 
 def _latest(value: Column, when: Column) -> Column:
-    return F.max_by(value, F.when(when, _ORDER))
+    return F.max_by(value, F.when(when, _order()))
 
 
 def _first(value: Column, when: Column) -> Column:
-    return F.min_by(value, F.when(when, _ORDER))
+    return F.min_by(value, F.when(when, _order()))
 
 
 def registry_fold(events: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def registry_fold(events: DataFrame) -> DataFrame:
     kind = F.coalesce(*[F.when(_is(a), F.lit(b)) for a, b in status.items()])
     t = F.nullif(F.col("threads"), F.lit(0))
     started = _latest(t, _is("job_started") & t.isNotNull())
-    out = e.groupBy("workflow_id", "key").agg(F.max_by(kind, _ORDER).alias("status"), _latest(F.col("timestamp"), _is("job_started")).alias("start_time"), _latest(F.col("timestamp"), _is("job_finished") | _is("job_error")).alias("end_time"), F.coalesce(started, _first(t, t.isNotNull())).alias("threads"), F.coalesce(F.min_by("rule_name", _ORDER), F.lit("unknown")).alias("rule"))
+    out = e.groupBy("workflow_id", "key").agg(F.max_by(kind, _order()).alias("status"), _latest(F.col("timestamp"), _is("job_started")).alias("start_time"), _latest(F.col("timestamp"), _is("job_finished") | _is("job_error")).alias("end_time"), F.coalesce(started, _first(t, t.isNotNull())).alias("threads"), F.coalesce(F.min_by("rule_name", _order()), F.lit("unknown")).alias("rule"))
     return out.withColumn("duration", F.col("end_time") - F.col("start_time"))
 
 
@@ -38,11 +39,11 @@ def accumulator_fold(events: DataFrame) -> DataFrame:
     """State of every job where a submission replaces the job, and an explicit duration beats end - start."""
     e = events.where("job_id is not null and event_type in ('job_submitted', 'job_started', 'job_finished', 'job_error')")
     w = Window.partitionBy("workflow_id", "job_id").orderBy("timestamp", "seq")
-    last_submit = F.max(F.when(_is("job_submitted"), _ORDER)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    e = e.withColumn("s", last_submit).where(F.col("s").isNull() | (_ORDER >= F.col("s")))
+    last_submit = F.max(F.when(_is("job_submitted"), _order())).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    e = e.withColumn("s", last_submit).where(F.col("s").isNull() | (_order() >= F.col("s")))
     end = _is("job_finished") | _is("job_error")
     status = F.when(_is("job_submitted"), "submitted").when(_is("job_started"), "running").when(_is("job_finished"), "finished").otherwise("error")
-    out = e.groupBy("workflow_id", "job_id").agg(F.max_by(status, _ORDER).alias("status"), _latest(F.col("timestamp"), _is("job_submitted")).alias("submit_time"), _latest(F.col("timestamp"), _is("job_started")).alias("start_time"), _latest(F.col("timestamp"), end).alias("end_time"), _latest(F.col("duration"), _is("job_finished") & F.col("duration").isNotNull()).alias("explicit"))
+    out = e.groupBy("workflow_id", "job_id").agg(F.max_by(status, _order()).alias("status"), _latest(F.col("timestamp"), _is("job_submitted")).alias("submit_time"), _latest(F.col("timestamp"), _is("job_started")).alias("start_time"), _latest(F.col("timestamp"), end).alias("end_time"), _latest(F.col("duration"), _is("job_finished") & F.col("duration").isNotNull()).alias("explicit"))
     return out.withColumn("duration", F.coalesce("explicit", F.col("end_time") - F.col("start_time"))).drop("explicit")
 
 
@@ -160,7 +161,7 @@ def compare_counts(events_jobs: DataFrame, log_jobs: DataFrame) -> DataFrame:
 
 def current_event_files(events: DataFrame, runs: DataFrame, slack: float = 60.0) -> DataFrame:
     """Workflows whose first event is a start no earlier than the log's, less the slack."""
-    first = events.groupBy("workflow_id").agg(F.min_by(F.struct("event_type", "timestamp"), _ORDER).alias("f"))
+    first = events.groupBy("workflow_id").agg(F.min_by(F.struct("event_type", "timestamp"), _order()).alias("f"))
     last = runs.groupBy("workflow_id").agg(F.max("run_start").alias("log_start"))
     return first.join(last, "workflow_id").select("workflow_id", ((F.col("f.event_type") == "workflow_started") & (F.col("f.timestamp") - F.col("log_start") >= -slack)).alias("current"))
 
