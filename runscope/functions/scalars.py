@@ -160,7 +160,7 @@ def rate_text(items: Column, seconds: Column, unit: str = "items") -> Column:
 def percent_text(x: Column) -> Column:
     """At most 1.0 is a fraction; kept within 0 and 100."""
     p = F.when(x <= 1.0, x * 100).otherwise(x)
-    return _fmt("%.1f%%", F.least(F.lit(100.0), F.greatest(F.lit(0.0), p)))
+    return _fmt("%.1f%%", F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), p)), 1))
 
 
 def count_text(done: Column, total: Column, compact: bool = False) -> Column:

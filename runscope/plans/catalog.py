@@ -430,14 +430,14 @@ def pending_exact(spark, d):
     return X.pending_exact(j.groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("expected")), n("finished"), n("running"))
 
 
-@query("f11_pending_proportional", "SELECT workflow_id, run_id, rule, pending FROM (SELECT workflow_id, run_id, rule, CAST(round_even(p * n / t, 0) AS BIGINT) AS pending FROM (SELECT workflow_id, run_id, rule, count(*) FILTER (ended = 'finished') AS n, sum(count(*) FILTER (ended = 'finished')) OVER (PARTITION BY workflow_id, run_id) AS t, 2 * sum(count(*) FILTER (ended <> 'finished')) OVER (PARTITION BY workflow_id, run_id) AS p FROM jj GROUP BY ALL) WHERE n > 0) WHERE pending > 0", JOBS)
+@query("f11_pending_proportional", "SELECT workflow_id, run_id, rule, pending FROM (SELECT workflow_id, run_id, rule, CAST(round_even(2 * o * n / t, 0) AS BIGINT) AS pending FROM (SELECT *, sum(n) OVER (PARTITION BY workflow_id, run_id) AS t, sum(m) OVER (PARTITION BY workflow_id, run_id) AS o FROM (SELECT workflow_id, run_id, rule, count(*) FILTER (ended = 'finished') AS n, count(*) FILTER (ended <> 'finished') AS m FROM jj GROUP BY ALL)) WHERE n > 0) WHERE pending > 0", JOBS)
 def pending_proportional(spark, d):
     j = A.numbered(spark, d)
     done = j.where("ended = 'finished'").groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("n"))
     return X.pending_proportional(done, j.groupBy(*RUN).agg((2 * F.count_if(F.col("ended") != "finished")).alias("pending")))
 
 
-@query("f13_peak_threads", "SELECT workflow_id, run_id, CAST(max(x) AS BIGINT) AS peak FROM (SELECT workflow_id, run_id, sum(sum(d)) OVER (PARTITION BY workflow_id, run_id ORDER BY at) AS x FROM (SELECT workflow_id, run_id, start_time AS at, coalesce(threads, 1) AS d FROM s UNION ALL SELECT workflow_id, run_id, end_time, -coalesce(threads, 1) FROM s) GROUP BY workflow_id, run_id, at) GROUP BY ALL", SAMPLES)
+@query("f13_peak_threads", "SELECT workflow_id, run_id, CAST(max(x) AS BIGINT) AS peak FROM (SELECT workflow_id, run_id, sum(d) OVER (PARTITION BY workflow_id, run_id ORDER BY t) AS x FROM (SELECT workflow_id, run_id, t, sum(d) AS d FROM (SELECT workflow_id, run_id, start_time AS t, coalesce(threads, 1) AS d FROM s UNION ALL SELECT workflow_id, run_id, end_time, -coalesce(threads, 1) FROM s) GROUP BY ALL)) GROUP BY ALL", SAMPLES)
 def peak(spark, d):
     return X.peak_threads(A.samples(spark, d))
 
@@ -475,7 +475,7 @@ def run_estimates(spark, d):
     return X.estimate_runs(snap, _todo(spark, d), s, j.where("ended = 'finished'").select(*RUN, "rule"), AS_OF)
 
 
-@query("f21_confidence_parts", "SELECT workflow_id, run_id, least(1.0, (SELECT count(*) FROM s) / 10.0) AS sample, 0.9 AS recency, 0.5 AS consistency, round(count(DISTINCT rule) / (SELECT count(DISTINCT rule) FROM s), 6) AS coverage FROM s GROUP BY ALL", SAMPLES)
+@query("f21_confidence_parts", "SELECT workflow_id, run_id, least(1.0, (SELECT count(*) FROM s) / 10.0) AS sample, CAST(0.9 AS DOUBLE) AS recency, CAST(0.5 AS DOUBLE) AS consistency, round(count(DISTINCT rule) / (SELECT count(DISTINCT rule) FROM s), 6) AS coverage FROM s GROUP BY ALL", SAMPLES)
 def confidence_parts(spark, d):
     s = A.samples(spark, d)
     return rounded(X.confidence_parts(s, s.select(*RUN, "rule"), AS_OF * 2), "coverage", "recency", "consistency")
@@ -544,7 +544,7 @@ def snapshot(spark, d):
     return R.snapshot(A.log_lines(spark, d)).select(*RUN, "n_completed", "n_failed", "run_start")
 
 
-@query("i16_shares", "SELECT workflow_id, run_id, round(c * 100.0 / t, 6) AS succeeded, round(f * 100.0 / t, 6) AS failed, 0.0 AS incomplete, round((t - c - f) * 100.0 / t, 6) AS remaining, round((c + f) * 100.0 / t, 6) AS percent_done FROM (SELECT workflow_id, run_id, count(*) AS t, count(*) FILTER (ended = 'finished') AS c, count(*) FILTER (ended = 'failed') AS f FROM jj GROUP BY ALL)", JOBS)
+@query("i16_shares", "SELECT workflow_id, run_id, round(c * 100.0 / t, 6) AS succeeded, round(f * 100.0 / t, 6) AS failed, CAST(0 AS DOUBLE) AS incomplete, round((t - c - f) * 100.0 / t, 6) AS remaining, round((c + f) * 100.0 / t, 6) AS percent_done FROM (SELECT workflow_id, run_id, count(*) AS t, count(*) FILTER (ended = 'finished') AS c, count(*) FILTER (ended = 'failed') AS f FROM jj GROUP BY ALL)", JOBS)
 def shares(spark, d):
     x = A.numbered(spark, d).groupBy(*RUN).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ended") == "finished").alias("completed"), F.count_if(F.col("ended") == "failed").alias("n_failed")).withColumn("n_incomplete", F.lit(0))
     return rounded(R.shares(x), "succeeded", "failed", "incomplete", "remaining", "percent_done")

@@ -16,13 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch(col: str, unit: str = "SECOND"):
+    """Time since 1970 of a zone-less time stamp, whatever the session's zone."""
+    return F.expr(f"timestampdiff({unit}, timestamp_ntz'1970-01-01 00:00:00', cast({col} as timestamp_ntz))")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per completed job: workflow_id, run_id, rule, duration, times, threads, input_size, wildcards, tie key (k1..k4)."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("rule"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("workflow_id"), F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), F.unix_timestamp("o_orderdate").cast("double").alias("run_date"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("workflow_id"), F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), epoch("o_orderdate").cast("double").alias("run_date"))
     line = table(spark, sf_dir, "lineitem")
     joined = line.join(part, line["l_partkey"] == part["p_partkey"]).join(orders, line["l_orderkey"] == orders["o_orderkey"])
-    duration, end = F.col("l_quantity") * 10 + F.col("l_linenumber"), F.unix_timestamp("l_shipdate").cast("double")
+    duration, end = F.col("l_quantity") * 10 + F.col("l_linenumber"), epoch("l_shipdate").cast("double")
     return joined.select(
         "workflow_id", "run_id", "run_date", "rule", duration.alias("duration"), (end - duration).alias("start_time"), end.alias("end_time"),
         F.when(F.col("l_tax") != 0, F.col("l_linenumber")).cast("int").alias("threads"),
@@ -40,7 +45,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_progress = F.col("event_type") == "view"
     return e.select(
         (F.col("user_id") % 10).alias("workflow_id"), F.col("user_id").alias("job_id"), F.concat(F.lit("rule_"), (F.col("user_id") % 7).cast("string")).alias("rule_name"),
-        kind.alias("event_type"), (F.unix_micros("ts") / 1e6).alias("timestamp"), F.col("event_id").alias("seq"), F.col("value").alias("duration"),
+        kind.alias("event_type"), (epoch("ts", "MICROSECOND") / 1e6).alias("timestamp"), F.col("event_id").alias("seq"), F.col("value").alias("duration"),
         (F.col("event_id") % 5).cast("int").alias("threads"), F.when(is_progress, F.col("event_id") % 100).cast("int").alias("completed_jobs"), F.when(is_progress, F.lit(100)).alias("total_jobs"),
     ).where("event_type is not null")
 
@@ -78,7 +83,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """workflow_id, run_id, run_start: the first order date of each workflow and month."""
     o = table(spark, sf_dir, "orders")
-    return o.groupBy((F.col("o_custkey") % 20).alias("workflow_id"), F.date_format("o_orderdate", "yyyy-MM").alias("run_id")).agg(F.min(F.unix_timestamp("o_orderdate")).cast("double").alias("run_start"))
+    return o.groupBy((F.col("o_custkey") % 20).alias("workflow_id"), F.date_format("o_orderdate", "yyyy-MM").alias("run_id")).agg(F.min(epoch("o_orderdate")).cast("double").alias("run_start"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
