@@ -27,7 +27,7 @@ part_ AS (SELECT p_partkey, lower(replace(p_brand, '#', '_')) AS rule FROM part)
 s AS (SELECT o_custkey % 20 AS workflow_id, strftime(o_orderdate, '%Y-%m') AS run_id, rule, l_quantity * 10 + l_linenumber AS duration,
   epoch(l_shipdate) - (l_quantity * 10 + l_linenumber) AS start_time, epoch(l_shipdate) AS end_time, epoch(o_orderdate) AS run_date,
   CASE WHEN l_tax <> 0 THEN l_linenumber END AS threads, CASE WHEN l_discount <> 0 THEN CAST(trunc(l_extendedprice * 100) AS BIGINT) END AS input_size,
-  l_returnflag AS flag, l_linestatus AS status, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4
+  l_returnflag AS flag, l_linestatus AS status, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS k4
   FROM lineitem JOIN part_ ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
 EVENTS = """
 e AS (SELECT user_id % 10 AS workflow_id, user_id AS job_id, 'rule_' || (user_id % 7) AS rule_name,
@@ -38,7 +38,7 @@ e AS (SELECT user_id % 10 AS workflow_id, user_id AS job_id, 'rule_' || (user_id
 JOBS = (
     SAMPLES
     + """,
-j AS (SELECT *, row_number() OVER (PARTITION BY workflow_id, run_id ORDER BY k1, k2, k3, k4) AS job_id FROM s),
+j AS (SELECT *, row_number() OVER (PARTITION BY workflow_id, run_id ORDER BY k1, k2, k3, k4, end_time) AS job_id FROM s),
 jj AS (SELECT *, CASE job_id % 10 WHEN 7 THEN 'failed' WHEN 9 THEN 'running' ELSE 'finished' END AS ended FROM j)"""
 )
 

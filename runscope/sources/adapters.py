@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 PER_JOB, HEADER = 10, 1000
 
 
@@ -33,7 +33,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") != 0, F.col("l_linenumber")).cast("int").alias("threads"),
         F.when(F.col("l_discount") != 0, (F.col("l_extendedprice") * 100).cast("long")).alias("input_size"),
         F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("status"), F.col("l_linestatus")).alias("wildcards"),
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(KEY, 1)],
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(KEY, 1)], (F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("k4"),
     )
 
 
@@ -53,7 +53,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with their job number in the run and how the job ended: every tenth fails, another tenth still runs."""
     s = samples(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("workflow_id", "run_id").orderBy("k1", "k2", "k3", "k4")).cast("long")
+    n = F.row_number().over(Window.partitionBy("workflow_id", "run_id").orderBy("k1", "k2", "k3", "k4", "end_time")).cast("long")
     s = s.withColumn("job_id", n)
     return s.withColumn("ended", F.when(F.col("job_id") % 10 == 7, "failed").when(F.col("job_id") % 10 == 9, "running").otherwise("finished"))
 
