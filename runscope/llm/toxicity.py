@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .shared import small_batches, texts
 
-BUCKETS, PER_CLASS, MAX_CHARS, MIN_DOCS, MIN_SHARE, PURE, EPOCHS, THRESHOLD, CHUNK = 1 << 18, 2000, 20_000, 3, 0.01, 0.95, 40, 0.7, 256
+BUCKETS, PER_CLASS, MAX_CHARS, MIN_DOCS, MIN_SHARE, PURE, EPOCHS, THRESHOLD, CHUNK = 1 << 18, 1000, 20_000, 3, 0.01, 0.95, 40, 0.7, 256
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
 
 
