@@ -51,11 +51,14 @@ def timestamp(line: Column) -> Column:
 
 def wildcards(text: Column) -> Column:
     """map of "k=v, k=v": parts without = are left out, the last of equal keys wins."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: F.instr(p, "=") > 0)
-    pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(p.substr(F.instr(p, "=") + 1, F.length(p))).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda e: e["k"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["k"] == k), -1)["v"])
-    return F.map_from_arrays(keys, values)
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: F.instr(p, "=") > 0)
+    empty = F.create_map().cast("map<string,string>")
+
+    def put(m: Column, p: Column) -> Column:
+        key = F.trim(F.substring_index(p, "=", 1))
+        return F.map_concat(F.map_filter(m, lambda k, v: k != key), F.create_map(key, F.trim(p.substr(F.instr(p, "=") + 1, F.length(p)))))
+
+    return F.aggregate(parts, empty, put)
 
 
 def threads(line: Column) -> Column:

@@ -161,7 +161,7 @@ def test_estimates(spark, history):
     boot = estimate(spark, history, 4, 0)
     assert (boot["method"], boot["confidence"]) == ("bootstrap", 0.05)
     w = estimate(spark, history, 6, 2)
-    assert (w["method"], w["seconds_remaining"]) == ("weighted", 100.0)
+    assert (w["method"], round(w["seconds_remaining"], 6)) == ("weighted", 100.0)
     simple = estimate(spark, history, 6, 2, has_history=False)
     assert simple["method"] == "simple"
     assert simple["confidence"] == 0.1
