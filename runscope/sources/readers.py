@@ -128,7 +128,7 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
 
 def write_profile(profiles: DataFrame, path: str, updated: str, machine: str = "") -> None:
     """One JSON document; a profile has a row a rule, not a row a job."""
-    row = F.struct("rule", F.col("sample_count").cast("int"), "mean_duration", "std_dev", "min_duration", "max_duration", "durations", "timestamps")
+    row = F.struct("rule", F.col("sample_count").cast("int").alias("sample_count"), "mean_duration", "std_dev", "min_duration", "max_duration", "durations", "timestamps")
     doc = profiles.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", row)))).alias("rules"))
     doc.select(F.lit(1).alias("version"), F.lit(updated).alias("created"), F.lit(updated).alias("updated"), F.lit(machine).alias("machine"), "rules").coalesce(1).write.mode("overwrite").json(path)
 

@@ -14,35 +14,41 @@ STATE = "status string, last_ts double, last_seq long, start_time double, start_
 OUT = "workflow_id long, job_id long, status string, start_time double, end_time double, duration double"
 
 
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _folding(ttl_ms: int | None):
     """The registry fold of one job; events may come in any order, within a batch and across batches."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    none = float("-inf")
-    status, at, seq, start, start_at, end, end_at = state.get if state.exists else ("PENDING", none, -1, None, none, None, none)
-    for p in parts:
-        for kind, t, n in zip(p["event_type"], p["timestamp"], p["seq"], strict=True):
-            if (t, n) >= (at, seq):
-                status, at, seq = _STATUS[kind], float(t), int(n)
-            if kind == "job_started" and t >= start_at:
-                start, start_at = float(t), float(t)
-            if kind in ("job_finished", "job_error") and t >= end_at:
-                end, end_at = float(t), float(t)
-    state.update((status, at, seq, start, start_at, end, end_at))
-    if status in ("COMPLETED", "FAILED"):
-        state.setTimeoutDuration(TTL_MS)
-    yield pd.DataFrame({"workflow_id": [key[0]], "job_id": [key[1]], "status": [status], "start_time": [start], "end_time": [end], "duration": [end - start if start is not None and end is not None else None]})
-
-
-#: Ended jobs leave the state after an hour without events.
-TTL_MS = 3_600_000
-
-
-def job_lifecycle(events: DataFrame) -> DataFrame:
-    """Update-mode stream of job states; state per (workflow, job), so it scales with the number of open jobs."""
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        none = float("-inf")
+        status, at, seq, start, start_at, end, end_at = state.get if state.exists else ("PENDING", none, -1, None, none, None, none)
+        for p in parts:
+            for kind, t, n in zip(p["event_type"], p["timestamp"], p["seq"], strict=True):
+                if (t, n) >= (at, seq):
+                    status, at, seq = _STATUS[kind], float(t), int(n)
+                if kind == "job_started" and t >= start_at:
+                    start, start_at = float(t), float(t)
+                if kind in ("job_finished", "job_error") and t >= end_at:
+                    end, end_at = float(t), float(t)
+        state.update((status, at, seq, start, start_at, end, end_at))
+        if ttl_ms and status in ("COMPLETED", "FAILED"):
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"workflow_id": [key[0]], "job_id": [key[1]], "status": [status], "start_time": [start], "end_time": [end], "duration": [end - start if start is not None and end is not None else None]})
+
+    return fold
+
+
+def job_lifecycle(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Update-mode stream of job states; state per (workflow, job).
+
+    With ttl_ms, ended jobs leave the state after that time without events, which
+    bounds it; use that with a trigger that keeps running (an availableNow query
+    would wait for the timers).
+    """
     e = events.where("job_id is not null").where(F.col("event_type").isin(*_STATUS)).select("workflow_id", "job_id", "event_type", "timestamp", "seq")
-    return e.groupBy("workflow_id", "job_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return e.groupBy("workflow_id", "job_id").applyInPandasWithState(_folding(ttl_ms), OUT, STATE, "update", timeout)
 
 
 def throughput(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -92,12 +92,12 @@ def test_stream_of_states_equals_the_batch_fold(spark, tmp_path):
         for r in batch.collect():
             seen[r["job_id"]] = (r["status"], r["start_time"], r["end_time"])
 
-    H.each_batch(H.job_lifecycle(stream), take, str(tmp_path / "ck")).awaitTermination()
+    H.each_batch(H.job_lifecycle(stream), take, str(tmp_path / "ck")).awaitTermination(120)
     assert seen == {int(r["key"]): (r["status"], r["start_time"], r["end_time"]) for r in D.registry_fold(e).collect()}
 
 
 def test_samples_are_recorded_once(spark, tmp_path):
     e = spark.createDataFrame([(1, 1, "a", "job_finished", 100.0, 1, 5.0, 2, None, None), (1, 1, "a", "job_finished", 100.0, 2, 5.0, 2, None, None)], SCHEMA)
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
-    H.into_samples(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    H.into_samples(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
