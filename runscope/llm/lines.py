@@ -9,8 +9,9 @@ it, whether or not that line goes itself.
 2. *Prefix filter.* Tokens are ordered by rarity: exact counts of hashed tokens over
    all documents (ties by hash, so that the order is total and no pair is lost). Two
    similar sets share a token among the first n - ceil(n * percent / 100) + 1 of each.
-   Those tokens are sent once a class and slice of a task, so copies don't add up; a
-   token that is very frequent is split by a hash of the class.
+   Those tokens are sent once a class and slice of a task, so copies don't add up, and
+   packed by groups of tokens, whose number follows the count of all tokens. A token
+   that is very frequent (above the mean of its hash bucket) is split by a hash of the class.
 3. *Candidates.* Of tokens with several classes, a class is compared with the
    token's first class; then, only if it did not go, with all earlier ones. Sizes
    must allow the similarity (length filter), and so must what follows the shared
@@ -34,7 +35,7 @@ from . import textkit as K
 from .shared import small_batches, texts, written
 
 PERCENT, WIDTH, BUCKETS, HOT = 75, 5, 1 << 18, 1 << 20
-_CELL = 4096
+_CELL, _HELD = 4096, 1 << 20
 _U = np.uint64
 
 
@@ -91,53 +92,65 @@ def _summing(table: pa.Table) -> pa.Table:
     return pa.table({"cell": [table.column("cell")[0].as_py()], "n": pa.array([n.tobytes()], pa.binary())})
 
 
-def _prefixes(percent: int, width: int, shared):
-    """(token, cell, s1, np, hot): the rarest tokens of each class; np packs the number of tokens and the place in the order."""
+def _prefixes(percent: int, width: int, shared, groups: int):
+    """Per group of tokens, packed: token, class, and size and place in the order (negative: the token is hot) of the rarest tokens of each class."""
+
+    def chosen(b: pa.RecordBatch):
+        counts, mean = shared.value
+        x = Lines(b.column("text"), width)
+        s1 = x.identity(21)
+        first = np.zeros(len(s1), bool)
+        first[np.unique(s1, return_index=True)[1]] = True  # copies of a line in this slice count once
+        h, size, s1 = x.hash[np.repeat(first, x.size)], x.size[first], s1[first]
+        of = np.repeat(np.arange(len(size)), size)
+        count = counts[(h % _U(BUCKETS)).astype(np.int64)]
+        bits = max(1, len(size).bit_length())
+        order = np.argsort((of.astype(np.uint64) << _U(64 - bits)) | np.minimum(count, (1 << (63 - bits)) - 1).astype(np.uint64), kind="stable")  # hashes are in order already
+        pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        keep = pos < np.repeat(size - -(-size * percent // 100) + 1, size)
+        order, of, pos = order[keep], of[keep], pos[keep]
+        parts = np.maximum(count[order] - mean, 0) // HOT + 1
+        h, owner = h[order], s1[of]
+        cell = K.mix(owner, 9) % parts.astype(np.uint64)
+        group = (K.mix(h + cell, 12) % _U(groups)).astype(np.int32)
+        return group, h, owner, np.where(parts > 1, -1, 1) * ((size[of] << 32) | pos)
+
+    def packing(held: list):
+        group, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        at = np.flatnonzero(np.diff(group, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(group[at]), *(K.packed(c[order], np.diff(np.append(at, len(group)))) for c in columns)], ["group", "token", "s1", "np"])
 
     def run(batches):
+        held, n = [], 0
         for b in K.slices(batches, "text"):
-            x = Lines(b.column("text"), width)
-            s1 = x.identity(21)
-            _, one = np.unique(s1, return_index=True)  # copies of a line in this slice count once
-            of = np.repeat(np.arange(len(x.size)), x.size)
-            first = np.zeros(len(x.size), bool)
-            first[one] = True
-            use = np.flatnonzero(first[of])
-            of, h = of[use], x.hash[use]
-            count = shared.value[(h % _U(BUCKETS)).astype(np.int64)]
-            order = np.lexsort((h, count, of))
-            of, h, count = of[order], h[order], count[order]
-            begin = np.searchsorted(of, of)
-            pos = np.arange(len(of)) - begin
-            keep = pos < (x.size - -(-x.size * percent // 100) + 1)[of]
-            of, h, pos, count = of[keep], h[keep], pos[keep], count[keep]
-            parts = count // HOT + 1
-            cell = (K.mix(s1[of], 9) % parts.astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([K.signed(h), pa.array(cell), K.signed(s1[of]), pa.array((x.size[of] << 32) | pos), pa.array(parts > 1)], ["token", "cell", "s1", "np", "hot"])
+            held.append(chosen(b))
+            n += len(held[-1][0])
+            if n >= _HELD:
+                yield packing(held)
+                held, n = [], 0
+        if n:
+            yield packing(held)
 
     return run
 
 
-def _grouped(batches):
-    """Of rows sorted by token, cell and class: one for each class of a token that has several, or is split over cells."""
-    held, wanted = None, False
-    names = ["token", "s1", "np"]
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        w, c, s = (t.column(x).to_numpy() for x in ("token", "cell", "s1"))
-        group = (w[1:] == w[:-1]) & (c[1:] == c[:-1])
-        copy = group & (s[1:] == s[:-1])
-        new = np.concatenate([[True], ~copy])
-        t, w, c = t.filter(pa.array(new)), w[new], c[new]
-        group = (w[1:] == w[:-1]) & (c[1:] == c[:-1])
-        keep = np.concatenate([[wanted], group]) | np.concatenate([group, [False]]) | t.column("hot").to_numpy()
-        done = t.num_rows - 1  # the last row waits for what follows
-        yield from t.slice(0, done).filter(pa.array(keep[:done])).select(names).to_batches()
-        held, wanted = t.slice(done), bool(keep[done])
-    if held is not None and wanted:
-        yield from held.select(names).to_batches()
+def _grouped(table: pa.Table) -> pa.Table:
+    """Of a group's tokens: a row for each class of a token that has several, or is split over groups."""
+    token, s1, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("token", "s1", "np"))
+
+    def shared(order):
+        t = token[order]
+        same = t[1:] == t[:-1]
+        return order[np.append(False, same) | np.append(same, False) | (size[order] < 0)]
+
+    some = shared(np.argsort(token))
+    some = some[np.lexsort((s1[some], token[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = (token[some][1:] != token[some][:-1]) | (s1[some][1:] != s1[some][:-1])
+    some = shared(some[new])
+    return pa.table({"token": token[some], "s1": s1[some], "np": np.abs(size[some])})
 
 
 def _sets(width: int):
@@ -174,16 +187,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
     read = written(docs.mapInArrow(_reading(width), "doc_id long, line long, s1 long, s2 long, cell long, n binary"), "lines")
     cells = read.where("cell is not null").select("cell", "n").groupBy("cell").applyInArrow(_summing, "cell long, n binary").orderBy("cell").collect()  # a table of fixed size
-    shared = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r["n"], np.int64) for r in cells]) if cells else np.zeros(BUCKETS, np.int64))
+    counts = np.concatenate([np.frombuffer(r["n"], np.int64) for r in cells]) if cells else np.zeros(BUCKETS, np.int64)
+    shared = spark.sparkContext.broadcast((counts, int(counts.sum()) // BUCKETS))
+    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) * (100 - percent) // 100 // _HELD)
     ids = read.where("doc_id is not null").select("doc_id", "line", "s1", "s2")
     place = F.struct("doc_id", "line")
     lead = ids.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"))
     lead = written(lead.where("n > 1").select("s1", "s2", "f"), "leads")  # so that the join can split a hot line
     copies = ids.join(lead, ["s1", "s2"]).where("doc_id <> f.doc_id or line <> f.line").select("doc_id", "line")
 
-    rows = docs.mapInArrow(_prefixes(percent, width, shared), "token long, cell int, s1 long, np long, hot boolean")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = written(rows.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "s1").mapInArrow(_grouped, "token long, s1 long, np long"), "prefixes")
+    rows = docs.mapInArrow(_prefixes(percent, width, shared, groups), "group int, token binary, s1 binary, np binary")
+    bucket = written(rows.groupBy("group").applyInArrow(_grouped, "token long, s1 long, np long"), "prefixes")
     first = written(ids.join(bucket.select("s1").distinct(), "s1", "left_semi").groupBy("s1").agg(F.min(place).alias("f")), "firsts")
     bucket = bucket.join(first, "s1").select("token", "s1", "f", F.shiftright("np", 32).alias("n"), F.expr("np & 4294967295").alias("p")).distinct()
 
