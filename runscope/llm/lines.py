@@ -16,7 +16,8 @@ it, whether or not that line goes itself.
    token's first class; then, only if it did not go, with all earlier ones. Sizes
    must allow the similarity (length filter), and so must what follows the shared
    token in both (positional filter).
-4. *Verification.* Full token sets of the classes in question are compared.
+4. *Verification.* Full token sets of the classes in question are compared. A bitmap of
+   fixed size tells each task which lines' sets to send; a line too many does no harm.
 
 Tokens and classes are 64-bit hashes (128 bits for copies). Null texts and rows with
 null ids have no lines that count; repeated rows with one doc_id are that document
@@ -36,6 +37,8 @@ from .shared import small_batches, texts, written
 
 PERCENT, WIDTH, BUCKETS, HOT = 75, 5, 1 << 18, 1 << 20
 _CELL, _HELD = 4096, 1 << 20
+_PACKED = ["group", "token", "s1", "size", "pos", "hot", "wide"]  # wide: size and place of lines of 255 tokens or more
+BITS, _BYTES = 1 << 27, 1 << 13
 _U = np.uint64
 
 
@@ -93,7 +96,7 @@ def _summing(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(percent: int, width: int, shared, groups: int):
-    """Per group of tokens, packed: token, class, and size and place in the order (negative: the token is hot) of the rarest tokens of each class."""
+    """Per group of tokens, packed: the rarest tokens of each class, their class, its size, the place in the order, and if the token is hot."""
 
     def chosen(b: pa.RecordBatch):
         counts, mean = shared.value
@@ -113,14 +116,20 @@ def _prefixes(percent: int, width: int, shared, groups: int):
         h, owner = h[order], s1[of]
         cell = K.mix(owner, 9) % parts.astype(np.uint64)
         group = (K.mix(h + cell, 12) % _U(groups)).astype(np.int32)
-        return group, h, owner, np.where(parts > 1, -1, 1) * ((size[of] << 32) | pos)
+        return group, h, owner, size[of], pos, parts > 1
 
     def packing(held: list):
         group, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(group, kind="stable")
         group = group[order]
         at = np.flatnonzero(np.diff(group, prepend=-1))
-        return pa.RecordBatch.from_arrays([pa.array(group[at]), *(K.packed(c[order], np.diff(np.append(at, len(group)))) for c in columns)], ["group", "token", "s1", "np"])
+        token, s1, size, pos, hot = (c[order] for c in columns)
+        long = size >= 255
+        small = [np.where(long, 255, size).astype(np.uint8), np.where(long, 255, pos).astype(np.uint8), hot]
+        n = np.diff(np.append(at, len(group)))
+        wide = (size[long] << 32) | pos[long]
+        packed = [*(K.packed(c, n) for c in (token, s1, *small)), K.packed(wide, np.add.reduceat(long.astype(np.int64), at))]
+        return pa.RecordBatch.from_arrays([pa.array(group[at]), *packed], _PACKED)
 
     def run(batches):
         held, n = [], 0
@@ -138,29 +147,57 @@ def _prefixes(percent: int, width: int, shared, groups: int):
 
 def _grouped(table: pa.Table) -> pa.Table:
     """Of a group's tokens: a row for each class of a token that has several, or is split over groups."""
-    token, s1, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("token", "s1", "np"))
+    token, s1, size, pos, hot, wide = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in zip(_PACKED[1:], (np.int64, np.int64, np.uint8, np.uint8, bool, np.int64), strict=True))
+    place = (size.astype(np.int64) << 32) | pos
+    place[size == 255] = wide
 
     def shared(order):
         t = token[order]
         same = t[1:] == t[:-1]
-        return order[np.append(False, same) | np.append(same, False) | (size[order] < 0)]
+        return order[np.append(False, same) | np.append(same, False) | hot[order]]
 
     some = shared(np.argsort(token))
     some = some[np.lexsort((s1[some], token[some]))]
     new = np.ones(len(some), bool)
     new[1:] = (token[some][1:] != token[some][:-1]) | (s1[some][1:] != s1[some][:-1])
     some = shared(some[new])
-    return pa.table({"token": token[some], "s1": s1[some], "np": np.abs(size[some])})
+    return pa.table({"token": token[some], "s1": s1[some], "np": place[some]})
 
 
-def _sets(width: int):
+def _bit(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(doc_id.astype(np.int64).view(np.uint64), 31) + line.astype(np.uint64), 32) % _U(BITS)
+
+
+def _bits(batches):
+    for b in batches:
+        bit = _bit(b.column("doc_id").to_numpy(), b.column("line").to_numpy()).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * _BYTES)), pa.array(bit % (8 * _BYTES))], ["cell", "bit"])
+
+
+def _bitmap(table: pa.Table) -> pa.Table:
+    on = np.zeros(8 * _BYTES, bool)
+    on[table.column("bit").to_numpy()] = True
+    return pa.table({"cell": [table.column("cell")[0].as_py()], "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+
+def _marked(lines: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size by hash of the lines (doc_id, line): every one is in it, others may be."""
+    out = np.zeros((BITS // 8 // _BYTES, _BYTES), np.uint8)
+    cells = lines.mapInArrow(_bits, "cell long, bit long").distinct().groupBy("cell").applyInArrow(_bitmap, "cell long, bits binary")
+    for r in cells.collect():  # a table of fixed size
+        out[r["cell"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _sets(width: int, shared):
+    """(s1, tokens) of the lines in the bitmap."""
+
     def run(batches):
         for b in K.slices(batches, "text"):
             x = Lines(b.column("text"), width)
-            want = [set(v) for v in b.column("lines").to_pylist()]
-            ok = np.array([p in want[t] for p, t in zip(x.place.tolist(), x.text.tolist(), strict=True)], bool)
-            of = np.repeat(np.arange(len(x.size)), x.size)
-            yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), K.packed(x.hash[ok[of]], x.size[ok])], ["s1", "tokens"])
+            bit = _bit(b.column("doc_id").to_numpy()[x.text], x.place)
+            ok = (shared.value[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), K.packed(x.hash[np.repeat(ok, x.size)], x.size[ok])], ["s1", "tokens"])
 
     return run
 
@@ -196,7 +233,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lead = written(lead.where("n > 1").select("s1", "s2", "f"), "leads")  # so that the join can split a hot line
     copies = ids.join(lead, ["s1", "s2"]).where("doc_id <> f.doc_id or line <> f.line").select("doc_id", "line")
 
-    rows = docs.mapInArrow(_prefixes(percent, width, shared, groups), "group int, token binary, s1 binary, np binary")
+    rows = docs.mapInArrow(_prefixes(percent, width, shared, groups), "group int, " + ", ".join(f"{c} binary" for c in _PACKED[1:]))
     bucket = written(rows.groupBy("group").applyInArrow(_grouped, "token long, s1 long, np long"), "prefixes")
     first = written(ids.join(bucket.select("s1").distinct(), "s1", "left_semi").groupBy("s1").agg(F.min(place).alias("f")), "firsts")
     bucket = bucket.join(first, "s1").select("token", "s1", "f", F.shiftright("np", 32).alias("n"), F.expr("np & 4294967295").alias("p")).distinct()
@@ -207,10 +244,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fits = F.expr(f"fb < f and 100 * least(n, m) >= {percent} * greatest(n, m) and least(n - p, m - q) >= {need}")
     head = other.groupBy("token").agg(F.min(F.struct("fb", "b", "m", "q")).alias("h")).select("token", "h.*")
     best = mine.join(head, "token").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s")).groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("b"))
-    nodes = first.select("f.*").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    sets = written(docs.join(nodes, "doc_id").mapInArrow(_sets(width), "s1 long, tokens binary").dropDuplicates(["s1"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
+        wanted = spark.sparkContext.broadcast(_marked(first.join(ends, "s1", "left_semi").select("f.*")))
+        sets = docs.mapInArrow(_sets(width, wanted), "s1 long, tokens binary")
+        sets = written(sets.join(ends, "s1", "left_semi").dropDuplicates(["s1"]), "sets")
         side = lambda i: sets.select(F.col("s1").alias(i), F.col("tokens").alias(f"t{i}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "ta", "tb").mapInArrow(_confirm(percent), "a long").distinct()
 
