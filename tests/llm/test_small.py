@@ -195,6 +195,23 @@ def test_line_duplicates(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()}[2] == "short"
 
 
+def test_long_lines_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    w = [f"v{i}" for i in range(5000)]
+    rows = []
+    for i in range(6):
+        base = list(rng.choice(w, 400 if i % 2 else 30))
+        near = list(base)
+        near[int(rng.integers(len(base)))] = "other"
+        far = [x if k % 9 else "far" for k, x in enumerate(base)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far) + "\n" + " ".join(base))]
+    sets = [(i, k, {tuple(x[j : j + 5]) for j in range(len(x) - 4)}) for i, t in rows for k, x in enumerate(y.split(" ") for y in t.split("\n"))]
+    want = {b[:2] for a, b in itertools.combinations(sets, 2) if 100 * len(a[2] & b[2]) >= 75 * len(a[2] | b[2])}
+    got = lines.line_duplicates(spark.createDataFrame([*rows, (2, rows[2][1])], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want
+    assert any(len(s) > 255 for _, _, s in sets)
+
+
 def test_contamination_in_blocks_is_the_same(spark, docs):
     items = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join((made()[k] or "").split()[:14]) for k in (0, 1, 2, 7)] + ["one two", None, ""])], "item_id long, text string")
     key = lambda d: sorted(map(str, d.collect()))
