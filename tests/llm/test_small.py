@@ -231,3 +231,14 @@ def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (minhash.near_duplicates(empty), packing.pack(empty), sentences.repeats(empty), suffixes.repeated_passages(empty), lines.line_duplicates(empty), lines.without_lines(empty), decontaminate.contamination(empty, items), quality.importance_sample(empty, labels), toxicity.toxicity(empty, labels), topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")), chat.reply_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))):
         assert df.count() == 0
+
+
+def test_line_stage_works_on_words(spark):
+    from corpus_pipeline import STAGES
+
+    x = [f"word{i}" for i in range(20)]
+    near = " ".join(w if i != 10 else "changed" for i, w in enumerate(x))
+    rows = [(1, " ".join(x) + "\nsee below\na b c\n\nalone"), (2, near + "\nsee below\na b c d\n\na b e\nother"), (3, "see\nSee below!\nalone"), (None, "alone")]
+    got = dict(STAGES)["lines"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\na b e\nother", 3: "see", None: "alone"}
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
