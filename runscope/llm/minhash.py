@@ -200,3 +200,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_links = written(links.unionByName(more), "links")
     comp = components(all_links)
     return member.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row, with all columns, of each group of near duplicates: that of the smallest doc_id, null ids last.
+
+    Rows are keyed by a 64-bit hash of id and text, so rows with null ids take part and
+    rows with one doc_id but different texts are documents of their own. Of rows that are
+    equal in id and text one stays, whatever their other columns hold. Texts without words
+    have no group; all their rows stay.
+    """
+    both = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    keyed = docs.select("*", F.xxhash64(*both).alias("__key"))
+    rows = keyed.select("__key", both[0].alias("id")).groupBy("__key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), both[1].alias("text")), **options)
+    group = found.select(F.col("doc_id").alias("__key"), "component_id", "n_shingles").distinct().join(rows, "__key")
+    first = group.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key", "n", "n_shingles")).alias("f"))
+    first = written(first.select("f.__key", F.expr("f.n > 1 and f.n_shingles > 0").alias("__many")), "kept")
+    once = keyed.join(first.where("not __many"), "__key", "left_semi")
+    many = keyed.join(first.where("__many"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(many).select(*docs.columns)

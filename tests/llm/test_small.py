@@ -242,3 +242,14 @@ def test_line_stage_works_on_words(spark):
     got = dict(STAGES)["lines"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\na b e\nother", 3: "see", None: "alone"}
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_near_duplicate_stage_works_on_rows(spark):
+    from corpus_pipeline import STAGES
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "pqrs")
+    rows = [(2, a), (2, a), (1, a + " end"), (None, a), (None, b), (None, b), (3, c), (3, d), (3, d), (5, c + " end"), (7, ""), (7, ""), (None, None), (8, "two words"), (9, "two words")]
+    got = dict(STAGES)["near_duplicates"](spark, spark.createDataFrame([(*x, "r") for x in rows], "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    want = [(1, a + " end"), (None, b), (3, c), (3, d), (7, ""), (7, ""), (None, None), (8, "two words")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, want))
