@@ -17,6 +17,8 @@ beyond one block is matched block by block; each pass adds to the spans and item
 that a row carries, so there is no shuffle of documents either way.
 
 Null and empty texts have no words and no hits; null item texts have no windows.
+Items with null ids hit like others; n_items counts all of them as one, and neither
+items nor items_sha256 names it.
 Repeated rows give repeated results. An empty table of documents gives no rows;
 an empty benchmark gives rows without hits. Other columns are not looked at. An
 item longer than a block is a block of its own.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import small_batches
+from .shared import small_batches, texts
 
 WIDTH, BLOCK_WORDS = 10, 2_000_000
 _CHUNK = 1 << 20
@@ -133,7 +135,7 @@ def _matching(shared, counts, width, last):
             cover = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(cover, s, 1)
             np.add.at(cover, s + index.length[win], -1)
-            items = [set(x) for x in b.column("items").to_pylist()]
+            items = [set(x) for x in b.column("items").to_pylist()]  # None stands for the items with null ids
             for d, i in np.unique(np.stack([doc, index.item[win]]), axis=1).T.tolist():
                 items[d].add(index.items[i])
             for d, x in enumerate(b.column("spans").to_pylist()):  # what earlier blocks have found
@@ -142,39 +144,49 @@ def _matching(shared, counts, width, last):
                     cover[hi] -= 1
             hit = np.cumsum(cover[:-1]) > 0
             n_hit = np.bincount(w.owner()[hit], minlength=b.num_rows)
-            ordered = [sorted(x) for x in items]
+            ordered = [sorted(x - {None}) for x in items]
+            carried = [c for c in b.schema.names if c not in ("doc_id", "text", "spans", "items")]
             if last:
                 sha = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else nothing for x in ordered]
-                cols = [b.column("doc_id"), pa.array(w.counts), pa.array(n_hit), pa.array([len(x) for x in ordered], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(ordered, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+                cols = [b.column("doc_id"), pa.array(w.counts), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(ordered, pa.list_(pa.string()))]
+                if carried:
+                    cols += [b.column(c) for c in ("text", *carried)]
+                    carried = ["text", *carried]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *carried])
                 continue
             spans = []
             for d in range(b.num_rows):
                 x = np.diff(np.concatenate([[0], hit[w.at[d] : w.at[d + 1]].astype(np.int8), [0]]))
                 spans.append(np.stack([np.flatnonzero(x > 0), np.flatnonzero(x < 0)], axis=1).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(spans, pa.binary()), pa.array(ordered, pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(spans, pa.binary()), pa.array([list(x) for x in items], pa.list_(pa.string())), *(b.column(c) for c in carried)], ["doc_id", "text", "spans", "items", *carried])
 
     return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted as strings) for every row of docs."""
+    return _judged(texts(docs, id_col, text_col), benchmark, item_col, item_text_col, width, block_words)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """As contamination, for doc_id and text; columns besides these two are carried along, and the text with them."""
     spark = docs.sparkSession
     small_batches(spark)
     sc = spark.sparkContext
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null").mapInArrow(_item_words, "item string, n long, words binary").where("n > 0")
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(_item_words, "item string, n long, words binary").where("n > 0")
     total = items.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(total / block_words))
     out = docs.withColumns({"spans": F.lit(b"").cast("binary"), "items": F.array().cast("array<string>")})
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = sc.broadcast([(r["item"], bytes(r["words"])) for r in block.select("item", "words").collect()])
         seen = docs.select("text").mapInArrow(_counting(shared, width), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counts = sc.broadcast({r["word"]: r["n"] for r in seen.collect()})
         last = k == blocks - 1
-        schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>" if last else "doc_id long, text string, spans binary, items array<string>"
-        out = out.mapInArrow(_matching(shared, counts, width, last), schema)
+        schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>" + (", text string" if carried else "") if last else "doc_id long, text string, spans binary, items array<string>"
+        out = out.mapInArrow(_matching(shared, counts, width, last), schema + more)
     return out
 
 
@@ -196,6 +208,7 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all columns, whose id has no row in which a benchmark window occurs."""
-    dirty = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, docs[id_col].cast("long") == F.col("__dirty"), "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of docs, with all columns, in which no benchmark window occurs; each row is judged by its own text, whatever its id."""
+    row = F.struct(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(c) for c in docs.columns]).alias("row")
+    judged = _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row), benchmark, **options)
+    return judged.where("not contaminated").select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -253,3 +254,19 @@ def test_near_duplicate_stage_works_on_rows(spark):
     assert got.columns == ["doc_id", "text", "source"]
     want = [(1, a + " end"), (None, b), (3, c), (3, d), (7, ""), (7, ""), (None, None), (8, "two words")]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_contamination_with_null_ids(spark):
+    from corpus_pipeline import STAGES
+
+    leak, other, clean = (" ".join(f"{x}{i}" for i in range(15)) for x in "xyz")
+    items = spark.createDataFrame([(None, leak), (None, other), (4, leak)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "so " + other, "a"), (1, clean, "b"), (None, leak, "c"), (None, clean, "d"), (2, leak + " " + other, "e"), (3, None, "f")], "doc_id long, text string, source string")
+    for size in (20, decontaminate.BLOCK_WORDS):
+        got = decontaminate.contamination(d, items, block_words=size).collect()
+        assert [(r["n_hit"], r["n_items"], r["items"]) for r in got] == [(15, 1, []), (0, 0, []), (15, 2, ["4"]), (0, 0, []), (30, 2, ["4"]), (0, 0, [])]
+        kept = decontaminate.clean_documents(d, items, block_words=size)
+        assert kept.schema.simpleString() == d.schema.simpleString()
+        assert sorted(r["source"] for r in kept.collect()) == ["b", "d", "f"]
+    items.write.parquet(f"{(where := tempfile.mkdtemp())}/benchmark.parquet")
+    assert sorted(r["source"] for r in dict(STAGES)["decontaminate"](spark, d, where).collect()) == ["b", "d", "f"]
