@@ -270,3 +270,18 @@ def test_contamination_with_null_ids(spark):
         assert sorted(r["source"] for r in kept.collect()) == ["b", "d", "f"]
     items.write.parquet(f"{(where := tempfile.mkdtemp())}/benchmark.parquet")
     assert sorted(r["source"] for r in dict(STAGES)["decontaminate"](spark, d, where).collect()) == ["b", "d", "f"]
+
+
+def test_passages_of_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, [w if rng.random() > 0.05 else f"v{rng.integers(10**9)}" for w in base]) for i in range(150)]
+    where = {}
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    want = {(i, k + j) for x in where.values() if len(x) > 1 for i, k in x for j in range(50)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in [*rows, rows[0]]], "doc_id long, text string")
+    got = suffixes.repeated_passages(d).collect()
+    assert {(r["doc_id"], k) for r in got for k in range(r["start_word"], r["end_word"])} == want
+    assert all(r["other_doc_id"] != r["doc_id"] for r in got)
