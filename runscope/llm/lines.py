@@ -1,27 +1,31 @@
 """Line de-duplication by an exact set-similarity join.
 
-A line's tokens are its distinct runs of `width` words (digits, letters, non-ASCII;
-A-Z in lower case); a line of fewer words is left alone. A line goes if an earlier
-line (by doc_id, then place) has Jaccard similarity of at least `percent` / 100 with
-it, whether or not that line goes itself.
+A line's tokens are its distinct words (digits, letters, non-ASCII; A-Z in lower case),
+or with width > 1 its distinct runs of so many words, a line of fewer words being one
+token. A line goes if an earlier line (by doc_id, then place) has Jaccard similarity of
+at least `percent` / 100 with it, whether or not that line goes itself.
 
 1. *Copies.* Lines with equal token sets are one class; all but its first line go.
-2. *Prefix filter.* Tokens are ordered by rarity: exact counts of hashed tokens over
-   all documents (ties by hash, so that the order is total and no pair is lost). Two
-   similar sets share a token among the first n - ceil(n * percent / 100) + 1 of each.
-   Those tokens are sent once a class and slice of a task, so copies don't add up, and
-   packed by groups of tokens, whose number follows the count of all tokens. A token
-   that is very frequent (above the mean of its hash bucket) is split by a hash of the class.
-3. *Candidates.* Of tokens with several classes, a class is compared with the
-   token's first class; then, only if it did not go, with all earlier ones. Sizes
-   must allow the similarity (length filter), and so must what follows the shared
-   token in both (positional filter).
-4. *Verification.* Full token sets of the classes in question are compared. A bitmap of
-   fixed size tells each task which lines' sets to send; a line too many does no harm.
-
-Tokens and classes are 64-bit hashes (128 bits for copies). Null texts and rows with
-null ids have no lines that count; repeated rows with one doc_id are that document
-again. An empty table gives no rows. Lines may be of any length. Other columns are
+2. *Prefix filter.* Tokens are ordered by rarity: counts by hash over all documents (ties
+   by hash, so that the order is total and no pair is lost). Two similar sets share a
+   token among the first n - ceil(n * percent / 100) + 1 of each. A token with a count
+   above `HOT` would join too many lines; there the key is a pair of tokens, since similar
+   sets share two within one token more (lines of more than `LONG` tokens keep single
+   tokens, among themselves). Keys go once a class and slice of a task, packed by groups
+   of keys, whose number follows the count of all tokens.
+3. *Candidates.* Classes that share a key are candidates if their sizes allow the
+   similarity (length filter), if what follows the shared token in both does (positional
+   filter), and if the parities of 128 hashed token counts do: each differing bit is a token
+   that only one of the two has. Up to `KEPT` earlier classes are kept a key and class, and
+   under a key with very many classes only the first one that a class is similar to by these
+   filters; a mark tells where more may exist.
+4. *Verification.* Full token sets of the classes in question are compared. Marked classes
+   of which no candidate was confirmed then meet all earlier classes of those keys. A bitmap
+   of fixed size tells each task which lines' sets to send; a line too many does no harm.
+
+Tokens and classes are 64-bit hashes (128 bits for copies). Null texts, lines without words
+and rows with null ids have no lines that count; repeated rows with one doc_id are that
+document again. An empty table gives no rows. Lines may be of any length. Other columns are
 passed through by `without_lines`.
 """
 
@@ -35,9 +39,9 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .shared import small_batches, texts, written
 
-PERCENT, WIDTH, BUCKETS, HOT = 75, 5, 1 << 18, 1 << 20
-_CELL, _HELD = 4096, 1 << 20
-_PACKED = ["group", "token", "s1", "size", "pos", "hot", "wide"]  # wide: size and place of lines of 255 tokens or more
+PERCENT, WIDTH, BUCKETS = 75, 1, 1 << 22
+HOT, LONG, SPLIT, KEPT, MANY = 1 << 12, 128, 1 << 20, 8, 512
+_CELL, _HELD, _CHUNK = 1 << 12, 1 << 19, 1 << 19
 BITS, _BYTES = 1 << 27, 1 << 13
 _U = np.uint64
 
@@ -51,29 +55,49 @@ class Lines:
         breaks = np.concatenate([[0], np.cumsum(d == 10)]) if len(d) else np.zeros(1, np.int64)
         first = breaks[w.text_at[:-1]] + np.arange(len(column))  # number of each text's first line among all lines
         line = breaks[w.start] + w.owner()
-        g = K.runs(w.hash, width)
-        ok = line[: len(g)] == line[len(line) - len(g) :]
-        line, h = line[: len(g)][ok], g[ok]
-        bits = max(1, int(line[-1]).bit_length()) if len(line) else 1
-        order = np.argsort((line.astype(np.uint64) << _U(64 - bits)) | (h >> _U(bits)))
+        h = w.hash
+        if width > 1:
+            g = K.runs(h, width)
+            ok = line[: len(g)] == line[len(line) - len(g) :]
+            begin = np.flatnonzero(np.diff(line, prepend=-1))
+            n = np.diff(np.append(begin, len(line)))
+            few = n < width
+            part = np.repeat(few, n)
+            whole = K.mix(K.mix(h[part], 5) * (_U(2) * _rank(n[few]).astype(_U) + _U(3)), 6)
+            whole = np.add.reduceat(whole, np.cumsum(n[few]) - n[few]) if few.any() else whole
+            line, h = np.concatenate([line[: len(g)][ok], line[begin[few]]]), np.concatenate([g[ok], whole])
+        bits = max(1, int(line.max()).bit_length()) if len(line) else 1
+        order = np.argsort((line.astype(_U) << _U(64 - bits)) | (h >> _U(bits)))
         line, h = line[order], h[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
         line, self.hash = line[new], h[new]
-        begin = np.ones(len(line), bool)
-        begin[1:] = line[1:] != line[:-1]
-        self.at = np.append(np.flatnonzero(begin), len(line))
+        self.at = np.append(np.flatnonzero(np.diff(line, prepend=-1)), len(line))
         which = line[self.at[:-1]]
         self.text = np.searchsorted(first, which, "right") - 1
         self.place = which - first[self.text]
         self.size = np.diff(self.at)
 
+    def summed(self, values: np.ndarray, how=np.add) -> np.ndarray:
+        return how.reduceat(values, self.at[:-1]) if len(self.hash) else np.zeros(0, _U)
+
     def identity(self, salt: int) -> np.ndarray:
-        return np.add.reduceat(K.mix(self.hash, salt), self.at[:-1]) if len(self.hash) else np.zeros(0, np.uint64)
+        return self.summed(K.mix(self.hash, salt))
+
+    def parities(self) -> list[np.ndarray]:
+        """128 bits: of how many tokens a hash to it the parity."""
+        bit = _U(1) << (self.hash & _U(63))
+        high = (self.hash >> _U(6)) & _U(1) == 1
+        return [self.summed(np.where(high, _U(0), bit), np.bitwise_xor), self.summed(np.where(high, bit, _U(0)), np.bitwise_xor)]
+
+
+def _rank(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each stretch of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _reading(width: int):
-    """A row for each line (its identity), and at a task's end the counts of its tokens by hash bucket."""
+    """A row for each line (its identity), and at a task's end the counts of its tokens by hash bucket, where not 0."""
 
     def run(batches):
         seen = np.zeros(BUCKETS, np.int64)
@@ -82,54 +106,134 @@ def _reading(width: int):
             x = Lines(b.column("text"), width)
             seen += np.bincount((x.hash % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             k = len(x.size)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column("doc_id").to_numpy()[x.text]), pa.array(x.place), K.signed(x.identity(21)), K.signed(x.identity(22)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
-        k = BUCKETS // _CELL
-        null = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(np.arange(k)), pa.array([c.tobytes() for c in seen.reshape(-1, _CELL)], pa.binary())], names)
+            doc = pa.array(b.column("doc_id").to_numpy()[x.text])
+            none = pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
+            yield pa.RecordBatch.from_arrays([doc, pa.array(x.place), K.signed(x.identity(21)), K.signed(x.identity(22)), *none], names)
+        some = np.flatnonzero(seen)
+        pairs = np.stack([some % _CELL, seen[some]], axis=1)
+        cell, at = np.unique(some // _CELL, return_index=True)
+        null = pa.nulls(len(cell), pa.int64())
+        packed = K.packed(pairs.ravel(), 2 * np.diff(np.append(at, len(some))))
+        yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(cell), packed], names)
 
     return run
 
 
 def _summing(table: pa.Table) -> pa.Table:
-    n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64).reshape(-1, _CELL).sum(axis=0)
+    n = np.zeros(_CELL, np.int64)
+    for x in table.column("n"):
+        at, count = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2).T
+        n[at] += count
     return pa.table({"cell": [table.column("cell")[0].as_py()], "n": pa.array([n.tobytes()], pa.binary())})
 
 
-def _prefixes(percent: int, width: int, shared, groups: int):
-    """Per group of tokens, packed: the rarest tokens of each class, their class, its size, the place in the order, and if the token is hot."""
+def _bit(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(doc_id.astype(np.int64).view(_U), 31) + line.astype(_U), 32) % _U(BITS)
+
+
+def _in(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _bits(batches):
+    for b in batches:
+        bit = _bit(b.column("doc_id").to_numpy(), b.column("line").to_numpy()).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * _BYTES)), pa.array(bit % (8 * _BYTES))], ["cell", "bit"])
+
+
+def _bitmap(table: pa.Table) -> pa.Table:
+    on = np.zeros(8 * _BYTES, bool)
+    on[table.column("bit").to_numpy()] = True
+    bits = np.packbits(on, bitorder="little").tobytes()
+    return pa.table({"cell": [table.column("cell")[0].as_py()], "bits": pa.array([bits], pa.binary())})
+
+
+def _marked(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size by hash of the rows (doc_id, line): every one is in it, others may be."""
+    out = np.zeros((BITS // 8 // _BYTES, _BYTES), np.uint8)
+    cells = pairs.mapInArrow(_bits, "cell long, bit long").distinct().groupBy("cell").applyInArrow(_bitmap, "cell long, bits binary")
+    for r in cells.collect():  # a table of fixed size
+        out[r["cell"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+class Keys:
+    """The keys of the lines of a slice: hash, line, place of its first token in the line's order, parts."""
+
+    def __init__(self, x: Lines, some: np.ndarray, counts: np.ndarray, mean: int, percent: int):
+        size = x.size[some]
+        h = x.hash[np.repeat(some, x.size)]
+        of, n = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
+        count = counts[(h % _U(BUCKETS)).astype(np.int64)].astype(np.int64)
+        bits = max(1, len(size).bit_length())
+        ranked = (of.astype(_U) << _U(64 - bits)) | np.minimum(count, (1 << (63 - bits)) - 1).astype(_U)
+        order = np.argsort(ranked, kind="stable")  # hashes are in order already
+        h, count, pos = h[order], count[order], _rank(size)
+        least = -(-n * percent // 100)
+        hot = (count > HOT) & (percent >= 67)  # there lines with partners share at least two tokens with them
+        single = (pos <= n - least) & (~hot | (n * 100 >= LONG * percent))
+        # pairs of tokens: the first is hot, the second is within one token more
+        mine, first, second = [np.flatnonzero(single & ~hot)], [], []
+        lone = np.flatnonzero(single & hot)
+        paired = hot & (n <= LONG) & (pos <= n - least + 1)
+        i = np.flatnonzero(paired & (pos <= n - least))
+        step = 1
+        while len(i):
+            i = i[i + step < len(h)]
+            i = i[paired[i + step] & (of[i + step] == of[i])]
+            first.append(i)
+            second.append(i + step)
+            step += 1
+        a = np.concatenate([*mine, lone, *first])
+        key = [K.mix(h[mine[0]], 12), K.mix(h[lone], 13)]
+        if first:
+            f, s = np.concatenate(first), np.concatenate(second)
+            key.append(K.mix(K.mix(h[f], 14) + h[s], 15))
+        self.key, self.line, self.pos = np.concatenate(key), of[a], pos[a]
+        parts = np.maximum(count[a] - 4 * mean, 0) // SPLIT + 1
+        self.parts = np.where(hot[a], parts, 1)
+        self.n = len(a)
+
+
+_NAMES = ["group", "key", "s1", "doc_id", "line", "size", "pos", "p1", "p2", "flag"]
+_TYPES = [np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32, _U, _U, np.uint8]
+_PART, _PROBE = 1, 2  # flags: only a part of the key's lines is in the group; a line to be compared with the group's lines
+
+
+def _sending(percent: int, width: int, shared, groups: int):
+    """Per group of keys, packed: key, class, its place, size, place of the token, parities and flags."""
 
     def chosen(b: pa.RecordBatch):
-        counts, mean = shared.value
+        counts, mean, wanted, probes = shared.value
         x = Lines(b.column("text"), width)
-        s1 = x.identity(21)
-        first = np.zeros(len(s1), bool)
-        first[np.unique(s1, return_index=True)[1]] = True  # copies of a line in this slice count once
-        h, size, s1 = x.hash[np.repeat(first, x.size)], x.size[first], s1[first]
-        of = np.repeat(np.arange(len(size)), size)
-        count = counts[(h % _U(BUCKETS)).astype(np.int64)]
-        bits = max(1, len(size).bit_length())
-        order = np.argsort((of.astype(np.uint64) << _U(64 - bits)) | np.minimum(count, (1 << (63 - bits)) - 1).astype(np.uint64), kind="stable")  # hashes are in order already
-        pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-        keep = pos < np.repeat(size - -(-size * percent // 100) + 1, size)
-        order, of, pos = order[keep], of[keep], pos[keep]
-        parts = np.maximum(count[order] - mean, 0) // HOT + 1
-        h, owner = h[order], s1[of]
-        cell = K.mix(owner, 9) % parts.astype(np.uint64)
-        group = (K.mix(h + cell, 12) % _U(groups)).astype(np.int32)
-        return group, h, owner, size[of], pos, parts > 1
+        s1, doc = x.identity(21), b.column("doc_id").to_numpy()[x.text]
+        order = np.lexsort((x.place, doc, s1))
+        some = np.zeros(len(s1), bool)
+        some[order[np.append(True, s1[order][1:] != s1[order][:-1])[: len(order)]]] = True  # copies count once: the first
+        some &= 100 * x.size >= percent * (x.size + 1)  # smaller sets are similar to their copies only
+        k = Keys(x, some, counts, mean, percent)
+        s1, doc, place, size, p1, p2 = (c[some][k.line] for c in (s1, doc, x.place, x.size, *x.parities()))
+        cell = (K.mix(s1, 9) % k.parts.astype(_U)).astype(np.int64)
+        flag = np.where(k.parts > 1, _PART, 0)
+        at = np.arange(k.n)
+        if wanted is not None:
+            at = at[_in(wanted, _bit((k.key >> _U(32)).astype(np.int64), np.zeros(k.n, np.int64)))]
+            again = at[_in(probes, _bit(doc[at], place[at]))]
+            n = k.parts[again]
+            cell, flag = np.concatenate([cell[at], _rank(n)]), np.concatenate([flag[at], np.full(int(n.sum()), _PROBE)])
+            at = np.concatenate([at, np.repeat(again, n)])
+        group = (K.mix(k.key[at] + cell.astype(_U), 16) % _U(groups)).astype(np.int32)
+        cols = (k.key[at] >> _U(32), s1[at].view(np.int64), doc[at], place[at], size[at], k.pos[at], p1[at], p2[at], flag)
+        return [group, *cols]
 
     def packing(held: list):
         group, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(group, kind="stable")
         group = group[order]
         at = np.flatnonzero(np.diff(group, prepend=-1))
-        token, s1, size, pos, hot = (c[order] for c in columns)
-        long = size >= 255
-        small = [np.where(long, 255, size).astype(np.uint8), np.where(long, 255, pos).astype(np.uint8), hot]
         n = np.diff(np.append(at, len(group)))
-        wide = (size[long] << 32) | pos[long]
-        packed = [*(K.packed(c, n) for c in (token, s1, *small)), K.packed(wide, np.add.reduceat(long.astype(np.int64), at))]
-        return pa.RecordBatch.from_arrays([pa.array(group[at]), *packed], _PACKED)
+        columns = [K.packed(c[order].astype(t), n) for c, t in zip(columns, _TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(group[at]), *columns], _NAMES)
 
     def run(batches):
         held, n = [], 0
@@ -145,48 +249,142 @@ def _prefixes(percent: int, width: int, shared, groups: int):
     return run
 
 
-def _grouped(table: pa.Table) -> pa.Table:
-    """Of a group's tokens: a row for each class of a token that has several, or is split over groups."""
-    token, s1, size, pos, hot, wide = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in zip(_PACKED[1:], (np.int64, np.int64, np.uint8, np.uint8, bool, np.int64), strict=True))
-    place = (size.astype(np.int64) << 32) | pos
-    place[size == 255] = wide
-
-    def shared(order):
-        t = token[order]
-        same = t[1:] == t[:-1]
-        return order[np.append(False, same) | np.append(same, False) | hot[order]]
-
-    some = shared(np.argsort(token))
-    some = some[np.lexsort((s1[some], token[some]))]
-    new = np.ones(len(some), bool)
-    new[1:] = (token[some][1:] != token[some][:-1]) | (s1[some][1:] != s1[some][:-1])
-    some = shared(some[new])
-    return pa.table({"token": token[some], "s1": s1[some], "np": place[some]})
-
-
-def _bit(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return K.mix(K.mix(doc_id.astype(np.int64).view(np.uint64), 31) + line.astype(np.uint64), 32) % _U(BITS)
-
-
-def _bits(batches):
-    for b in batches:
-        bit = _bit(b.column("doc_id").to_numpy(), b.column("line").to_numpy()).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * _BYTES)), pa.array(bit % (8 * _BYTES))], ["cell", "bit"])
-
+def _stretches(at: np.ndarray, n: np.ndarray):
+    """(left, right) index arrays, in chunks of bounded size: each at with the n places behind it."""
+    total = np.cumsum(n)
+    lo = 0
+    while lo < len(at):
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + _CHUNK, "right")))
+        left = np.repeat(at[lo:hi], n[lo:hi])
+        yield left, left + 1 + _rank(n[lo:hi])
+        lo = hi
+
+
+class Group:
+    """The lines of some keys, in order of key and size; pairs of them that pass the filters."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        cols = [read(c, t) for c, t in zip(_NAMES[1:], _TYPES, strict=True)]
+        key, s1, doc, line, size, _, _, _, flag = cols
+        order = np.argsort(key, kind="stable")
+        same = np.diff(key[order].astype(np.int64)) == 0
+        order = order[np.append(False, same) | np.append(same, False) | ((flag[order] & _PART) > 0)]
+        order = order[np.lexsort((line[order], doc[order], s1[order], flag[order] & _PROBE, key[order]))]
+        key, s1, probe = key[order], s1[order], flag[order] & _PROBE
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (s1[1:] != s1[:-1]) | (probe[1:] != probe[:-1])
+        order = order[new]
+        order = order[np.argsort((cols[0][order].astype(_U) << _U(32)) | size[order], kind="stable")]
+        self.key, self.s1, self.doc, self.line, self.size, pos, self.p1, self.p2, self.flag = (c[order] for c in cols)
+        self.size = self.size.astype(np.int64)
+        self.left = self.size - pos
+        self.rank = np.empty(len(order), np.int64)  # by place; copies of one place are equal in doc_id and line
+        self.rank[np.lexsort((self.line, self.doc))] = np.arange(len(order))
+        self.percent = percent
+
+    def fits(self, a, b) -> np.ndarray:
+        """Which pairs of a and b (lines; one of them may be a single one) the filters let be similar."""
+        a, b = np.broadcast_arrays(a, b)
+        n, m, p = self.size[a], self.size[b], self.percent
+        need = -(-p * (n + m) // (100 + p))
+        ok = (np.minimum(self.left[a], self.left[b]) >= need) & (100 * np.minimum(n, m) >= p * np.maximum(n, m))
+        at = np.flatnonzero(ok)
+        a, b = a[at], b[at]
+        apart = np.bitwise_count(self.p1[a] ^ self.p1[b]).astype(np.int64) + np.bitwise_count(self.p2[a] ^ self.p2[b])
+        return at[apart <= n[at] + m[at] - 2 * need[at]]
+
+    def first_candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """later, earlier (-1: none here) and if the later one may have more, under a key of its own or of all."""
+        begin = np.flatnonzero(np.diff(self.key.astype(np.int64), prepend=-1))
+        n = np.diff(np.append(begin, len(self.key)))
+        out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]]
+        small = np.repeat(n <= MANY, n)
+        here = np.flatnonzero(small)
+        both = (self.key.astype(_U) << _U(32)) | self.size.astype(_U)
+        top = (self.key.astype(_U) << _U(32)) | np.minimum(self.size * 100 // self.percent, 2**32 - 1).astype(_U)
+        upto = np.searchsorted(both, top[here], "right")
+        found = [np.zeros((2, 0), np.int64)]
+        for left, right in _stretches(here, upto - here - 1):
+            ok = self.fits(left, right)
+            left, right = left[ok], right[ok]
+            swap = self.rank[left] > self.rank[right]
+            found.append(np.stack([np.where(swap, left, right), np.where(swap, right, left)]))
+        later, earlier = np.concatenate(found, axis=1)
+        out.append(self._few(later, earlier))
+        for at, k in zip(begin[n > MANY], n[n > MANY], strict=True):
+            out += self._sweep(np.arange(at, at + k))
+        later, earlier, more = (np.concatenate(x) for x in zip(*out, strict=True))
+        part = np.flatnonzero(self.flag & _PART)
+        later, earlier = np.concatenate([later, part]), np.concatenate([earlier, np.full(len(part), -1)])
+        return later, earlier, np.concatenate([more, np.ones(len(part), bool)])
+
+    def _few(self, later, earlier) -> list[np.ndarray]:
+        """The first `KEPT` earlier ones of each."""
+        order = np.lexsort((self.rank[earlier], later))
+        later, earlier = later[order], earlier[order]
+        begin = np.flatnonzero(np.diff(later, prepend=-1))
+        n = np.diff(np.append(begin, len(later)))
+        keep = _rank(n) < KEPT
+        return [later[keep], earlier[keep], np.repeat(n > KEPT, n)[keep]]
+
+    def _sweep(self, at: np.ndarray) -> list:
+        """A key with very many lines: each goes to the first open line that it may be similar to; open ones are compared with all."""
+        at = at[np.argsort(self.rank[at])]
+        free, out, k = np.ones(len(at), bool), [], 0
+        while k < len(at):
+            ok = self.fits(int(at[k]), at)
+            before = ok[ok < k]
+            if len(before):
+                out.append(self._few(np.full(len(before), at[k]), at[before]))
+            behind = ok[ok > k]
+            behind = behind[free[behind]]
+            free[behind] = False
+            out.append([at[behind], np.full(len(behind), at[k]), np.ones(len(behind), bool)])
+            rest = np.flatnonzero(free[k + 1 :])
+            k = k + 1 + int(rest[0]) if len(rest) else len(at)
+        return out
+
+    def all_candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every pair of a probe and an earlier line of its key."""
+        begin = np.flatnonzero(np.diff(self.key.astype(np.int64), prepend=-1))
+        n = np.diff(np.append(begin, len(self.key)))
+        probe = (self.flag & _PROBE) > 0
+        found = [np.zeros((2, 0), np.int64)]
+        for at, k in zip(begin, n, strict=True):
+            base = np.arange(at, at + k)[~probe[at : at + k]]
+            for i in np.arange(at, at + k)[probe[at : at + k]]:
+                ok = base[self.fits(int(i), base)] if len(base) else base
+                ok = ok[(self.doc[ok] < self.doc[i]) | ((self.doc[ok] == self.doc[i]) & (self.line[ok] < self.line[i]))]
+                found.append(np.stack([np.full(len(ok), i), ok]))
+        later, earlier = np.concatenate(found, axis=1)
+        return later, earlier, np.zeros(len(later), bool)
+
+
+_PAIRS = "b long, b_doc long, b_line long, a long, a_doc long, a_line long, key long"
+
+
+def _comparing(percent: int, again: bool):
+    """Pairs (b later, a earlier) of one group; a key is given where b may have more partners under it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        g = Group(table, percent)
+        later, earlier, more = g.all_candidates() if again else g.first_candidates()
+        null = earlier < 0
+        order = np.lexsort((~more, g.s1[earlier], null, g.s1[later]))
+        later, earlier, more, null = later[order], earlier[order], more[order], null[order]
+        b, a = g.s1[later], g.s1[earlier]
+        one = np.ones(len(later), bool)  # a pair once, and for each key that it is marked under
+        one[1:] = (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (null[1:] != null[:-1])
+        one = (one | more) & (null | (a != b))
+        later, earlier, more, null = later[one], earlier[one], more[one], null[one]
+        side = lambda i: [g.s1[i], g.doc[i], g.line[i].astype(np.int64)]
+        cols = [pa.array(c) for c in side(later)] + [pa.array(c, mask=null) for c in side(earlier)]
+        cols.append(pa.array(g.key[later].astype(np.int64), mask=~more))
+        return pa.Table.from_arrays(cols, [x.split()[0] for x in _PAIRS.split(", ")])
 
-def _bitmap(table: pa.Table) -> pa.Table:
-    on = np.zeros(8 * _BYTES, bool)
-    on[table.column("bit").to_numpy()] = True
-    return pa.table({"cell": [table.column("cell")[0].as_py()], "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
-
-
-def _marked(lines: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size by hash of the lines (doc_id, line): every one is in it, others may be."""
-    out = np.zeros((BITS // 8 // _BYTES, _BYTES), np.uint8)
-    cells = lines.mapInArrow(_bits, "cell long, bit long").distinct().groupBy("cell").applyInArrow(_bitmap, "cell long, bits binary")
-    for r in cells.collect():  # a table of fixed size
-        out[r["cell"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+    return run
 
 
 def _sets(width: int, shared):
@@ -195,105 +393,122 @@ def _sets(width: int, shared):
     def run(batches):
         for b in K.slices(batches, "text"):
             x = Lines(b.column("text"), width)
-            bit = _bit(b.column("doc_id").to_numpy()[x.text], x.place)
-            ok = (shared.value[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), K.packed(x.hash[np.repeat(ok, x.size)], x.size[ok])], ["s1", "tokens"])
+            ok = _in(shared.value, _bit(b.column("doc_id").to_numpy()[x.text], x.place))
+            tokens = K.packed(x.hash[np.repeat(ok, x.size)], x.size[ok])
+            yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), tokens], ["s1", "tokens"])
 
     return run
 
 
-def _confirm(percent: int):
+def _similar(percent: int):
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
-                x, y = np.sort(np.frombuffer(x.as_buffer(), np.uint64)), np.sort(np.frombuffer(y.as_buffer(), np.uint64))
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a"]).filter(pa.array(keep, pa.bool_()))
+            n, m, both = K.overlaps(b.column("ta"), b.column("tb"))
+            yield b.select(["b"]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
     return run
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def _copies(ids: DataFrame) -> DataFrame:
+    """doc_id, line of all lines but the first of each class."""
+    s = ["s1", "s2"]
+    lead = ids.groupBy(*s).agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("n"))
+    lead = written(lead.where("n > 1").drop("n"), "leads")  # so that the join can split a hot line
+    places = written(ids.join(lead, s), "copies")
+    own = places.where("doc_id = d")
+    first = own.groupBy(*s).agg(F.min("line").alias("l"))
+    return places.where("doc_id <> d").select("doc_id", "line").unionByName(own.join(first, s).where("line <> l").select("doc_id", "line"))
+
+
+def removed_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH
+) -> DataFrame:
     """doc_id, line (from 0): the lines that go."""
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     small_batches(spark)
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
-    read = written(docs.mapInArrow(_reading(width), "doc_id long, line long, s1 long, s2 long, cell long, n binary"), "lines")
-    cells = read.where("cell is not null").select("cell", "n").groupBy("cell").applyInArrow(_summing, "cell long, n binary").orderBy("cell").collect()  # a table of fixed size
-    counts = np.concatenate([np.frombuffer(r["n"], np.int64) for r in cells]) if cells else np.zeros(BUCKETS, np.int64)
-    shared = spark.sparkContext.broadcast((counts, int(counts.sum()) // BUCKETS))
-    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) * (100 - percent) // 100 // _HELD)
-    ids = read.where("doc_id is not null").select("doc_id", "line", "s1", "s2")
-    place = F.struct("doc_id", "line")
-    lead = ids.groupBy("s1", "s2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n"))
-    lead = written(lead.where("n > 1").select("s1", "s2", "f"), "leads")  # so that the join can split a hot line
-    copies = ids.join(lead, ["s1", "s2"]).where("doc_id <> f.doc_id or line <> f.line").select("doc_id", "line")
-
-    rows = docs.mapInArrow(_prefixes(percent, width, shared, groups), "group int, " + ", ".join(f"{c} binary" for c in _PACKED[1:]))
-    bucket = written(rows.groupBy("group").applyInArrow(_grouped, "token long, s1 long, np long"), "prefixes")
-    first = written(ids.join(bucket.select("s1").distinct(), "s1", "left_semi").groupBy("s1").agg(F.min(place).alias("f")), "firsts")
-    bucket = bucket.join(first, "s1").select("token", "s1", "f", F.shiftright("np", 32).alias("n"), F.expr("np & 4294967295").alias("p")).distinct()
-
-    other = bucket.select("token", F.col("s1").alias("b"), F.col("f").alias("fb"), F.col("n").alias("m"), F.col("p").alias("q"))
-    mine = bucket.withColumnRenamed("s1", "a")
-    need = f"ceil({percent} * (n + m) / {100.0 + percent})"
-    fits = F.expr(f"fb < f and 100 * least(n, m) >= {percent} * greatest(n, m) and least(n - p, m - q) >= {need}")
-    head = other.groupBy("token").agg(F.min(F.struct("fb", "b", "m", "q")).alias("h")).select("token", "h.*")
-    best = mine.join(head, "token").where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s")).groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("b"))
+    kinds = "doc_id long, line long, s1 long, s2 long, cell long, n binary"
+    read = written(docs.mapInArrow(_reading(width), kinds), "lines")
+    cells = read.where("cell is not null").select("cell", "n").groupBy("cell").applyInArrow(_summing, "cell long, n binary")
+    counts = np.zeros((BUCKETS // _CELL, _CELL), np.uint32)
+    total = 0
+    for r in cells.collect():  # a table of fixed size
+        n = np.frombuffer(r["n"], np.int64)
+        counts[r["cell"]] = np.minimum(n, 2**32 - 1)
+        total += int(n.sum())
+    counts, mean = counts.ravel(), total // BUCKETS
+    copies = _copies(read.where("doc_id is not null").select("doc_id", "line", "s1", "s2"))
+    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // _HELD)
+    sent = "group int, " + ", ".join(f"{c} binary" for c in _NAMES[1:])
+
+    def compared(wanted, probes) -> DataFrame:
+        model = share((counts, mean, wanted, probes))
+        rows = docs.mapInArrow(_sending(percent, width, model, groups), sent)
+        return written(rows.groupBy("group").applyInArrow(_comparing(percent, wanted is not None), _PAIRS), "pairs")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
-        wanted = spark.sparkContext.broadcast(_marked(first.join(ends, "s1", "left_semi").select("f.*")))
-        sets = docs.mapInArrow(_sets(width, wanted), "s1 long, tokens binary")
-        sets = written(sets.join(ends, "s1", "left_semi").dropDuplicates(["s1"]), "sets")
-        side = lambda i: sets.select(F.col("s1").alias(i), F.col("tokens").alias(f"t{i}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "ta", "tb").mapInArrow(_confirm(percent), "a long").distinct()
-
-    gone = written(confirmed(best), "gone")
-    left = mine.join(gone, "a", "left_anti").join(other, "token").where(fits).select("a", "b").distinct()
-    near = gone.unionByName(confirmed(left)).join(first.withColumnRenamed("s1", "a"), "a").select("f.*")
-    return copies.unionByName(near).distinct()
+        two = pairs.where("a is not null")
+        side = lambda i: two.select(F.col(i).alias("s1"), F.col(f"{i}_doc").alias("doc_id"), F.col(f"{i}_line").alias("line"))
+        ends = written(side("a").unionByName(side("b")).distinct(), "ends")
+        sets = docs.mapInArrow(_sets(width, share(_marked(ends.select("doc_id", "line")))), "s1 long, tokens binary")
+        sets = written(sets.join(ends.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1"]), "sets")
+        of = lambda i: sets.select(F.col("s1").alias(i), F.col("tokens").alias(f"t{i}"))
+        both = two.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+        good = both.select("b", "ta", "tb").mapInArrow(_similar(percent), "b long").distinct()
+        return written(two.select("b", "b_doc", "b_line").distinct().join(good, "b"), "gone")
+
+    pairs = compared(None, None)
+    gone = confirmed(pairs)
+    open_ = written(pairs.where("key is not null").join(gone.select("b"), "b", "left_anti"), "open")
+    if not open_.isEmpty():
+        wanted = _marked(open_.select(F.col("key").alias("doc_id"), F.lit(0).cast("long").alias("line")).distinct())
+        probes = _marked(open_.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct())
+        gone = gone.unionByName(confirmed(compared(wanted, probes)))
+    return copies.unionByName(gone.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))).distinct()
 
 
 def _cutting(batches):
     for b in K.slices(batches, "text"):
         out = []
         for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-            if gone:
+            if gone and text is not None:
                 drop = set(gone)
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
             out.append(text)
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows and columns of docs; texts without the lines that go."""
-    gone = removed_lines(docs, id_col, text_col, percent=percent, width=width).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("gone"))
-    rows = docs.select(F.struct(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows.join(gone, "__id", "left").select("row", "text", "gone").mapInArrow(_cutting, f"row {docs.schema.simpleString()}, text string")
+    gone = removed_lines(docs, id_col, text_col, **options)
+    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("gone"))
+    blank = [F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    rows = docs.select(F.struct(*blank).alias("row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
+    kind = f"row {docs.schema.simpleString()}, text string"
+    cut = rows.join(gone, "__id", "left").select("row", "text", "gone").mapInArrow(_cutting, kind)
     return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, removed (line numbers in order), n_removed: a row for each document that loses lines."""
-    gone = removed_lines(docs, id_col, text_col, percent=percent, width=width)
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")).withColumn("n_removed", F.size("removed").cast("long"))
+    gone = removed_lines(docs, id_col, text_col, **options)
+    per = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return per.withColumn("n_removed", F.size("removed").cast("long"))
 
 
 _W = r"regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
-WITH x AS (SELECT doc_id, line, {_W} AS ws FROM (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
-l AS (SELECT doc_id, line, list_sort(list_distinct(list_transform(range(1, len(ws) - {WIDTH - 2}), lambda i: array_to_string(ws[i:i + {WIDTH - 1}], ' ')))) AS w FROM x WHERE len(ws) >= {WIDTH}),
-k AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS id, len(w) AS n FROM l),
+WITH l AS (SELECT doc_id, line, list_sort(list_distinct({_W})) AS w
+  FROM (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))),
+k AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS id, len(w) AS n FROM l WHERE len(w) > 0),
 t AS (SELECT id, n, unnest(w) AS w FROM k),
 f AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-p AS (SELECT id, n, w FROM (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY c, t.w) AS r FROM t JOIN f ON t.w = f.w) WHERE r <= n - ceil(n * {PERCENT} / 100.0) + 1),
+p AS (SELECT id, n, w FROM (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY c, t.w) AS r FROM t JOIN f ON t.w = f.w)
+      WHERE r <= n - ceil(n * {PERCENT} / 100.0) + 1),
 c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.w = b.w AND b.id < a.id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)),
-g AS (SELECT DISTINCT a FROM (SELECT c.a, ka.n + kb.n AS s, len(list_intersect(ka.w, kb.w)) AS i FROM c JOIN k ka ON ka.id = c.a JOIN k kb ON kb.id = c.b) WHERE 100 * i >= {PERCENT} * (s - i))
+g AS (SELECT DISTINCT a FROM (SELECT c.a, ka.n + kb.n AS s, len(list_intersect(ka.w, kb.w)) AS i FROM c JOIN k ka ON ka.id = c.a JOIN k kb ON kb.id = c.b)
+      WHERE 100 * i >= {PERCENT} * (s - i))
 SELECT doc_id, list_sort(list(CAST(line AS BIGINT))) AS removed, count(*) AS n_removed FROM g JOIN k ON k.id = g.a GROUP BY doc_id
 """

@@ -143,6 +143,20 @@ def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of each two packed sets of 64-bit hashes, and how many values they share; one sort for all."""
+    size = lambda c: pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    n, m = size(a), size(b)
+    pair = np.arange(len(n), dtype=np.uint64)
+    own = mix(np.concatenate([np.repeat(pair, n), np.repeat(pair, m)]), 91)
+    flat = [np.frombuffer(b"".join(c.to_pylist()), np.uint64) for c in (a, b)]
+    value = mix(np.concatenate(flat) ^ own, 92)
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
+    first = np.minimum(order[1:][same], order[:-1][same])
+    return n, m, np.bincount(np.searchsorted(np.cumsum(n), first, "right"), minlength=len(n))
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
