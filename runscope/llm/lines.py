@@ -9,14 +9,14 @@ at least `percent` / 100 with it, whether or not that line goes itself.
 2. *Prefix filter.* Tokens are ordered by rarity: counts by hash over all documents (ties
    by hash, so that the order is total and no pair is lost). Two similar sets share a
    token among the first n - ceil(n * percent / 100) + 1 of each. A token with a count
-   above `HOT` would join too many lines; there the key is a pair of tokens, since similar
-   sets share two within one token more (lines of more than `LONG` tokens keep single
+   above `hot` would join too many lines; there the key is a pair of tokens, since similar
+   sets share two within one token more (lines of more than `long` tokens keep single
    tokens, among themselves). Keys go once a class and slice of a task, packed by groups
    of keys, whose number follows the count of all tokens.
 3. *Candidates.* Classes that share a key are candidates if their sizes allow the
    similarity (length filter), if what follows the shared token in both does (positional
    filter), and if the parities of 128 hashed token counts do: each differing bit is a token
-   that only one of the two has. Up to `KEPT` earlier classes are kept a key and class, and
+   that only one of the two has. Up to `kept` earlier classes are kept a key and class, and
    under a key with very many classes only the first one that a class is similar to by these
    filters; a mark tells where more may exist.
 4. *Verification.* Full token sets of the classes in question are compared. Marked classes
@@ -31,6 +31,8 @@ passed through by `without_lines`.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,12 +42,25 @@ from . import textkit as K
 from .shared import small_batches, texts, written
 
 PERCENT, WIDTH, BUCKETS = 75, 1, 1 << 22
-HOT, LONG, SPLIT, KEPT, MANY = 1 << 12, 128, 1 << 20, 8, 512
 _CELL, _HELD, _CHUNK = 1 << 12, 1 << 19, 1 << 19
-BITS, _BYTES = 1 << 27, 1 << 13
+_BITS, _BYTES = (1 << 20, 1 << 28), 1 << 13
+_STEPS = 7  # counts are told apart by steps of a seventh of a doubling
 _U = np.uint64
 
 
+class Limits(NamedTuple):
+    """Where the work is divided; the result does not depend on these."""
+
+    hot: int = 1 << 12  # tokens with a larger count are keys in pairs
+    long: int = 128  # but not in lines of more tokens
+    split: int = 1 << 20  # a key whose token has a larger count is dealt over parts
+    kept: int = 8  # candidates of a key and class before the others are left to the second pass
+    many: int = 512  # classes under a key from which on they are compared one with all
+
+
+LIMITS = Limits()
+
+
 class Lines:
     """Distinct tokens of each line that has some (``hash``, sorted in a line; lines begin at ``at``), and each line's text and place."""
 
@@ -124,21 +139,27 @@ def _summing(table: pa.Table) -> pa.Table:
     for x in table.column("n"):
         at, count = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2).T
         n[at] += count
-    return pa.table({"cell": [table.column("cell")[0].as_py()], "n": pa.array([n.tobytes()], pa.binary())})
+    level = np.minimum(np.round(_STEPS * np.log2(np.maximum(n, 1))), 255).astype(np.uint8)
+    cell = table.column("cell")[0].as_py()
+    return pa.table({"cell": [cell], "level": pa.array([level.tobytes()], pa.binary()), "n": [int(n.sum())]})
 
 
-def _bit(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return K.mix(K.mix(doc_id.astype(np.int64).view(_U), 31) + line.astype(_U), 32) % _U(BITS)
+def _bit(doc_id: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    return K.mix(K.mix(doc_id.astype(np.int64).view(_U), 31) + line.astype(_U), 32) % _U(bits)
 
 
-def _in(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+def _in(bitmap: np.ndarray, doc_id: np.ndarray, line: np.ndarray | int = 0) -> np.ndarray:
+    bit = _bit(doc_id, np.broadcast_to(line, doc_id.shape), 8 * len(bitmap))
     return (bitmap[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
 
 
-def _bits(batches):
-    for b in batches:
-        bit = _bit(b.column("doc_id").to_numpy(), b.column("line").to_numpy()).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * _BYTES)), pa.array(bit % (8 * _BYTES))], ["cell", "bit"])
+def _bits(bits: int):
+    def run(batches):
+        for b in batches:
+            bit = _bit(b.column("doc_id").to_numpy(), b.column("line").to_numpy(), bits).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * _BYTES)), pa.array(bit % (8 * _BYTES))], ["cell", "bit"])
+
+    return run
 
 
 def _bitmap(table: pa.Table) -> pa.Table:
@@ -148,11 +169,12 @@ def _bitmap(table: pa.Table) -> pa.Table:
     return pa.table({"cell": [table.column("cell")[0].as_py()], "bits": pa.array([bits], pa.binary())})
 
 
-def _marked(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size by hash of the rows (doc_id, line): every one is in it, others may be."""
-    out = np.zeros((BITS // 8 // _BYTES, _BYTES), np.uint8)
-    cells = pairs.mapInArrow(_bits, "cell long, bit long").distinct().groupBy("cell").applyInArrow(_bitmap, "cell long, bits binary")
-    for r in cells.collect():  # a table of fixed size
+def _marked(rows: DataFrame) -> np.ndarray:
+    """A bitmap by hash of the rows (doc_id, line): every one is in it, others may be. Some 32 bits a row, 32 MB at most."""
+    bits = min(_BITS[1], max(_BITS[0], 1 << (32 * rows.count()).bit_length()))
+    out = np.zeros((bits // 8 // _BYTES, _BYTES), np.uint8)
+    cells = rows.mapInArrow(_bits(bits), "cell long, bit long").distinct().groupBy("cell").applyInArrow(_bitmap, "cell long, bits binary")
+    for r in cells.collect():  # a table of bounded size
         out[r["cell"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
@@ -160,22 +182,21 @@ def _marked(pairs: DataFrame) -> np.ndarray:
 class Keys:
     """The keys of the lines of a slice: hash, line, place of its first token in the line's order, parts."""
 
-    def __init__(self, x: Lines, some: np.ndarray, counts: np.ndarray, mean: int, percent: int):
+    def __init__(self, x: Lines, some: np.ndarray, levels: np.ndarray, mean: int, percent: int, limits: Limits):
         size = x.size[some]
         h = x.hash[np.repeat(some, x.size)]
         of, n = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
-        count = counts[(h % _U(BUCKETS)).astype(np.int64)].astype(np.int64)
-        bits = max(1, len(size).bit_length())
-        ranked = (of.astype(_U) << _U(64 - bits)) | np.minimum(count, (1 << (63 - bits)) - 1).astype(_U)
-        order = np.argsort(ranked, kind="stable")  # hashes are in order already
-        h, count, pos = h[order], count[order], _rank(size)
+        level = levels[(h % _U(BUCKETS)).astype(np.int64)]
+        order = np.argsort((of << 8) | level, kind="stable")  # hashes are in order already
+        h, pos = h[order], _rank(size)
+        count = np.exp2(level[order] / _STEPS)
         least = -(-n * percent // 100)
-        hot = (count > HOT) & (percent >= 67)  # there lines with partners share at least two tokens with them
-        single = (pos <= n - least) & (~hot | (n * 100 >= LONG * percent))
+        hot = (count > limits.hot) & (percent >= 67)  # there lines with partners share at least two tokens with them
+        single = (pos <= n - least) & (~hot | (n * 100 >= limits.long * percent))
         # pairs of tokens: the first is hot, the second is within one token more
         mine, first, second = [np.flatnonzero(single & ~hot)], [], []
         lone = np.flatnonzero(single & hot)
-        paired = hot & (n <= LONG) & (pos <= n - least + 1)
+        paired = hot & (n <= limits.long) & (pos <= n - least + 1)
         i = np.flatnonzero(paired & (pos <= n - least))
         step = 1
         while len(i):
@@ -190,7 +211,7 @@ class Keys:
             f, s = np.concatenate(first), np.concatenate(second)
             key.append(K.mix(K.mix(h[f], 14) + h[s], 15))
         self.key, self.line, self.pos = np.concatenate(key), of[a], pos[a]
-        parts = np.maximum(count[a] - 4 * mean, 0) // SPLIT + 1
+        parts = np.maximum(count[a] - 4 * mean, 0).astype(np.int64) // limits.split + 1
         self.parts = np.where(hot[a], parts, 1)
         self.n = len(a)
 
@@ -200,25 +221,25 @@ _TYPES = [np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32, _U, _U
 _PART, _PROBE = 1, 2  # flags: only a part of the key's lines is in the group; a line to be compared with the group's lines
 
 
-def _sending(percent: int, width: int, shared, groups: int):
+def _sending(percent: int, width: int, limits: Limits, shared, groups: int):
     """Per group of keys, packed: key, class, its place, size, place of the token, parities and flags."""
 
     def chosen(b: pa.RecordBatch):
-        counts, mean, wanted, probes = shared.value
+        levels, mean, wanted, probes = shared.value
         x = Lines(b.column("text"), width)
         s1, doc = x.identity(21), b.column("doc_id").to_numpy()[x.text]
         order = np.lexsort((x.place, doc, s1))
         some = np.zeros(len(s1), bool)
         some[order[np.append(True, s1[order][1:] != s1[order][:-1])[: len(order)]]] = True  # copies count once: the first
         some &= 100 * x.size >= percent * (x.size + 1)  # smaller sets are similar to their copies only
-        k = Keys(x, some, counts, mean, percent)
+        k = Keys(x, some, levels, mean, percent, limits)
         s1, doc, place, size, p1, p2 = (c[some][k.line] for c in (s1, doc, x.place, x.size, *x.parities()))
         cell = (K.mix(s1, 9) % k.parts.astype(_U)).astype(np.int64)
         flag = np.where(k.parts > 1, _PART, 0)
         at = np.arange(k.n)
         if wanted is not None:
-            at = at[_in(wanted, _bit((k.key >> _U(32)).astype(np.int64), np.zeros(k.n, np.int64)))]
-            again = at[_in(probes, _bit(doc[at], place[at]))]
+            at = at[_in(wanted, (k.key >> _U(32)).astype(np.int64))]
+            again = at[_in(probes, doc[at], place[at])]
             n = k.parts[again]
             cell, flag = np.concatenate([cell[at], _rank(n)]), np.concatenate([flag[at], np.full(int(n.sum()), _PROBE)])
             at = np.concatenate([at, np.repeat(again, n)])
@@ -264,7 +285,7 @@ def _stretches(at: np.ndarray, n: np.ndarray):
 class Group:
     """The lines of some keys, in order of key and size; pairs of them that pass the filters."""
 
-    def __init__(self, table: pa.Table, percent: int):
+    def __init__(self, table: pa.Table, percent: int, limits: Limits):
         read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         cols = [read(c, t) for c, t in zip(_NAMES[1:], _TYPES, strict=True)]
         key, s1, doc, line, size, _, _, _, flag = cols
@@ -282,7 +303,7 @@ class Group:
         self.left = self.size - pos
         self.rank = np.empty(len(order), np.int64)  # by place; copies of one place are equal in doc_id and line
         self.rank[np.lexsort((self.line, self.doc))] = np.arange(len(order))
-        self.percent = percent
+        self.percent, self.limits = percent, limits
 
     def fits(self, a, b) -> np.ndarray:
         """Which pairs of a and b (lines; one of them may be a single one) the filters let be similar."""
@@ -300,7 +321,7 @@ class Group:
         begin = np.flatnonzero(np.diff(self.key.astype(np.int64), prepend=-1))
         n = np.diff(np.append(begin, len(self.key)))
         out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]]
-        small = np.repeat(n <= MANY, n)
+        small = np.repeat(n <= self.limits.many, n)
         here = np.flatnonzero(small)
         both = (self.key.astype(_U) << _U(32)) | self.size.astype(_U)
         top = (self.key.astype(_U) << _U(32)) | np.minimum(self.size * 100 // self.percent, 2**32 - 1).astype(_U)
@@ -313,7 +334,7 @@ class Group:
             found.append(np.stack([np.where(swap, left, right), np.where(swap, right, left)]))
         later, earlier = np.concatenate(found, axis=1)
         out.append(self._few(later, earlier))
-        for at, k in zip(begin[n > MANY], n[n > MANY], strict=True):
+        for at, k in zip(begin[n > self.limits.many], n[n > self.limits.many], strict=True):
             out += self._sweep(np.arange(at, at + k))
         later, earlier, more = (np.concatenate(x) for x in zip(*out, strict=True))
         part = np.flatnonzero(self.flag & _PART)
@@ -321,13 +342,13 @@ class Group:
         return later, earlier, np.concatenate([more, np.ones(len(part), bool)])
 
     def _few(self, later, earlier) -> list[np.ndarray]:
-        """The first `KEPT` earlier ones of each."""
+        """The first `kept` earlier ones of each."""
         order = np.lexsort((self.rank[earlier], later))
         later, earlier = later[order], earlier[order]
         begin = np.flatnonzero(np.diff(later, prepend=-1))
         n = np.diff(np.append(begin, len(later)))
-        keep = _rank(n) < KEPT
-        return [later[keep], earlier[keep], np.repeat(n > KEPT, n)[keep]]
+        keep = _rank(n) < self.limits.kept
+        return [later[keep], earlier[keep], np.repeat(n > self.limits.kept, n)[keep]]
 
     def _sweep(self, at: np.ndarray) -> list:
         """A key with very many lines: each goes to the first open line that it may be similar to; open ones are compared with all."""
@@ -365,11 +386,11 @@ class Group:
 _PAIRS = "b long, b_doc long, b_line long, a long, a_doc long, a_line long, key long"
 
 
-def _comparing(percent: int, again: bool):
+def _comparing(percent: int, limits: Limits, again: bool):
     """Pairs (b later, a earlier) of one group; a key is given where b may have more partners under it."""
 
     def run(table: pa.Table) -> pa.Table:
-        g = Group(table, percent)
+        g = Group(table, percent, limits)
         later, earlier, more = g.all_candidates() if again else g.first_candidates()
         null = earlier < 0
         order = np.lexsort((~more, g.s1[earlier], null, g.s1[later]))
@@ -393,7 +414,7 @@ def _sets(width: int, shared):
     def run(batches):
         for b in K.slices(batches, "text"):
             x = Lines(b.column("text"), width)
-            ok = _in(shared.value, _bit(b.column("doc_id").to_numpy()[x.text], x.place))
+            ok = _in(shared.value, b.column("doc_id").to_numpy()[x.text], x.place)
             tokens = K.packed(x.hash[np.repeat(ok, x.size)], x.size[ok])
             yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), tokens], ["s1", "tokens"])
 
@@ -421,7 +442,13 @@ def _copies(ids: DataFrame) -> DataFrame:
 
 
 def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, width: int = WIDTH
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    percent: int = PERCENT,
+    width: int = WIDTH,
+    limits: Limits = LIMITS,
 ) -> DataFrame:
     """doc_id, line (from 0): the lines that go."""
     spark = docs.sparkSession
@@ -430,29 +457,31 @@ def removed_lines(
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
     kinds = "doc_id long, line long, s1 long, s2 long, cell long, n binary"
     read = written(docs.mapInArrow(_reading(width), kinds), "lines")
-    cells = read.where("cell is not null").select("cell", "n").groupBy("cell").applyInArrow(_summing, "cell long, n binary")
-    counts = np.zeros((BUCKETS // _CELL, _CELL), np.uint32)
-    total = 0
+    cells = read.where("cell is not null").select("cell", "n").groupBy("cell").applyInArrow(_summing, "cell long, level binary, n long")
+    levels, total = np.zeros((BUCKETS // _CELL, _CELL), np.uint8), 0
     for r in cells.collect():  # a table of fixed size
-        n = np.frombuffer(r["n"], np.int64)
-        counts[r["cell"]] = np.minimum(n, 2**32 - 1)
-        total += int(n.sum())
-    counts, mean = counts.ravel(), total // BUCKETS
+        levels[r["cell"]] = np.frombuffer(r["level"], np.uint8)
+        total += r["n"]
+    levels, mean = levels.ravel(), total // BUCKETS
     copies = _copies(read.where("doc_id is not null").select("doc_id", "line", "s1", "s2"))
     groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // _HELD)
     sent = "group int, " + ", ".join(f"{c} binary" for c in _NAMES[1:])
 
     def compared(wanted, probes) -> DataFrame:
-        model = share((counts, mean, wanted, probes))
-        rows = docs.mapInArrow(_sending(percent, width, model, groups), sent)
-        return written(rows.groupBy("group").applyInArrow(_comparing(percent, wanted is not None), _PAIRS), "pairs")
+        model = share((levels, mean, wanted, probes))
+        rows = docs.mapInArrow(_sending(percent, width, limits, model, groups), sent)
+        out = written(rows.groupBy("group").applyInArrow(_comparing(percent, limits, wanted is not None), _PAIRS), "pairs")
+        model.destroy()
+        return out
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         two = pairs.where("a is not null")
         side = lambda i: two.select(F.col(i).alias("s1"), F.col(f"{i}_doc").alias("doc_id"), F.col(f"{i}_line").alias("line"))
         ends = written(side("a").unionByName(side("b")).distinct(), "ends")
-        sets = docs.mapInArrow(_sets(width, share(_marked(ends.select("doc_id", "line")))), "s1 long, tokens binary")
+        model = share(_marked(ends.select("doc_id", "line")))
+        sets = docs.mapInArrow(_sets(width, model), "s1 long, tokens binary")
         sets = written(sets.join(ends.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1"]), "sets")
+        model.destroy()
         of = lambda i: sets.select(F.col("s1").alias(i), F.col("tokens").alias(f"t{i}"))
         both = two.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
         good = both.select("b", "ta", "tb").mapInArrow(_similar(percent), "b long").distinct()
