@@ -5,11 +5,12 @@ into capacity-sized pieces, of which the first may be shorter. Each piece is an
 item with three sizes: tokens, one document, and attention cost (tokens squared).
 
 *Vector best-fit.* Items are taken from long to short. Of the bins that have room
-for an item under all three capacities, the one with the largest score gets it:
+for an item under all three capacities, the one with the smallest value gets it:
 the weighted dot product of the item's sizes and the bin's residual capacities,
-each as a share of its capacity (score="dot", smallest wins: the least waste), or
-the weighted norm of what would be left (score="norm", smallest wins). If no bin
-has room, the item opens one.
+each as a share of its capacity (score="dot": the least room), or the weighted norm
+of what would be left (score="norm": the least waste). If no bin
+has room, the item opens one. By default only tokens count (no document or attention
+capacity, their weights 0), since then the fewest sequences come out.
 
 *Scale.* An item is determined by its length, so there are at most `capacity`
 kinds of items, and best fit only needs their counts: a table of at most
@@ -24,13 +25,17 @@ is spread over all tasks.
 Texts go through the tokenizer once; the pieces (no texts, no ids) are written.
 Null texts are empty documents (one token, the final 0); rows with a null id
 take part; repeated rows are packed each. An empty table gives no rows. Other
-columns are not looked at. Very long texts give many pieces.
+columns are not looked at. Very long texts give many pieces. Ids are those of the
+tokenizers library (no special tokens added, but a special token's name in a text is
+that token), also for texts that are mostly white space.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +45,34 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .shared import small_batches, texts, written
 
-CAPACITY, VOCABULARY = 2048, "byte_bpe_50k.tiktoken"
+CAPACITY, VOCABULARY = 2048, "byte_bpe_50k"
+_BLANK = re.compile(r"\s{10000}")
 
 
+@lru_cache(maxsize=2)
 def _encoder(vocabulary: str):
-    """The ids of the tokenizers library's file of the same vocabulary, from its ranks (several times as fast; tests compare the two)."""
+    """The ids of the tokenizers library's file, from the same vocabulary's ranks by a library that is several times as fast.
+
+    That one's pattern matching runs out of stack in very long white space; texts with such go to the first one.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(vocabulary), "rb") as f:
+    plain = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= 10_000 and _BLANK.search(text):
+            return plain.encode(text, add_special_tokens=False).ids
+        if any(x in text for x in special):
+            return fast.encode(text, allowed_special="all", disallowed_special=())
+        return fast.encode_ordinary(text)
+
+    return encode
 
 
 def _cutting(capacity: int, vocabulary: str, end: int):
