@@ -10,8 +10,8 @@ scores above it are kept, and ties at it go to the smaller vec_id.
 A task reports at most k counts a query: the k-th value of all is no smaller than
 the k-th of the task, so counts below that are of no use. Queries are a stated
 share of the rows; they go to the tasks in blocks of at most `block_bytes`, each
-broadcast for a pass over all rows, so no task and no message depends on how many
-queries there are, and no pairs are shuffled.
+broadcast for a pass over all rows, and a task scores `TILE` pairs at a time, so no task
+and no message depends on how many queries there are, and no pairs are shuffled.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows with a null id. Only vectors of equal length score with one another. Rows
@@ -34,14 +34,10 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-K, SCALE, LEVELS, BLOCK_BYTES, EVERY = 5, 256, (16, 8, 0), 8 << 20, 50
+K, SCALE, LEVELS, BLOCK_BYTES, EVERY, TILE = 5, 256, (16, 8, 0), 8 << 20, 50, 2 << 20
 _NONE = np.iinfo(np.int64).min
 
 
-def _whole(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("vec_id").to_numpy(), np.array(batch.column("v").to_pylist(), np.int64)
-
-
 def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """queries x rows; in floating point where that is exact."""
     if len(v) and float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1] < 2**52:
@@ -49,18 +45,22 @@ def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
-def _blocks(batches, dim: int, rows: int = 1024):
+def _tiles(batches, dim: int, queries: int):
+    """Ids and vectors of a few rows at a time."""
+    rows = max(1, TILE // max(1, queries))
     for b in batches:
         b = b.filter(pc.equal(pc.list_value_length(b.column("v")), dim))
         for at in range(0, b.num_rows, rows):
-            yield _whole(b.slice(at, rows))
+            part = b.slice(at, rows)
+            flat = pc.list_flatten(part.column("v")).to_numpy(zero_copy_only=False)
+            yield part.column("vec_id").to_numpy(), flat.reshape(part.num_rows, dim)
 
 
 def _counting(shared, k: int, dim: int, shift: int):
     def run(batches):
         ids, q, shift_before, bin_before = shared.value
         best = np.full((len(ids), k), _NONE)
-        for vec, v in _blocks(batches, dim):
+        for vec, v in _tiles(batches, dim, len(ids)):
             s = _scores(v, q)
             out = vec[None, :] == ids[:, None]
             if shift_before is not None:
@@ -80,7 +80,7 @@ def _keeping(shared, k: int, dim: int):
     def run(batches):
         ids, q, least = shared.value
         kept = [np.zeros(0, np.int64)] * 3
-        for vec, v in _blocks(batches, dim):
+        for vec, v in _tiles(batches, dim, len(ids)):
             s = _scores(v, q)
             r, c = np.nonzero((s >= least[:, None]) & (vec[None, :] != ids[:, None]))
             kept = [np.concatenate(x) for x in zip(kept, (ids[r], vec[c], s[r, c]), strict=True)]
@@ -131,10 +131,11 @@ def _search(rows: DataFrame, own: list, dim: int, k: int) -> DataFrame:
     for shift in LEVELS:
         counts = rows.mapInArrow(_counting(share((ids, q, before, bins)), k, dim, shift), "query_id long, bin long, n long")
         w = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-        want = F.element_at(F.map_from_arrays(F.lit(ids.tolist()), F.lit(need.tolist())), F.col("query_id")) if len(set(need.tolist())) > 1 else F.lit(int(need[0]))
-        upto = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w)).where((F.col("upto") - F.col("n") < want))
+        counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w))
+        wanted = rows.sparkSession.createDataFrame(list(zip(ids.tolist(), need.tolist(), strict=True)), "query_id long, need long")
+        upto = counts.join(F.broadcast(wanted), "query_id").where("upto - n < need")  # a row a query of this block
         found: dict[int, tuple[int, int, int]] = {}
-        for r in upto.groupBy("query_id").agg(F.min_by(F.struct("bin", "n", "upto"), "bin").alias("x")).collect():  # a row a query of this block
+        for r in upto.groupBy("query_id").agg(F.min_by(F.struct("bin", "n", "upto"), "bin").alias("x")).collect():  # likewise
             found[r["query_id"]] = (r["x"]["bin"], r["x"]["n"], r["x"]["upto"])
         for i, one in enumerate(ids.tolist()):
             b, n, upto_ = found.get(one, (0, 0, 0))
