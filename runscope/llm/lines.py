@@ -16,9 +16,9 @@ at least `percent` / 100 with it, whether or not that line goes itself.
 3. *Candidates.* Classes that share a key are candidates if their sizes allow the
    similarity (length filter), if what follows the shared token in both does (positional
    filter), and if the parities of 128 hashed token counts do: each differing bit is a token
-   that only one of the two has. Up to `kept` earlier classes are kept a key and class, and
-   under a key with very many classes only the first one that a class is similar to by these
-   filters; a mark tells where more may exist.
+   that only one of the two has. Of a class with more than `kept`
+   candidates under a key that are nearly surely similar, so many are kept, and under a key
+   with very many alike classes only the first such one; a mark tells where more may exist.
 4. *Verification.* Full token sets of the classes in question are compared. Marked classes
    of which no candidate was confirmed then meet all earlier classes of those keys. A bitmap
    of fixed size tells each task which lines' sets to send; a line too many does no harm.
@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import small_batches, texts, written
+from .shared import contains, marked, small_batches, texts, written
 
 PERCENT, WIDTH, BUCKETS = 75, 1, 1 << 22
 _CELL, _HELD, _CHUNK = 1 << 12, 1 << 19, 1 << 19
-_BITS, _BYTES = (1 << 20, 1 << 28), 1 << 13
+_SURE = 10  # a pair is nearly sure if at most a tenth of its tokens seems to differ
 _STEPS = 7  # counts are told apart by steps of a seventh of a doubling
 _U = np.uint64
 
@@ -54,8 +54,8 @@ class Limits(NamedTuple):
     hot: int = 1 << 12  # tokens with a larger count are keys in pairs
     long: int = 128  # but not in lines of more tokens
     split: int = 1 << 20  # a key whose token has a larger count is dealt over parts
-    kept: int = 8  # candidates of a key and class before the others are left to the second pass
-    many: int = 512  # classes under a key from which on they are compared one with all
+    kept: int = 8  # candidates of a key and class, if all are nearly sure; others are left to the second pass
+    many: int = 512  # classes under a key from which on, if they look alike, they are compared one with all
 
 
 LIMITS = Limits()
@@ -144,41 +144,6 @@ def _summing(table: pa.Table) -> pa.Table:
     return pa.table({"cell": [cell], "level": pa.array([level.tobytes()], pa.binary()), "n": [int(n.sum())]})
 
 
-def _bit(doc_id: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
-    return K.mix(K.mix(doc_id.astype(np.int64).view(_U), 31) + line.astype(_U), 32) % _U(bits)
-
-
-def _in(bitmap: np.ndarray, doc_id: np.ndarray, line: np.ndarray | int = 0) -> np.ndarray:
-    bit = _bit(doc_id, np.broadcast_to(line, doc_id.shape), 8 * len(bitmap))
-    return (bitmap[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
-
-
-def _bits(bits: int):
-    def run(batches):
-        for b in batches:
-            bit = _bit(b.column("doc_id").to_numpy(), b.column("line").to_numpy(), bits).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * _BYTES)), pa.array(bit % (8 * _BYTES))], ["cell", "bit"])
-
-    return run
-
-
-def _bitmap(table: pa.Table) -> pa.Table:
-    on = np.zeros(8 * _BYTES, bool)
-    on[table.column("bit").to_numpy()] = True
-    bits = np.packbits(on, bitorder="little").tobytes()
-    return pa.table({"cell": [table.column("cell")[0].as_py()], "bits": pa.array([bits], pa.binary())})
-
-
-def _marked(rows: DataFrame) -> np.ndarray:
-    """A bitmap by hash of the rows (doc_id, line): every one is in it, others may be. Some 32 bits a row, 32 MB at most."""
-    bits = min(_BITS[1], max(_BITS[0], 1 << (32 * rows.count()).bit_length()))
-    out = np.zeros((bits // 8 // _BYTES, _BYTES), np.uint8)
-    cells = rows.mapInArrow(_bits(bits), "cell long, bit long").distinct().groupBy("cell").applyInArrow(_bitmap, "cell long, bits binary")
-    for r in cells.collect():  # a table of bounded size
-        out[r["cell"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 class Keys:
     """The keys of the lines of a slice: hash, line, place of its first token in the line's order, parts."""
 
@@ -238,8 +203,8 @@ def _sending(percent: int, width: int, limits: Limits, shared, groups: int):
         flag = np.where(k.parts > 1, _PART, 0)
         at = np.arange(k.n)
         if wanted is not None:
-            at = at[_in(wanted, (k.key >> _U(32)).astype(np.int64))]
-            again = at[_in(probes, doc[at], place[at])]
+            at = at[contains(wanted, (k.key >> _U(32)).astype(np.int64))]
+            again = at[contains(probes, doc[at], place[at])]
             n = k.parts[again]
             cell, flag = np.concatenate([cell[at], _rank(n)]), np.concatenate([flag[at], np.full(int(n.sum()), _PROBE)])
             at = np.concatenate([at, np.repeat(again, n)])
@@ -305,64 +270,73 @@ class Group:
         self.rank[np.lexsort((self.line, self.doc))] = np.arange(len(order))
         self.percent, self.limits = percent, limits
 
-    def fits(self, a, b) -> np.ndarray:
-        """Which pairs of a and b (lines; one of them may be a single one) the filters let be similar."""
+    def fits(self, a, b) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of a and b (lines; one of them may be a single one) the filters let be similar, and if they nearly must be."""
         a, b = np.broadcast_arrays(a, b)
-        n, m, p = self.size[a], self.size[b], self.percent
-        need = -(-p * (n + m) // (100 + p))
-        ok = (np.minimum(self.left[a], self.left[b]) >= need) & (100 * np.minimum(n, m) >= p * np.maximum(n, m))
-        at = np.flatnonzero(ok)
-        a, b = a[at], b[at]
-        apart = np.bitwise_count(self.p1[a] ^ self.p1[b]).astype(np.int64) + np.bitwise_count(self.p2[a] ^ self.p2[b])
-        return at[apart <= n[at] + m[at] - 2 * need[at]]
+        p, both = self.percent, self.size[a] + self.size[b]
+        at = np.flatnonzero(p * both <= (100 + p) * np.minimum(self.left[a], self.left[b]))
+        a, b, both = a[at], b[at], both[at]
+        apart = np.bitwise_count(self.p1[a] ^ self.p1[b]).astype(np.int32) + np.bitwise_count(self.p2[a] ^ self.p2[b])
+        n = self.size[a]
+        ok = (100 + p) * apart <= (100 - p) * both
+        ok &= 100 * np.minimum(n, both - n) >= p * np.maximum(n, both - n)
+        return at[ok], _SURE * apart[ok] <= both[ok]
 
     def first_candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """later, earlier (-1: none here) and if the later one may have more, under a key of its own or of all."""
+        """later, earlier (-1: none here) and if the later one may have more under this key."""
         begin = np.flatnonzero(np.diff(self.key.astype(np.int64), prepend=-1))
         n = np.diff(np.append(begin, len(self.key)))
-        out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]]
-        small = np.repeat(n <= self.limits.many, n)
-        here = np.flatnonzero(small)
-        both = (self.key.astype(_U) << _U(32)) | self.size.astype(_U)
-        top = (self.key.astype(_U) << _U(32)) | np.minimum(self.size * 100 // self.percent, 2**32 - 1).astype(_U)
-        upto = np.searchsorted(both, top[here], "right")
-        found = [np.zeros((2, 0), np.int64)]
-        for left, right in _stretches(here, upto - here - 1):
-            ok = self.fits(left, right)
-            left, right = left[ok], right[ok]
-            swap = self.rank[left] > self.rank[right]
-            found.append(np.stack([np.where(swap, left, right), np.where(swap, right, left)]))
-        later, earlier = np.concatenate(found, axis=1)
-        out.append(self._few(later, earlier))
-        for at, k in zip(begin[n > self.limits.many], n[n > self.limits.many], strict=True):
+        # larger lines come behind; how large they may be follows from the size and from what follows the shared token
+        most = np.maximum(self.left * (100 + self.percent) // self.percent - self.size, 0)
+        both, top = ((self.key.astype(_U) << _U(32)) | x.astype(_U) for x in (self.size, np.minimum(most, 2**32 - 1)))
+        swept = [(at, k) for at, k in zip(begin, n, strict=True) if k > self.limits.many and self._alike(at, k)]
+        flat = most >= self.size
+        for at, k in swept:
+            flat[at : at + k] = False
+        here = np.flatnonzero(flat)
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)]
+        for left, right in _stretches(here, np.maximum(np.searchsorted(both, top[here], "right") - here - 1, 0)):
+            ok, sure = self.fits(left, right)
+            found.append((left[ok], right[ok], sure))
+        left, right, sure = (np.concatenate(x) for x in zip(*found, strict=True))
+        swap = self.rank[left] > self.rank[right]
+        out = [self._few(np.where(swap, left, right), np.where(swap, right, left), sure)]
+        for at, k in swept:
             out += self._sweep(np.arange(at, at + k))
-        later, earlier, more = (np.concatenate(x) for x in zip(*out, strict=True))
         part = np.flatnonzero(self.flag & _PART)
-        later, earlier = np.concatenate([later, part]), np.concatenate([earlier, np.full(len(part), -1)])
-        return later, earlier, np.concatenate([more, np.ones(len(part), bool)])
-
-    def _few(self, later, earlier) -> list[np.ndarray]:
-        """The first `kept` earlier ones of each."""
-        order = np.lexsort((self.rank[earlier], later))
-        later, earlier = later[order], earlier[order]
+        out.append((part, np.full(len(part), -1), np.ones(len(part), bool)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _alike(self, at: int, k: int) -> bool:
+        """If some of the k lines of a key may be similar to many others, so that pairs are too many."""
+        some = np.arange(at, at + k, max(1, k // 32))
+        return sum(len(self.fits(int(i), np.arange(at, at + k))[0]) - 1 for i in some) * 50 > len(some) * k
+
+    def _few(self, later, earlier, sure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All earlier ones of each, but only `kept` where so many are nearly sure."""
+        order = np.lexsort((self.rank[earlier], ~sure, later))
+        later, earlier, sure = later[order], earlier[order], sure[order]
         begin = np.flatnonzero(np.diff(later, prepend=-1))
         n = np.diff(np.append(begin, len(later)))
-        keep = _rank(n) < self.limits.kept
-        return [later[keep], earlier[keep], np.repeat(n > self.limits.kept, n)[keep]]
+        kept = self.limits.kept
+        many = np.repeat((n > kept) & sure[begin + np.minimum(n, kept) - 1], n)
+        keep = ~many | (_rank(n) < kept)
+        return later[keep], earlier[keep], many[keep]
 
     def _sweep(self, at: np.ndarray) -> list:
-        """A key with very many lines: each goes to the first open line that it may be similar to; open ones are compared with all."""
+        """A key with very many lines: each goes to the first open line that it is nearly surely similar to, or under a key
+        with even more lines may be similar to; open ones are compared with all."""
         at = at[np.argsort(self.rank[at])]
         free, out, k = np.ones(len(at), bool), [], 0
         while k < len(at):
-            ok = self.fits(int(at[k]), at)
-            before = ok[ok < k]
-            if len(before):
-                out.append(self._few(np.full(len(before), at[k]), at[before]))
-            behind = ok[ok > k]
+            ok, sure = self.fits(int(at[k]), at)
+            before = ok < k
+            if before.any():
+                out.append(self._few(np.full(int(before.sum()), at[k]), at[ok[before]], sure[before]))
+            behind = ok[(ok > k) & (sure | (len(at) > 32 * self.limits.many))]
             behind = behind[free[behind]]
             free[behind] = False
-            out.append([at[behind], np.full(len(behind), at[k]), np.ones(len(behind), bool)])
+            out.append((at[behind], np.full(len(behind), at[k]), np.ones(len(behind), bool)))
             rest = np.flatnonzero(free[k + 1 :])
             k = k + 1 + int(rest[0]) if len(rest) else len(at)
         return out
@@ -376,7 +350,7 @@ class Group:
         for at, k in zip(begin, n, strict=True):
             base = np.arange(at, at + k)[~probe[at : at + k]]
             for i in np.arange(at, at + k)[probe[at : at + k]]:
-                ok = base[self.fits(int(i), base)] if len(base) else base
+                ok = base[self.fits(int(i), base)[0]]
                 ok = ok[(self.doc[ok] < self.doc[i]) | ((self.doc[ok] == self.doc[i]) & (self.line[ok] < self.line[i]))]
                 found.append(np.stack([np.full(len(ok), i), ok]))
         later, earlier = np.concatenate(found, axis=1)
@@ -409,12 +383,14 @@ def _comparing(percent: int, limits: Limits, again: bool):
 
 
 def _sets(width: int, shared):
-    """(s1, tokens) of the lines in the bitmap."""
+    """(s1, tokens) of the lines in the bitmaps, of documents and of lines."""
 
     def run(batches):
+        docs, lines = shared.value
         for b in K.slices(batches, "text"):
+            b = b.filter(pa.array(contains(docs, b.column("doc_id").to_numpy())))
             x = Lines(b.column("text"), width)
-            ok = _in(shared.value, b.column("doc_id").to_numpy()[x.text], x.place)
+            ok = contains(lines, b.column("doc_id").to_numpy()[x.text], x.place)
             tokens = K.packed(x.hash[np.repeat(ok, x.size)], x.size[ok])
             yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), tokens], ["s1", "tokens"])
 
@@ -478,7 +454,7 @@ def removed_lines(
         two = pairs.where("a is not null")
         side = lambda i: two.select(F.col(i).alias("s1"), F.col(f"{i}_doc").alias("doc_id"), F.col(f"{i}_line").alias("line"))
         ends = written(side("a").unionByName(side("b")).distinct(), "ends")
-        model = share(_marked(ends.select("doc_id", "line")))
+        model = share((marked(ends.select("doc_id")), marked(ends.select("doc_id", "line"))))
         sets = docs.mapInArrow(_sets(width, model), "s1 long, tokens binary")
         sets = written(sets.join(ends.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1"]), "sets")
         model.destroy()
@@ -491,8 +467,8 @@ def removed_lines(
     gone = confirmed(pairs)
     open_ = written(pairs.where("key is not null").join(gone.select("b"), "b", "left_anti"), "open")
     if not open_.isEmpty():
-        wanted = _marked(open_.select(F.col("key").alias("doc_id"), F.lit(0).cast("long").alias("line")).distinct())
-        probes = _marked(open_.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct())
+        wanted = marked(open_.select("key"))
+        probes = marked(open_.select("b_doc", "b_line"))
         gone = gone.unionByName(confirmed(compared(wanted, probes)))
     return copies.unionByName(gone.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))).distinct()
 
