@@ -24,8 +24,9 @@ shingle; no words: the empty set). Two documents are linked when
    gives about as many pairs as members. All pairs are confirmed on full sets.
 
 Null ids are dropped (they can't be linked or returned as a row of a document);
-null and empty texts have the empty set and are alone; repeated doc_ids are one
-document each row, with equal labels if their sets are linked. An empty table
+null and empty texts have the empty set and are alone; rows that repeat a doc_id are
+that document again, each with its own n_shingles, and if their sets differ, the one
+with the smallest hash decides on the links of all of them. An empty table
 gives no rows. Columns other than the two named are not looked at.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import components, small_batches, texts, written
+from .shared import components, contains, marked, small_batches, texts, written
 
 BANDS, ROWS, LEAST, PERCENT, WIDTH = 40, 3, 3, 75, 5
 COORDINATES, BLOCK = 1024, 2048
@@ -85,27 +86,29 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
     return docs.mapInArrow(K.per_slice("text", names, make), "doc_id long, n_shingles long, s1 long, s2 long, keys binary")
 
 
-def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes as 8-byte items (grams)."""
+def shingle_sets(docs: DataFrame, width: int = WIDTH, wanted=None) -> DataFrame:
+    """doc_id, a hash of its set (s1, as in signatures) and its sorted distinct shingle hashes as 8-byte items (grams).
+
+    wanted: a broadcast bitmap of the ids to take (and maybe a few others).
+    """
 
     def make(b: pa.RecordBatch) -> list:
+        if wanted is not None:
+            b = b.filter(pa.array(contains(wanted.value, b.column("doc_id").to_numpy())))
         owner, sh = K.shingles(K.Words(b.column("text")), width)
-        return [b.column("doc_id"), K.packed(sh, np.bincount(owner, minlength=b.num_rows))]
+        s1 = np.zeros(b.num_rows, np.uint64)
+        np.add.at(s1, owner, K.mix(sh, 21))
+        return [b.column("doc_id"), K.signed(s1), K.packed(sh, np.bincount(owner, minlength=b.num_rows))]
 
-    return docs.mapInArrow(K.per_slice("text", ["doc_id", "grams"], make), "doc_id long, grams binary")
+    names = ["doc_id", "s1", "grams"]
+    return docs.mapInArrow(K.per_slice("text", names, make), "doc_id long, s1 long, grams binary")
 
 
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("ga"), b.column("gb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n, m, both = K.overlaps(b.column("ga"), b.column("gb"))
+            yield b.select(["a", "b"]).filter(pa.array((100 * both >= percent * (n + m - both)) & (both > 0)))
 
     return run
 
@@ -125,25 +128,26 @@ def _detail(batches):
 
 
 def _across(percent: int, least: int):
-    """Pairs of different components in one block of a bucket that may be similar enough.
+    """Pairs of different components in one chunk of a bucket that may be similar enough.
 
-    A pair is looked at in the first bucket that it shares. Coordinates (a byte
-    each) agree with a probability of at least the similarity; five standard
+    Probes, the members outside the bucket's largest component, are compared with the
+    chunk's own members. A pair is looked at in the first bucket that it shares. Coordinates
+    (a byte each) agree with a probability of at least the similarity; five standard
     deviations below the threshold, less than one pair in a million is missed.
     """
     low = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
-        doc, n, comp, i = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp", "i"))
-        main = table.column("of_main").to_numpy()
+        doc, n, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp"))
+        main, probe = (table.column(c).to_numpy() for c in ("of_main", "probe"))
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(doc), -1)
         sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint8).reshape(len(doc), -1)
         band = int((keys[0] == table.column("key")[0].as_py()).argmax())
-        within = (block := table.column("block")[0].as_py())["lo"] == block["hi"]
         out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        for x in np.flatnonzero(~main):
-            fit = (comp != comp[x]) & (main | (doc > doc[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            y = np.flatnonzero(fit if within else fit & (i != i[x]))
+        own = np.flatnonzero(~probe)
+        for x in np.flatnonzero(probe):
+            fit = (comp[own] != comp[x]) & (main[own] | (doc[own] > doc[x]))
+            y = own[fit & (100 * np.minimum(n[own], n[x]) >= percent * np.maximum(n[own], n[x]))]
             same = keys[y] == keys[x]
             y = y[(same.argmax(axis=1) == band) & (same.sum(axis=1) >= least)]
             y = y[(sk[y] == sk[x]).mean(axis=1) >= low]
@@ -159,9 +163,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
     sig = written(signatures(docs, bands, rows, width), "sig")
+    # an id with several sets takes part with one of them
+    several = sig.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
+    several = written(several.where("lo <> hi").select("doc_id", "lo"), "several")
+    some = not several.isEmpty()
+    one_set = lambda d: d.join(several, "doc_id", "left").where("lo is null or s1 = lo").drop("lo") if some else d
+    rows_of, sig = sig.select("doc_id", "n_shingles"), one_set(sig)
     ids = sig.select("doc_id", "n_shingles", "s1", "s2")
     classes = written(ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")  # so that the join can split a hot class
     member = ids.join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    if some:
+        member = rows_of.join(member.drop("n_shingles").distinct(), "doc_id")
 
     # one row a band of every class; buckets of one class are of no use
     first = sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x")).select("x.*")
@@ -176,8 +188,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spreads.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "n")).alias("lead")).where("members > 1")
     shared = written(shared, "shared")
     bucket = written(spreads.join(shared, "key").select("key", "doc_id", "n", "lead"), "buckets")
-    nodes = bucket.select("doc_id").distinct()
-    sets = written(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    wanted = docs.sparkSession.sparkContext.broadcast(marked(bucket.select("doc_id").distinct()))
+    sets = written(one_set(shingle_sets(docs, width, wanted)).drop("s1").dropDuplicates(["doc_id"]), "sets")
+    wanted.destroy()
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
     # the one leader that a class shares most bands with
@@ -192,10 +205,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = size.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("members")).where("comps > 1")
     rest = written(in_comp.join(mixed, "key").select("key", "doc_id", "n", "comp", (F.col("comp") == F.col("main")).alias("of_main"), F.ceil(F.col("members") / BLOCK).alias("chunks")), "mixed")
     detail = written(sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_detail, "doc_id long, sk binary").join(first.select("doc_id", "keys"), "doc_id"), "detail")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("i")
-    block = F.explode(F.expr("transform(sequence(0L, chunks - 1), j -> struct(least(i, j) as lo, greatest(i, j) as hi))")).alias("block")
-    blocks = rest.withColumn("i", mine).select("key", "doc_id", "n", "comp", "of_main", "i", block).join(detail, "doc_id")
-    pairs = blocks.groupBy("key", "block").applyInArrow(_across(percent, least), "a long, b long").distinct()
+    # members of the largest component are in one chunk, the others are compared with every chunk
+    own = rest.select("key", "doc_id", "n", "comp", "of_main", F.lit(False).alias("probe"), F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    probes = rest.where("not of_main").select("key", "doc_id", "n", "comp", "of_main", F.lit(True).alias("probe"), every)
+    chunks = own.unionByName(probes).join(detail, "doc_id")
+    pairs = chunks.groupBy("key", "chunk").applyInArrow(_across(percent, least), "a long, b long").distinct()
     more = confirmed(pairs, sets, percent)
     all_links = written(links.unionByName(more), "links")
     comp = components(all_links)
