@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the pipeline
 writes as Parquet in the shared folder and reads again as the next stage's docs.
+
+All stages accept empty tables (no rows come out), null and empty texts (they have no
+n-grams, lines, shingles or windows, stay in every stage and are packed as one token),
+texts of any length, rows with null or repeated ids, and further columns of any name,
+which all stages but the last pass through. What each does with ties, repeated rows and
+null ids is said below. Lines go before near duplicates, so a document may lose all its
+lines to an earlier one; it stays as an empty text.
 """
 
 from __future__ import annotations
@@ -18,27 +25,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects."""
+    """Rows that importance resampling selects.
+
+    Rows with null ids take part; repeated rows have equal keys, and all ties at the last key stay.
+    """
     return quality.select_documents(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one nearly repeats (Jaccard 0.75 of their distinct words, so also copies of lines of a few words); n_chars follows."""
-    return lines.without_lines(docs, width=1).withColumn("n_chars", F.length("text").cast("long"))
+    """All rows, without lines that an earlier one nearly repeats (Jaccard 0.75 of their distinct words); n_chars follows.
+
+    Lines without words stay, and so do rows with null ids as they are. Rows that repeat an
+    id are that document again: equal lines at equal places stay in all of them.
+    """
+    return lines.without_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest doc_id, null ids last; rows without words stay."""
+    """One row of each group of near duplicates: that of the smallest doc_id, null ids last; rows without words stay.
+
+    Each row is a document of its own, whatever its id; of rows with equal id and text one stays.
+    """
     return minhash.first_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Rows without a benchmark window, each judged by its own text; rows with null or repeated ids too."""
     return decontaminate.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of what is left."""
+    """The packed pieces of what is left; repeated rows and rows with null ids are packed each."""
     return packing.pack(docs)
 
 
@@ -50,7 +67,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: Tokenizing, packing and the seeded selection have no SQL; the tests compare the stages with brute force.
+#: Tokenizing, packing and the seeded selection have no SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
