@@ -1,12 +1,15 @@
 """Run-log reconstruction over log_lines(workflow_id, run_id, line_no, line).
 
-All operators share one parse: scalar extractions, then carried-forward context in
-windows over a run's lines, so Spark shuffles the lines once.
+Lines without a pattern of the runner are dropped before anything is shuffled, and of the
+others only extracted values travel. One window over a run's lines carries the context
+forward, and one grouping reduces the run to `facts`: a row for each rule block, each
+finish and each error block. The other operators work on facts; they take lines or,
+where several of them are needed, the facts that `facts` made once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -19,32 +22,124 @@ def _so_far():
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Extracted columns of every line, block numbers, and the last time stamp and rule before it."""
+    """What the lines with a pattern hold. Patterns are tried only on lines with their fixed text."""
     x = F.col("line")
-    p = lines.select(*RUN, "line_no", "line", S.rule_start(x).alias("rule_start"), S.job_id(x).alias("job_id"), S.finished(x).alias("finished"), S.error_rule(x).alias("error_rule"), S.timestamp(x).alias("ts"), S.found(x, S.WILDCARDS).alias("wildcards"), S.threads(x).alias("threads"), S.log_path(x).alias("log"))
+    has = lambda text, value: F.when(F.contains(x, F.lit(text)), value)
+    values = {
+        "rule_start": F.coalesce(has("rule ", S.rule_start(x)), has("checkpoint ", S.rule_start(x))),
+        "job_id": has("jobid:", S.job_id(x)),
+        "finished": has("Finished ", S.finished(x)),
+        "error_rule": has("Error in rule ", S.error_rule(x)),
+        "ts": F.when(F.startswith(x, F.lit("[")), S.timestamp(x)),
+        "wildcards": has("wildcards:", S.found(x, S.WILDCARDS)),
+        "threads": has("threads:", S.threads(x)),
+        "log": has("log:", S.log_path(x)),
+    }
+    p = lines.select(*RUN, "line_no", *[v.alias(k) for k, v in values.items()])
+    return p.where(F.coalesce(*[F.col(k).cast("string") for k in values]).isNotNull())
+
+
+def with_context(p: DataFrame) -> DataFrame:
+    """Block numbers, the last time stamp and rule so far, and if a line is in an error block, in one window."""
     opens = F.col("error_rule").isNotNull()
     closes = F.col("rule_start").isNotNull() | F.col("ts").isNotNull()
-    p = p.withColumn("block", F.sum(F.col("rule_start").isNotNull().cast("int")).over(_so_far())).withColumn("error_block", F.sum((opens | closes).cast("int")).over(_so_far()))
-    return p.withColumn("last_ts", F.last("ts", True).over(_so_far())).withColumn("rule", F.last("rule_start", True).over(_so_far())).withColumn("in_error", F.max(opens.cast("int")).over(Window.partitionBy(*RUN, "error_block")) == 1)
+    state = F.when(opens, True).when(closes, False)
+    return p.withColumns(
+        {
+            "block": F.count("rule_start").over(_so_far()),
+            "error_block": F.count(state).over(_so_far()),
+            "last_ts": F.last("ts", True).over(_so_far()),
+            "rule": F.last("rule_start", True).over(_so_far()),
+            "in_error": F.coalesce(F.last(state, True).over(_so_far()), F.lit(False)),
+        }
+    )
+
+
+def facts(lines: DataFrame) -> DataFrame:
+    """kind (block, finished, error), block (the rule block around it), rule, job_id, threads, wildcards, log, time, line_no.
+
+    Of a block's values the first of each counts; time is the last time stamp before the job id
+    of a block and before a finish. Blocks come without a job id, too.
+    """
+    if "kind" in lines.columns:
+        return lines
+    p = with_context(parsed(lines))
+    kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
+    number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
+    # fields of one kind of line in one struct, so that few values are compared
+    first = lambda value, ok: F.min_by(value, F.when(ok, F.col("line_no")))
+    known = lambda c: first(F.col(c), F.col(c).isNotNull())
+    has_id = F.col("job_id").isNotNull()
+    got = p.withColumns({"kind": kind, "number": number}).where("kind is not null").groupBy(*RUN, "kind", "number").agg(
+        F.min("line_no").alias("line_no"),
+        F.min("block").alias("block"),
+        F.min("finished").alias("finished"),
+        first(F.struct("rule", "last_ts", "error_rule"), F.lit(True)).alias("first"),
+        first(F.struct("job_id", "last_ts"), has_id).alias("id"),
+        known("threads").alias("threads"),
+        known("wildcards").alias("wildcards"),
+        known("log").alias("log"),
+    )
+    end = F.col("kind") == "finished"
+    return got.select(
+        *RUN, "kind", "block", F.coalesce("first.error_rule", "first.rule").alias("rule"),
+        F.coalesce("finished", "id.job_id").alias("job_id"), "threads", "wildcards", "log",
+        F.when(end, F.col("first.last_ts")).otherwise(F.col("id.last_ts")).alias("time"), "line_no",
+    )
+
+
+def _first_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy(*RUN, *by).orderBy(order))
+    return rows.withColumn("r", r).where("r = 1").drop("r")
+
+
+def _latest(value: Column) -> Column:
+    return F.max_by(value, F.when(value.isNotNull(), F.col("line_no")))
+
+
+def _earliest(value: Column) -> Column:
+    return F.min_by(value, F.when(value.isNotNull(), F.col("line_no")))
+
+
+def _if_has(text: str, value: Column) -> Column:
+    return F.when(F.contains(F.col("line"), F.lit(text)), value)
+
+
+def _progress() -> Column:
+    return _latest(_if_has(" steps (", S.progress(F.col("line"))))
+
+
+def _started() -> Column:
+    return _earliest(F.when(F.startswith(F.col("line"), F.lit("[")), S.timestamp(F.col("line"))))
+
+
+def _cores() -> Column:
+    return _earliest(_if_has("Provided cores:", S.cores(F.col("line"))))
 
 
 def latest_progress(lines: DataFrame) -> DataFrame:
-    p = S.progress(F.col("line"))
-    return lines.groupBy(*RUN).agg(F.max_by(p, F.when(p.isNotNull(), F.col("line_no"))).alias("p")).select(*RUN, F.coalesce("p.completed", F.lit(0)).alias("completed"), F.coalesce("p.total", F.lit(0)).alias("total"))
+    return lines.groupBy(*RUN).agg(_progress().alias("p")).select(*RUN, *_counts())
+
+
+def _counts() -> list[Column]:
+    return [F.coalesce("p.completed", F.lit(0)).alias("completed"), F.coalesce("p.total", F.lit(0)).alias("total")]
+
+
+def overview(lines: DataFrame) -> DataFrame:
+    """Progress, start and cores of each run in one grouping."""
+    got = lines.groupBy(*RUN).agg(_progress().alias("p"), _started().alias("run_start"), _cores().alias("cores"))
+    return got.select(*RUN, *_counts(), "run_start", "cores")
 
 
 def blocks(lines: DataFrame) -> DataFrame:
     """One row per rule block with a job id: rule, job_id, threads, wildcards, log, start and first line."""
-    p = parsed(lines).where("block > 0 and not in_error")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
-    got = p.groupBy(*RUN, "block").agg(F.min_by("rule", "line_no").alias("rule"), first("job_id"), first("threads"), first("wildcards"), first("log"), F.min_by("last_ts", F.when(F.col("job_id").isNotNull(), F.col("line_no"))).alias("start_time"), F.min("line_no").alias("line_no"))
-    return got.where("job_id is not null")
+    f = facts(lines).where("kind = 'block' and job_id is not null")
+    return f.select(*RUN, "block", "rule", "job_id", "threads", "wildcards", "log", F.col("time").alias("start_time"), "line_no")
 
 
 def scheduled_jobs(lines: DataFrame) -> DataFrame:
     """The first block of every job id."""
-    r = F.row_number().over(Window.partitionBy(*RUN, "job_id").orderBy("block"))
-    return blocks(lines).withColumn("r", r).where("r = 1").drop("r", "block")
+    return _first_of(blocks(lines), ["job_id"], "block").drop("block")
 
 
 def job_threads(lines: DataFrame) -> DataFrame:
@@ -52,42 +147,76 @@ def job_threads(lines: DataFrame) -> DataFrame:
 
 
 def finished_jobs(lines: DataFrame) -> DataFrame:
-    return parsed(lines).where("finished is not null").select(*RUN, F.col("finished").alias("job_id"), F.col("last_ts").alias("end_time"), "rule", "line_no")
+    return facts(lines).where("kind = 'finished'").select(*RUN, "job_id", F.col("time").alias("end_time"), "rule", "line_no")
 
 
 def completions_per_rule(lines: DataFrame) -> DataFrame:
-    """Finished jobs by the rule of their id, or else the current rule."""
-    ids = blocks(lines).groupBy(*RUN, "job_id").agg(F.max_by("rule", "block").alias("r"))
-    done = finished_jobs(lines).join(ids, [*RUN, "job_id"], "left")
-    return done.groupBy(*RUN, F.coalesce("r", "rule").alias("rule")).agg(F.count(F.lit(1)).alias("completed"))
+    """Finished jobs by the rule of their id's last block, or else the current rule."""
+    f = facts(lines).where("job_id is not null and kind in ('block', 'finished')")
+    last = F.max_by("rule", F.when(F.col("kind") == "block", F.col("block"))).over(Window.partitionBy(*RUN, "job_id"))
+    done = f.withColumn("rule", F.coalesce(last, "rule")).where("kind = 'finished'")
+    return done.groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("completed"))
+
+
+_FIELDS = ["rule", "threads", "wildcards", "log"]
 
 
 def completed_jobs(lines: DataFrame) -> DataFrame:
     """As-of match: a finish belongs to the latest start of its job id before it; both times are needed."""
-    start = blocks(lines).select(*RUN, "job_id", "line_no", F.struct("rule", "start_time", "threads", "wildcards", "log").alias("s"), F.lit(None).cast("double").alias("end_time"))
-    end = finished_jobs(lines).select(*RUN, "job_id", "line_no", F.lit(None).cast(start.schema["s"].dataType).alias("s"), "end_time")
+    f = facts(lines).where("job_id is not null and kind in ('block', 'finished')")
     w = Window.partitionBy(*RUN, "job_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    both = start.unionByName(end).withColumn("s", F.last("s", True).over(w))
-    got = both.where("end_time is not null and s.start_time is not null").select(*RUN, "job_id", "s.*", "end_time", "line_no")
-    r = F.row_number().over(Window.partitionBy(*RUN, "job_id").orderBy(F.desc("line_no")))
-    return got.withColumn("r", r).where("r = 1").select(*RUN, "job_id", "rule", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "threads", "wildcards", "log")
+    start = F.when(F.col("kind") == "block", F.struct("rule", F.col("time").alias("start_time"), "threads", "wildcards", "log"))
+    got = f.withColumn("s", F.last(start, True).over(w)).where("kind = 'finished' and time is not null and s.start_time is not null")
+    got = got.select(*RUN, "job_id", "s", F.col("time").alias("end_time"), "line_no")
+    got = _first_of(got.withColumn("line_no", -F.col("line_no")), ["job_id"], "line_no").select(*RUN, "job_id", "s.*", "end_time")
+    return got.select(*RUN, "job_id", "rule", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "threads", "wildcards", "log")
+
+
+def _with_owners(f: DataFrame) -> DataFrame:
+    """Error blocks take what they don't say from the rule block around them, if it is of the same rule (own)."""
+    own = F.max(F.when(F.col("kind") == "block", F.struct("rule", "job_id", "threads", "wildcards", "log"))).over(Window.partitionBy(*RUN, "block"))
+    f = f.withColumn("own", F.when(F.col("kind") == "error", own))
+    f = f.withColumn("own", F.when(F.col("own.rule") == F.col("rule"), F.col("own")))
+    return f.withColumn("job_id", F.coalesce("job_id", "own.job_id"))
 
 
 def failed_jobs(lines: DataFrame) -> DataFrame:
     """Error blocks; fields inside win over those of the rule block if its rule is the same; the first of equal (rule, job id) stays."""
-    p = parsed(lines).where("in_error")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
-    err = p.groupBy(*RUN, "error_block").agg(first("error_rule"), first("job_id"), first("log"), F.min("line_no").alias("line_no"), F.min("block").alias("block"))
-    own = blocks(lines).select(*RUN, "block", F.col("rule").alias("error_rule"), F.col("job_id").alias("j"), "threads", "wildcards", F.col("log").alias("l"))
-    got = err.join(own, [*RUN, "block", "error_rule"], "left").select(*RUN, F.col("error_rule").alias("rule"), F.coalesce("job_id", "j").alias("job_id"), F.coalesce("log", "l").alias("log"), "threads", "wildcards", "line_no")
-    r = F.row_number().over(Window.partitionBy(*RUN, "rule", "job_id").orderBy("line_no"))
-    return got.withColumn("r", r).where("r = 1").drop("r", "line_no")
+    err = _with_owners(facts(lines).where("kind <> 'finished'")).where("kind = 'error'")
+    got = err.select(*RUN, "rule", "job_id", F.coalesce("log", "own.log").alias("log"), "own.threads", "own.wildcards", "line_no")
+    return _first_of(got, ["rule", "job_id"], "line_no").drop("line_no")
 
 
 def running_jobs(lines: DataFrame) -> DataFrame:
-    """Started, neither finished nor failed; the first start of an id counts."""
-    ended = finished_jobs(lines).select(*RUN, "job_id").unionByName(failed_jobs(lines).where("job_id is not null").select(*RUN, "job_id"))
-    return scheduled_jobs(lines).join(ended, [*RUN, "job_id"], "left_anti").drop("line_no")
+    """Started, neither finished nor failed; the first start of an id counts.
+
+    The start is the last time stamp before the job id; a log without time stamps has none.
+    """
+    f = _with_owners(facts(lines)).where("job_id is not null")
+    ended = F.max((F.col("kind") != "block").cast("int")).over(Window.partitionBy(*RUN, "job_id"))
+    open_ = f.withColumn("ended", ended).where("ended = 0")
+    return _first_of(open_, ["job_id"], "block").select(*RUN, "job_id", "rule", "threads", "wildcards", "log", F.col("time").alias("start_time"))
+
+
+def lifecycle(lines: DataFrame) -> DataFrame:
+    """Every job id of a log: its last start with the fields that its blocks gave first or later, its end and what it is.
+
+    status is failed, completed or running by what the log says last; end_order numbers the
+    completed jobs of a run by their end.
+    """
+    f = facts(lines).where("job_id is not null")
+    last = lambda c, kind: F.max_by(c, F.when((F.col("kind") == kind) & F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    ended = F.col("kind").isin("finished", "error")
+    got = f.groupBy(*RUN, "job_id").agg(
+        *[last(c, "block") for c in _FIELDS],
+        F.max_by("time", F.when(F.col("kind") == "block", F.col("line_no"))).alias("start_time"),
+        F.max_by("time", F.when(ended, F.col("line_no"))).alias("end_time"),
+        F.max_by("kind", "line_no").alias("last"),
+    )
+    status = F.when(F.col("last") == "finished", "completed").when(F.col("last") == "error", "failed").otherwise("running")
+    got = got.withColumn("status", status).withColumn("end_time", F.when(F.col("last") == "finished", F.col("end_time"))).drop("last")
+    order = F.row_number().over(Window.partitionBy(*RUN).orderBy(F.when(F.col("status") == "completed", F.col("end_time")).asc_nulls_last(), "job_id"))
+    return got.withColumn("end_order", F.when(F.col("status") == "completed", order))
 
 
 def expected_counts(lines: DataFrame) -> DataFrame:
@@ -102,22 +231,31 @@ def expected_counts(lines: DataFrame) -> DataFrame:
 
 
 def provided_cores(lines: DataFrame) -> DataFrame:
-    c = S.cores(F.col("line"))
-    return lines.groupBy(*RUN).agg(F.min_by(c, F.when(c.isNotNull(), F.col("line_no"))).alias("cores"))
+    return lines.groupBy(*RUN).agg(_cores().alias("cores"))
 
 
 def run_start(lines: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    t = S.timestamp(F.col("line"))
-    out = lines.groupBy(*RUN).agg(F.min_by(t, F.when(t.isNotNull(), F.col("line_no"))).alias("run_start"))
+    out = lines.groupBy(*RUN).agg(_started().alias("run_start"))
     if fallback is None:
         return out
     return out.join(fallback.select(*RUN, F.col("ctime")), RUN, "left").select(*RUN, F.coalesce("run_start", "ctime").alias("run_start"))
 
 
+def run_plan(lines: DataFrame) -> DataFrame:
+    """What a log announces, a row a run: cores, start, expected jobs by rule, and the number of scheduled jobs."""
+    counts = expected_counts(lines).groupBy(*RUN).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "expected")))).alias("expected"),
+        F.sum("expected").alias("n_expected"),
+    )
+    scheduled = scheduled_jobs(lines).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_scheduled"))
+    head = overview(lines).select(*RUN, "cores", "run_start")
+    out = head.join(counts, RUN, "left").join(scheduled, RUN, "left")
+    return out.withColumn("n_scheduled", F.coalesce("n_scheduled", F.lit(0)))
+
+
 def pending_jobs(lines: DataFrame, planned: DataFrame) -> DataFrame:
     """Planned jobs (workflow_id, run_id, job_id) that neither run nor ended."""
-    seen = running_jobs(lines).select(*RUN, "job_id").unionByName(finished_jobs(lines).select(*RUN, "job_id")).unionByName(failed_jobs(lines).select(*RUN, "job_id"))
-    return planned.join(seen, [*RUN, "job_id"], "left_anti")
+    return planned.join(_with_owners(facts(lines)).select(*RUN, "job_id"), [*RUN, "job_id"], "left_anti")
 
 
 def log_tail(lines: DataFrame, n: int = 500) -> DataFrame:

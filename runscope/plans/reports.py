@@ -66,10 +66,13 @@ def shares(snapshot: DataFrame) -> DataFrame:
 
 
 def snapshot(lines: DataFrame, live: DataFrame | None = None, incomplete: DataFrame | None = None) -> DataFrame:
-    """One row per run: counts, status, times. live(workflow_id, running) and incomplete(workflow_id, n) come from lock and marker files."""
+    """One row per run: counts, status, times. live(workflow_id, running) and incomplete(workflow_id, n) come from lock and marker files.
+
+    The facts of the logs, which three counts share, are kept in memory or on disk.
+    """
     count = lambda d, n: d.groupBy(*RUN).agg(F.count(F.lit(1)).alias(n))
-    s = L.latest_progress(lines).join(L.run_start(lines), RUN, "left").join(L.provided_cores(lines), RUN, "left")
-    for d, n in ((L.running_jobs(lines), "n_running"), (L.failed_jobs(lines), "n_failed"), (L.completed_jobs(lines), "n_completed")):
+    s, f = L.overview(lines), L.facts(lines).persist()
+    for d, n in ((L.running_jobs(f), "n_running"), (L.failed_jobs(f), "n_failed"), (L.completed_jobs(f), "n_completed")):
         s = s.join(count(d, n), RUN, "left").withColumn(n, F.coalesce(n, F.lit(0)))
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("run_start"), F.desc("run_id"))) == 1
     s = s.withColumn("latest", last)
