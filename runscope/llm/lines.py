@@ -43,7 +43,8 @@ from .shared import contains, marked, small_batches, texts, written
 
 PERCENT, WIDTH, BUCKETS = 75, 1, 1 << 22
 _CELL, _HELD, _CHUNK = 1 << 12, 1 << 19, 1 << 19
-_SURE = 10  # a pair is nearly sure if at most a tenth of its tokens seems to differ
+#: How many tokens only one of two lines has, as the number of differing parities tells, and the share of all up to which a pair is nearly sure.
+_APART, _SURE = np.append(-64 * np.log1p(-np.arange(64) / 64), np.full(65, np.inf)), 0.1
 _STEPS = 7  # counts are told apart by steps of a seventh of a doubling
 _U = np.uint64
 
@@ -280,7 +281,8 @@ class Group:
         n = self.size[a]
         ok = (100 + p) * apart <= (100 - p) * both
         ok &= 100 * np.minimum(n, both - n) >= p * np.maximum(n, both - n)
-        return at[ok], _SURE * apart[ok] <= both[ok]
+        ok &= (2 * n != both) | ((100 + p) * (n - 1) >= p * both)  # they are not equal
+        return at[ok], _APART[apart[ok]] <= _SURE * both[ok]
 
     def first_candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """later, earlier (-1: none here) and if the later one may have more under this key."""
@@ -337,6 +339,10 @@ class Group:
             behind = behind[free[behind]]
             free[behind] = False
             out.append((at[behind], np.full(len(behind), at[k]), np.ones(len(behind), bool)))
+            for step in range(1, self.limits.kept):  # and with some of those that go to it before them
+                later, earlier = at[behind[step:]], at[behind[:-step]]
+                ok, _ = self.fits(later, earlier)
+                out.append((later[ok], earlier[ok], np.ones(len(ok), bool)))
             rest = np.flatnonzero(free[k + 1 :])
             k = k + 1 + int(rest[0]) if len(rest) else len(at)
         return out
