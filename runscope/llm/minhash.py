@@ -114,9 +114,10 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda i: sets.select(F.col("doc_id").alias(i), F.col("grams").alias(f"g{i}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb").mapInArrow(_confirm(percent), "a long, b long")
+    """The pairs (a, b) whose full sets are similar enough. Only sets of pairs are shuffled, to the pair that needs them."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    side = lambda i: pairs.join(sets.select(F.col("doc_id").alias(i), F.col("grams").alias(f"g{i}")), i)
+    return side("a").join(side("b"), ["a", "b"]).select("a", "b", "ga", "gb").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _detail(batches):
@@ -130,8 +131,8 @@ def _detail(batches):
 def _across(percent: int, least: int):
     """Pairs of different components in one chunk of a bucket that may be similar enough.
 
-    Probes, the members outside the bucket's largest component, are compared with the
-    chunk's own members. A pair is looked at in the first bucket that it shares. Coordinates
+    Probes, which are members outside the bucket's largest component, are compared with the
+    chunk's own members; theirs are in every chunk. A pair is looked at in the first bucket that it shares. Coordinates
     (a byte each) agree with a probability of at least the similarity; five standard
     deviations below the threshold, less than one pair in a million is missed.
     """
@@ -139,13 +140,13 @@ def _across(percent: int, least: int):
 
     def run(table: pa.Table) -> pa.Table:
         doc, n, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp"))
-        main, probe = (table.column(c).to_numpy() for c in ("of_main", "probe"))
+        main, mine = (table.column(c).to_numpy() for c in ("of_main", "own"))
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(doc), -1)
         sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint8).reshape(len(doc), -1)
         band = int((keys[0] == table.column("key")[0].as_py()).argmax())
         out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        own = np.flatnonzero(~probe)
-        for x in np.flatnonzero(probe):
+        own = np.flatnonzero(mine)
+        for x in np.flatnonzero(~main):
             fit = (comp[own] != comp[x]) & (main[own] | (doc[own] > doc[x]))
             y = own[fit & (100 * np.minimum(n[own], n[x]) >= percent * np.maximum(n[own], n[x]))]
             same = keys[y] == keys[x]
@@ -205,10 +206,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = size.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("members")).where("comps > 1")
     rest = written(in_comp.join(mixed, "key").select("key", "doc_id", "n", "comp", (F.col("comp") == F.col("main")).alias("of_main"), F.ceil(F.col("members") / BLOCK).alias("chunks")), "mixed")
     detail = written(sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_detail, "doc_id long, sk binary").join(first.select("doc_id", "keys"), "doc_id"), "detail")
-    # members of the largest component are in one chunk, the others are compared with every chunk
-    own = rest.select("key", "doc_id", "n", "comp", "of_main", F.lit(False).alias("probe"), F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
-    probes = rest.where("not of_main").select("key", "doc_id", "n", "comp", "of_main", F.lit(True).alias("probe"), every)
+    # a member is in one chunk, and if it is outside the largest component, is compared with those in every other one
+    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+    own = rest.select("key", "doc_id", "n", "comp", "of_main", F.lit(True).alias("own"), "chunk")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
+    probes = rest.where("not of_main and chunks > 1").select("*", every).where("other <> chunk")
+    probes = probes.select("key", "doc_id", "n", "comp", "of_main", F.lit(False).alias("own"), F.col("other").alias("chunk"))
     chunks = own.unionByName(probes).join(detail, "doc_id")
     pairs = chunks.groupBy("key", "chunk").applyInArrow(_across(percent, least), "a long, b long").distinct()
     more = confirmed(pairs, sets, percent)
