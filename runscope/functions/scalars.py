@@ -147,13 +147,25 @@ def duration_range(low: Column, high: Column) -> Column:
     return F.concat(duration_text(low), F.lit(" - "), duration_text(high))
 
 
-def size_text(size: Column, binary: bool = True) -> Column:
-    """B to PB in steps of 1024 or 1000; whole bytes without decimals."""
+def _decimals(x: Column, places: int) -> Column:
+    """Rounded half to even, as exact decimals."""
+    return _fmt(f"%.{places}f", F.bround(x, places))
+
+
+def size_text(size: Column, binary: bool = True, precision: int = 1) -> Column:
+    """B to PB in steps of 1024 or 1000; whole numbers of a unit without decimals, except of PB."""
     step = 1024.0 if binary else 1000.0
-    out = _fmt("%.1f PB", size / step**5)
-    for power, unit in reversed(list(enumerate(["KB", "MB", "GB", "TB"], 1))):
-        out = F.when(size < step ** (power + 1), F.format_string(f"%.1f {unit}", size / step**power)).otherwise(out)
-    return F.when(size.isNull() | (size < 0), "0 B").when(size < step, _fmt("%d B", size.cast("long"))).otherwise(out)
+    size = size.cast("double")
+    out = F.concat(_decimals(size / step**5, precision), F.lit(" PB"))
+    for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
+        x = size / step**power
+        text = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(_decimals(x, precision))
+        out = F.when(x < step, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
+    return F.when(size.isNull() | (size < 0), "0 B").otherwise(out)
+
+
+def size_rate_text(bytes_per_second: Column, precision: int = 1) -> Column:
+    return F.concat(size_text(bytes_per_second, precision=precision), F.lit("/s"))
 
 
 def rate_text(items: Column, seconds: Column, unit: str = "items") -> Column:
@@ -169,14 +181,18 @@ def percent_text(x: Column) -> Column:
 def count_text(done: Column, total: Column, compact: bool = False) -> Column:
     if compact:
         return _fmt("%d/%d", done.cast("long"), total.cast("long"))
-    share = F.when(total > 0, done / total).otherwise(F.lit(0.0))
-    return F.concat(_fmt("%d of %d (", done.cast("long"), total.cast("long")), percent_text(share), F.lit(")"))
+    text = _fmt("%d of %d", done.cast("long"), total.cast("long"))
+    return F.when(total > 0, F.concat(text, F.lit(" ("), _decimals(done / total * 100, 1), F.lit("%)"))).otherwise(text)
 
 
 def eta_text(seconds: Column, low: Column, high: Column, confidence: Column) -> Column:
-    width = F.when(seconds > 0, (high - low) / seconds).otherwise(F.lit(0.0))
-    rough = F.concat(F.lit("~"), duration_text(seconds))
-    return F.when(seconds == float("inf"), "unknown").when((confidence > 0.7) & (width < 0.3), rough).when(confidence > 0.4, duration_range(low, high)).when(confidence > 0.1, F.concat(rough, F.lit(" (rough)"))).otherwise(F.concat(rough, F.lit(" (very rough)")))
+    """An estimate at high confidence if its bounds are near or unknown, a range at medium confidence if bounds are known, else a rough estimate."""
+    near = F.concat(F.lit("~"), duration_text(seconds))
+    bounded = low.isNotNull() & high.isNotNull()
+    plain = (confidence > 0.7) & (~bounded | ((seconds > 0) & ((high - low) / seconds < 0.3)))
+    rough = F.when(confidence > 0.1, F.concat(near, F.lit(" (rough)"))).otherwise(F.concat(near, F.lit(" (very rough)")))
+    text = F.when(plain, near).when((confidence > 0.4) & bounded, duration_range(low, high)).otherwise(rough)
+    return F.when(seconds == float("inf"), "unknown").otherwise(text)
 
 
 def wildcard_text(m: Column, most: int = 50) -> Column:

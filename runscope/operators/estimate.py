@@ -120,8 +120,10 @@ def job_estimates(jobs: DataFrame, samples: DataFrame, *, conditioning: bool = T
     j = j.join(like, "rule", "left").crossJoin(F.broadcast(mean))  # one row
 
     est = lambda e, v, m: F.struct(e.alias("expected"), v.alias("variance"), F.lit(m).alias("method"))
-    sc = F.when((F.coalesce("sized", F.lit(0)) >= 3) & (F.coalesce("median_size", F.lit(0)) > 0), F.least(F.lit(0.8), F.col("sized") / 10.0)).otherwise(F.lit(0.0))
-    scaled = F.col("w") * F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.pow(F.col("input_size") / F.col("median_size"), F.lit(0.5))))
+    few = (F.coalesce("sized", F.lit(0)) < DEFAULT.min_pairs_for_size) | (F.coalesce("median_size", F.lit(0)) <= 0)
+    sc = F.when(few, F.lit(0.0)).otherwise(F.least(F.lit(0.8), F.col("sized") / 10.0))
+    ratio = F.pow(F.col("input_size") / F.col("median_size"), F.lit(0.5))
+    scaled = F.col("w") * F.least(F.lit(DEFAULT.size_clamp_high), F.greatest(F.lit(DEFAULT.size_clamp_low), ratio))
     use_size = (F.col("input_size") > 0) & (sc > DEFAULT.size_confidence)
     var = lambda mean, scenario: F.when(F.col("n") > 1, F.pow("std", 2)).otherwise(F.pow(mean * M[scenario], 2))
     pick = F.coalesce(
@@ -143,17 +145,23 @@ def pending_exact(expected: DataFrame, completed: DataFrame, running: DataFrame)
     return j.select(*keys, (F.col("expected") - F.coalesce("c", F.lit(0)) - F.coalesce("r", F.lit(0))).alias("pending")).where("pending > 0")
 
 
-def pending_proportional(completed: DataFrame, pending: DataFrame) -> DataFrame:
-    """Shares a run's pending number among rules like its completions (n), rounding half to even."""
+def pending_proportional(completed: DataFrame, pending: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """Shares a run's pending number among rules like its completions (n), rounding half to even.
+
+    current(run, rule), if given, are the rules that a run still has; others get no share.
+    """
+    if current is not None:
+        completed = completed.join(current.select(*RUN, "rule").distinct(), [*RUN, "rule"], "left_semi")
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*RUN))
     return completed.join(pending, RUN).select(*RUN, "rule", F.bround(F.col("pending") * share).cast("long").alias("pending")).where("pending > 0")
 
 
-def pending_per_rule(expected: DataFrame, completed: DataFrame, running: DataFrame, pending: DataFrame) -> DataFrame:
+def pending_per_rule(expected: DataFrame, completed: DataFrame, running: DataFrame, pending: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """Exact for runs with expected counts, proportional for others; nothing where nothing is pending."""
-    some = pending.where("pending > 0")
+    some = pending.where("pending > 0").select(*RUN, "pending")
     exact = pending_exact(expected, completed, running).join(some.select(*RUN), RUN, "left_semi")
-    return exact.unionByName(pending_proportional(completed, some.join(expected.select(*RUN).distinct(), RUN, "left_anti")))
+    rest = some.join(expected.select(*RUN).distinct(), RUN, "left_anti")
+    return exact.unionByName(pending_proportional(completed, rest, current))
 
 
 def peak_threads(jobs: DataFrame) -> DataFrame:
@@ -168,44 +176,119 @@ def estimated_cores(provided: Column, peak: Column) -> Column:
     return F.greatest(F.lit(1.0), F.coalesce(F.when(provided >= 1, provided.cast("double")), peak.cast("double"), F.lit(1.0)))
 
 
-def confidence_parts(samples: DataFrame, rules_done: DataFrame, as_of: float) -> DataFrame:
-    """Per run: sample, recency, consistency and coverage. rules_done: run, rule."""
-    per = samples.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.lit(0.9).alias("recency")).join(E.recent_consistency(samples, ["rule"], as_of), "rule")
-    whole = per.agg(F.least(F.lit(1.0), F.sum("n") / 10.0).alias("sample"), F.count(F.lit(1)).alias("rules"))
-    j = rules_done.distinct().join(per, "rule", "left").groupBy(*RUN).agg(F.coalesce(F.avg("recency"), F.lit(0.5)).alias("recency"), F.coalesce(F.avg("consistency"), F.lit(0.5)).alias("consistency"), F.count(F.lit(1)).alias("done"))
-    return j.crossJoin(F.broadcast(whole)).select(*RUN, "sample", "recency", "consistency", (F.col("done") / F.greatest(F.lit(1), F.col("rules"))).alias("coverage"))
+def confidence_parts(samples: DataFrame, rules_done: DataFrame, as_of: float, expected: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Per run: sample, recency, consistency and coverage. rules_done: run, rule.
 
-
-def estimate_runs(snapshot: DataFrame, todo: DataFrame, samples: DataFrame, rules_done: DataFrame, as_of: float, *, records: DataFrame | None = None, has_history: bool = True) -> DataFrame:
+    In runs with expected counts (run, rule, ...) only rules done there count; in others, every
+    known rule counts as done, too. runs: all runs to give, by default those of rules_done.
+    """
+    per = E.timing_stats(samples, ["rule"]).select("rule", "n").join(E.recency_factor(samples, ["rule"]), "rule").join(E.recent_consistency(samples, ["rule"], as_of), "rule")
+    whole = per.agg(
+        F.least(F.lit(1.0), F.sum("n") / 10.0).alias("sample"),
+        F.count(F.lit(1)).alias("rules"),
+        F.avg("recency").alias("all_recency"),
+        F.avg("consistency").alias("all_consistency"),
+    )
+    known = F.col("n").isNotNull()
+    j = rules_done.select(*RUN, "rule").distinct().join(per, "rule", "left").groupBy(*RUN).agg(
+        F.avg("recency").alias("recency"), F.avg("consistency").alias("consistency"), F.count(F.lit(1)).alias("done"), F.count_if(~known).alias("unknown")
+    )
+    j = (rules_done if runs is None else runs).select(*RUN).distinct().join(j, RUN, "left").na.fill(0, ["done", "unknown"])
+    planned = None if expected is None else expected.select(*RUN, F.lit(True).alias("planned")).distinct()
+    j = j.withColumn("planned", F.lit(False)) if planned is None else j.join(planned, RUN, "left").withColumn("planned", F.coalesce("planned", F.lit(False)))
+    j = j.crossJoin(F.broadcast(whole))  # one row
+    pick = lambda c: F.coalesce(F.when(F.col("planned"), F.col(c)).otherwise(F.col(f"all_{c}")), F.lit(0.5)).alias(c)
+    covered = F.when(F.col("planned"), F.col("done")).otherwise(F.col("rules") + F.col("unknown"))
+    return j.select(*RUN, "sample", pick("recency"), pick("consistency"), (covered / F.greatest(F.lit(1), F.col("rules"))).alias("coverage"))
+
+
+def _counted_work(pending: DataFrame, samples: DataFrame, typical: DataFrame) -> DataFrame:
+    """Work and variance of pending(run, rule, pending) jobs of which only the number is known."""
+    rule = _estimates(samples, ["rule"]).select("rule", "n", "std", "weighted_mean")
+    j = pending.join(rule, "rule", "left").join(typical, "rule", "left").crossJoin(F.broadcast(E.global_mean(samples)))  # one row
+    mean = F.coalesce("weighted_mean", "global_mean")
+    # fixed values: the spread of a single sample, and of no sample at all
+    alone = F.when(F.col("n").isNull(), M["global"]).otherwise(M["single_sample"])
+    var = F.when(F.col("n") > 1, F.pow("std", 2)).otherwise(F.pow(mean * alone, 2))
+    t = F.coalesce("typical_threads", F.lit(1.0))
+    return j.groupBy(*RUN).agg(F.sum(F.col("pending") * mean * t).alias("c_work"), F.sum(F.col("pending") * var * t * t).alias("c_var"))
+
+
+def _by_rule(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def estimate_runs(
+    snapshot: DataFrame,
+    todo: DataFrame,
+    samples: DataFrame,
+    rules_done: DataFrame,
+    as_of: float,
+    *,
+    records: DataFrame | None = None,
+    expected: DataFrame | None = None,
+    current: DataFrame | None = None,
+    has_history: bool = True,
+) -> DataFrame:
     """One estimate per run: seconds_remaining, lower, upper, confidence, method.
 
-    snapshot: run, total, completed, elapsed, cores. todo: pending and running jobs
-    of the runs (state, rule, threads, wildcards, input_size, elapsed).
+    snapshot: run, total, completed, pending, elapsed, cores (null: what its running jobs use).
+    todo: pending and running jobs of the runs (state, rule, threads, wildcards, input_size,
+    elapsed). rules_done: run and rule of every completion. Where a run's pending jobs are not
+    all in todo, their number is shared among rules: by expected(run, rule, expected) counts
+    if a run has any, else like its completions and, for other rules, like the history.
     """
     c = DEFAULT
-    typical = E.typical_threads(samples)
+    typical, zero = E.typical_threads(samples), F.lit(0.0)
+    if expected is None:
+        expected = rules_done.select(*RUN, "rule", F.lit(0).alias("expected")).limit(0)
     j = job_estimates(todo, samples, records=records).join(typical, "rule", "left").withColumn("t", F.coalesce(F.col("threads").cast("double"), "typical_threads", F.lit(1.0)))
-    left = F.when(F.col("state") == "running", F.greatest(F.lit(0.0), F.col("expected") - F.coalesce("elapsed", F.lit(0.0)))).otherwise(F.col("expected"))
-    work = j.groupBy(*RUN).agg(F.sum(left * F.col("t")).alias("work"), F.sum(F.col("variance") * F.col("t") * F.col("t")).alias("var"), F.sum("t").alias("threads"), F.sum(F.when(F.col("state") == "running", F.coalesce("elapsed", F.lit(0.0)) * F.col("t"))).alias("spent"))
-    s = snapshot.join(work, RUN, "left").join(confidence_parts(samples, rules_done, as_of), RUN, "left").crossJoin(F.broadcast(E.global_mean(samples)))
-    cores = F.greatest(F.lit(1.0), F.col("cores").cast("double"))
-    est = lambda m, e, lo, hi, conf: F.struct(F.lit(m).alias("method"), e.alias("seconds_remaining"), lo.alias("lower"), hi.alias("upper"), conf.alias("confidence"))
-    zero = F.lit(0.0)
+    runs, old = F.col("state") == "running", F.coalesce("elapsed", zero)
+    left = F.when(runs, F.greatest(zero, F.col("expected") - old)).otherwise(F.col("expected"))
+    of = lambda ok, value, name: F.sum(F.when(ok, value)).alias(name)
+    var = F.col("variance") * F.col("t") * F.col("t")
+    work = j.groupBy(*RUN).agg(
+        of(runs, left * F.col("t"), "r_work"), of(~runs, left * F.col("t"), "p_work"), of(runs, var, "r_var"), of(~runs, var, "p_var"),
+        of(runs, old * F.col("t"), "spent"), of(runs, F.coalesce(F.col("threads"), F.lit(1)), "peak"),
+        F.sum("t").alias("threads"), F.count_if(~runs).alias("listed"),
+    )
+    s = snapshot.join(work, RUN, "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+
+    # pending jobs by rule where there is no whole list of them
+    counted = s.where("not (listed > 0 and listed >= pending)").select(*RUN, "pending")
+    done = _by_rule(rules_done)
+    other = counted.join(expected.select(*RUN).distinct(), RUN, "left_anti").crossJoin(_by_rule_count(samples))  # runs times rules
+    history = other.join(done.select(*RUN, "rule"), [*RUN, "rule"], "left_anti").select(*RUN, "rule", "n")
+    per_rule = pending_per_rule(expected, done.unionByName(history), _by_rule(todo.where("state = 'running'")), counted, current)
+    s = s.join(_counted_work(per_rule, samples, typical), RUN, "left")
+
+    s = s.join(confidence_parts(samples, rules_done, as_of, expected, snapshot), RUN, "left").crossJoin(F.broadcast(E.global_mean(samples)))  # one row
+    cores = estimated_cores(F.col("cores"), F.col("peak"))
+    est = lambda m, e, lo, hi, conf: F.struct(F.lit(m).alias("method"), e.alias("seconds_remaining"), lo, hi, conf.alias("confidence"))
+    low, high = (lambda x: x.alias("lower")), (lambda x: x.alias("upper"))
     boot = F.col("global_mean") * F.coalesce(F.col("threads"), F.col("total").cast("double")) / cores
-    bootstrap = est("bootstrap", boot, boot * c.bootstrap_low, boot * c.bootstrap_high, F.lit(c.bootstrap_confidence))
+    bootstrap = est("bootstrap", boot, low(boot * c.bootstrap_low), high(boot * c.bootstrap_high), F.lit(c.bootstrap_confidence))
     rate = F.col("elapsed") / F.col("completed")
     simple_e = F.when(F.col("threads").isNotNull(), F.greatest(zero, rate * cores * F.col("threads") - F.coalesce("spent", zero)) / cores).otherwise(rate * (F.col("total") - F.col("completed")))
     unsure = F.greatest(F.lit(c.simple_min_uncertainty), 1 - F.col("completed") / F.col("total"))
-    simple = F.when(F.coalesce("elapsed", zero) <= 0, bootstrap).otherwise(est("simple", simple_e, simple_e * (1 - unsure), simple_e * (1 + unsure * 2), simple_confidence(F.col("completed"))))
-    e = F.coalesce("work", zero) / cores
-    sd = F.when(F.coalesce("var", zero) > 0, F.sqrt("var") / cores).otherwise(e * M["single_sample"])
+    simple = est("simple", simple_e, low(simple_e * (1 - unsure)), high(simple_e * (1 + unsure * 2)), simple_confidence(F.col("completed")))
+    simple = F.when(F.coalesce("elapsed", zero) <= 0, bootstrap).otherwise(simple)
+    whole = (F.col("listed") > 0) & (F.col("listed") >= F.col("pending"))
+    both = lambda x: F.coalesce(f"r_{x}", zero) + F.coalesce(F.when(whole, F.col(f"p_{x}")).otherwise(F.col(f"c_{x}")), zero)
+    e = both("work") / cores
+    sd = F.when(both("var") > 0, F.sqrt(both("var")) / cores).otherwise(e * M["single_sample"])
     conf = confidence(F.coalesce("sample", zero), F.coalesce("recency", F.lit(0.5)), F.coalesce("consistency", F.lit(0.5)), F.coalesce("coverage", zero))
-    weighted = est("weighted", e, F.greatest(zero, e - 2 * sd), e + 2 * sd, conf)
-    done = (F.col("total") == 0) | (F.col("completed") >= F.col("total"))
-    pick = F.when(done, est("complete", zero, zero, zero, F.lit(1.0))).when(F.col("completed") == 0, bootstrap).otherwise(weighted if has_history else simple)
+    weighted = est("weighted", e, *bounds(e, sd), conf)
+    done_ = (F.col("total") == 0) | (F.col("completed") >= F.col("total"))
+    complete = est("complete", zero, low(zero), high(zero), F.lit(1.0))
+    pick = F.when(done_, complete).when(F.col("completed") == 0, bootstrap).otherwise(weighted if has_history else simple)
     return s.select(*RUN, pick.alias("x")).select(*RUN, "x.*")
 
 
+def _by_rule_count(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 def running_remaining(jobs: DataFrame) -> DataFrame:
     """remaining of running jobs(expected, variance, elapsed, tool_percent): the tool's share wins; overdue within two deviations is 0, beyond two thirds of the elapsed time."""
     p = F.col("tool_percent") / 100

@@ -59,11 +59,12 @@ def facts(lines: DataFrame) -> DataFrame:
     """kind (block, finished, error), block (the rule block around it), rule, job_id, threads, wildcards, log, time, line_no.
 
     Of a block's values the first of each counts; time is the last time stamp before the job id
-    of a block and before a finish. Blocks come without a job id, too.
+    of a block and before a finish. Blocks come without a job id, too. Takes lines, or lines with
+    their context as a stream has left them.
     """
     if "kind" in lines.columns:
         return lines
-    p = with_context(parsed(lines))
+    p = lines if "in_error" in lines.columns else with_context(parsed(lines))
     kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
     number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
     # fields of one kind of line in one struct, so that few values are compared

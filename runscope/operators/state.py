@@ -117,8 +117,80 @@ def status_of_log() -> Column:
 
 
 def status_of_registry(as_of: float, stale: float = DEFAULT.stale_seconds) -> Column:
-    """From total, completed, failed, running, last_update."""
-    return F.when(F.coalesce("total", F.lit(0)) == 0, "not_started").when(F.col("completed") >= F.col("total"), "completed").when((F.col("failed") > 0) & (F.col("running") == 0), "failed").when(F.lit(as_of) - F.col("last_update") > stale, "stale").when((F.col("running") > 0) | (F.col("completed") > 0), "running").otherwise("not_started")
+    """From total, completed, failed, running, start_time. A job that runs decides first, an old start only if nothing runs and something is done."""
+    total, done, failed, running = (F.col(c) for c in ("total", "completed", "failed", "running"))
+    age = F.lit(as_of) - F.col("start_time")
+    unknown = F.when(failed > 0, "failed").when(running > 0, "running").otherwise("unknown")
+    begun = F.when(age > stale, "stale").when(age.isNotNull(), "running").otherwise("incomplete")
+    known = (
+        F.when(running > 0, "running")
+        .when((failed > 0) & (done < total), "failed")
+        .when(done >= total, "completed")
+        .when(done == 0, "not_started")
+        .otherwise(begun)
+    )
+    return F.when(total.isNull(), unknown).otherwise(known)
+
+
+def registry_snapshot(jobs: DataFrame, progress: DataFrame, starts: DataFrame, as_of: float) -> DataFrame:
+    """A row a workflow from its jobs(workflow_id, status), progress(workflow_id, completed, total) and starts(workflow_id, start_time).
+
+    Submitted jobs are pending; a missing total is null for the status and 0 in the table.
+    """
+    counts = status_counts(jobs).withColumnRenamed("submitted", "pending")
+    total = progress.select("workflow_id", "total")
+    s = counts.join(total, "workflow_id", "full_outer").join(starts.select("workflow_id", "start_time"), "workflow_id", "left")
+    s = s.na.fill(0, ["pending", "running", "completed", "failed"]).withColumn("status", status_of_registry(as_of))
+    return s.withColumn("total", F.coalesce("total", F.lit(0)))
+
+
+def overlay(log_jobs: DataFrame, event_jobs: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """One table of jobs from the log's view refined by events: workflow_id, job_id, state and what is known of the job.
+
+    log_jobs(workflow_id, job_id, state, rule, threads, wildcards, start_time, end_time), state running,
+    failed or completed; event_jobs the same columns with the registry's status. A job that events
+    failed is failed; else a failure in the log counts; else the events' state, if they know it.
+    What events know of a job beats the log. Submitted jobs are pending; in workflows without such,
+    planned(workflow_id, job_id, rule, threads) jobs that neither view has seen are.
+    """
+    known = ["rule", "threads", "wildcards", "start_time", "end_time"]
+    kinds = {"SUBMITTED": "pending", "RUNNING": "running", "COMPLETED": "completed", "FAILED": "failed"}
+    state = F.coalesce(*[F.when(F.col("status") == a, F.lit(b)) for a, b in kinds.items()])
+    e = event_jobs.select("workflow_id", "job_id", state.alias("e_state"), *[F.col(c).alias(f"e_{c}") for c in known])
+    j = log_jobs.join(e, ["workflow_id", "job_id"], "full_outer")
+    failed = (F.col("e_state") == "failed") | (F.col("state") == "failed")
+    ahead = F.when((F.col("e_state") == "pending") & F.col("state").isNotNull(), F.col("state")).otherwise(F.col("e_state"))
+    merged = F.when(F.coalesce(failed, F.lit(False)), "failed").otherwise(F.coalesce(ahead, "state"))
+    out = j.select("workflow_id", "job_id", merged.alias("state"), *[F.coalesce(f"e_{c}", c).alias(c) for c in known])
+    if planned is None:
+        return out
+    waiting = out.where("state = 'pending'").select("workflow_id").distinct()
+    rest = planned.join(waiting, "workflow_id", "left_anti").join(out, ["workflow_id", "job_id"], "left_anti")
+    return out.unionByName(rest.select("workflow_id", "job_id", F.lit("pending").alias("state"), "rule", "threads"), allowMissingColumns=True)
+
+
+def overlaid_counts(log_counts: DataFrame, progress: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Completed and total of the last progress event, or else of the log, and the numbers of overlaid jobs by state."""
+    p = progress.select("workflow_id", F.col("completed").alias("e_completed"), F.col("total").alias("e_total"))
+    states = ("running", "failed", "pending")
+    n = jobs.groupBy("workflow_id").agg(*[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in states])
+    s = log_counts.join(p, "workflow_id", "full_outer").join(n, "workflow_id", "full_outer")
+    done = [F.coalesce(f"e_{c}", c).alias(c) for c in ("completed", "total")]
+    return s.select("workflow_id", *done, *[F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in states])
+
+
+def all_samples(profile: DataFrame, metadata: DataFrame, events: DataFrame, log_threads: DataFrame) -> DataFrame:
+    """Samples of all sources with a column source: profile, metadata, events and log jobs with known threads.
+
+    Each has rule, duration, end_time and what else it knows (threads, wildcards, input_size, k1..k4).
+    """
+    log_threads = log_threads.where("threads is not null and duration is not null")
+    parts = (("profile", profile), ("metadata", metadata), ("events", events), ("log", log_threads))
+    out = None
+    for name, d in parts:
+        d = d.withColumn("source", F.lit(name))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out
 
 
 def pending_count() -> list[Column]:

@@ -442,43 +442,125 @@ def peak(spark, d):
     return X.peak_threads(A.samples(spark, d))
 
 
+def _history(spark, d):
+    """Samples in which one wildcard value takes three times as long, so that it predicts."""
+    slow = F.when(F.col("wildcards")["flag"] == "R", 3).otherwise(1)
+    return A.samples(spark, d).withColumn("duration", F.col("duration") * slow)
+
+
 def _todo(spark, d):
-    """Jobs to estimate: what the logs say is running or failed, with a changed thread count for some and renamed or new rules for others."""
-    j = A.numbered(spark, d).where("ended <> 'finished'")
-    rule = F.when(F.col("job_id") % 3 == 0, F.concat("rule", F.lit("x"))).when(F.col("job_id") % 11 == 0, F.lit("entirely_new")).otherwise(F.col("rule"))
-    return j.select(*RUN, "job_id", rule.alias("rule"), F.when(F.col("job_id") % 2 == 0, F.col("threads") + 10).otherwise(F.col("threads")).cast("int").alias("threads"), "wildcards", "input_size", F.when(F.col("ended") == "running", "running").otherwise("pending").alias("state"), F.lit(20.0).alias("elapsed"))
+    """Jobs that run or failed, changed so that each way of estimating is needed for some."""
+    j = A.numbered(spark, d).where("ended <> 'finished'").withColumn("x", F.floor(F.col("job_id") / 10) % 8)
+    x = F.col("x")
+    rule = F.when(x == 5, F.concat("rule", F.lit("x"))).when(x == 6, F.lit("entirely_new")).otherwise(F.col("rule"))
+    threads = F.when(x == 1, F.col("threads") + 10).when(x.isin(2, 3, 4), None).when(x == 7, 5).otherwise(F.col("threads")).cast("int")
+    known = lambda key, other: F.when(x.isin(*other), F.lit("Z")).otherwise(F.col("wildcards")[key])
+    wildcards = F.create_map(F.lit("flag"), known("flag", (3, 4, 7)), F.lit("status"), known("status", (2, 3, 4, 7)))
+    size = F.when(x != 4, F.col("input_size"))
+    state = F.when(F.col("ended") == "running", "running").otherwise("pending")
+    return j.select(*RUN, "job_id", rule.alias("rule"), threads.alias("threads"), wildcards.alias("wildcards"), size.alias("input_size"), state.alias("state"), F.lit(20.0).alias("elapsed"))
 
 
-_EST = f"""
-todo AS (SELECT workflow_id, run_id, job_id, CASE WHEN job_id % 3 = 0 THEN rule || 'x' WHEN job_id % 11 = 0 THEN 'entirely_new' ELSE rule END AS rule, CASE WHEN job_id % 2 = 0 THEN threads + 10 ELSE threads END AS threads, flag, status, input_size FROM jj WHERE ended <> 'finished'),
-c AS (SELECT rule, combo, count(*) AS n, sum(duration * w) / sum(w) AS e, stddev_samp(duration) AS sd FROM (SELECT *, pow(0.5, (row_number() OVER (PARTITION BY rule, combo ORDER BY end_time DESC, k1 DESC, k2 DESC, k3 DESC, k4 DESC) - 1) / 10.0) AS w FROM (SELECT *, {_COMBO} AS combo FROM s)) GROUP BY ALL),
-pool AS (SELECT rule, count(*) AS n, sum(duration * w) / sum(w) AS e, stddev_samp(duration) AS sd FROM (SELECT *, pow(0.5, ({_W.format(by='rule')}) / 10.0) AS w FROM s WHERE threads IS NOT NULL) GROUP BY rule),
-allr AS (SELECT rule, count(*) AS n, sum(duration * w) / sum(w) AS e, stddev_samp(duration) AS sd FROM (SELECT *, pow(0.5, ({_W.format(by='rule')}) / 10.0) AS w FROM s) GROUP BY rule),
-{_MED},
-near AS (SELECT rule, arg_min(match, d * 1000000 + r) AS match FROM (SELECT a.rule, b.rule AS match, levenshtein(a.rule, b.rule) AS d, row_number() OVER (ORDER BY b.rule) AS r FROM (SELECT DISTINCT rule FROM todo WHERE rule NOT IN (SELECT rule FROM allr)) a, allr b WHERE levenshtein(a.rule, b.rule) <= 3) GROUP BY rule),
-g AS (SELECT avg(duration) AS e FROM s),
-res AS (SELECT t.*, CASE WHEN c.n IS NOT NULL THEN 'combination' WHEN t.threads IS NOT NULL AND pool.n IS NOT NULL THEN 'threads' WHEN allr.n IS NOT NULL AND t.input_size > 0 AND m.c >= 4 THEN 'size' WHEN allr.n IS NOT NULL THEN 'rule' WHEN near.match IS NOT NULL THEN 'similar' ELSE 'global' END AS method,
-  c.e AS ce, c.n AS cn, c.sd AS csd, pool.e AS pe, pool.n AS pn, pool.sd AS psd, allr.e AS re, allr.n AS rn, allr.sd AS rsd, m.med, m.c AS mc, x.e AS xe, x.n AS xn, x.sd AS xsd, g.e AS ge
-  FROM todo t LEFT JOIN c ON c.rule = t.rule AND c.combo = 'flag=' || t.flag || ':status=' || t.status || coalesce(':threads=' || t.threads, '') LEFT JOIN pool ON pool.rule = t.rule LEFT JOIN allr ON allr.rule = t.rule LEFT JOIN m ON m.rule = t.rule LEFT JOIN near ON near.rule = t.rule LEFT JOIN allr x ON x.rule = near.match, g)"""
+_NEW = "end_time DESC, k1 DESC, k2 DESC, k3 DESC, k4 DESC"
+
 
+def _weighted(by: str, source: str) -> str:
+    return f"SELECT {by}, count(*) AS n, sum(duration * w) / sum(w) AS e, stddev_samp(duration) AS sd FROM (SELECT *, pow(0.5, (row_number() OVER (PARTITION BY {by} ORDER BY {_NEW}) - 1) / 10.0) AS w FROM {source}) GROUP BY {by}"
 
-@query("f09_job_estimates", "SELECT workflow_id, run_id, job_id, method, round(CASE method WHEN 'combination' THEN ce WHEN 'threads' THEN pe WHEN 'size' THEN re * least(2.0, greatest(0.5, pow(input_size / med, 0.5))) WHEN 'rule' THEN re WHEN 'similar' THEN xe ELSE ge END, 5) AS expected, round(CASE method WHEN 'combination' THEN CASE WHEN cn >= 3 THEN csd * csd ELSE pow(0.5 * ce, 2) END WHEN 'threads' THEN psd * psd WHEN 'size' THEN rsd * rsd * (1 - 0.5 * least(0.8, mc / 10.0)) WHEN 'rule' THEN rsd * rsd WHEN 'similar' THEN xsd * xsd ELSE pow(0.5 * ge, 2) END, 4) AS variance FROM res", f"{JOBS}, {_EST}")
+
+_EST = f"""
+hs AS (SELECT * REPLACE (duration * CASE WHEN flag = 'R' THEN 3 ELSE 1 END AS duration), {_COMBO} AS combo FROM s),
+tx AS (SELECT *, job_id // 10 % 8 AS x FROM jj WHERE ended <> 'finished'),
+todo AS (SELECT workflow_id, run_id, job_id, ended, CASE x WHEN 5 THEN rule || 'x' WHEN 6 THEN 'entirely_new' ELSE rule END AS rule,
+  CASE WHEN x = 1 THEN threads + 10 WHEN x IN (2, 3, 4) THEN NULL WHEN x = 7 THEN 5 ELSE threads END AS threads,
+  CASE WHEN x IN (3, 4, 7) THEN 'Z' ELSE flag END AS flag, CASE WHEN x IN (2, 3, 4, 7) THEN 'Z' ELSE status END AS status, CASE WHEN x <> 4 THEN input_size END AS input_size FROM tx),
+c AS ({_weighted('rule, combo', 'hs')}),
+thr AS ({_weighted('rule, threads', '(SELECT * FROM hs WHERE threads IS NOT NULL)')}),
+pool AS ({_weighted('rule', '(SELECT * FROM hs WHERE threads IS NOT NULL)')}),
+allr AS ({_weighted('rule', 'hs')}),
+wv AS (SELECT *, 'flag' AS key, flag AS value FROM hs UNION ALL SELECT *, 'status', status FROM hs),
+pk AS (SELECT rule, arg_max(key, ratio) AS key FROM (SELECT rule, key, count(*) AS n, var_pop(mean) / pow(avg(mean), 2) AS ratio
+  FROM (SELECT rule, key, value, avg(duration) AS mean FROM wv GROUP BY ALL HAVING count(*) >= 3) GROUP BY rule, key) WHERE n >= 2 AND ratio > 0.05 GROUP BY rule),
+wx AS (SELECT * FROM ({_weighted('rule, key, value', 'wv')}) WHERE n >= 3),
+{_MED},
+near AS (SELECT rule, arg_min(match, d * 1000000 + r) AS match FROM (SELECT a.rule, b.rule AS match, levenshtein(a.rule, b.rule) AS d, row_number() OVER (ORDER BY b.rule) AS r
+  FROM (SELECT DISTINCT rule FROM todo WHERE rule NOT IN (SELECT rule FROM allr)) a, allr b WHERE levenshtein(a.rule, b.rule) <= 3) GROUP BY rule),
+g AS (SELECT avg(duration) AS e FROM hs),
+found AS (SELECT t.*, CASE WHEN c.n IS NOT NULL THEN 'combination' WHEN t.threads IS NOT NULL AND pool.n IS NOT NULL THEN 'threads' WHEN wx.n IS NOT NULL THEN 'wildcard'
+    WHEN allr.n IS NOT NULL AND t.input_size > 0 AND m.c >= 4 THEN 'size' WHEN allr.n IS NOT NULL THEN 'rule' WHEN near.match IS NOT NULL THEN 'similar' ELSE 'global' END AS method,
+  c.e AS ce, c.n AS cn, c.sd AS csd, coalesce(thr.e, pool.e) AS pe, CASE WHEN thr.n IS NULL THEN CASE WHEN pool.n > 1 THEN pool.sd * pool.sd ELSE pow(0.3 * pool.e, 2) END WHEN thr.n > 1 THEN thr.sd * thr.sd ELSE pow(0.2 * thr.e, 2) END AS pv,
+  wx.e AS we, wx.sd AS wsd, allr.e AS re, allr.n AS rn, allr.sd AS rsd, m.med, m.c AS mc, x.e AS xe, x.n AS xn, x.sd AS xsd, g.e AS ge
+  FROM todo t LEFT JOIN c ON c.rule = t.rule AND c.combo = 'flag=' || t.flag || ':status=' || t.status || coalesce(':threads=' || t.threads, '')
+  LEFT JOIN thr ON thr.rule = t.rule AND thr.threads = t.threads LEFT JOIN pool ON pool.rule = t.rule LEFT JOIN allr ON allr.rule = t.rule LEFT JOIN m ON m.rule = t.rule
+  LEFT JOIN pk ON pk.rule = t.rule LEFT JOIN wx ON wx.rule = t.rule AND wx.key = pk.key AND wx.value = CASE pk.key WHEN 'flag' THEN t.flag ELSE t.status END
+  LEFT JOIN near ON near.rule = t.rule LEFT JOIN allr x ON x.rule = near.match, g),
+res AS (SELECT *, CASE method WHEN 'combination' THEN ce WHEN 'threads' THEN pe WHEN 'wildcard' THEN we WHEN 'size' THEN re * least(2.0, greatest(0.5, pow(input_size / med, 0.5))) WHEN 'rule' THEN re WHEN 'similar' THEN xe ELSE ge END AS expected,
+  CASE method WHEN 'combination' THEN CASE WHEN cn >= 3 THEN csd * csd ELSE pow(0.5 * ce, 2) END WHEN 'threads' THEN pv WHEN 'wildcard' THEN wsd * wsd WHEN 'size' THEN rsd * rsd * (1 - 0.5 * least(0.8, mc / 10.0))
+    WHEN 'rule' THEN rsd * rsd WHEN 'similar' THEN xsd * xsd ELSE pow(0.5 * ge, 2) END AS variance FROM found)"""
+
+
+@query("f09_job_estimates", "SELECT workflow_id, run_id, job_id, method, round(expected, 5) AS expected, round(variance, 4) AS variance FROM res", f"{JOBS}, {_EST}")
 def job_estimates(spark, d):
-    got = X.job_estimates(_todo(spark, d), A.samples(spark, d))
+    got = X.job_estimates(_todo(spark, d), _history(spark, d))
     return got.select(*RUN, "job_id", "method", F.round("expected", 5).alias("expected"), F.round("variance", 4).alias("variance"))
 
 
-@query("f20_run_estimates", None)
+@query("f09_methods", "SELECT method, count(*) AS n FROM res GROUP BY 1", f"{JOBS}, {_EST}")
+def job_methods(spark, d):
+    return X.job_estimates(_todo(spark, d), _history(spark, d)).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RUN_EST = """
+ty AS (SELECT rule, coalesce(avg(threads), 1.0) AS tt FROM hs GROUP BY rule),
+jobs AS (SELECT r.*, coalesce(r.threads, ty.tt, 1.0) AS t, ended = 'running' AS runs FROM res r LEFT JOIN ty ON ty.rule = r.rule WHERE ended = 'running' OR workflow_id % 2 = 0),
+work AS (SELECT workflow_id, run_id, sum(greatest(0, expected - 20) * t) FILTER (runs) AS rw, sum(expected * t) FILTER (NOT runs) AS pw, sum(variance * t * t) FILTER (runs) AS rv, sum(variance * t * t) FILTER (NOT runs) AS pv,
+  sum(coalesce(threads, 1)) FILTER (runs) AS peak, sum(t) AS threads, count(*) FILTER (NOT runs) AS listed FROM jobs GROUP BY ALL),
+snap AS (SELECT workflow_id, run_id, count(*) AS total, count(*) FILTER (ended = 'finished') AS completed, count(*) FILTER (ended = 'failed') AS pending, CASE WHEN workflow_id % 5 <> 0 THEN workflow_id + 1 END AS cores FROM jj GROUP BY ALL),
+done AS (SELECT workflow_id, run_id, rule, count(*) AS n FROM jj WHERE ended = 'finished' GROUP BY ALL),
+expd AS (SELECT workflow_id, run_id, rule, count(*) AS x FROM jj WHERE workflow_id % 4 = 1 GROUP BY ALL),
+runr AS (SELECT workflow_id, run_id, rule, count(*) AS n FROM jobs WHERE runs GROUP BY ALL),
+cnt AS (SELECT s.workflow_id, s.run_id, pending FROM snap s LEFT JOIN work w USING (workflow_id, run_id) WHERE NOT (coalesce(listed, 0) > 0 AND coalesce(listed, 0) >= pending) AND pending > 0),
+exact AS (SELECT e.workflow_id, e.run_id, e.rule, x - coalesce(d.n, 0) - coalesce(r.n, 0) AS k FROM expd e JOIN cnt USING (workflow_id, run_id) LEFT JOIN done d USING (workflow_id, run_id, rule) LEFT JOIN runr r USING (workflow_id, run_id, rule)),
+shared AS (SELECT c.workflow_id, c.run_id, a.rule, c.pending, coalesce(d.n, a.n) AS n FROM cnt c CROSS JOIN allr a LEFT JOIN done d ON d.workflow_id = c.workflow_id AND d.run_id = c.run_id AND d.rule = a.rule WHERE c.workflow_id % 4 <> 1),
+prop AS (SELECT workflow_id, run_id, rule, CAST(round_even(pending * (n / sum(n) OVER (PARTITION BY workflow_id, run_id)), 0) AS BIGINT) AS k FROM shared),
+counted AS (SELECT p.workflow_id, p.run_id, sum(k * a.e * ty.tt) AS cw, sum(k * CASE WHEN a.n > 1 THEN a.sd * a.sd ELSE pow(0.3 * a.e, 2) END * ty.tt * ty.tt) AS cv
+  FROM (SELECT * FROM exact WHERE k > 0 UNION ALL SELECT * FROM prop WHERE k > 0) p JOIN allr a USING (rule) JOIN ty USING (rule) GROUP BY ALL),
+cov AS (SELECT workflow_id, run_id, count(*) AS done FROM done GROUP BY ALL),
+z AS (SELECT s.workflow_id, s.run_id, total, completed, greatest(1.0, coalesce(cores, peak, 1)) AS cores, coalesce(threads, total) AS threads,
+  coalesce(rw, 0) + coalesce(CASE WHEN coalesce(listed, 0) > 0 AND listed >= pending THEN pw ELSE cw END, 0) AS work, coalesce(rv, 0) + coalesce(CASE WHEN coalesce(listed, 0) > 0 AND listed >= pending THEN pv ELSE cv END, 0) AS var,
+  least(0.9, 0.4 * 1.0 + 0.3 * 0.9 + 0.2 * 0.5 + 0.1 * CASE WHEN s.workflow_id % 4 = 1 THEN coalesce(done, 0) / (SELECT count(*) FROM allr) ELSE 1.0 END) AS conf, g.e AS ge
+  FROM snap s LEFT JOIN work USING (workflow_id, run_id) LEFT JOIN counted USING (workflow_id, run_id) LEFT JOIN cov USING (workflow_id, run_id), g),
+eta AS (SELECT workflow_id, run_id, CASE WHEN completed >= total THEN 'complete' WHEN completed = 0 THEN 'bootstrap' ELSE 'weighted' END AS method,
+  CASE WHEN completed >= total THEN 0 WHEN completed = 0 THEN ge * threads / cores ELSE work / cores END AS seconds_remaining,
+  CASE WHEN completed >= total THEN 0 WHEN completed = 0 THEN ge * threads / cores * 0.2 ELSE greatest(0, work / cores - 2 * CASE WHEN var > 0 THEN sqrt(var) / cores ELSE work / cores * 0.3 END) END AS lower,
+  CASE WHEN completed >= total THEN 0 WHEN completed = 0 THEN ge * threads / cores * 3 ELSE work / cores + 2 * CASE WHEN var > 0 THEN sqrt(var) / cores ELSE work / cores * 0.3 END END AS upper,
+  CASE WHEN completed >= total THEN 1.0 WHEN completed = 0 THEN 0.05 ELSE conf END AS confidence FROM z)"""
+
+
+def _estimates(spark, d):
+    """Odd workflows have no list of pending jobs, some of them expected counts; every fifth doesn't tell its cores."""
+    j = A.numbered(spark, d)
+    ended = lambda k: F.count_if(F.col("ended") == k)
+    snap = j.groupBy(*RUN).agg(F.count(F.lit(1)).alias("total"), ended("finished").alias("completed"), ended("failed").alias("pending"), (F.max("end_time") - F.min("start_time")).alias("elapsed"))
+    snap = snap.withColumn("cores", F.when(F.col("workflow_id") % 5 != 0, F.col("workflow_id") + 1))
+    todo = _todo(spark, d).where("state = 'running' or workflow_id % 2 = 0")
+    expected = j.where("workflow_id % 4 = 1").groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("expected"))
+    return X.estimate_runs(snap, todo, _history(spark, d), j.where("ended = 'finished'").select(*RUN, "rule"), AS_OF * 2, expected=expected)
+
+
+@query("f20_run_estimates", "SELECT workflow_id, run_id, method, round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper, round(confidence, 6) AS confidence FROM eta", f"{JOBS}, {_EST}, {_RUN_EST}")
 def run_estimates(spark, d):
-    j, s = A.numbered(spark, d), A.samples(spark, d)
-    snap = j.groupBy(*RUN).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ended") == "finished").alias("completed"), (F.max("end_time") - F.min("start_time")).alias("elapsed")).withColumn("cores", F.col("workflow_id") + 1)
-    return X.estimate_runs(snap, _todo(spark, d), s, j.where("ended = 'finished'").select(*RUN, "rule"), AS_OF)
+    return rounded(rounded(_estimates(spark, d), "seconds_remaining", "lower", "upper", places=4), "confidence")
 
 
-@query("f21_confidence_parts", "SELECT workflow_id, run_id, least(1.0, (SELECT count(*) FROM s) / 10.0) AS sample, CAST(0.9 AS DOUBLE) AS recency, CAST(0.5 AS DOUBLE) AS consistency, round(count(DISTINCT rule) / (SELECT count(DISTINCT rule) FROM s), 6) AS coverage FROM s GROUP BY ALL", SAMPLES)
+@query("f21_confidence_parts", "SELECT workflow_id, run_id, least(1.0, (SELECT count(*) FROM s) / 10.0) AS sample, CAST(0.9 AS DOUBLE) AS recency, CAST(0.5 AS DOUBLE) AS consistency, CASE WHEN workflow_id % 2 = 0 THEN round(count(DISTINCT rule) / (SELECT count(DISTINCT rule) FROM s), 6) ELSE round(1.0 + 1.0 / (SELECT count(DISTINCT rule) FROM s), 6) END AS coverage FROM s GROUP BY workflow_id, run_id", SAMPLES)
 def confidence_parts(spark, d):
+    """Even workflows have expected counts; odd ones also completed a rule without history."""
     s = A.samples(spark, d)
-    return rounded(X.confidence_parts(s, s.select(*RUN, "rule"), AS_OF * 2), "coverage", "recency", "consistency")
+    done = s.select(*RUN, "rule")
+    new = done.where("workflow_id % 2 = 1").select(*RUN, F.lit("unseen").alias("rule"))
+    parts = X.confidence_parts(s, done.unionByName(new), AS_OF * 2, done.where("workflow_id % 2 = 0"))
+    return rounded(parts, "coverage", "recency", "consistency")
 
 
 # ------------------------------------------------------------------ tools
@@ -515,8 +597,7 @@ def count_texts(spark, d):
 def recent(spark, d):
     j = A.numbered(spark, d).select(*RUN, "job_id", "rule", "end_time", "ended")
     done, bad = (j.where(F.col("ended") == k).drop("ended") for k in ("finished", "failed"))
-    both = done.withColumn("state", F.lit("completed")).unionByName(bad.withColumn("state", F.lit("failed")))
-    return both.orderBy(F.desc("end_time"), "rule", "job_id", *RUN).limit(20)
+    return R.recent_completions(done, bad)
 
 
 @query("i11_pending_table", "SELECT rule, count(*) AS pending, greatest(0, (SELECT count(DISTINCT rule) FROM jj WHERE ended = 'failed') - 10) AS more FROM jj WHERE ended = 'failed' GROUP BY rule ORDER BY 2 DESC, 1 LIMIT 10", JOBS)
@@ -550,7 +631,85 @@ def shares(spark, d):
     return rounded(R.shares(x), "succeeded", "failed", "incomplete", "remaining", "percent_done")
 
 
-@query("i17_status_report", None)
+def _duration_sql(x: str) -> str:
+    s = f"CAST(floor({x}) AS BIGINT)"
+    minutes = f"CASE WHEN {s} % 60 = 0 THEN ({s} // 60) || 'm' ELSE ({s} // 60) || 'm ' || ({s} % 60) || 's' END"
+    hours = f"CASE WHEN {s} % 3600 // 60 = 0 THEN ({s} // 3600) || 'h' ELSE ({s} // 3600) || 'h ' || ({s} % 3600 // 60) || 'm' END"
+    return f"(CASE WHEN {x} < 0 THEN '0s' WHEN {s} < 60 THEN {s} || 's' WHEN {s} < 3600 THEN {minutes} ELSE {hours} END)"
+
+
+_ETA_TEXT = f"""CASE WHEN confidence > 0.7 AND (lower IS NULL OR (seconds_remaining > 0 AND (upper - lower) / seconds_remaining < 0.3)) THEN '~' || {_duration_sql('seconds_remaining')}
+  WHEN confidence > 0.4 AND lower IS NOT NULL THEN {_duration_sql('lower')} || ' - ' || {_duration_sql('upper')}
+  ELSE '~' || {_duration_sql('seconds_remaining')} || CASE WHEN confidence > 0.1 THEN ' (rough)' ELSE ' (very rough)' END END"""
+
+
+@query("i06_eta_texts", f"SELECT duration, c AS confidence, bounded, {_ETA_TEXT} AS text FROM (SELECT duration, c, b AS bounded, duration AS seconds_remaining, CASE WHEN b THEN duration * 0.9 END AS lower, CASE WHEN b THEN duration * (1.1 + c) END AS upper, c AS confidence FROM (SELECT DISTINCT duration FROM s), (SELECT unnest([0.05, 0.3, 0.5, 0.75, 0.95]::DOUBLE[]) AS c), (SELECT unnest([true, false]) AS b))", SAMPLES)
+def eta_texts(spark, d):
+    x = A.samples(spark, d).select("duration").distinct()
+    x = x.withColumn("confidence", F.explode(F.array(*[F.lit(v) for v in (0.05, 0.3, 0.5, 0.75, 0.95)]))).withColumn("bounded", F.explode(F.array(F.lit(True), F.lit(False))))
+    low, high = (F.when(F.col("bounded"), F.col("duration") * v) for v in (F.lit(0.9), 1.1 + F.col("confidence")))
+    return x.withColumn("text", S.eta_text(F.col("duration"), low, high, F.col("confidence")))
+
+
+@query("i03_size_texts", "SELECT size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN CASE WHEN size % 1024 = 0 THEN (size // 1024) || ' KB' ELSE format('{:.1f}', size / 1024) || ' KB' END WHEN size < 1073741824 THEN CASE WHEN size % 1048576 = 0 THEN (size // 1048576) || ' MB' ELSE format('{:.1f}', size / 1048576) || ' MB' END ELSE format('{:.1f}', size / 1073741824) || ' GB' END AS text FROM (SELECT DISTINCT CAST(n_chars * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1000 END AS BIGINT) AS size FROM documents)")
+def size_texts(spark, d):
+    factor = F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 1024).otherwise(1000)
+    x = A.table(spark, d, "documents").select((F.col("n_chars") * factor).cast("long").alias("size")).distinct()
+    return x.select("size", S.size_text(F.col("size")).alias("text"))
+
+
+@query("i17_status_report", f"""SELECT q.workflow_id, q.run_id, CASE WHEN n_failed > 0 THEN 'failed' WHEN completed < total THEN 'incomplete' ELSE 'completed' END AS status,
+  completed || ' of ' || total || CASE WHEN total > 0 THEN ' (' || format('{{:.1f}}', completed * 100.0 / total) || '%)' ELSE '' END AS progress, {_duration_sql(f'({AS_OF} - run_start)')} AS elapsed, 0 AS n_running, n_failed, CAST(0 AS BIGINT) AS n_incomplete, eta.text AS eta
+  FROM (SELECT workflow_id, run_id, coalesce(max(job_id) FILTER (ended = 'finished'), 0) AS completed, CASE WHEN count(*) FILTER (ended = 'finished') > 0 THEN 1000 ELSE 0 END AS total, count(*) FILTER (ended = 'failed') AS n_failed, arg_min(start_time, job_id) AS run_start FROM jj GROUP BY ALL) q
+  JOIN (SELECT workflow_id, run_id, {_ETA_TEXT} AS text FROM (SELECT * REPLACE (round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper) FROM eta)) eta USING (workflow_id, run_id)""", f"{JOBS}, {_EST}, {_RUN_EST}")
 def status_report(spark, d):
-    eta = run_estimates(spark, d)
-    return R.status_report(R.snapshot(A.log_lines(spark, d)), eta, AS_OF)
+    return R.status_report(R.snapshot(A.log_lines(spark, d)), run_estimates(spark, d), AS_OF)
+
+
+# ------------------------------------------------------------------ views put together
+
+
+@query("c12_lifecycle", "SELECT workflow_id, run_id, job_id, rule, threads, 'flag=' || flag || ', status=' || status AS wildcards, 'logs/' || rule || '/' || job_id || '.log' AS log, start_time, CASE WHEN ended = 'finished' THEN end_time END AS end_time, CASE ended WHEN 'finished' THEN 'completed' ELSE ended END AS status, CASE WHEN ended = 'finished' THEN CAST(row_number() OVER (PARTITION BY workflow_id, run_id ORDER BY CASE WHEN ended = 'finished' THEN end_time END NULLS LAST, job_id) AS INTEGER) END AS end_order FROM jj", JOBS)
+def lifecycle(spark, d):
+    return L.lifecycle(A.log_lines(spark, d))
+
+
+@query("d27_run_plan", "SELECT workflow_id, run_id, CAST(workflow_id + 1 AS INTEGER) AS cores, arg_min(start_time, job_id) AS run_start, CAST(count(DISTINCT rule) AS INTEGER) AS n_rules, count(*) AS n_expected, count(*) AS n_scheduled FROM jj GROUP BY workflow_id, run_id", JOBS)
+def run_plan(spark, d):
+    return L.run_plan(A.log_lines(spark, d)).select(*RUN, "cores", "run_start", F.size("expected").alias("n_rules"), "n_expected", "n_scheduled")
+
+
+_SNAP = f"""reg AS ({_REG}),
+snap AS (SELECT workflow_id, count(*) FILTER (status = 'SUBMITTED') AS pending, count(*) FILTER (status = 'RUNNING') AS running, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'FAILED') AS failed FROM reg GROUP BY 1),
+prog AS (SELECT workflow_id, max(timestamp) AS t0, arg_max(total_jobs, o)::INTEGER AS total FROM (SELECT *, row_number() OVER (ORDER BY timestamp, seq) AS o FROM e WHERE total_jobs IS NOT NULL) WHERE workflow_id % 3 <> 0 GROUP BY 1)"""
+
+
+@query("d26_registry_snapshot", "SELECT workflow_id, pending, running, completed, failed, start_time, status, coalesce(total, 0) AS total FROM (SELECT *, CASE WHEN total IS NULL THEN CASE WHEN failed > 0 THEN 'failed' WHEN running > 0 THEN 'running' ELSE 'unknown' END WHEN running > 0 THEN 'running' WHEN failed > 0 AND completed < total THEN 'failed' WHEN completed >= total THEN 'completed' WHEN completed = 0 THEN 'not_started' WHEN start_time IS NULL THEN 'incomplete' WHEN 1000000000 - start_time > 1800 THEN 'stale' ELSE 'running' END AS status FROM (SELECT snap.workflow_id, CASE WHEN snap.workflow_id % 4 = 0 THEN 0 ELSE pending END AS pending, running, completed, failed, CASE WHEN snap.workflow_id % 2 = 0 THEN CAST(1e9 - 100 * snap.workflow_id AS DOUBLE) END AS start_time, total FROM snap LEFT JOIN prog USING (workflow_id)))", f"{EVENTS}, {_SNAP}")
+def registry_snapshot(spark, d):
+    e = A.events(spark, d)
+    jobs = D.registry_fold(e).where("not (workflow_id % 4 = 0 and status = 'SUBMITTED')")
+    starts = e.where("workflow_id % 2 = 0").select("workflow_id", (F.lit(1e9) - 100 * F.col("workflow_id")).cast("double").alias("start_time")).distinct()
+    return D.registry_snapshot(jobs, D.workflow_progress(e).where("workflow_id % 3 <> 0"), starts, AS_OF)
+
+
+_VIEWS = f"""reg AS (SELECT workflow_id, CAST(key AS BIGINT) AS job_id, status, rule, threads FROM ({_REG})),
+lg AS (SELECT workflow_id, job_id, CASE WHEN job_id % 5 = 0 THEN 'failed' ELSE 'running' END AS state, rule FROM reg WHERE job_id % 2 = 0),
+ev AS (SELECT workflow_id, job_id, CASE status WHEN 'SUBMITTED' THEN 'pending' WHEN 'RUNNING' THEN 'running' WHEN 'COMPLETED' THEN 'completed' ELSE 'failed' END AS es, rule AS er, threads FROM reg WHERE job_id % 3 <> 0)"""
+
+
+@query("d12_event_overlay", "SELECT workflow_id, job_id, CASE WHEN es = 'failed' OR state = 'failed' THEN 'failed' WHEN es = 'pending' AND state IS NOT NULL THEN state ELSE coalesce(es, state) END AS state, coalesce(er, rule) AS rule, threads FROM lg FULL JOIN ev USING (workflow_id, job_id)", f"{EVENTS}, {_VIEWS}")
+def event_overlay(spark, d):
+    r = D.registry_fold(A.events(spark, d)).select("workflow_id", F.col("key").cast("long").alias("job_id"), "status", "rule", "threads", F.create_map().cast("map<string,string>").alias("wildcards"), "start_time", "end_time")
+    log = r.where("job_id % 2 = 0").withColumn("state", F.when(F.col("job_id") % 5 == 0, "failed").otherwise("running")).withColumn("threads", F.lit(None).cast("int")).drop("status")
+    return D.overlay(log, r.where("job_id % 3 <> 0")).select("workflow_id", "job_id", "state", "rule", "threads")
+
+
+@query("d25_all_samples", "SELECT source, count(*) AS n, count(threads) AS with_threads, round(sum(duration), 3) AS total FROM (SELECT 'profile' AS source, duration, NULL AS threads FROM s WHERE flag = 'A' UNION ALL SELECT 'metadata', duration, NULL FROM s WHERE flag = 'N' UNION ALL SELECT 'events', duration, threads FROM e WHERE event_type = 'job_finished' AND duration IS NOT NULL UNION ALL SELECT 'log', duration, threads FROM s WHERE flag = 'R' AND threads IS NOT NULL) GROUP BY 1", f"{SAMPLES}, {EVENTS}")
+def all_samples(spark, d):
+    from ..sources import readers
+
+    s, e = A.samples(spark, d), A.events(spark, d)
+    flag = lambda v: s.where(F.col("wildcards")["flag"] == v)
+    events = readers.event_history(e.withColumn("wildcards", F.lit(None).cast("map<string,string>"))).withColumn("threads", F.nullif("threads", F.lit(0)))
+    got = D.all_samples(E.profile_samples(E.profile(flag("A"))), flag("N").drop("threads"), events, flag("R"))
+    return got.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("threads").alias("with_threads"), F.round(F.sum("duration"), 3).alias("total"))

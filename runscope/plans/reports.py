@@ -25,8 +25,8 @@ def running_table(jobs: DataFrame, order: str = "remaining", descending: bool =
 
 def recent_completions(completed: DataFrame, failed: DataFrame, key: str = "end_time", descending: bool = True, k: int = 20) -> DataFrame:
     both = completed.withColumn("state", F.lit("completed")).unionByName(failed.withColumn("state", F.lit("failed")), allowMissingColumns=True)
-    c = F.col(key)
-    return both.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "rule", "job_id").limit(k)
+    c, ties = F.col(key), ["rule", "job_id", *[x for x in RUN if x in both.columns]]
+    return both.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *ties).limit(k)
 
 
 def pending_table(pending: DataFrame, k: int = 10) -> DataFrame:

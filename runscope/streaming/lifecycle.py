@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import logs
+
 _STATUS = {"job_submitted": "SUBMITTED", "job_started": "RUNNING", "job_finished": "COMPLETED", "job_error": "FAILED"}
 STATE = "status string, last_ts double, last_seq long, start_time double, start_ts double, end_time double, end_ts double"
-OUT = "workflow_id long, job_id long, status string, start_time double, end_time double, duration double"
+OUT = "workflow_id long, job_id long, status string, start_time double, end_time double, duration double, last_time double"
 
 
 def _folding(ttl_ms: int | None):
@@ -34,7 +36,7 @@ def _folding(ttl_ms: int | None):
         state.update((status, at, seq, start, start_at, end, end_at))
         if ttl_ms and status in ("COMPLETED", "FAILED"):
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"workflow_id": [key[0]], "job_id": [key[1]], "status": [status], "start_time": [start], "end_time": [end], "duration": [end - start if start is not None and end is not None else None]})
+        yield pd.DataFrame({"workflow_id": [key[0]], "job_id": [key[1]], "status": [status], "start_time": [start], "end_time": [end], "duration": [end - start if start is not None and end is not None else None], "last_time": [at]})
 
     return fold
 
@@ -63,7 +65,10 @@ def new_failures(failures: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def into_samples(events: DataFrame, path: str, checkpoint: str):
-    """Appends each finished job once to a samples table (Parquet)."""
+    """Appends each finished job once to a samples table (Parquet).
+
+    A repeat that arrives more than a day after is appended again; readers drop it by (workflow_id, job_id).
+    """
     done = events.where("event_type = 'job_finished' and duration is not null").withColumn("ts", F.timestamp_seconds("timestamp")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["workflow_id", "job_id"])
     rows = done.select("workflow_id", "job_id", F.col("rule_name").alias("rule"), "duration", F.col("timestamp").alias("end_time"), "threads")
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -75,5 +80,45 @@ def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpo
 
 
 def stale_jobs(jobs: DataFrame, as_of: float, after: float = 1800.0) -> DataFrame:
-    """Open jobs without activity."""
-    return jobs.where(F.col("status").isin("RUNNING", "SUBMITTED") & (F.lit(as_of) - F.coalesce("end_time", "start_time") > after))
+    """Open jobs without activity since their last known time; a submitted job has that of its submission."""
+    times = [c for c in ("last_time", "end_time", "start_time", "submit_time") if c in jobs.columns]
+    last = F.array_max(F.array(*times))
+    return jobs.where(F.col("status").isin("RUNNING", "SUBMITTED") & (F.lit(as_of) - last > after))
+
+
+_CONTEXT = "block long, error_block long, last_ts double, rule string, in_error boolean"
+_LINE = "workflow_id {w}, run_id string, line_no long, rule_start string, job_id long, finished long, error_rule string, ts double, wildcards string, threads int, log string"
+_CARRIED = "line_no long, block long, error_block long, last_ts double, rule string, in_error boolean"
+
+
+def _carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The context of a run's next lines; lines that were seen before are left out."""
+    seen, block, error_block, last_ts, rule, in_error = state.get if state.exists else (-1, 0, 0, None, None, False)
+    p = pd.concat(list(parts)).sort_values("line_no").drop_duplicates("line_no")
+    p = p[p["line_no"] > seen].reset_index(drop=True)
+    if not len(p):
+        return
+    opens = p["error_rule"].notna()
+    closes = (p["rule_start"].notna() | p["ts"].notna()) & ~opens
+    p["block"] = block + p["rule_start"].notna().cumsum()
+    p["error_block"] = error_block + (opens | closes).cumsum()
+    p["last_ts"] = pd.concat([pd.Series([last_ts], dtype="float64"), p["ts"].astype("float64")]).ffill().iloc[1:].to_numpy()
+    p["rule"] = pd.concat([pd.Series([rule], dtype="object"), p["rule_start"].astype("object")]).ffill().iloc[1:].to_numpy()
+    open_ = pd.Series(float("nan"), index=p.index).mask(opens, 1.0).mask(closes, 0.0)
+    p["in_error"] = open_.ffill().fillna(float(in_error)) == 1.0
+    end = p.iloc[-1]
+    ts = float(end["last_ts"])
+    state.update((int(end["line_no"]), int(end["block"]), int(end["error_block"]), None if ts != ts else ts, end["rule"] if isinstance(end["rule"], str) else None, bool(end["in_error"])))
+    yield p
+
+
+def log_context(lines: DataFrame) -> DataFrame:
+    """A stream of log lines with the context that batch parsing would give them, kept per run between micro-batches.
+
+    Appended to a table, its rows are what `logs.facts` reads. Lines of a run must arrive in order of line_no.
+    """
+    p = logs.parsed(lines)
+    kind = p.schema["workflow_id"].dataType.simpleString()
+    columns = [c.split()[0] for c in _LINE.split(", ")]
+    rows = p.select(*columns).groupBy("workflow_id", "run_id")
+    return rows.applyInPandasWithState(_carry, f"{_LINE.format(w=kind)}, {_CONTEXT}", _CARRIED, "append", GroupStateTimeout.NoTimeout)
