@@ -55,7 +55,7 @@ class Limits(NamedTuple):
     hot: int = 1 << 12  # tokens with a larger count are keys in pairs
     long: int = 128  # but not in lines of more tokens
     split: int = 1 << 20  # a key whose token has a larger count is dealt over parts
-    kept: int = 8  # candidates of a key and class, if all are nearly sure; others are left to the second pass
+    kept: int = 32  # candidates of a key and class, if all are nearly sure; others are left to the second pass
     many: int = 512  # classes under a key from which on, if they look alike, they are compared one with all
 
 
@@ -116,15 +116,26 @@ def _reading(width: int):
     """A row for each line (its identity), and at a task's end the counts of its tokens by hash bucket, where not 0."""
 
     def run(batches):
-        seen = np.zeros(BUCKETS, np.int64)
+        seen, held, n = np.zeros(BUCKETS, np.int64), [], 0
         names = ["doc_id", "line", "s1", "s2", "cell", "n"]
+
+        def count():
+            nonlocal seen
+            seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=BUCKETS)
+            held.clear()
+
         for b in K.slices(batches, "text"):
             x = Lines(b.column("text"), width)
-            seen += np.bincount((x.hash % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            held.append((x.hash % _U(BUCKETS)).astype(np.int64))
+            n += len(x.hash)
+            if n > BUCKETS:
+                count()
+                n = 0
             k = len(x.size)
             doc = pa.array(b.column("doc_id").to_numpy()[x.text])
             none = pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
             yield pa.RecordBatch.from_arrays([doc, pa.array(x.place), K.signed(x.identity(21)), K.signed(x.identity(22)), *none], names)
+        count()
         some = np.flatnonzero(seen)
         pairs = np.stack([some % _CELL, seen[some]], axis=1)
         cell, at = np.unique(some // _CELL, return_index=True)
@@ -339,7 +350,7 @@ class Group:
             behind = behind[free[behind]]
             free[behind] = False
             out.append((at[behind], np.full(len(behind), at[k]), np.ones(len(behind), bool)))
-            for step in range(1, self.limits.kept):  # and with some of those that go to it before them
+            for step in (1, 2, 4, 8, 16):  # and with some of those that go to it before them
                 later, earlier = at[behind[step:]], at[behind[:-step]]
                 ok, _ = self.fits(later, earlier)
                 out.append((later[ok], earlier[ok], np.ones(len(ok), bool)))
@@ -389,16 +400,21 @@ def _comparing(percent: int, limits: Limits, again: bool):
 
 
 def _sets(width: int, shared):
-    """(s1, tokens) of the lines in the bitmaps, of documents and of lines."""
+    """(s1, tokens) of the lines in the bitmap."""
 
     def run(batches):
-        docs, lines = shared.value
         for b in K.slices(batches, "text"):
-            b = b.filter(pa.array(contains(docs, b.column("doc_id").to_numpy())))
-            x = Lines(b.column("text"), width)
-            ok = contains(lines, b.column("doc_id").to_numpy()[x.text], x.place)
-            tokens = K.packed(x.hash[np.repeat(ok, x.size)], x.size[ok])
-            yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)[ok]), tokens], ["s1", "tokens"])
+            texts, doc = b.column("text"), b.column("doc_id").to_numpy()
+            data, at = K.raw(texts)
+            ends = np.sort(np.concatenate([np.flatnonzero(data == 10), at[1:]]), kind="stable")  # of each line
+            of = np.repeat(np.arange(len(doc)), 1 + np.diff(np.searchsorted(np.flatnonzero(data == 10), at)))
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            place = np.arange(len(of)) - first[of]
+            start = np.where(place == 0, at[of], np.append(0, ends[:-1]) + 1)
+            some = np.flatnonzero(contains(shared.value, doc[of], place))
+            whole = data.tobytes() if len(some) else b""
+            x = Lines(pa.array([whole[i:j] for i, j in zip(start[some], ends[some], strict=True)], pa.binary()).cast(pa.string()), width)
+            yield pa.RecordBatch.from_arrays([K.signed(x.identity(21)), K.packed(x.hash, x.size)], ["s1", "tokens"])
 
     return run
 
@@ -460,7 +476,7 @@ def removed_lines(
         two = pairs.where("a is not null")
         side = lambda i: two.select(F.col(i).alias("s1"), F.col(f"{i}_doc").alias("doc_id"), F.col(f"{i}_line").alias("line"))
         ends = written(side("a").unionByName(side("b")).distinct(), "ends")
-        model = share((marked(ends.select("doc_id")), marked(ends.select("doc_id", "line"))))
+        model = share(marked(ends.select("doc_id", "line")))
         sets = docs.mapInArrow(_sets(width, model), "s1 long, tokens binary")
         sets = written(sets.join(ends.select("s1").distinct(), "s1", "left_semi").dropDuplicates(["s1"]), "sets")
         model.destroy()

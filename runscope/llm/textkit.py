@@ -46,16 +46,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"]
 
 
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, null as empty, and where each begins and the last one ends."""
+    texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    offs = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offs[0] : offs[-1]] if held is not None else np.zeros(0, np.uint8)
+    return data, offs - offs[0]
+
+
 class Words:
     """The words of some texts: ``hash`` and byte span of each, and where each text's words begin."""
 
     def __init__(self, texts: pa.Array, is_word: np.ndarray = SPACED):
-        texts = pc.fill_null(texts, "")
-        wide = pa.types.is_large_string(texts.type)
-        offs = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        raw = texts.buffers()[2]
-        self.data = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]] if raw is not None else np.zeros(0, np.uint8)
-        self.text_at = offs - offs[0]
+        self.data, self.text_at = raw(texts)
         n = len(self.data)
         w = np.zeros(n + 2, bool)
         w[1:-1] = is_word[self.data]
