@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import contains, marked, small_batches, texts, written
+from .shared import contains, let_go, marked, small_batches, texts, written
 
 PERCENT, WIDTH, BUCKETS = 75, 1, 1 << 22
 _CELL, _HELD, _CHUNK = 1 << 12, 1 << 19, 1 << 19
@@ -470,6 +470,7 @@ def removed_lines(
         rows = docs.mapInArrow(_sending(percent, width, limits, model, groups), sent)
         out = written(rows.groupBy("group").applyInArrow(_comparing(percent, limits, wanted is not None), _PAIRS), "pairs")
         model.destroy()
+        let_go(spark)
         return out
 
     def confirmed(pairs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import components, contains, marked, small_batches, texts, written
+from .shared import components, contains, let_go, marked, small_batches, texts, written
 
 BANDS, ROWS, LEAST, PERCENT, WIDTH = 40, 3, 3, 75, 5
 COORDINATES, BLOCK = 1024, 2048
@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = docs.sparkSession.sparkContext.broadcast(marked(bucket.select("doc_id").distinct()))
     sets = written(one_set(shingle_sets(docs, width, wanted)).drop("s1").dropDuplicates(["doc_id"]), "sets")
     wanted.destroy()
+    let_go(docs.sparkSession)
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
     # the one leader that a class shares most bands with
@@ -214,6 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probes = probes.select("key", "doc_id", "n", "comp", "of_main", F.lit(False).alias("own"), F.col("other").alias("chunk"))
     chunks = own.unionByName(probes).join(detail, "doc_id")
     pairs = chunks.groupBy("key", "chunk").applyInArrow(_across(percent, least), "a long, b long").distinct()
+    pairs = written(pairs, "pairs")
+    let_go(docs.sparkSession)
     more = confirmed(pairs, sets, percent)
     all_links = written(links.unionByName(more), "links")
     comp = components(all_links)
@@ -228,13 +231,14 @@ def first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal in id and text one stays, whatever their other columns hold. Texts without words
     have no group; all their rows stay.
     """
-    both = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    keyed = docs.select("*", F.xxhash64(*both).alias("__key"))
-    rows = keyed.select("__key", both[0].alias("id")).groupBy("__key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), both[1].alias("text")), **options)
-    group = found.select(F.col("doc_id").alias("__key"), "component_id", "n_shingles").distinct().join(rows, "__key")
-    first = group.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key", "n", "n_shingles")).alias("f"))
-    first = written(first.select("f.__key", F.expr("f.n > 1 and f.n_shingles > 0").alias("__many")), "kept")
-    once = keyed.join(first.where("not __many"), "__key", "left_semi")
-    many = keyed.join(first.where("__many"), "__key", "left_semi").dropDuplicates(["__key"])
-    return once.unionByName(many).select(*docs.columns)
+    row, both = F.struct("*").alias("row"), (F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    keyed = docs.select(row, F.xxhash64(*both).alias("key"), both[0].alias("id"), both[1].alias("text"))
+    rows = keyed.select("key", "id").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), **options)
+    group = found.select(F.col("doc_id").alias("key"), "component_id", "n_shingles").distinct().join(rows, "key")
+    first = group.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n", "n_shingles")).alias("f"))
+    first = written(first.select("f.key", F.expr("f.n > 1 and f.n_shingles > 0").alias("many")), "kept")
+    keyed = keyed.select("row", "key")
+    once = keyed.join(first.where("not many"), "key", "left_semi")
+    many = keyed.join(first.where("many"), "key", "left_semi").dropDuplicates(["key"])
+    return once.unionByName(many).select("row.*")

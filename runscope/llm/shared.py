@@ -38,6 +38,11 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Asks the driver for a garbage collection: only then does Spark remove the shuffle files of steps that are done."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that the text operators read, under fixed names; whatever else the table has can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

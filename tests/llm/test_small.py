@@ -169,14 +169,6 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[lo:hi], total / z)
 
 
-def test_sentences(spark, docs):
-    a = "Alpha beta gamma delta one. Beta gamma delta alpha two! Gamma delta beta alpha three?"
-    d = spark.createDataFrame([(1, a), (2, "New start here. " + a + " The end."), (2, None), (None, a)], "doc_id long, text string")
-    r = sentences.repeats(d).collect()
-    assert [(x["doc_id"], x["removed"], x["first_doc_ids"]) for x in r] == [(2, [1, 2, 3], [1])]
-    assert sorted(x["text"] for x in sentences.without_repeats(d.where("text is not null and doc_id is not null")).collect())[1].split() == "New start here. The end.".split()
-
-
 def test_passages(spark):
     rng = np.random.default_rng(6)
     w = [f"u{i}" for i in range(1000)]
@@ -187,32 +179,6 @@ def test_passages(spark):
     assert got == {1: (30, 60, 2), 2: (10, 60, 1)}
 
 
-def test_line_duplicates(spark):
-    x = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
-    d = spark.createDataFrame([(1, x + "\nunique first line of this text"), (2, "short\n" + x + " end\n" + x), (3, None), (4, "")], "doc_id long, text string").withColumn("row", F.lit("r"))
-    assert [(r["doc_id"], r["removed"]) for r in lines.line_duplicates(d).collect()] == [(2, [1, 2])]
-    got = lines.without_lines(d)
-    assert got.columns == d.columns
-    assert {r["doc_id"]: r["text"] for r in got.collect()}[2] == "short"
-
-
-def test_long_lines_equal_brute_force(spark):
-    rng = np.random.default_rng(8)
-    w = [f"v{i}" for i in range(5000)]
-    rows = []
-    for i in range(6):
-        base = list(rng.choice(w, 400 if i % 2 else 30))
-        near = list(base)
-        near[int(rng.integers(len(base)))] = "other"
-        far = [x if k % 9 else "far" for k, x in enumerate(base)]
-        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far) + "\n" + " ".join(base))]
-    sets = [(i, k, {tuple(x[j : j + 5]) for j in range(len(x) - 4)}) for i, t in rows for k, x in enumerate(y.split(" ") for y in t.split("\n"))]
-    want = {b[:2] for a, b in itertools.combinations(sets, 2) if 100 * len(a[2] & b[2]) >= 75 * len(a[2] | b[2])}
-    got = lines.line_duplicates(spark.createDataFrame([*rows, (2, rows[2][1])], "doc_id long, text string")).collect()
-    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want
-    assert any(len(s) > 255 for _, _, s in sets)
-
-
 def test_contamination_in_blocks_is_the_same(spark, docs):
     items = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join((made()[k] or "").split()[:14]) for k in (0, 1, 2, 7)] + ["one two", None, ""])], "item_id long, text string")
     key = lambda d: sorted(map(str, d.collect()))
@@ -234,17 +200,6 @@ def test_empty_tables(spark, empty):
         assert df.count() == 0
 
 
-def test_line_stage_works_on_words(spark):
-    from corpus_pipeline import STAGES
-
-    x = [f"word{i}" for i in range(20)]
-    near = " ".join(w if i != 10 else "changed" for i, w in enumerate(x))
-    rows = [(1, " ".join(x) + "\nsee below\na b c\n\nalone"), (2, near + "\nsee below\na b c d\n\na b e\nother"), (3, "see\nSee below!\nalone"), (None, "alone")]
-    got = dict(STAGES)["lines"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\na b e\nother", 3: "see", None: "alone"}
-    assert all(r["n_chars"] == len(r["text"]) for r in got)
-
-
 def test_near_duplicate_stage_works_on_rows(spark):
     from corpus_pipeline import STAGES
 
