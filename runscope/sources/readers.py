@@ -38,7 +38,8 @@ def full_metadata(metadata: DataFrame) -> DataFrame:
 def database_metadata(rows: DataFrame, namespace: str) -> DataFrame:
     """Finished rows of one namespace."""
     ok = (F.col("namespace") == namespace) & (F.coalesce("incomplete", F.lit(0)) == 0) & F.col("rule").isNotNull() & (F.col("record_format_version") > 0)
-    return rows.where(ok).select("rule", F.col("starttime").alias("start_time"), F.col("endtime").alias("end_time"), F.from_json("input", "array<string>").alias("input"), S.code_hash(F.col("code")).alias("code_hash"))
+    key = ["workflow_id"] if "workflow_id" in rows.columns else []
+    return rows.where(ok).select(*key, "rule", F.col("starttime").alias("start_time"), F.col("endtime").alias("end_time"), F.from_json("input", "array<string>").alias("input"), S.code_hash(F.col("code")).alias("code_hash"))
 
 
 def incomplete_rows(rows: DataFrame, since: float | None = None) -> DataFrame:

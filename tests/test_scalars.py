@@ -13,7 +13,7 @@ def test_duration_text(spark, seconds, text):
     assert one(spark, S.duration_text(F.col("s")), s=seconds) == text
 
 
-@pytest.mark.parametrize(("size", "text"), [(0, "0 B"), (1023, "1023 B"), (1536, "1.5 KB"), (3 * 1024**3, "3.0 GB")])
+@pytest.mark.parametrize(("size", "text"), [(0, "0 B"), (1023, "1023 B"), (1024, "1 KB"), (1536, "1.5 KB"), (3 * 1024**3, "3 GB"), (-1, "0 B"), (1024**5, "1.0 PB"), (None, "0 B")])
 def test_size_text(spark, size, text):
     assert one(spark, S.size_text(F.col("s")), s=size) == text
 
@@ -52,3 +52,32 @@ def test_eta_text(spark):
     assert one(spark, eta, s=100.0, l=95.0, u=105.0, c=0.8) == "~1m 40s"
     assert one(spark, eta, s=100.0, l=10.0, u=190.0, c=0.5) == "10s - 3m 10s"
     assert one(spark, eta, s=100.0, l=10.0, u=190.0, c=0.05).endswith("(very rough)")
+
+
+def test_size_text_of_other_units(spark):
+    of = lambda value, **o: one(spark, S.size_text(F.col("s"), **o), s=value)
+    assert of(1536, precision=2) == "1.50 KB"
+    assert of(1500, binary=False) == "1.5 KB"
+    assert of(2000, binary=False) == "2 KB"
+    rate = lambda value: one(spark, S.size_rate_text(F.col("s")), s=value)
+    assert [rate(x) for x in (0.0, 1536.0, 1048576.0, -2.0, 0.25)] == ["0 B/s", "1.5 KB/s", "1 MB/s", "0 B/s", "0.2 B/s"]
+
+
+@pytest.mark.parametrize(
+    ("low", "high", "confidence", "text"),
+    [(None, None, 0.9, "~5m"), (290.0, 310.0, 0.9, "~5m"), (180.0, 420.0, 0.9, "3m - 7m"), (180.0, 420.0, 0.5, "3m - 7m"), (None, None, 0.5, "~5m (rough)"), (180.0, 420.0, 0.2, "~5m (rough)"), (None, None, 0.05, "~5m (very rough)")],
+)
+def test_eta_text_with_and_without_bounds(spark, low, high, confidence, text):
+    d = spark.createDataFrame([(300.0, low, high, confidence)], "s double, l double, u double, c double")
+    assert d.select(S.eta_text(*[F.col(c) for c in "sluc"])).first()[0] == text
+
+
+def test_small_helpers(spark):
+    texts = ["3", " 4 ", "0", "-1", "x", None]
+    d = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r[0] for r in d.select(S.positive_int(F.col("t"))).collect()] == [3, 4, None, None, None, None]
+    assert [r[0] for r in d.select(S.non_negative_int(F.col("t"))).collect()] == [3, 4, 0, None, None, None]
+    m = spark.createDataFrame([({"a": "1", "_b": "2", "c": "<x object at 0x1>"},), ({"_x": "1"},)], "m map<string,string>")
+    assert [r[0] for r in m.select(S.normalised(F.col("m"))).collect()] == [{"a": "1"}, None]
+    assert one(spark, S.wildcard_text(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))), s=1) == "a=1, b=2"
+    assert one(spark, S.count_text(F.col("s"), F.lit(0)), s=3) == "3 of 0"
