@@ -83,12 +83,24 @@ def next_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("next_start", F.lead("run_start").over(Window.partitionBy("workflow_id").orderBy("run_start", "run_id")))
 
 
-def in_time_frame(completions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Completions between a run's start and the next one's: an as-of match by one sort of both in each workflow, not a range join."""
-    starts = runs.select("workflow_id", F.col("run_start").alias("t"), F.lit(0).alias("o"), F.struct("run_id", "run_start").alias("r"), F.lit(None).cast(completions.select(F.struct("*").alias("c")).schema["c"].dataType).alias("c"))
-    ends = completions.select("workflow_id", F.col("end_time").alias("t"), F.lit(1).alias("o"), F.lit(None).cast(starts.schema["r"].dataType).alias("r"), F.struct("*").alias("c"))
-    w = Window.partitionBy("workflow_id").orderBy("t", "o", F.col("r.run_id")).rowsBetween(Window.unboundedPreceding, 0)
-    got = starts.unionByName(ends).withColumn("r", F.last("r", True).over(w)).where("c is not null and r is not null")
+def in_time_frame(completions: DataFrame, runs: DataFrame, width: float = 86400.0) -> DataFrame:
+    """Completions between a run's start and the next one's: an as-of match by a sort, not a range join.
+
+    Each day (width) of a workflow is sorted for itself; the run that is open when it begins is
+    found first, from the starts and the days that have completions.
+    """
+    row = completions.select(F.struct("*").alias("c")).schema["c"].dataType
+    starts = runs.select("workflow_id", F.col("run_start").alias("t"), F.lit(0).alias("o"), F.struct("run_id", "run_start").alias("r"))
+    run = starts.schema["r"].dataType
+    begin = F.floor(F.col("end_time") / width) * width
+    days = completions.select("workflow_id", begin.cast("double").alias("t"), F.lit(-1).alias("o"), F.lit(None).cast(run).alias("r")).distinct()
+    before = lambda *by: Window.partitionBy(*by).orderBy("t", "o", F.col("r.run_id")).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda *by: F.last("r", True).over(before(*by))
+    open_ = starts.unionByName(days).withColumn("r", last("workflow_id")).where("o = -1 and r is not null")
+    no_row = F.lit(None).cast(row).alias("c")
+    ends = completions.select("workflow_id", F.col("end_time").alias("t"), F.lit(1).alias("o"), F.lit(None).cast(run).alias("r"), F.struct("*").alias("c"))
+    both = starts.unionByName(open_).select("*", no_row).unionByName(ends).withColumn("day", F.floor(F.col("t") / width))
+    got = both.withColumn("r", last("workflow_id", "day")).where("c is not null and r is not null")
     return got.select(F.col("r.run_id").alias("frame_run"), "c.*")
 
 

@@ -67,9 +67,7 @@ _W = "ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY end_time DESC, k1 DESC, k2 D
 @query("e01_rule_stats", f"SELECT rule, n, mean, std, min, max, weighted_mean FROM (SELECT rule, {_STAT}, round(sum(duration * w) / sum(w), 6) AS weighted_mean FROM (SELECT *, pow(0.5, ({_W.format(by='rule')}) / 10.0) AS w FROM s) GROUP BY rule)", SAMPLES)
 def rule_stats(spark, d):
     s = A.samples(spark, d)
-    w = F.pow(F.lit(0.5), (F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("end_time"), *[F.desc(c) for c in E.TIE])) - 1) / F.lit(10.0))
-    out = s.withColumn("w", w).groupBy("rule").agg(*E.summary(), (F.sum(F.col("duration") * F.col("w")) / F.sum("w")).alias("weighted_mean"))
-    return rounded(out, "mean", "std", "weighted_mean")
+    return rounded(E.timing_stats(s, ["rule"]).join(E.index_weighted_mean(s, ["rule"]), "rule"), "mean", "std", "weighted_mean")
 
 
 @query("e02_variation", f"SELECT rule, n, mean, std, min, max, CASE WHEN mean > 0 THEN round(std / mean, 5) ELSE 0 END AS cv, std / mean > 0.5 AS high_variance FROM (SELECT rule, {_STAT} FROM s GROUP BY rule)", SAMPLES)
