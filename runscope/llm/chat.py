@@ -20,7 +20,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -61,7 +61,12 @@ def reply_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col
     quotes = written(quotes, "quotes")
     from_turn = m.select("conv_id", F.col("turn").alias("source"), F.explode(_units(own())).alias("u")).select("conv_id", "source", F.xxhash64("u").alias("h"), F.length("u").alias("n"))
     wanted = from_turn.join(quotes.select("conv_id", "h", "n").distinct(), ["conv_id", "h", "n"], "left_semi").distinct()
-    link = quotes.join(wanted, ["conv_id", "h", "n"]).where("source < turn").groupBy("conv_id", "turn", "level", "h", "n").agg(F.max("source").alias("source"))
+    # as of each quote, the latest message that said it before: one sort of both, no pair of a quote and every source
+    asked = quotes.select("conv_id", "h", "n", F.col("turn").alias("t"), F.lit(0).alias("o"), "level", F.lit(None).cast("long").alias("source"))
+    said = wanted.select("conv_id", "h", "n", F.col("source").alias("t"), F.lit(1).alias("o"), F.lit(None).cast("int").alias("level"), "source")
+    before = Window.partitionBy("conv_id", "h", "n").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    link = asked.unionByName(said).withColumn("source", F.last("source", True).over(before)).where("o = 0 and source is not null")
+    link = link.select("conv_id", F.col("t").alias("turn"), "level", "source")
     parent = link.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("level"), F.col("source"))).alias("parent_turn"))
     chain = written(parent.withColumn("root_turn", F.col("parent_turn")), "replies")
     while True:  # doubles the known part of every reply chain; only messages with a parent are in it

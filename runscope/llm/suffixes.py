@@ -230,7 +230,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         covers.append(near.where("kind = 0").select("doc_id", "pos", "lo", "hi"))
         limits.append(near.where("kind > 0").groupBy("doc_id", "pos").agg(F.first("h").alias("h"), F.max("lo").alias(("most_before", "most_after")[side])))  # edges of a range: no limit is known
         edges = near.where("kind in (1, 2)").select("part", "kind", "h", "before", "after", "doc_id", "pos")  # two rows a range
-        w = Window.orderBy("part", "kind")
+        w = Window.orderBy("part", "kind")  # in one task: two rows for each of `parts` ranges, whatever the data
         across = edges.select("*", *[F.lag(c).over(w).alias(f"x{c}") for c in ("kind", "h", "before", "after", "doc_id", "pos")]).where("kind = 1 and xkind = 2")
         found.append(across.mapInArrow(_pairwise(seed, reach, min_words), _OUT).select("doc_id", "lo", "hi", "other"))
     all_found = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])

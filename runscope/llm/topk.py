@@ -40,7 +40,7 @@ _NONE = np.iinfo(np.int64).min
 
 def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """queries x rows; in floating point where that is exact."""
-    if len(v) and float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1] < 2**52:
+    if v.size and q.size and float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1] < 2**52:
         return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
     return q @ v.T
 
