@@ -101,8 +101,10 @@ def job_estimates(jobs: DataFrame, samples: DataFrame, *, conditioning: bool = T
     """expected, variance and method for jobs(rule, threads, wildcards, input_size, ...): combination, threads, wildcard, rule, similar rule, global mean.
 
     Statistics have one row per rule and level; adaptive execution broadcasts them
-    where their measured size allows it.
+    where their measured size allows it. The samples, which all of them read, are
+    kept in memory or on disk.
     """
+    samples = samples.persist()
     exact, pooled = thread_estimate(samples)
     rule, mean = rule_estimate(samples), E.global_mean(samples)
     j = jobs.withColumn("combo", S.combination_key(F.col("wildcards"), F.col("threads")))
@@ -232,13 +234,15 @@ def estimate_runs(
 ) -> DataFrame:
     """One estimate per run: seconds_remaining, lower, upper, confidence, method.
 
-    snapshot: run, total, completed, pending, elapsed, cores (null: what its running jobs use).
+    snapshot: run, total, completed, elapsed, cores (null: what its running jobs use) and maybe
+    pending (by default what is neither completed nor running).
     todo: pending and running jobs of the runs (state, rule, threads, wildcards, input_size,
     elapsed). rules_done: run and rule of every completion. Where a run's pending jobs are not
     all in todo, their number is shared among rules: by expected(run, rule, expected) counts
     if a run has any, else like its completions and, for other rules, like the history.
     """
     c = DEFAULT
+    samples, todo = samples.persist(), todo.persist()
     typical, zero = E.typical_threads(samples), F.lit(0.0)
     if expected is None:
         expected = rules_done.select(*RUN, "rule", F.lit(0).alias("expected")).limit(0)
@@ -250,9 +254,11 @@ def estimate_runs(
     work = j.groupBy(*RUN).agg(
         of(runs, left * F.col("t"), "r_work"), of(~runs, left * F.col("t"), "p_work"), of(runs, var, "r_var"), of(~runs, var, "p_var"),
         of(runs, old * F.col("t"), "spent"), of(runs, F.coalesce(F.col("threads"), F.lit(1)), "peak"),
-        F.sum("t").alias("threads"), F.count_if(~runs).alias("listed"),
+        F.sum("t").alias("threads"), F.count_if(~runs).alias("listed"), F.count_if(runs).alias("running"),
     )
-    s = snapshot.join(work, RUN, "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+    s = snapshot.join(work, RUN, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("listed", "running")})
+    if "pending" not in snapshot.columns:
+        s = s.withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("completed") - F.col("running")))
 
     # pending jobs by rule where there is no whole list of them
     counted = s.where("not (listed > 0 and listed >= pending)").select(*RUN, "pending")
