@@ -19,8 +19,8 @@ CORES = r"Provided cores:\s+(\d+)"
 
 
 def found(line: Column, pattern: str, group: int = 1) -> Column:
-    """The group, or null without a match."""
-    return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
+    """The group of the first match, or null without one; the pattern is tried once."""
+    return F.try_element_at(F.regexp_extract_all(line, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 def progress(line: Column) -> Column:
@@ -45,7 +45,8 @@ def error_rule(line: Column) -> Column:
 
 def timestamp(line: Column) -> Column:
     """Epoch seconds of a time stamp line in the session zone; invalid dates are null."""
-    text = F.regexp_replace(F.regexp_replace(found(line, TIMESTAMP), r"^\w{3} ", ""), " +", " ")
+    day = TIMESTAMP.replace(r"(\w{3} ", r"\w{3} (", 1)  # the same without the weekday
+    text = F.regexp_replace(found(line, day), " +", " ")
     return F.unix_timestamp(F.try_to_timestamp(text, F.lit("MMM d HH:mm:ss yyyy"))).cast("double")
 
 

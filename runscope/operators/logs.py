@@ -9,6 +9,9 @@ where several of them are needed, the facts that `facts` made once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +27,19 @@ def _so_far():
 def parsed(lines: DataFrame) -> DataFrame:
     """What the lines with a pattern hold. Patterns are tried only on lines with their fixed text."""
     x = F.col("line")
-    has = lambda text, value: F.when(F.contains(x, F.lit(text)), value)
+    has = lambda *texts: reduce(or_, [F.contains(x, F.lit(t)) for t in texts])
     values = {
-        "rule_start": F.coalesce(has("rule ", S.rule_start(x)), has("checkpoint ", S.rule_start(x))),
-        "job_id": has("jobid:", S.job_id(x)),
-        "finished": has("Finished ", S.finished(x)),
-        "error_rule": has("Error in rule ", S.error_rule(x)),
-        "ts": F.when(F.startswith(x, F.lit("[")), S.timestamp(x)),
-        "wildcards": has("wildcards:", S.found(x, S.WILDCARDS)),
-        "threads": has("threads:", S.threads(x)),
-        "log": has("log:", S.log_path(x)),
+        "rule_start": (has("rule ", "checkpoint "), S.rule_start(x)),
+        "job_id": (has("jobid:"), S.job_id(x)),
+        "finished": (has("Finished "), S.finished(x)),
+        "error_rule": (has("Error in rule "), S.error_rule(x)),
+        "ts": (F.startswith(x, F.lit("[")), S.timestamp(x)),
+        "wildcards": (has("wildcards:"), S.found(x, S.WILDCARDS)),
+        "threads": (has("threads:"), S.threads(x)),
+        "log": (has("log:"), S.log_path(x)),
     }
-    p = lines.select(*RUN, "line_no", *[v.alias(k) for k, v in values.items()])
-    return p.where(F.coalesce(*[F.col(k).cast("string") for k in values]).isNotNull())
+    some = lines.where(reduce(or_, [ok for ok, _ in values.values()]))  # by fixed text: no pattern is tried twice
+    return some.select(*RUN, "line_no", *[F.when(ok, v).alias(k) for k, (ok, v) in values.items()])
 
 
 def with_context(p: DataFrame) -> DataFrame:
