@@ -47,13 +47,15 @@ def tables(spark):
     rows += [(1000, None, 0), (1050, [1.0, None, 2.0], 0), (1100, [float("inf"), 0.0, 0.0], 0), (1150, [float("nan")] * 3, 0), (1200, [1e3, -1e3, 1e3], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{where}/embeddings.parquet")
     spark.createDataFrame(conversations(rng), "conv_id long, turn long, role string, text string").write.parquet(f"{where}/conversations.parquet")
+    pages = [(int(i), f"http://a/{i}", t) for i, t in enumerate([*texts[:60], *texts[:5], None, "", "WARC/1.1\r\n\r\n"])]
+    spark.createDataFrame([*pages, (None, None, texts[0])], "page_id long, url string, html string").write.parquet(f"{where}/pages.parquet")
     return where
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equal_sql(spark, tables, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "conversations"):
+    for t in ("documents", "benchmark", "embeddings", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet/*.parquet'")
     df = QUERIES[name](spark, tables)
     columns = sorted(df.columns)
