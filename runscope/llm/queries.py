@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fim, lines, minhash, packing, quality, sentences, suffixes, topk, toxicity, warc
+from . import chat, decontaminate, fim, lines, minhash, packing, phrases, quality, sentences, suffixes, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_sentences": op5_sentences, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk, "op10_lines": op10_lines, "op11_fim": op11_fim, "op13_warc": op13_warc}
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL, "op10_lines": lines.SQL, "op5_sentences": sentences.SQL, "op6_chat": chat.SQL, "op11_fim": fim.SQL, "op13_warc": warc.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_sentences": op5_sentences, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_quality": op8_quality, "op9_topk": op9_topk, "op10_lines": op10_lines, "op11_fim": op11_fim, "op12_phrases": op12_phrases, "op13_warc": op13_warc}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL, "op9_topk": topk.SQL, "op10_lines": lines.SQL, "op5_sentences": sentences.SQL, "op6_chat": chat.SQL, "op11_fim": fim.SQL, "op12_phrases": phrases.SQL, "op13_warc": warc.SQL}
