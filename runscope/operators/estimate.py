@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import scalars as S
 from . import stats as E
+from .scans import carried
 
 RUN = ["workflow_id", "run_id"]
 M = DEFAULT.multipliers
@@ -166,12 +167,14 @@ def pending_per_rule(expected: DataFrame, completed: DataFrame, running: DataFra
     return exact.unionByName(pending_proportional(completed, rest, current))
 
 
-def peak_threads(jobs: DataFrame) -> DataFrame:
-    """Largest sum of threads that ran at once, of jobs(start_time, end_time, threads); ends come before starts of the same time."""
+def peak_threads(jobs: DataFrame, width: float = 86400.0) -> DataFrame:
+    """Largest sum of threads that ran at once, of jobs(start_time, end_time, threads); ends come before starts of the same time.
+
+    Each day (width) of a run is summed up for itself first.
+    """
     t = F.coalesce("threads", F.lit(1)).cast("long")
     steps = jobs.select(*RUN, F.inline(F.array(F.struct(F.col("start_time").alias("at"), t.alias("d")), F.struct(F.col("end_time").alias("at"), (-t).alias("d"))))).where("at is not null").groupBy(*RUN, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*RUN).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("now", F.sum("d").over(w)).groupBy(*RUN).agg(F.max("now").alias("peak"))
+    return carried(steps, RUN, ["at"], F.floor(F.col("at") / width), sums={"now": F.col("d")}).groupBy(*RUN).agg(F.max("now").alias("peak"))
 
 
 def estimated_cores(provided: Column, peak: Column) -> Column:

@@ -1,9 +1,9 @@
 """Run-log reconstruction over log_lines(workflow_id, run_id, line_no, line).
 
 Lines without a pattern of the runner are dropped before anything is shuffled, and of the
-others only extracted values travel. One window over a run's lines carries the context
-forward, and one grouping reduces the run to `facts`: a row for each rule block, each
-finish and each error block. The other operators work on facts; they take lines or,
+others only extracted values travel. A scan of a run's lines, chunk by chunk, carries the context
+forward (`scans.carried`), so a long log is many tasks, and one grouping reduces the run to `facts`: a row for
+each rule block, each finish and each error block. The other operators work on facts; they take lines or,
 where several of them are needed, the facts that `facts` made once.
 """
 
@@ -16,12 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .scans import carried
 
 RUN = ["workflow_id", "run_id"]
-
-
-def _so_far():
-    return Window.partitionBy(*RUN).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+CHUNK_LINES = 1 << 18  # lines of a run that one task takes at a time
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -42,23 +40,25 @@ def parsed(lines: DataFrame) -> DataFrame:
     return some.select(*RUN, "line_no", *[F.when(ok, v).alias(k) for k, (ok, v) in values.items()])
 
 
-def with_context(p: DataFrame) -> DataFrame:
-    """Block numbers, the last time stamp and rule so far, and if a line is in an error block, in one window."""
+def _chunk(lines: int) -> Column:
+    return F.floor(F.col("line_no") / lines)
+
+
+def with_context(p: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Block numbers, the last time stamp and rule so far, and if a line is in an error block."""
     opens = F.col("error_rule").isNotNull()
     closes = F.col("rule_start").isNotNull() | F.col("ts").isNotNull()
     state = F.when(opens, True).when(closes, False)
-    return p.withColumns(
-        {
-            "block": F.count("rule_start").over(_so_far()),
-            "error_block": F.count(state).over(_so_far()),
-            "last_ts": F.last("ts", True).over(_so_far()),
-            "rule": F.last("rule_start", True).over(_so_far()),
-            "in_error": F.coalesce(F.last(state, True).over(_so_far()), F.lit(False)),
-        }
-    )
+    number = lambda c: c.isNotNull().cast("long")
+    out = carried(
+        p, RUN, ["line_no"], _chunk(chunk_lines),
+        sums={"block": number(F.col("rule_start")), "error_block": number(state)},
+        lasts={"last_ts": F.col("ts"), "rule": F.col("rule_start"), "in_error": state},
+    )
+    return out.withColumn("in_error", F.coalesce("in_error", F.lit(False)))
 
 
-def facts(lines: DataFrame) -> DataFrame:
+def facts(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """kind (block, finished, error), block (the rule block around it), rule, job_id, threads, wildcards, log, time, line_no.
 
     Of a block's values the first of each counts; time is the last time stamp before the job id
@@ -67,7 +67,7 @@ def facts(lines: DataFrame) -> DataFrame:
     """
     if "kind" in lines.columns:
         return lines
-    p = lines if "in_error" in lines.columns else with_context(parsed(lines))
+    p = lines if "in_error" in lines.columns else with_context(parsed(lines), chunk_lines)
     kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
     number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
     # fields of one kind of line in one struct, so that few values are compared
@@ -219,19 +219,36 @@ def lifecycle(lines: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("last") == "finished", "completed").when(F.col("last") == "error", "failed").otherwise("running")
     got = got.withColumn("status", status).withColumn("end_time", F.when(F.col("last") == "finished", F.col("end_time"))).drop("last")
-    order = F.row_number().over(Window.partitionBy(*RUN).orderBy(F.when(F.col("status") == "completed", F.col("end_time")).asc_nulls_last(), "job_id"))
-    return got.withColumn("end_order", F.when(F.col("status") == "completed", order))
-
-
-def expected_counts(lines: DataFrame) -> DataFrame:
-    """The rules and counts of the job statistics table."""
-    head = F.max(F.when(F.col("line") == "Job stats:", F.col("line_no"))).over(_so_far())
-    x = lines.withColumn("head", head).where("head is not null")
-    data = F.col("line").rlike(r"^\w+\s+\d+\s*$") & ~F.col("line").startswith("total")
-    end = F.min(F.when((F.trim("line") == "") & (F.col("line_no") > F.col("head") + 2), F.col("line_no"))).over(Window.partitionBy(*RUN, "head"))
-    x = x.withColumn("end", end).where(data & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))))
-    parts = F.split(F.trim("line"), r"\s+")
-    return x.select(*RUN, parts[0].alias("rule"), F.element_at(parts, -1).try_cast("int").alias("expected")).where("expected is not null")
+    done = F.col("status") == "completed"
+    got = carried(got, RUN, ["end_time", "job_id"], F.floor(F.col("end_time") / 3600), sums={"end_order": done.cast("long")})
+    return got.withColumn("end_order", F.when(done, F.col("end_order")).cast("int"))
+
+
+def _stats_rows(lines: DataFrame, chunk_lines: int) -> DataFrame:
+    """run, rule and last word of the rows of each run's job statistics tables, without their totals.
+
+    A table goes from its title to the first blank line after its two head lines. Rows have two words or more.
+    """
+    text = F.trim("line")
+    words = F.split(text, r"\s+")
+    head = text.startswith("-") | (text.startswith("job") & F.contains(text, F.lit("count")))
+    kind = F.when(text == "Job stats:", "title").when(text == "", "blank").when(~head & text.rlike(r"\s") & ~F.startswith("line", F.lit(" ")), "row")
+    x = lines.select(*RUN, "line_no", kind.alias("kind"), F.when(kind == "row", F.struct(words[0].alias("rule"), F.element_at(words, -1).alias("last"))).alias("row")).where("kind is not null")
+    x = carried(x, RUN, ["line_no"], _chunk(chunk_lines), lasts={"head": F.when(F.col("kind") == "title", F.col("line_no"))}).where("head is not null")
+    ends = x.where("kind = 'blank' and line_no > head + 2").groupBy(*RUN, "head").agg(F.min("line_no").alias("end"))
+    x = x.where("kind = 'row' and row.rule <> 'total'").join(ends, [*RUN, "head"], "left").where("end is null or line_no < end")
+    return x.select(*RUN, "row.rule", "row.last")
+
+
+def expected_rules(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """The rules of the job statistics table, whatever stands as their count."""
+    return _stats_rows(lines, chunk_lines).select(*RUN, "rule").distinct()
+
+
+def expected_counts(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """The rules and counts of the job statistics table; rows whose last word is no integer are left out."""
+    x = _stats_rows(lines, chunk_lines)
+    return x.select(*RUN, "rule", F.col("last").try_cast("int").alias("expected")).where("expected is not null")
 
 
 def provided_cores(lines: DataFrame) -> DataFrame:

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from .scans import carried
 
 RUN = ["workflow_id", "run_id"]
+DAY = 86400.0
+
+
 def _order() -> Column:
     return F.struct("timestamp", "seq")
 
@@ -60,22 +64,28 @@ def merge_jobs(state: DataFrame, records: DataFrame, keys: list[str]) -> DataFra
     return out.withColumn("status", F.when(F.col("e"), "COMPLETED").when(F.col("s"), "RUNNING").otherwise(F.coalesce("old", F.lit("PENDING")))).drop("old", "e", "s")
 
 
-def bounded(jobs: DataFrame, most: int = 10_000) -> DataFrame:
-    """At most so many jobs a workflow: the oldest ended go first, active ones stay."""
-    w = Window.partitionBy("workflow_id")
+def bounded(jobs: DataFrame, most: int = 10_000, width: float = DAY) -> DataFrame:
+    """At most so many jobs a workflow: the oldest ended go first, active ones stay.
+
+    Ended jobs are numbered in order of their end, day by day (width), those without an end last.
+    """
     ended = F.col("status").isin("finished", "error")
-    r = F.row_number().over(w.orderBy(F.when(ended, 0).otherwise(1), F.col("end_time").asc_nulls_last(), "job_id"))
-    return jobs.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", r).where(~ended | (F.col("r") > F.col("n") - most)).drop("n", "r")
+    number = {"n": F.lit(1).cast("long"), "r": ended.cast("long")}
+    keyed = jobs.withColumn("last", F.when(ended & F.col("end_time").isNotNull(), 0).when(ended, 1).otherwise(2))
+    day = F.when(F.col("last") == 0, F.floor(F.col("end_time") / width)).otherwise(F.lit(2**61) + F.col("last"))
+    rows = carried(keyed, ["workflow_id"], ["last", "end_time", "job_id"], day, sums=number)
+    total = jobs.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("total"))
+    return rows.join(total, "workflow_id").where(~ended | (F.col("r") > F.col("total") - most)).select(*jobs.columns)
 
 
 def status_counts(jobs: DataFrame, statuses: tuple[str, ...] = ("SUBMITTED", "RUNNING", "COMPLETED", "FAILED")) -> DataFrame:
     return jobs.groupBy("workflow_id").agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in statuses])
 
 
-def segment_runs(events: DataFrame) -> DataFrame:
-    """A workflow_started event begins a new run."""
-    w = Window.partitionBy("workflow_id").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("run_no", F.sum(_is("workflow_started").cast("int")).over(w))
+def segment_runs(events: DataFrame, width: float = DAY) -> DataFrame:
+    """A workflow_started event begins a new run; each day (width) of a workflow is counted for itself first."""
+    started = {"run_no": _is("workflow_started").cast("long")}
+    return carried(events, ["workflow_id"], ["timestamp", "seq"], F.floor(F.col("timestamp") / width), sums=started)
 
 
 def next_runs(runs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.scans import carried
 
 MAX_METADATA_BYTES, MAX_EVENT_BYTES = 10 << 20, 1 << 20
 EVENT_TYPES = ["workflow_started", "job_submitted", "job_started", "job_finished", "job_error", "progress"]
@@ -15,9 +16,22 @@ PROFILE = "version int, created string, updated string, machine string, rules ma
 
 
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    """log_path, log_mtime, line_no, line. One file is one row until it is split, so line order needs no shuffle."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log").select("value", F.col("_metadata.file_path").alias("log_path"), F.unix_timestamp("_metadata.file_modification_time").cast("double").alias("log_mtime"))
-    return whole.select("log_path", "log_mtime", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    """log_path, log_mtime, line_no, line. Files of any length: lines are numbered within each split of a file, and splits by what is before them.
+
+    A file that ends with a line end has an empty last line; an empty file has no lines.
+    """
+    meta = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path)
+    raw = raw.select(
+        meta["file_path"].alias("log_path"), F.unix_timestamp(meta["file_modification_time"]).cast("double").alias("log_mtime"),
+        meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+    )
+    count = {"lines": F.lit(1).cast("long"), "bytes": F.octet_length("value").cast("long") + 1}
+    rows = carried(raw, ["log_path"], ["at"], F.col("block"), sums=count)
+    line = F.regexp_replace("value", "\r$", "")
+    ends = F.col("bytes") == F.col("size")  # of the last line only, and only if a line end follows it
+    both = F.when(ends, F.array(line, F.lit(""))).otherwise(F.array(line))
+    return rows.select("log_path", "log_mtime", "lines", F.posexplode(both).alias("i", "line")).select("log_path", "log_mtime", (F.col("lines") - 1 + F.col("i")).alias("line_no"), "line")
 
 
 def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
