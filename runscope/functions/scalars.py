@@ -93,7 +93,7 @@ def code_hash(code: Column) -> Column:
 
 def canonical(m: Column) -> Column:
     """Entries of a map in order of its keys."""
-    return F.array_sort(F.map_entries(m))
+    return F.sort_array(F.map_entries(m))
 
 
 def combination_key(m: Column, n: Column) -> Column:

@@ -1,4 +1,9 @@
-"""Remaining-time estimation: a cascade of left joins per job, then one aggregate per run."""
+"""Remaining-time estimation: a prioritised lookup of jobs in one table of statistics, then one aggregate per run.
+
+`stats.level_table` has a row for every group of samples that may tell how long a job takes. A kind of job (rule, threads,
+wildcards) has a few candidate keys in it, of which the first that is there counts. The table is written once, since
+several steps read it; its size doesn't grow with jobs or samples but with rules and values.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from ..config import DEFAULT
 from ..functions import scalars as S
 from . import stats as E
 from .scans import carried
+from .tables import stored
 
 RUN = ["workflow_id", "run_id"]
 M = DEFAULT.multipliers
@@ -37,37 +43,6 @@ def confidence(sample: Column, recency: Column, consistency: Column, coverage: C
     return F.least(F.lit(c.max_confidence), c.weight_sample * sample + c.weight_recency * recency + c.weight_consistency * consistency + c.weight_coverage * coverage)
 
 
-def _estimates(samples: DataFrame, by: list[str]) -> DataFrame:
-    return E.timing_stats(samples, by).join(E.index_weighted_mean(samples, by), by)
-
-
-def combination_estimate(samples: DataFrame) -> DataFrame:
-    """By (rule, combination): three samples give their spread, fewer a wide one."""
-    s = _estimates(E.combination_samples(samples), ["rule", "combo"])
-    strict = F.when(F.col("n") > 1, F.pow("std", 2)).otherwise(F.pow(F.col("weighted_mean") * M["combination"], 2))
-    return s.select("rule", "combo", F.struct(F.col("weighted_mean").alias("expected"), F.when(F.col("n") >= DEFAULT.min_samples, strict).otherwise(F.pow(F.col("weighted_mean") * M["relaxed_combination"], 2)).alias("variance")).alias("by_combination"))
-
-
-def thread_estimate(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """By (rule, threads), and pooled over all thread counts of a rule."""
-    known = samples.where("threads is not null")
-    of = lambda scenario, name: F.struct(F.col("weighted_mean").alias("expected"), F.when(F.col("n") > 1, F.pow("std", 2)).otherwise(F.pow(F.col("weighted_mean") * M[scenario], 2)).alias("variance")).alias(name)
-    return _estimates(known, ["rule", "threads"]).select("rule", "threads", of("exact_thread", "by_threads")), _estimates(known, ["rule"]).select("rule", of("pooled_thread", "by_pooled"))
-
-
-def wildcard_estimate(samples: DataFrame) -> DataFrame:
-    """By (rule, value) of the rule's most predictive wildcard key."""
-    key = E.predictive_key(samples).select("rule", "key")
-    w = E.wildcard_samples(samples).join(key, ["rule", "key"])
-    s = _estimates(w, ["rule", "key", "value"]).where(F.col("n") >= DEFAULT.min_samples)
-    return s.select("rule", F.col("key").alias("wkey"), F.col("value").alias("wvalue"), F.struct(F.col("weighted_mean").alias("expected"), F.pow("std", 2).alias("variance")).alias("by_wildcard"))
-
-
-def rule_estimate(samples: DataFrame) -> DataFrame:
-    s = _estimates(samples, ["rule"]).join(E.median_input_size(samples, ["rule"]), "rule", "left")
-    return s.select("rule", "n", "std", F.col("weighted_mean").alias("w"), "median_size", "sized")
-
-
 def similar_rules(unknown: DataFrame, known: DataFrame, most: int = DEFAULT.max_rule_distance) -> DataFrame:
     """The nearest known rule of each unknown one: least edit distance, then name.
 
@@ -98,47 +73,86 @@ def best_matches(unknown: DataFrame, known: DataFrame, records: DataFrame | None
     return out.join(by_code, "rule", "left").select("rule", F.coalesce("by_code", "by_name").alias("match"))
 
 
-def job_estimates(jobs: DataFrame, samples: DataFrame, *, conditioning: bool = True, records: DataFrame | None = None) -> DataFrame:
-    """expected, variance and method for jobs(rule, threads, wildcards, input_size, ...): combination, threads, wildcard, rule, similar rule, global mean.
+#: The order in which levels are tried, and what a job's estimate is then called.
+PRIORITY = ["combination", "threads", "pooled", "wildcard", "rule", "similar"]
 
-    Statistics have one row per rule and level; adaptive execution broadcasts them
-    where their measured size allows it. The samples, which all of them read, are
-    kept in memory or on disk.
-    """
-    samples = samples.persist()
-    exact, pooled = thread_estimate(samples)
-    rule, mean = rule_estimate(samples), E.global_mean(samples)
-    j = jobs.withColumn("combo", S.combination_key(F.col("wildcards"), F.col("threads")))
-    j = j.join(exact, ["rule", "threads"], "left").join(pooled, "rule", "left").join(rule, "rule", "left")
+
+def _candidates(conditioning: bool) -> Column:
+    """(priority, rule, level, name, key) that a kind of job may be looked up by, from what(rule, threads, entries) and match."""
+    rule, threads, entries = F.col("what.rule"), F.col("what.threads"), F.col("what.entries")
+    kind = "array<struct<priority:int,of:string,level:string,name:string,key:string>>"
+
+    def one(method: str, level: str, key: Column, of: Column = rule, name: Column | None = None) -> Column:
+        name = F.lit("") if name is None else name
+        return F.struct(F.lit(PRIORITY.index(method)).alias("priority"), of.alias("of"), F.lit(level).alias("level"), name.alias("name"), key.alias("key"))
+
+    some = lambda ok, *x: F.when(ok, F.array(*x)).otherwise(F.array().cast(kind))
+    parts = [some(threads.isNotNull(), one("threads", "threads", threads.cast("string")), one("pooled", "pooled", F.lit(""))), F.array(one("rule", "rule", F.lit("")))]
+    parts.append(some(F.col("match").isNotNull(), one("similar", "rule", F.lit(""), F.col("match"))))
     if conditioning:
-        w = wildcard_estimate(samples)
-        keys = w.select("rule", F.col("wkey").alias("jkey")).distinct()
-        j = j.join(combination_estimate(samples), ["rule", "combo"], "left").join(keys, "rule", "left").withColumn("jvalue", F.try_element_at("wildcards", "jkey"))
-        j = j.join(w.withColumnsRenamed({"wkey": "jkey", "wvalue": "jvalue"}), ["rule", "jkey", "jvalue"], "left")
-    else:
-        empty = F.lit(None).cast("struct<expected:double,variance:double>")
-        j = j.withColumns({"by_combination": empty, "by_wildcard": empty, "jkey": F.lit(None).cast("string"), "jvalue": F.lit(None).cast("string")})
-    match = best_matches(jobs.join(rule, "rule", "left_anti"), rule, records)
-    like = match.where("match is not null").join(rule.select(F.col("rule").alias("match"), F.col("n").alias("ln"), F.col("std").alias("ls"), F.col("w").alias("lw")), "match").select("rule", "ln", "ls", "lw")
-    j = j.join(like, "rule", "left").crossJoin(F.broadcast(mean))  # one row
+        combo = S.combination_key(F.map_from_entries("what.entries"), threads)
+        parts.append(some(combo.isNotNull(), one("combination", "combination", combo)))
+        parts.append(F.coalesce(F.transform(entries, lambda e: one("wildcard", "wildcard", e["value"], name=e["key"])), F.array().cast(kind)))
+    return F.concat(*parts)
+
+
+def lookup(kinds: DataFrame, levels: DataFrame, *, conditioning: bool = True, records: DataFrame | None = None) -> DataFrame:
+    """found: the first candidate's statistics and its priority, for kinds(what); no row where nothing is known.
 
+    Of wildcard values only those of the rule's most predictive name are there, with enough samples.
+    """
+    rules = levels.where("level = 'rule'").select("rule")
+    unknown = kinds.select("what.rule").distinct().join(rules, "rule", "left_anti")
+    match = best_matches(unknown, rules, records).where("match is not null")
+    enough = levels.where((F.col("level") == "wildcard") & (F.col("n") >= DEFAULT.min_samples))
+    table = levels.where("level <> 'wildcard'").unionByName(enough.join(E.predictive_names(levels), ["rule", "name"], "left_semi"))
+    table = table.withColumnRenamed("rule", "of").withColumn("s", F.struct("n", "std", "weighted_mean", "median_size", "sized")).select("of", "level", "name", "key", "s")
+    keys = kinds.join(match, F.col("what.rule") == F.col("rule"), "left").select("what", F.inline(_candidates(conditioning)))
+    got = keys.join(table, ["of", "level", "name", "key"]).groupBy("what").agg(F.min_by(F.struct("priority", "s"), "priority").alias("found"))
+    return got.select("what", "found.priority", "found.s.*")
+
+
+def _picked() -> Column:
+    """expected, variance and method from priority, n, std, weighted_mean, median_size, sized, input_size and global_mean."""
+    w, std, n = F.col("weighted_mean"), F.col("std"), F.col("n")
     est = lambda e, v, m: F.struct(e.alias("expected"), v.alias("variance"), F.lit(m).alias("method"))
+    is_ = lambda method: F.col("priority") == PRIORITY.index(method)
     few = (F.coalesce("sized", F.lit(0)) < DEFAULT.min_pairs_for_size) | (F.coalesce("median_size", F.lit(0)) <= 0)
-    sc = F.when(few, F.lit(0.0)).otherwise(F.least(F.lit(0.8), F.col("sized") / 10.0))
+    trust = F.when(few, F.lit(0.0)).otherwise(F.least(F.lit(0.8), F.col("sized") / 10.0))
     ratio = F.pow(F.col("input_size") / F.col("median_size"), F.lit(0.5))
-    scaled = F.col("w") * F.least(F.lit(DEFAULT.size_clamp_high), F.greatest(F.lit(DEFAULT.size_clamp_low), ratio))
-    use_size = (F.col("input_size") > 0) & (sc > DEFAULT.size_confidence)
-    var = lambda mean, scenario: F.when(F.col("n") > 1, F.pow("std", 2)).otherwise(F.pow(mean * M[scenario], 2))
-    pick = F.coalesce(
-        F.when(F.col("by_combination").isNotNull(), est(F.col("by_combination.expected"), F.col("by_combination.variance"), "combination")),
-        F.when(F.col("threads").isNotNull() & F.coalesce("by_threads", "by_pooled").isNotNull(), est(F.coalesce("by_threads.expected", "by_pooled.expected"), F.coalesce("by_threads.variance", "by_pooled.variance"), "threads")),
-        F.when(F.col("by_wildcard").isNotNull(), est(F.col("by_wildcard.expected"), F.col("by_wildcard.variance"), "wildcard")),
-        F.when(F.col("n").isNotNull() & use_size, est(scaled, adjusted_variance(var(scaled, "size_scaled"), sc), "size")),
-        F.when(F.col("n").isNotNull(), est(F.col("w"), var(F.col("w"), "single_sample"), "rule")),
-        F.when(F.col("lw").isNotNull(), est(F.col("lw"), F.when(F.col("ln") > 1, F.pow("ls", 2)).otherwise(F.pow(F.col("lw") * M["fuzzy"], 2)), "similar")),
-        est(F.col("global_mean"), F.pow(F.col("global_mean") * M["global"], 2), "global"),
+    scaled = w * F.least(F.lit(DEFAULT.size_clamp_high), F.greatest(F.lit(DEFAULT.size_clamp_low), ratio))
+    by_size = F.coalesce((F.col("input_size") > 0) & (trust > DEFAULT.size_confidence), F.lit(False))
+    relaxed = scenario_variance(w, std, F.lit(1), "relaxed_combination")
+    g = F.col("global_mean")
+    return (
+        F.when(is_("combination"), est(w, F.when(n >= DEFAULT.min_samples, scenario_variance(w, std, n, "combination")).otherwise(relaxed), "combination"))
+        .when(is_("threads"), est(w, scenario_variance(w, std, n, "exact_thread"), "threads"))
+        .when(is_("pooled"), est(w, scenario_variance(w, std, n, "pooled_thread"), "threads"))
+        .when(is_("wildcard"), est(w, std * std, "wildcard"))
+        .when(is_("rule") & by_size, est(scaled, adjusted_variance(scenario_variance(scaled, std, n, "size_scaled"), trust), "size"))
+        .when(is_("rule"), est(w, scenario_variance(w, std, n, "single_sample"), "rule"))
+        .when(is_("similar"), est(w, scenario_variance(w, std, n, "fuzzy"), "similar"))
+        .otherwise(est(g, scenario_variance(g, g, F.lit(0), "global"), "global"))
     )
-    return j.select(*jobs.columns, pick.alias("x")).select(*jobs.columns, "x.*")
+
+
+def overall_mean(levels: DataFrame) -> DataFrame:
+    """The mean of all samples, from the rows of rules."""
+    return levels.where("level = 'rule'").agg(F.coalesce(F.sum("total") / F.sum("n"), F.lit(DEFAULT.default_mean)).alias("global_mean"))
+
+
+def job_estimates(jobs: DataFrame, samples: DataFrame | None = None, *, levels: DataFrame | None = None, conditioning: bool = True, records: DataFrame | None = None, strategy: str = "index", as_of: float | None = None) -> DataFrame:
+    """expected, variance and method for jobs(rule, threads, wildcards, input_size, ...): combination, threads, wildcard, rule, similar rule, global mean.
+
+    levels is a `stats.level_table`; without it, one of the samples is written (strategy "time" weighs them by age as of as_of).
+    Jobs of one kind are looked up once; conditioning False leaves out combinations and wildcards.
+    """
+    if levels is None:
+        levels = stored(E.level_table(samples, as_of, strategy), "levels")
+    j = jobs.select("*", E.what())
+    found = lookup(jobs.select(E.what()).distinct(), levels, conditioning=conditioning, records=records)
+    j = j.join(found, "what", "left").crossJoin(F.broadcast(overall_mean(levels)))  # one row
+    return j.select(*jobs.columns, _picked().alias("x")).select(*jobs.columns, "x.*")
 
 
 def pending_exact(expected: DataFrame, completed: DataFrame, running: DataFrame) -> DataFrame:
@@ -188,52 +202,71 @@ def confidence_parts(samples: DataFrame, rules_done: DataFrame, as_of: float, ex
     known rule counts as done, too. runs: all runs to give, by default those of rules_done.
     """
     per = E.timing_stats(samples, ["rule"]).select("rule", "n").join(E.recency_factor(samples, ["rule"]), "rule").join(E.recent_consistency(samples, ["rule"], as_of), "rule")
-    whole = per.agg(
-        F.least(F.lit(1.0), F.sum("n") / 10.0).alias("sample"),
-        F.count(F.lit(1)).alias("rules"),
-        F.avg("recency").alias("all_recency"),
-        F.avg("consistency").alias("all_consistency"),
-    )
-    known = F.col("n").isNotNull()
-    j = rules_done.select(*RUN, "rule").distinct().join(per, "rule", "left").groupBy(*RUN).agg(
-        F.avg("recency").alias("recency"), F.avg("consistency").alias("consistency"), F.count(F.lit(1)).alias("done"), F.count_if(~known).alias("unknown")
-    )
-    j = (rules_done if runs is None else runs).select(*RUN).distinct().join(j, RUN, "left").na.fill(0, ["done", "unknown"])
-    planned = None if expected is None else expected.select(*RUN, F.lit(True).alias("planned")).distinct()
-    j = j.withColumn("planned", F.lit(False)) if planned is None else j.join(planned, RUN, "left").withColumn("planned", F.coalesce("planned", F.lit(False)))
-    j = j.crossJoin(F.broadcast(whole))  # one row
-    pick = lambda c: F.coalesce(F.when(F.col("planned"), F.col(c)).otherwise(F.col(f"all_{c}")), F.lit(0.5)).alias(c)
-    covered = F.when(F.col("planned"), F.col("done")).otherwise(F.col("rules") + F.col("unknown"))
-    return j.select(*RUN, "sample", pick("recency"), pick("consistency"), (covered / F.greatest(F.lit(1), F.col("rules"))).alias("coverage"))
+    rows = rules_done.select(*RUN, "rule").distinct().select("*", F.lit(1).alias("done"))
+    if expected is not None:
+        rows = rows.unionByName(expected.select(*RUN, "rule", F.lit(1).alias("expected")), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("expected", F.lit(None).cast("int"))
+    got = rows.join(per, "rule", "left").groupBy(*RUN).agg(*_confidence_counts())
+    if runs is None:
+        got = got.where("done_rules > 0")
+    else:
+        got = runs.select(*RUN).distinct().join(got, RUN, "left")
+    return got.crossJoin(F.broadcast(_all_rules(per))).select(*RUN, *_confidence_columns())  # one row
+
 
+def _confidence_counts() -> list[Column]:
+    """What a run's confidence needs, from rows (done, expected, n, recency, consistency) by rule."""
+    done = F.col("done") > 0
+    return [
+        F.avg(F.when(done, F.col("recency"))).alias("recency"), F.avg(F.when(done, F.col("consistency"))).alias("consistency"),
+        F.count_if(done).alias("done_rules"), F.count_if(done & F.col("n").isNull()).alias("unknown"), F.bool_or(F.col("expected").isNotNull()).alias("planned"),
+    ]
 
-def _counted_work(pending: DataFrame, samples: DataFrame, typical: DataFrame) -> DataFrame:
-    """Work and variance of pending(run, rule, pending) jobs of which only the number is known."""
-    rule = _estimates(samples, ["rule"]).select("rule", "n", "std", "weighted_mean")
-    j = pending.join(rule, "rule", "left").join(typical, "rule", "left").crossJoin(F.broadcast(E.global_mean(samples)))  # one row
-    mean = F.coalesce("weighted_mean", "global_mean")
-    # fixed values: the spread of a single sample, and of no sample at all
-    alone = F.when(F.col("n").isNull(), M["global"]).otherwise(M["single_sample"])
-    var = F.when(F.col("n") > 1, F.pow("std", 2)).otherwise(F.pow(mean * alone, 2))
-    t = F.coalesce("typical_threads", F.lit(1.0))
-    return j.groupBy(*RUN).agg(F.sum(F.col("pending") * mean * t).alias("c_work"), F.sum(F.col("pending") * var * t * t).alias("c_var"))
 
+def _all_rules(per: DataFrame, *more: Column) -> DataFrame:
+    return per.agg(F.least(F.lit(1.0), F.sum("n") / 10.0).alias("sample"), F.count(F.lit(1)).alias("rules"), F.avg("recency").alias("all_recency"), F.avg("consistency").alias("all_consistency"), *more)
 
-def _by_rule(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("n"))
+
+def _confidence_columns() -> list[Column]:
+    planned, none = F.coalesce("planned", F.lit(False)), F.lit(0)
+    pick = lambda c: F.coalesce(F.when(planned, F.col(c)).otherwise(F.col(f"all_{c}")), F.lit(0.5)).alias(c)
+    covered = F.when(planned, F.coalesce("done_rules", none)).otherwise(F.col("rules") + F.coalesce("unknown", none))
+    return ["sample", pick("recency"), pick("consistency"), (covered / F.greatest(F.lit(1), F.col("rules"))).alias("coverage")]
+
+
+def _shared_pending(counted: DataFrame, by_rule: DataFrame, rules: DataFrame, current: bool) -> DataFrame:
+    """(run, rule, pending) of counted(run, pending, total_n): pending jobs shared like completions and, for other rules, like the history.
+
+    A rule whose part rounds to nothing gets no row. Of the history only as many rules, the most frequent first, can have
+    a part as there are twice the pending jobs; so many ranks are joined, and no run meets all rules.
+    """
+    part = F.bround(F.col("pending") * (F.col("share") / F.col("total_n"))).cast("long").alias("pending")
+    own = by_rule.where("current" if current else "done > 0").join(rules.select("rule", F.col("n").alias("history")), "rule", "left")
+    own = own.select(*RUN, "rule", F.coalesce(F.nullif("done", F.lit(0)), "history").alias("share"))
+    out = counted.join(own, RUN).select(*RUN, "rule", part)
+    if not current:
+        order = Window.orderBy(F.desc("n"), "rule")
+        ranked = rules.select("rule", F.col("n").alias("share"), F.row_number().over(order).alias("rank"))  # a row a rule
+        most = F.least(2 * F.col("pending"), F.col("rules")).cast("int")
+        ranks = counted.where("rules > 0").select("*", F.explode(F.sequence(F.lit(1), most)).alias("rank")).join(ranked, "rank")
+        out = out.unionByName(ranks.join(by_rule.where("done > 0").select(*RUN, "rule"), [*RUN, "rule"], "left_anti").select(*RUN, "rule", part))
+    return out.where("pending > 0")
 
 
 def estimate_runs(
     snapshot: DataFrame,
     todo: DataFrame,
-    samples: DataFrame,
+    samples: DataFrame | None,
     rules_done: DataFrame,
     as_of: float,
     *,
+    levels: DataFrame | None = None,
     records: DataFrame | None = None,
     expected: DataFrame | None = None,
     current: DataFrame | None = None,
     has_history: bool = True,
+    strategy: str = "index",
 ) -> DataFrame:
     """One estimate per run: seconds_remaining, lower, upper, confidence, method.
 
@@ -242,36 +275,61 @@ def estimate_runs(
     todo: pending and running jobs of the runs (state, rule, threads, wildcards, input_size,
     elapsed). rules_done: run and rule of every completion. Where a run's pending jobs are not
     all in todo, their number is shared among rules: by expected(run, rule, expected) counts
-    if a run has any, else like its completions and, for other rules, like the history.
+    if a run has any, else like its completions and, for other rules, like the history;
+    current(run, rule), if given, are the rules that a run still has, and others get no share.
+
+    Two tables are written, levels (unless given) and what each run and rule has: jobs, completions and expected counts.
     """
-    c = DEFAULT
-    samples, todo = samples.persist(), todo.persist()
-    typical, zero = E.typical_threads(samples), F.lit(0.0)
-    if expected is None:
-        expected = rules_done.select(*RUN, "rule", F.lit(0).alias("expected")).limit(0)
-    j = job_estimates(todo, samples, records=records).join(typical, "rule", "left").withColumn("t", F.coalesce(F.col("threads").cast("double"), "typical_threads", F.lit(1.0)))
+    c, zero = DEFAULT, F.lit(0.0)
+    if levels is None:
+        levels = stored(E.level_table(samples, as_of, strategy), "levels")
+    rules = levels.where("level = 'rule'").select("rule", "n", "std", "weighted_mean", "typical_threads", "recency", "consistency")
+    mean = overall_mean(levels)
+
+    j = job_estimates(todo, levels=levels, records=records).join(rules.select("rule", "typical_threads"), "rule", "left")
+    t = F.coalesce(F.col("threads").cast("double"), "typical_threads", F.lit(1.0))
     runs, old = F.col("state") == "running", F.coalesce("elapsed", zero)
     left = F.when(runs, F.greatest(zero, F.col("expected") - old)).otherwise(F.col("expected"))
-    of = lambda ok, value, name: F.sum(F.when(ok, value)).alias(name)
-    var = F.col("variance") * F.col("t") * F.col("t")
-    work = j.groupBy(*RUN).agg(
-        of(runs, left * F.col("t"), "r_work"), of(~runs, left * F.col("t"), "p_work"), of(runs, var, "r_var"), of(~runs, var, "p_var"),
-        of(runs, old * F.col("t"), "spent"), of(runs, F.coalesce(F.col("threads"), F.lit(1)), "peak"),
-        F.sum("t").alias("threads"), F.count_if(~runs).alias("listed"), F.count_if(runs).alias("running"),
+    var = F.col("variance") * t * t
+    of = lambda ok, value, name: F.when(ok, value).alias(name)
+    work = j.select(
+        *RUN, "rule", of(runs, left * t, "r_work"), of(~runs, left * t, "p_work"), of(runs, var, "r_var"), of(~runs, var, "p_var"), of(runs, old * t, "spent"),
+        of(runs, F.coalesce(F.col("threads"), F.lit(1)).cast("double"), "peak"), t.alias("t"), (~runs).cast("long").alias("listed"), runs.cast("long").alias("running"),
+    )
+    sums = ["r_work", "p_work", "r_var", "p_var", "spent", "peak", "t", "listed", "running", "done", "expected"]
+    rows = work.unionByName(rules_done.select(*RUN, "rule", F.lit(1).cast("long").alias("done")), allowMissingColumns=True)
+    none = F.lit(None).cast("long")
+    rows = rows.withColumn("expected", none) if expected is None else rows.unionByName(expected.select(*RUN, "rule", F.col("expected").cast("long").alias("expected")), allowMissingColumns=True)
+    rows = rows.withColumn("current", F.lit(False)) if current is None else rows.unionByName(current.select(*RUN, "rule", F.lit(True).alias("current")), allowMissingColumns=True)
+    by_rule = stored(rows.groupBy(*RUN, "rule").agg(*[F.sum(x).alias(x) for x in sums], F.coalesce(F.bool_or("current"), F.lit(False)).alias("current")), "by-rule")
+
+    each = by_rule.join(rules, "rule", "left")
+    shares = F.col("current") if current is not None else F.col("done") > 0
+    own = F.coalesce(F.nullif("done", F.lit(0)), "n")
+    per_run = each.groupBy(*RUN).agg(
+        *[F.sum(x).alias(x) for x in sums[:-2]], F.count("rule").alias("rows"),
+        *_confidence_counts(), F.sum(F.when(shares, own)).alias("own_n"), F.sum(F.when(shares, F.col("n"))).alias("own_history"),
     )
-    s = snapshot.join(work, RUN, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("listed", "running")})
+    s = snapshot.join(per_run, RUN, "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("listed", "running")}).withColumnRenamed("t", "threads")
+    s = s.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(_all_rules(rules, F.sum("n").alias("history"))))  # one row each
     if "pending" not in snapshot.columns:
         s = s.withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("completed") - F.col("running")))
 
     # pending jobs by rule where there is no whole list of them
-    counted = s.where("not (listed > 0 and listed >= pending)").select(*RUN, "pending")
-    done = _by_rule(rules_done)
-    other = counted.join(expected.select(*RUN).distinct(), RUN, "left_anti").crossJoin(_by_rule_count(samples))  # runs times rules
-    history = other.join(done.select(*RUN, "rule"), [*RUN, "rule"], "left_anti").select(*RUN, "rule", "n")
-    per_rule = pending_per_rule(expected, done.unionByName(history), _by_rule(todo.where("state = 'running'")), counted, current)
-    s = s.join(_counted_work(per_rule, samples, typical), RUN, "left")
-
-    s = s.join(confidence_parts(samples, rules_done, as_of, expected, snapshot), RUN, "left").crossJoin(F.broadcast(E.global_mean(samples)))  # one row
+    counted = s.where("not (listed > 0 and listed >= pending) and pending > 0")
+    others = F.lit(0) if current is not None else F.coalesce("history", F.lit(0)) - F.coalesce("own_history", F.lit(0))
+    exact = counted.where("planned").select(*RUN).join(by_rule.where("expected is not null"), RUN)
+    exact = exact.select(*RUN, "rule", (F.col("expected") - F.coalesce("done", F.lit(0)) - F.coalesce("running", F.lit(0))).alias("pending")).where("pending > 0")
+    rest = counted.where("planned is null or not planned").select(*RUN, "pending", "rules", (F.coalesce("own_n", F.lit(0)) + others).alias("total_n"))
+    per_rule = exact.unionByName(_shared_pending(rest, by_rule, rules, current is not None))
+    p = per_rule.join(rules, "rule", "left").crossJoin(F.broadcast(mean))
+    typical = F.coalesce("typical_threads", F.lit(1.0))
+    known = F.coalesce("weighted_mean", "global_mean")
+    spread = F.when(F.col("n").isNull(), scenario_variance(known, known, F.lit(0), "global")).otherwise(scenario_variance(known, F.col("std"), F.col("n"), "single_sample"))
+    work = p.groupBy(*RUN).agg(F.sum(F.col("pending") * known * typical).alias("c_work"), F.sum(F.col("pending") * spread * typical * typical).alias("c_var"))
+    s = s.join(work, RUN, "left")
+
+    s = s.select(*RUN, "total", "completed", "pending", "elapsed", "cores", "peak", "threads", "listed", "spent", "global_mean", *[f"{k}_{x}" for x in ("work", "var") for k in "rpc"], *_confidence_columns())
     cores = estimated_cores(F.col("cores"), F.col("peak"))
     est = lambda m, e, lo, hi, conf: F.struct(F.lit(m).alias("method"), e.alias("seconds_remaining"), lo, hi, conf.alias("confidence"))
     low, high = (lambda x: x.alias("lower")), (lambda x: x.alias("upper"))
@@ -286,7 +344,7 @@ def estimate_runs(
     both = lambda x: F.coalesce(f"r_{x}", zero) + F.coalesce(F.when(whole, F.col(f"p_{x}")).otherwise(F.col(f"c_{x}")), zero)
     e = both("work") / cores
     sd = F.when(both("var") > 0, F.sqrt(both("var")) / cores).otherwise(e * M["single_sample"])
-    conf = confidence(F.coalesce("sample", zero), F.coalesce("recency", F.lit(0.5)), F.coalesce("consistency", F.lit(0.5)), F.coalesce("coverage", zero))
+    conf = confidence(F.coalesce("sample", zero), F.col("recency"), F.col("consistency"), F.coalesce("coverage", zero))
     weighted = est("weighted", e, *bounds(e, sd), conf)
     done_ = (F.col("total") == 0) | (F.col("completed") >= F.col("total"))
     complete = est("complete", zero, low(zero), high(zero), F.lit(1.0))
@@ -294,10 +352,6 @@ def estimate_runs(
     return s.select(*RUN, pick.alias("x")).select(*RUN, "x.*")
 
 
-def _by_rule_count(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-
-
 def running_remaining(jobs: DataFrame) -> DataFrame:
     """remaining of running jobs(expected, variance, elapsed, tool_percent): the tool's share wins; overdue within two deviations is 0, beyond two thirds of the elapsed time."""
     p = F.col("tool_percent") / 100

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import scalars as S
+from .tables import stored
 
 TIE = ["k1", "k2", "k3", "k4"]
 DAY = 86400.0
@@ -39,13 +40,16 @@ def index_weighted_mean(samples: DataFrame, by: list[str], half_life: float = DE
     """Mean with weight 0.5^(runs ago / half life); the newest is 0 runs ago.
 
     Samples more than 100 half lives ago weigh less than 1e-28 in all, below the precision of the
-    sums, and are not ranked. So each task sends its newest ones of a group only, and a group with
+    sums, and are not ranked (`newest`). So each task sends its newest ones of a group only, and a group with
     very many samples is no long sort in one task.
     """
-    r = F.row_number().over(_newest(by))
-    newest = samples.select(*by, "duration", "end_time", *TIE).withColumn("r", r).where(F.col("r") <= int(100 * half_life))
     w = F.pow(F.lit(0.5), (F.col("r") - 1) / F.lit(half_life))
-    return newest.groupBy(*by).agg((F.sum(F.col("duration") * w) / F.sum(w)).alias("weighted_mean"))
+    return newest(samples, by, int(100 * half_life)).groupBy(*by).agg((F.sum(F.col("duration") * w) / F.sum(w)).alias("weighted_mean"))
+
+
+def newest(samples: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The newest samples of each group, numbered by r from 1."""
+    return samples.select(*by, "duration", "end_time", *TIE).withColumn("r", F.row_number().over(_newest(by))).where(F.col("r") <= most)
 
 
 def _age_weight(as_of: float, half_life_days: float) -> Column:
@@ -88,8 +92,9 @@ def median_input_size(samples: DataFrame, by: list[str]) -> DataFrame:
     middle = f"{has('c div 2 + 1')} or {has('(c + 1) div 2')}"
     bins = bins.where(middle).select(*by, "bin", (F.col("upto") - F.col("n")).alias("before"), "c")
     sizes = known.join(bins, [*by, "bin"]).groupBy(*by, "bin", "before", "c", "x").agg(F.count(F.lit(1)).alias("n"))
-    inside = F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("x"))
-    mid = sizes.withColumn("upto", F.col("before") + inside).where(middle)
+    # the middle ranks are in one bin or in two that follow each other
+    inside, first = F.sum("n").over(w.orderBy("bin", "x")), F.min("before").over(w)
+    mid = sizes.withColumn("upto", first + inside).where(middle)
     return mid.groupBy(*by).agg(F.expr("(min(x) + max(x)) div 2").alias("median_size"), F.first("c").alias("sized"))
 
 
@@ -109,9 +114,13 @@ def recency_factor(samples: DataFrame, by: list[str], as_of: float | None = None
 
 def recent_consistency(samples: DataFrame, by: list[str], as_of: float, days: float = DEFAULT.recent_days) -> DataFrame:
     """max(0.3, 1 - variation) of the last days; 0.5 with fewer than two samples."""
+    return samples.groupBy(*by).agg(_consistency(as_of, days).alias("consistency"))
+
+
+def _consistency(as_of: float, days: float = DEFAULT.recent_days) -> Column:
     d = F.when(F.col("end_time") >= as_of - days * DAY, F.col("duration"))
     mean = F.avg(d)
-    return samples.groupBy(*by).agg(F.when((F.count(d) >= 2) & (mean > 0), F.greatest(F.lit(DEFAULT.consistency_floor), 1 - F.stddev_pop(d) / mean)).otherwise(F.lit(0.5)).alias("consistency"))
+    return F.when((F.count(d) >= 2) & (mean > 0), F.greatest(F.lit(DEFAULT.consistency_floor), 1 - F.stddev_pop(d) / mean)).otherwise(F.lit(0.5))
 
 
 def wildcard_samples(samples: DataFrame) -> DataFrame:
@@ -146,17 +155,135 @@ def global_mean(samples: DataFrame) -> DataFrame:
     return samples.agg(F.coalesce(F.avg("duration"), F.lit(DEFAULT.default_mean)).alias("global_mean"))
 
 
-def levels(samples: DataFrame) -> DataFrame:
-    """All four levels of statistics in one grouping: rule, threads, each wildcard value, combination."""
-    s = F.struct
-    text = lambda c: F.col(c).cast("string")
-    keys = F.concat(
-        F.array(s(F.lit("rule").alias("level"), F.lit("").alias("key"))),
-        F.when(F.col("threads").isNotNull(), F.array(s(F.lit("threads").alias("level"), text("threads").alias("key")))).otherwise(F.array().cast("array<struct<level:string,key:string>>")),
-        F.transform(F.map_entries("wildcards"), lambda e: s(F.lit("wildcard").alias("level"), F.concat(e["key"], F.lit("="), e["value"]).alias("key"))),
-        F.array(s(F.lit("combination").alias("level"), S.combination_key(F.col("wildcards"), F.col("threads")).alias("key"))),
+LEVEL = ["rule", "level", "name", "key"]
+STATE = ["n", "total", "m2", "min", "max"]
+
+
+def state() -> list[Column]:
+    """Aggregates that `merged` can put together: count, sum, sum of squared deviations, least and largest duration."""
+    d = F.col("duration")
+    return [F.count(d).alias("n"), F.sum(d).alias("total"), (F.var_pop(d) * F.count(d)).alias("m2"), F.min(d).alias("min"), F.max(d).alias("max")]
+
+
+def merged(states: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """States of groups as one state of what is equal in `by`, with mean and std as in `summary`; more are further aggregates."""
+    w = Window.partitionBy(*by)
+    mean = F.sum("total").over(w) / F.sum("n").over(w)
+    own = F.col("total") / F.col("n")
+    off = F.col("m2") + F.col("n") * (own - mean) * (own - mean)
+    n = F.sum("n")
+    return states.withColumn("m2", F.when(F.col("n") > 0, off)).groupBy(*by).agg(
+        n.alias("n"), F.sum("total").alias("total"), F.sum("m2").alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.coalesce(F.sum("total") / n, F.lit(0.0)).alias("mean"), F.coalesce(F.sqrt(F.sum("m2") / F.nullif(n - 1, F.lit(0))), F.lit(0.0)).alias("std"), *more,
+    )
+
+
+def timing_state(samples: DataFrame, by: list[str], half_life: float = DEFAULT.half_life_logs) -> DataFrame:
+    """What a profile keeps of each group: its state and its newest samples, as many as weigh in an index-weighted mean."""
+    last = newest(samples, by, int(100 * half_life)).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("end_time", *TIE, "duration")), False).alias("newest"))
+    return samples.groupBy(*by).agg(*state()).join(last, by, "left")
+
+
+def merge_states(a: DataFrame, b: DataFrame, by: list[str], half_life: float = DEFAULT.half_life_logs) -> DataFrame:
+    """The state of both together, from a row a group of each; no raw sample but the newest is read."""
+    both = a.select(*by, *STATE, "newest").unionByName(b.select(*by, *STATE, "newest"))
+    last = newest(both.select(*by, F.inline("newest")), by, int(100 * half_life))
+    last = last.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("end_time", *TIE, "duration")), False).alias("newest"))
+    return merged(both, by).select(*by, *STATE).join(last, by, "left")
+
+
+def state_stats(states: DataFrame, half_life: float = DEFAULT.half_life_logs) -> DataFrame:
+    """n, mean, std, min, max and weighted_mean of each state."""
+    zero, n = F.lit(0.0), F.col("n")
+    weight = lambda i: F.pow(F.lit(0.5), i / F.lit(half_life))
+    total = lambda f: F.aggregate(F.transform("newest", f), zero, lambda s, x: s + x)
+    mean = total(lambda x, i: x["duration"] * weight(i)) / total(lambda x, i: weight(i))
+    keys = [c for c in states.columns if c not in (*STATE, "newest")]
+    std = F.coalesce(F.sqrt(F.col("m2") / F.nullif(n - 1, F.lit(0))), zero)
+    return states.select(*keys, "n", F.coalesce(F.col("total") / n, zero).alias("mean"), std.alias("std"), "min", "max", mean.alias("weighted_mean"))
+
+
+def _level_keys() -> Column:
+    """(level, name, key) of every group that a kind of sample, what(rule, threads, entries), counts in: its rule, its threads and all known threads, each wildcard value, its combination."""
+    kind = "array<struct<level:string,name:string,key:string>>"
+    one = lambda level, key, name="": F.array(F.struct(F.lit(level).alias("level"), F.lit(name).alias("name"), key.alias("key")))
+    none, threads = F.array().cast(kind), F.col("what.threads")
+    combo = S.combination_key(F.map_from_entries("what.entries"), threads)
+    values = F.transform("what.entries", lambda e: F.struct(F.lit("wildcard").alias("level"), e["key"].alias("name"), e["value"].alias("key")))
+    return F.concat(
+        one("rule", F.lit("")),
+        F.when(threads.isNotNull(), F.concat(one("pooled", F.lit("")), one("threads", threads.cast("string")))).otherwise(none),
+        F.coalesce(values, none),
+        one("combination", combo),
     )
-    return timing_stats(samples.select("rule", "duration", F.inline(keys)).where("key is not null"), ["rule", "level", "key"])
+
+
+def what() -> Column:
+    """The kind of a sample or job: all that estimates know of it but its input size."""
+    return F.struct("rule", "threads", S.canonical(F.col("wildcards")).alias("entries")).alias("what")
+
+
+def _by_level(kinds: DataFrame) -> DataFrame:
+    """Rows of kinds for each of their levels: rule, level, name, key besides."""
+    return kinds.select("*", F.inline(_level_keys())).where("key is not null").withColumn("rule", F.col("what.rule"))
+
+
+def levels(samples: DataFrame) -> DataFrame:
+    """All four levels of statistics: rule, threads, each wildcard value, combination. Samples are grouped by their kind once; levels are put together from kinds."""
+    rows = _by_level(samples.select(what(), "duration").groupBy("what").agg(*state())).where("level <> 'pooled'")
+    key = F.when(F.col("level") == "wildcard", F.concat("name", F.lit("="), "key")).otherwise(F.col("key"))
+    return merged(rows.withColumn("key", key), ["rule", "level", "key"]).select("rule", "level", "key", "n", "mean", "std", "min", "max")
+
+
+def level_table(samples: DataFrame, as_of: float | None = None, strategy: str = "index") -> DataFrame:
+    """What estimates look up, a row a (rule, level, name, key): n, total, mean, std, min, max, weighted_mean; of rules also typical
+    threads, recency, consistency before as_of, median_size and sized.
+
+    Samples are grouped by kind and month, and levels are put together from kinds. Counts by month tell from when on a level
+    has the newest samples that weigh in its mean, and only those are ranked. Two tables, of kinds and of levels, are written.
+    """
+    if strategy not in ("index", "time"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    of_time = strategy == "time" and as_of is not None
+    recent = F.when(F.col("end_time") >= (as_of or 0.0) - DEFAULT.recent_days * DAY, F.col("duration"))
+    weight = _age_weight(as_of or 0.0, DEFAULT.half_life_days)
+    more = [F.count(recent).alias("r_n"), F.sum(recent).alias("r_total"), (F.var_pop(recent) * F.count(recent)).alias("r_m2"), F.sum(weight).alias("weight"), F.sum(F.col("duration") * weight).alias("weighed")]
+    month = F.floor(F.col("end_time") / (32 * DAY))
+    kinds = stored(samples.select(what(), "duration", "end_time", month.alias("month")).groupBy("what", "month").agg(*state(), *more), "kinds")
+    sums = ["r_n", "r_total", "weight", "weighed"]
+    r_mean = F.sum("r_total").over(Window.partitionBy("what")) / F.sum("r_n").over(Window.partitionBy("what"))
+    off = F.col("r_m2") + F.col("r_n") * F.pow(F.col("r_total") / F.col("r_n") - r_mean, 2)
+    rows = _by_level(merged(kinds.withColumn("r_m2", F.when(F.col("r_n") > 0, off)), ["what"], *[F.sum(x).alias(x) for x in [*sums, "r_m2"]]).drop("mean", "std"))
+
+    threads = F.when(F.col("what.threads").isNotNull(), F.col("n"))
+    typical = F.coalesce(F.sum(F.col("what.threads") * threads) / F.sum(threads), F.lit(1.0)).alias("typical_threads")
+    recency = F.when(F.sum("n") > 0, 0.9).otherwise(0.5).alias("recency")
+    by_age = F.coalesce(F.sum("weighed") / F.nullif(F.sum("weight"), F.lit(0.0)), F.sum("total") / F.sum("n")).alias("weighted_mean")
+    out = merged(rows, LEVEL, typical, recency, *([by_age] if of_time else [])).withColumn("id", F.monotonically_increasing_id())
+    late = rows.where("level = 'rule' and r_n > 0").select("rule", "level", *[F.col(f"r_{x}").alias(x) for x in ("n", "total", "m2")], F.lit(None).alias("min"), F.lit(None).alias("max"))
+    late = merged(late, ["rule", "level"]).where("n >= 2 and mean > 0").select("rule", "level", F.greatest(F.lit(DEFAULT.consistency_floor), 1 - F.sqrt(F.col("m2") / F.col("n")) / F.col("mean")).alias("consistency"))
+    sizes = median_input_size(samples, ["rule"]).withColumn("level", F.lit("rule"))
+    out = out.join(late, ["rule", "level"], "left").join(sizes, ["rule", "level"], "left")
+    out = stored(out.withColumn("consistency", F.coalesce("consistency", F.lit(0.5))), "levels")
+    if of_time:
+        return out.drop("id", "m2")
+    # by number of level, so that nothing but numbers is sorted
+    half_life = DEFAULT.half_life_logs
+    ids = stored(rows.join(out.select(*LEVEL, "id"), LEVEL).groupBy("what").agg(F.collect_list("id").alias("ids")), "level-ids")  # a few levels a kind
+    months = kinds.join(ids, "what").select(F.explode("ids").alias("id"), "month", "n").groupBy("id", "month").agg(F.sum("n").alias("n"))
+    after = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc_nulls_last("month"))) - F.col("n")
+    since = months.withColumn("after", after).where(F.col("after") < int(100 * half_life)).groupBy("id").agg(F.min(F.coalesce("month", F.lit(-(2**62)))).alias("since"))
+    each = samples.select(what(), "duration", "end_time", *TIE).join(ids, "what").select(F.explode("ids").alias("id"), "duration", "end_time", *TIE)
+    each = each.join(since, "id").where(F.coalesce(month, F.lit(-(2**62))) >= F.col("since"))
+    return out.join(index_weighted_mean(each, ["id"], half_life), "id", "left").drop("id", "m2")
+
+
+def predictive_names(levels: DataFrame, least: int = DEFAULT.min_samples, threshold: float = DEFAULT.predictive_threshold) -> DataFrame:
+    """`predictive_key` from a table of levels."""
+    per = levels.where((F.col("level") == "wildcard") & (F.col("n") >= least)).groupBy("rule", "name")
+    score = per.agg(F.count(F.lit(1)).alias("values"), (F.var_pop("mean") / F.pow(F.avg("mean"), 2)).alias("ratio"))
+    score = score.where((F.col("values") >= 2) & (F.col("ratio") > threshold))
+    return score.groupBy("rule").agg(F.max_by("name", F.struct("ratio", "name")).alias("name"))
 
 
 def code_hash_rules(records: DataFrame) -> DataFrame:

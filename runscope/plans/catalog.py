@@ -13,6 +13,7 @@ from ..operators import logs as L
 from ..operators import state as D
 from ..operators import stats as E
 from ..operators import tools as G
+from ..operators.tables import stored
 from ..sources import adapters as A
 from . import reports as R
 
@@ -440,15 +441,15 @@ def peak(spark, d):
     return X.peak_threads(A.samples(spark, d))
 
 
-def _history(spark, d):
+def _history(j):
     """Samples in which one wildcard value takes three times as long, so that it predicts."""
     slow = F.when(F.col("wildcards")["flag"] == "R", 3).otherwise(1)
-    return A.samples(spark, d).withColumn("duration", F.col("duration") * slow)
+    return j.withColumn("duration", F.col("duration") * slow)
 
 
-def _todo(spark, d):
+def _todo(j):
     """Jobs that run or failed, changed so that each way of estimating is needed for some."""
-    j = A.numbered(spark, d).where("ended <> 'finished'").withColumn("x", F.floor(F.col("job_id") / 10) % 8)
+    j = j.where("ended <> 'finished'").withColumn("x", F.floor(F.col("job_id") / 10) % 8)
     x = F.col("x")
     rule = F.when(x == 5, F.concat("rule", F.lit("x"))).when(x == 6, F.lit("entirely_new")).otherwise(F.col("rule"))
     threads = F.when(x == 1, F.col("threads") + 10).when(x.isin(2, 3, 4), None).when(x == 7, 5).otherwise(F.col("threads")).cast("int")
@@ -499,13 +500,15 @@ res AS (SELECT *, CASE method WHEN 'combination' THEN ce WHEN 'threads' THEN pe
 
 @query("f09_job_estimates", "SELECT workflow_id, run_id, job_id, method, round(expected, 5) AS expected, round(variance, 4) AS variance FROM res", f"{JOBS}, {_EST}")
 def job_estimates(spark, d):
-    got = X.job_estimates(_todo(spark, d), _history(spark, d))
+    j = stored(A.numbered(spark, d), "jobs")  # both sides read it several times
+    got = X.job_estimates(_todo(j), _history(j))
     return got.select(*RUN, "job_id", "method", F.round("expected", 5).alias("expected"), F.round("variance", 4).alias("variance"))
 
 
 @query("f09_methods", "SELECT method, count(*) AS n FROM res GROUP BY 1", f"{JOBS}, {_EST}")
 def job_methods(spark, d):
-    return X.job_estimates(_todo(spark, d), _history(spark, d)).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    j = stored(A.numbered(spark, d), "jobs")
+    return X.job_estimates(_todo(j), _history(j)).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RUN_EST = """
@@ -537,13 +540,13 @@ eta AS (SELECT workflow_id, run_id, CASE WHEN completed >= total THEN 'complete'
 
 def _estimates(spark, d):
     """Odd workflows have no list of pending jobs, some of them expected counts; every fifth doesn't tell its cores."""
-    j = A.numbered(spark, d)
+    j = stored(A.numbered(spark, d), "jobs")
     ended = lambda k: F.count_if(F.col("ended") == k)
     snap = j.groupBy(*RUN).agg(F.count(F.lit(1)).alias("total"), ended("finished").alias("completed"), ended("failed").alias("pending"), (F.max("end_time") - F.min("start_time")).alias("elapsed"))
     snap = snap.withColumn("cores", F.when(F.col("workflow_id") % 5 != 0, F.col("workflow_id") + 1))
-    todo = _todo(spark, d).where("state = 'running' or workflow_id % 2 = 0")
+    todo = _todo(j).where("state = 'running' or workflow_id % 2 = 0")
     expected = j.where("workflow_id % 4 = 1").groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("expected"))
-    return X.estimate_runs(snap, todo, _history(spark, d), j.where("ended = 'finished'").select(*RUN, "rule"), AS_OF * 2, expected=expected)
+    return X.estimate_runs(snap, todo, _history(j), j.where("ended = 'finished'").select(*RUN, "rule"), AS_OF * 2, expected=expected)
 
 
 @query("f20_run_estimates", "SELECT workflow_id, run_id, method, round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper, round(confidence, 6) AS confidence FROM eta", f"{JOBS}, {_EST}, {_RUN_EST}")
