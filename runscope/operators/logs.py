@@ -22,8 +22,8 @@ RUN = ["workflow_id", "run_id"]
 CHUNK_LINES = 1 << 18  # lines of a run that one task takes at a time
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """What the lines with a pattern hold. Patterns are tried only on lines with their fixed text."""
+def parsed(lines: DataFrame, every: bool = False) -> DataFrame:
+    """What the lines with a pattern hold; with every, other lines stay with nulls. Patterns are tried only on lines with their fixed text."""
     x = F.col("line")
     has = lambda *texts: reduce(or_, [F.contains(x, F.lit(t)) for t in texts])
     values = {
@@ -36,7 +36,7 @@ def parsed(lines: DataFrame) -> DataFrame:
         "threads": (has("threads:"), S.threads(x)),
         "log": (has("log:"), S.log_path(x)),
     }
-    some = lines.where(reduce(or_, [ok for ok, _ in values.values()]))  # by fixed text: no pattern is tried twice
+    some = lines if every else lines.where(reduce(or_, [ok for ok, _ in values.values()]))  # by fixed text: no pattern is tried twice
     return some.select(*RUN, "line_no", *[F.when(ok, v).alias(k) for k, (ok, v) in values.items()])
 
 

@@ -154,13 +154,37 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def discrepancy_lines(d: DataFrame) -> DataFrame:
-    part = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(label), F.col(c).cast("string")))
-    have = [part(f"{label}=", c) for label, c in (("job_id", "job_id"), ("rule", "rule"), ("events", "event_value"), ("parsed", "parsed_value")) if c in d.columns]
-    return d.select(F.upper("severity").alias("level"), F.concat_ws(" | ", F.concat(F.lit("["), F.col("category"), F.lit("] "), F.coalesce("message", F.col("category"))), *have).alias("value"))
+    """level and value: category, message (by default the category) and what is known of job, rule, wildcards and both values."""
+    part = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"{label}="), c))
+    names = (("job_id", "job_id"), ("rule", "rule"), ("wildcards", "wildcards"), ("events", "event_value"), ("parsed", "parsed_value"))
+    pairs = lambda: F.array_join(F.transform(S.canonical(F.col("wildcards")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    text = lambda c: F.when(F.size("wildcards") > 0, F.concat(F.lit("{"), pairs(), F.lit("}"))) if c == "wildcards" else F.col(c).cast("string")
+    have = [part(label, text(c)) for label, c in names if c in d.columns]
+    message = F.coalesce("message", "category") if "message" in d.columns else F.col("category")
+    return d.select(F.upper("severity").alias("level"), F.concat_ws(" | ", F.concat(F.lit("["), F.col("category"), F.lit("] "), message), *have).alias("value"))
 
 
-def write_discrepancies(d: DataFrame, path: str) -> None:
-    discrepancy_lines(d).select(F.concat_ws(" ", "level", "value").alias("value")).write.mode("append").text(path)
+def session_lines(spark: SparkSession) -> DataFrame:
+    """What begins a session in the report."""
+    rows = [("INFO", "=" * 60), ("INFO", "VALIDATION SESSION STARTED"), ("INFO", "=" * 60)]
+    return spark.createDataFrame(rows, "level string, value string")
+
+
+def summary_lines(events: DataFrame, log: DataFrame) -> DataFrame:
+    """A line a workflow and view of total, completed, n_running and n_failed."""
+    counts = lambda d, view: d.select(F.lit("DEBUG").alias("level"), F.format_string(f"{view} STATE: total=%d, completed=%d, running=%d, failed=%d", *[F.col(c).cast("long") for c in ("total", "completed", "n_running", "n_failed")]).alias("value"))
+    return counts(events, "EVENT").unionByName(counts(log, "PARSED"))
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    lines.select(F.concat_ws(" | ", "level", "value").alias("value")).write.mode("append").text(path)
+
+
+def write_discrepancies(d: DataFrame, path: str, session: bool = False) -> None:
+    """Appends a line a difference; session True begins with the marker of a session."""
+    if session:
+        write_report(session_lines(d.sparkSession).coalesce(1), path)
+    write_report(discrepancy_lines(d), path)
 
 
 def newest_first(metadata: DataFrame) -> DataFrame:

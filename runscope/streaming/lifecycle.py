@@ -74,6 +74,26 @@ def into_samples(events: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def into_sample_table(events: DataFrame, table: str, checkpoint: str, buckets: int = 64):
+    """Merges each finished job once into a catalog table that is bucketed by workflow and job, whenever it comes.
+
+    A batch adds what the table doesn't have, so replayed batches and late repeats change nothing. The table's side of that
+    join is not shuffled, since it is bucketed by the keys.
+    """
+    spark, keys = events.sparkSession, ["workflow_id", "job_id"]
+    done = events.where("event_type = 'job_finished' and duration is not null").select(*keys, F.col("rule_name").alias("rule"), "duration", F.col("timestamp").alias("end_time"), "threads", "seq")
+
+    def merge(batch: DataFrame, _: int) -> None:
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct("rule", "duration", "end_time", "threads"), F.struct("end_time", "seq")).alias("s")).select(*keys, "s.*")
+        if spark.catalog.tableExists(table):
+            spark.catalog.refreshTable(table)  # batches are written by a session of their own
+            first = first.join(batch.sparkSession.table(table).select(*keys), keys, "left_anti")
+        first.write.bucketBy(buckets, *keys).sortBy(*keys).mode("append").saveAsTable(table)
+        spark.catalog.refreshTable(table)
+
+    return done.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update"):
     """Runs a batch operator, such as the comparison of two views, on every micro-batch."""
     return stream.writeStream.outputMode(mode).foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -86,18 +106,16 @@ def stale_jobs(jobs: DataFrame, as_of: float, after: float = 1800.0) -> DataFram
     return jobs.where(F.col("status").isin("RUNNING", "SUBMITTED") & (F.lit(as_of) - last > after))
 
 
-_CONTEXT = "block long, error_block long, last_ts double, rule string, in_error boolean"
-_LINE = "workflow_id {w}, run_id string, line_no long, rule_start string, job_id long, finished long, error_rule string, ts double, wildcards string, threads int, log string"
-_CARRIED = "line_no long, block long, error_block long, last_ts double, rule string, in_error boolean"
+CONTEXT = "block long, error_block long, last_ts double, rule string, in_error boolean"
+LINE = "workflow_id {w}, run_id string, line_no long, rule_start string, job_id long, finished long, error_rule string, ts double, wildcards string, threads int, log string"
+CARRIED = "line_no long, block long, error_block long, last_ts double, rule string, in_error boolean"
 
 
-def _carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The context of a run's next lines; lines that were seen before are left out."""
-    seen, block, error_block, last_ts, rule, in_error = state.get if state.exists else (-1, 0, 0, None, None, False)
-    p = pd.concat(list(parts)).sort_values("line_no").drop_duplicates("line_no")
-    p = p[p["line_no"] > seen].reset_index(drop=True)
+def carry(p: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, tuple]:
+    """Lines in order with their context, and the context after them; before is what `CARRIED` says of the lines before."""
+    seen, block, error_block, last_ts, rule, in_error = before
     if not len(p):
-        return
+        return p, before
     opens = p["error_rule"].notna()
     closes = (p["rule_start"].notna() | p["ts"].notna()) & ~opens
     p["block"] = block + p["rule_start"].notna().cumsum()
@@ -108,17 +126,27 @@ def _carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     p["in_error"] = open_.ffill().fillna(float(in_error)) == 1.0
     end = p.iloc[-1]
     ts = float(end["last_ts"])
-    state.update((int(end["line_no"]), int(end["block"]), int(end["error_block"]), None if ts != ts else ts, end["rule"] if isinstance(end["rule"], str) else None, bool(end["in_error"])))
-    yield p
+    return p, (int(end["line_no"]), int(end["block"]), int(end["error_block"]), None if ts != ts else ts, end["rule"] if isinstance(end["rule"], str) else None, bool(end["in_error"]))
+
+
+def _carry(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The context of a run's next lines; lines that were seen before are left out."""
+    before = state.get if state.exists else (-1, 0, 0, None, None, False)
+    p = pd.concat(list(parts)).sort_values("line_no").drop_duplicates("line_no")
+    p, after = carry(p[p["line_no"] > before[0]].reset_index(drop=True), before)
+    if len(p):
+        state.update(after)
+        yield p
 
 
 def log_context(lines: DataFrame) -> DataFrame:
     """A stream of log lines with the context that batch parsing would give them, kept per run between micro-batches.
 
-    Appended to a table, its rows are what `logs.facts` reads. Lines of a run must arrive in order of line_no.
+    Appended to a table, its rows are what `logs.facts` reads. Lines of a run must arrive in order of line_no;
+    `stateful.ordered_log_context` takes them in any order.
     """
     p = logs.parsed(lines)
     kind = p.schema["workflow_id"].dataType.simpleString()
-    columns = [c.split()[0] for c in _LINE.split(", ")]
+    columns = [c.split()[0] for c in LINE.split(", ")]
     rows = p.select(*columns).groupBy("workflow_id", "run_id")
-    return rows.applyInPandasWithState(_carry, f"{_LINE.format(w=kind)}, {_CONTEXT}", _CARRIED, "append", GroupStateTimeout.NoTimeout)
+    return rows.applyInPandasWithState(_carry, f"{LINE.format(w=kind)}, {CONTEXT}", CARRIED, "append", GroupStateTimeout.NoTimeout)
