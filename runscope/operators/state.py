@@ -93,8 +93,8 @@ def next_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("next_start", F.lead("run_start").over(Window.partitionBy("workflow_id").orderBy("run_start", "run_id")))
 
 
-def in_time_frame(completions: DataFrame, runs: DataFrame, width: float = 86400.0) -> DataFrame:
-    """Completions between a run's start and the next one's: an as-of match by a sort, not a range join.
+def frames(completions: DataFrame, runs: DataFrame, width: float = DAY) -> DataFrame:
+    """frame_run, frame_start and the completions between a run's start and the next one's: an as-of match by a sort, not a range join.
 
     Each day (width) of a workflow is sorted for itself; the run that is open when it begins is
     found first, from the starts and the days that have completions.
@@ -111,7 +111,12 @@ def in_time_frame(completions: DataFrame, runs: DataFrame, width: float = 86400.
     ends = completions.select("workflow_id", F.col("end_time").alias("t"), F.lit(1).alias("o"), F.lit(None).cast(run).alias("r"), F.struct("*").alias("c"))
     both = starts.unionByName(open_).select("*", no_row).unionByName(ends).withColumn("day", F.floor(F.col("t") / width))
     got = both.withColumn("r", last("workflow_id", "day")).where("c is not null and r is not null")
-    return got.select(F.col("r.run_id").alias("frame_run"), "c.*")
+    return got.select(F.col("r.run_id").alias("frame_run"), F.col("r.run_start").alias("frame_start"), "c.*")
+
+
+def in_time_frame(completions: DataFrame, runs: DataFrame, width: float = DAY) -> DataFrame:
+    """Completions with frame_run: the run of their workflow that had begun last when they ended."""
+    return frames(completions, runs, width).drop("frame_start")
 
 
 def with_fallback(primary: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import scalars as S
+from .state import frames
 from .tables import stored
 
 TIE = ["k1", "k2", "k3", "k4"]
@@ -320,5 +321,31 @@ def as_of_run(samples: DataFrame, cutoff: Column, fallback: DataFrame | None = N
     return timing_stats(old, ["rule"])
 
 
+def before_runs(samples: DataFrame, runs: DataFrame, by: tuple[str, ...] = ("rule",)) -> DataFrame:
+    """For every run of runs(workflow_id, run_id, run_start) and group with samples in its time frame: n, mean, std, min, max of
+    the workflow's samples from before the run.
+
+    Samples are matched with runs once and added up by run; these states are put together in run order, so nothing
+    reads a sample again for each run. Groups without an earlier sample give no row.
+    """
+    keys = ["workflow_id", *by]
+    first = runs.select("workflow_id").distinct().select("workflow_id", F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"), F.lit(-1e12).alias("run_start"))
+    starts = runs.select("workflow_id", "run_id", "run_start").unionByName(first)
+    framed = frames(samples.select(*keys, "duration", "end_time"), starts)
+    framed = framed.groupBy(*keys, F.col("frame_run").alias("run_id"), F.col("frame_start").alias("run_start")).agg(*state())
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("run_start", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    # squares around the mean of the whole group, so that their differences lose no digits
+    mid = F.sum("total").over(w) / F.sum("n").over(w)
+    off = F.col("total") / F.col("n") - F.col("mid")
+    x = framed.where("n > 0").withColumn("mid", mid).withColumn("s2", F.col("m2") + F.col("n") * off * off)
+    sums = {f"b_{c}": F.sum(c).over(before) for c in ("n", "total", "s2")} | {"b_min": F.min("min").over(before), "b_max": F.max("max").over(before)}
+    x = x.withColumns(sums).where("b_n > 0")
+    mean = F.col("b_total") / F.col("b_n")
+    m2 = F.greatest(F.lit(0.0), F.col("b_s2") - F.col("b_n") * (mean - F.col("mid")) * (mean - F.col("mid")))
+    std = F.coalesce(F.sqrt(m2 / F.nullif(F.col("b_n") - 1, F.lit(0))), F.lit(0.0))
+    return x.select("workflow_id", "run_id", *by, F.col("b_n").alias("n"), mean.alias("mean"), std.alias("std"), F.col("b_min").alias("min"), F.col("b_max").alias("max"))
+
+
 def only_rules(stats: DataFrame, rules: DataFrame) -> DataFrame:
     return stats.join(rules, "rule", "left_semi")

@@ -205,6 +205,21 @@ def as_of(spark, d):
     return rounded(E.as_of_run(s, F.lit(850_000_000.0), s), "mean", "std")
 
 
+@query("e25_before_runs", f"""SELECT f.workflow_id, f.run_id, f.rule, count(*) AS n, round(avg(duration), 6) AS mean, round(coalesce(stddev_samp(duration), 0), 6) AS std, min(duration) AS min, max(duration) AS max
+  FROM (SELECT DISTINCT s.workflow_id, r.run_id, s.rule, r.run_start FROM s ASOF JOIN r ON s.workflow_id = r.workflow_id AND s.end_time >= r.run_start) f JOIN s ON s.workflow_id = f.workflow_id AND s.rule = f.rule AND s.end_time < f.run_start GROUP BY ALL""", f"""{SAMPLES},
+r AS (SELECT o_custkey % 20 AS workflow_id, strftime(o_orderdate, '%Y-%m') AS run_id, CAST(min(epoch(o_orderdate)) AS DOUBLE) AS run_start FROM orders GROUP BY ALL)""")
+def before_runs(spark, d):
+    return rounded(E.before_runs(A.samples(spark, d), A.runs(spark, d)), "mean", "std")
+
+
+@query("e23_state_merge", f"SELECT rule, n, mean, std, min, max, weighted_mean FROM (SELECT rule, {_STAT}, round(sum(duration * w) / sum(w), 6) AS weighted_mean FROM (SELECT *, pow(0.5, ({_W.format(by='rule')}) / 10.0) AS w FROM s) GROUP BY rule)", SAMPLES)
+def state_merge(spark, d):
+    """Profiles of two halves, kept as states of bounded size, merged without raw samples."""
+    s = A.samples(spark, d)
+    half = lambda ok: E.timing_state(s.where(ok), ["rule"])
+    return rounded(E.state_stats(E.merge_states(half("workflow_id < 7"), half("workflow_id >= 7"), ["rule"])), "mean", "std", "weighted_mean")
+
+
 @query("e26_current_rules_only", f"SELECT rule, {_STAT} FROM s WHERE rule IN (SELECT rule FROM s WHERE run_id = (SELECT max(run_id) FROM s)) GROUP BY rule", SAMPLES)
 def current_rules(spark, d):
     s = A.samples(spark, d)

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import logs as L
 from ..operators import state as D
 from ..operators import stats as E
+from ..operators.tables import stored
 
 RUN = ["workflow_id", "run_id"]
 
@@ -68,10 +69,10 @@ def shares(snapshot: DataFrame) -> DataFrame:
 def snapshot(lines: DataFrame, live: DataFrame | None = None, incomplete: DataFrame | None = None) -> DataFrame:
     """One row per run: counts, status, times. live(workflow_id, running) and incomplete(workflow_id, n) come from lock and marker files.
 
-    The facts of the logs, which three counts share, are kept in memory or on disk.
+    The facts of the logs, which three counts share, are written to a table.
     """
     count = lambda d, n: d.groupBy(*RUN).agg(F.count(F.lit(1)).alias(n))
-    s, f = L.overview(lines), L.facts(lines).persist()
+    s, f = L.overview(lines), stored(L.facts(lines), "facts")
     for d, n in ((L.running_jobs(f), "n_running"), (L.failed_jobs(f), "n_failed"), (L.completed_jobs(f), "n_completed")):
         s = s.join(count(d, n), RUN, "left").withColumn(n, F.coalesce(n, F.lit(0)))
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("run_start"), F.desc("run_id"))) == 1
