@@ -14,12 +14,14 @@ frequent passage is first reduced to one row a message. No conversation is gathe
 
 Null texts are empty messages. Rows with a null conv_id or turn come back without a
 parent. Repeated rows come back each. Messages without quotes have no parent and are
-their own root. Very long messages are one row. An empty table gives no rows; other
+their own root. Very long messages are one row, and their work grows with their length. An empty table gives no rows; other
 columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,22 +35,33 @@ def _normal(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(x, _UPPER, _LOWER), r"[ \t-\r]+", " "), "^ | $", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _passages(text: Column) -> Column:
-    """array<struct<level, content>> of the consecutive lines of one level."""
+    """array<struct<level, content>> of the consecutive lines of one level; each line is looked at and copied once."""
     line = F.transform(F.split(text, "\n"), lambda l: F.struct(F.length(F.regexp_replace(F.regexp_extract(l, MARK, 1), "[^>]", "")).alias("level"), F.regexp_replace(l, MARK, "").alias("content")))
-    empty = F.array().cast("array<struct<level:int,content:string>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        more = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(last["content"], F.lit("\n"), x["content"]).alias("content"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"]), more).otherwise(F.concat(acc, F.array(x)))
+    def starts(lines: Column) -> Column:
+        """The places, from 1, of lines whose level isn't that of the line before, and the place after the last line."""
+        levels = F.transform(lines, lambda x: x["level"])
+        before = F.concat(F.array(F.lit(-1)), levels)  # one longer; its last has no line
+        new = F.zip_with(levels, before, lambda x, y: ~x.eqNullSafe(y))
+        return F.filter(F.transform(new, lambda n, i: F.when(n, i + 1)), lambda i: i.isNotNull())
+
+    def cut(lines: Column, at: Column) -> Column:
+        content = lambda i, j: F.array_join(F.transform(F.slice(lines, i, j - i), lambda x: x["content"]), "\n")
+        spans = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at)), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+        return F.transform(spans, lambda p: F.struct(F.element_at(lines, p["i"])["level"].alias("level"), content(p["i"], p["j"]).alias("content")))
 
-    return F.aggregate(line, empty, add)
+    return _let(line, lambda lines: _let(starts(lines), lambda at: cut(lines, at)))
 
 
 def _units(passage: Column) -> Column:
     """The passage and its lines, normalised; no empty ones."""
-    return F.array_distinct(F.filter(F.concat(F.array(_normal(passage)), F.transform(F.split(passage, "\n"), _normal)), lambda u: u != ""))
+    return _let(passage, lambda p: F.array_distinct(F.filter(F.concat(F.array(_normal(p)), F.transform(F.split(p, "\n"), _normal)), lambda u: u != "")))
 
 
 def reply_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

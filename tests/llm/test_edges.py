@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -116,3 +117,18 @@ def test_toxicity_held_out_repeats_and_long_texts(spark):
     assert all(by[i][0][1] == int(i % 4 == 0) for i in range(240))
     assert by[500][0][1] == by[502][0][1] == 0
     assert by[501][0][2] == [(len(long) + 1, len(long) + 9)]
+
+
+def test_chat_with_very_many_lines(spark):
+    """20 000 quoted lines, in one passage and in as many; levels that change in every line."""
+    n = 20_000
+    said = "\n".join(f"line {i}" for i in range(n))
+    rows = [(1, 0, "u", said), (1, 1, "a", "\n".join(f"> line {i}" for i in range(n))), (1, 2, "u", "\n".join((">" * (i % 3)) + f"line {i}" for i in range(n))), (1, 3, "a", ">> line 9\n> nothing\n")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r["turn"]: r for r in chat.reply_conversations(d).collect()}
+    assert time.time() - began < 60
+    assert [(got[t]["n_quotes"], got[t]["parent_turn"], got[t]["root_turn"]) for t in range(4)] == [(0, None, 0), (1, 0, 0), (2 * n // 3, 0, 0), (2, 2, 0)]
+    assert got[0]["text"] == said
+    assert got[1]["text"] == ""
+    assert got[2]["text"].split("\n") == [f"line {i}" for i in range(0, n, 3)]
