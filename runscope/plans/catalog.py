@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import estimate as X
+from ..operators import joblogs as J
 from ..operators import logs as L
 from ..operators import state as D
 from ..operators import stats as E
@@ -729,3 +730,20 @@ def all_samples(spark, d):
     events = readers.event_history(e.withColumn("wildcards", F.lit(None).cast("map<string,string>"))).withColumn("threads", F.nullif("threads", F.lit(0)))
     got = D.all_samples(E.profile_samples(E.profile(flag("A"))), flag("N").drop("threads"), events, flag("R"))
     return got.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("threads").alias("with_threads"), F.round(F.sum("duration"), 3).alias("total"))
+
+
+_JOB_FILES = f"""{EVENTS},
+jobs AS (SELECT DISTINCT workflow_id, job_id, rule_name AS rule, 'v' || (job_id % 50) AS value FROM e WHERE job_id % 4 <> 3),
+f AS (SELECT (doc_id // 3) % 10 AS workflow_id, doc_id AS mtime, doc_id % 6 < 2 AS run, CASE doc_id % 6 WHEN 0 THEN '.run/log/2024_rule_' || (doc_id % 7) || '_' || doc_id || '.log' WHEN 1 THEN '.run/log/a_job' || (doc_id % 97) || '.log'
+  WHEN 2 THEN 'logs/rule_' || (doc_id % 7) || '.' || doc_id || '.log' WHEN 3 THEN 'log/rule_' || (doc_id % 7) || '/' || doc_id || '.txt' WHEN 4 THEN 'logs/deep/er/xv' || (doc_id * 7 % 50) || '_' || doc_id ELSE 'logs/other/' || doc_id END AS path FROM documents),
+g AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '(?:^|/)logs?/([^/]+)/[^/]+$', 1) AS folder FROM f)"""
+
+
+@query("a18_job_logs", """SELECT j.workflow_id, j.rule, j.job_id, arg_max(path, mtime) AS log_path FROM jobs j JOIN g ON g.workflow_id = j.workflow_id AND CASE WHEN run THEN contains(name, j.rule) OR contains(name, 'job' || j.job_id)
+  ELSE starts_with(name, j.rule) OR folder = j.rule OR contains(name, value) OR (mtime % 30 = 5 AND j.rule = 'rule_' || (mtime % 7)) END GROUP BY ALL""", _JOB_FILES)
+def job_logs(spark, d):
+    jobs = A.events(spark, d).where("event_type is not null and job_id % 4 <> 3").select("workflow_id", "job_id", F.col("rule_name").alias("rule")).distinct()
+    jobs = jobs.withColumn("wildcards", F.create_map(F.lit("s"), F.concat(F.lit("v"), (F.col("job_id") % 50).cast("string"))))
+    files = A.job_files(spark, d)
+    records = files.where("mtime % 30 = 5").select("workflow_id", F.concat(F.lit("rule_"), (F.col("mtime") % 7).cast("int").cast("string")).alias("rule"), F.array("path").alias("log"))
+    return J.job_logs(jobs, files, records)

@@ -99,3 +99,16 @@ def tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(tool == "bwa_mem", F.concat(F.lit("[M::mem_process_seqs] Processed "), n, F.lit(" reads in 1.0 CPU sec"))).when(tool == "samtools_sort", F.concat(F.lit("[bam_sort_core] read "), n, F.lit(" records"))).when(tool == "fastp_trim", F.concat(F.lit("total reads: "), n)).when(tool == "fgbio_group", F.concat(F.lit("[INFO] Processed "), F.format_number(n, 0), F.lit(" records."))).when(tool == "star_align", F.concat(F.lit("Finished "), n, F.lit(" reads"))).otherwise(F.lit("indexing"))
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), tool.alias("rule"), F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("t")).alias("x"))
     return line.groupBy("job_id", "rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("content"))
+
+
+def job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workflow_id, area, path, mtime: a log file for each document, named in one of the ways that runners and rules name logs."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    n, text = F.col("doc_id"), lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    rule, value = text("rule_", n % 7), text("v", n * 7 % 50)
+    way = n % 6
+    path = (
+        F.when(way == 0, text(".run/log/2024_", rule, "_", n, ".log")).when(way == 1, text(".run/log/a_job", n % 97, ".log")).when(way == 2, text("logs/", rule, ".", n, ".log"))
+        .when(way == 3, text("log/", rule, "/", n, ".txt")).when(way == 4, text("logs/deep/er/x", value, "_", n)).otherwise(text("logs/other/", n))
+    )
+    return d.select((F.floor(n / 3) % 10).alias("workflow_id"), F.when(way < 2, "runlog").otherwise("joblog").alias("area"), path.alias("path"), n.cast("double").alias("mtime"))
