@@ -747,3 +747,30 @@ def job_logs(spark, d):
     files = A.job_files(spark, d)
     records = files.where("mtime % 30 = 5").select("workflow_id", F.concat(F.lit("rule_"), (F.col("mtime") % 7).cast("int").cast("string")).alias("rule"), F.array("path").alias("log"))
     return J.job_logs(jobs, files, records)
+
+
+_WHOLE = f"""{JOBS},
+q AS (SELECT workflow_id, run_id, arg_min(start_time, job_id) AS run_start, count(*) FILTER (ended = 'failed' AND workflow_id % 3 <> 1) AS n_failed, count(*) FILTER (ended = 'running' OR (ended = 'failed' AND workflow_id % 3 = 1)) AS open,
+  coalesce(max(job_id) FILTER (ended = 'finished'), 0) AS completed, CASE WHEN count(*) FILTER (ended = 'finished') = 0 THEN 0 WHEN workflow_id % 6 = 4 THEN 1 ELSE 1000 END AS total FROM jj GROUP BY workflow_id, run_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY run_start DESC, run_id DESC) = 1 AS latest, row_number() OVER (PARTITION BY workflow_id ORDER BY run_start DESC, run_id DESC) = 1 AND workflow_id % 7 <> 0 AND (workflow_id % 4 = 1 OR 200 * workflow_id < 1800) AS live FROM q),
+fin AS (SELECT * FROM jj WHERE ended = 'finished'),
+known AS (SELECT workflow_id, rule, end_time, max(threads) AS t FROM fin WHERE threads IS NOT NULL GROUP BY ALL),
+one AS (SELECT workflow_id, run_start, max(run_id) AS run_id FROM r GROUP BY ALL),
+meta AS (SELECT o.workflow_id, o.run_id, 'metadata' AS source, f.rule, f.end_time, NULL AS threads FROM fin f ASOF JOIN one o ON f.workflow_id = o.workflow_id AND f.end_time >= o.run_start WHERE f.workflow_id % 5 <> 0 AND f.flag <> 'N'),
+done AS (SELECT * FROM meta UNION ALL SELECT workflow_id, run_id, 'log', rule, end_time, threads FROM fin WHERE NOT EXISTS (SELECT 1 FROM meta m WHERE m.workflow_id = fin.workflow_id AND m.run_id = fin.run_id)),
+dn AS (SELECT d.workflow_id, d.run_id, any_value(source) AS source, count(*) AS n, count(coalesce(d.threads, k.t)) AS t FROM done d LEFT JOIN known k ON k.workflow_id = d.workflow_id AND k.rule = d.rule AND k.end_time = d.end_time GROUP BY ALL),
+mk AS (SELECT r.workflow_id, r.run_id, count(*) AS n FROM r JOIN jj j ON j.workflow_id = r.workflow_id AND j.ended = 'running' AND j.workflow_id % 2 = 0 AND j.start_time >= r.run_start WHERE latest AND NOT live GROUP BY ALL),
+w AS (SELECT r.*, CASE WHEN live THEN open ELSE 0 END AS n_running, coalesce(mk.n, 0) AS n_incomplete, coalesce(dn.n, 0) AS n_completions, coalesce(dn.t, 0) AS n_with_threads, source FROM r LEFT JOIN mk USING (workflow_id, run_id) LEFT JOIN dn USING (workflow_id, run_id))"""
+
+
+@query("d08_whole_snapshot", "SELECT workflow_id, run_id, CAST(completed AS INTEGER) AS completed, CAST(total AS INTEGER) AS total, run_start, latest, live, n_running, n_failed, n_incomplete, n_completions, n_with_threads, source, CASE WHEN n_running > 0 THEN 'running' WHEN n_failed > 0 THEN 'failed' WHEN n_incomplete > 0 THEN 'incomplete' WHEN completed < total AND NOT live THEN 'incomplete' WHEN live THEN 'running' ELSE 'completed' END AS status FROM w", _WHOLE)
+def whole_snapshot(spark, d):
+    """Some workflows' logs have no errors, some are done, some have locks, fresh logs or markers, and some metadata."""
+    j = stored(A.numbered(spark, d), "jobs")
+    w = F.col("workflow_id")
+    lines = A.log_lines(spark, d).where(~((w % 3 == 1) & F.startswith("line", F.lit("Error in rule"))))
+    lines = lines.withColumn("line", F.when(w % 6 == 4, F.replace("line", F.lit("of 1000 steps"), F.lit("of 1 steps"))).otherwise(F.col("line")))
+    locks = j.select("workflow_id").distinct().select("workflow_id", (w % 7 != 0).alias("has_locks"), (w % 4 == 1).alias("has_incomplete"), (F.lit(AS_OF) - 200 * w).alias("log_mtime"))
+    markers = j.where("ended = 'running' and workflow_id % 2 = 0").select("workflow_id", "start_time")
+    metadata = j.where("ended = 'finished' and workflow_id % 5 <> 0").where(F.col("wildcards")["flag"] != "N").select("workflow_id", "rule", "start_time", "end_time")
+    return R.whole_snapshot(lines, locks, markers, metadata, AS_OF).drop("cores")

@@ -83,6 +83,42 @@ def snapshot(lines: DataFrame, live: DataFrame | None = None, incomplete: DataFr
     return s.withColumn("status", D.status_of_log())
 
 
+def run_completions(log_completed: DataFrame, metadata: DataFrame, runs: DataFrame) -> DataFrame:
+    """Completions of runs(run, run_start): those of metadata(workflow_id, rule, start_time, end_time, ...) in a run's time frame, or else
+    what its log says; source is metadata or log. Threads that are unknown come from the log's job of the same rule and second."""
+    columns = [*RUN, "rule", "start_time", "end_time", "threads"]
+    meta = metadata.withColumn("threads", F.col("threads") if "threads" in metadata.columns else F.lit(None).cast("int"))
+    framed = D.in_time_frame(meta.drop("run_id"), runs).withColumnRenamed("frame_run", "run_id").select(*columns, F.lit("metadata").alias("source"))
+    both = D.with_fallback(framed, log_completed.select(*columns, F.lit("log").alias("source")), RUN)
+    return D.augment_threads(both, log_completed)
+
+
+def whole_snapshot(lines: DataFrame, locks: DataFrame, markers: DataFrame, metadata: DataFrame, as_of: float) -> DataFrame:
+    """One row a run from all that a workflow leaves behind: counts and status from logs, locks, incomplete markers and metadata.
+
+    locks(workflow_id, has_locks, has_incomplete, log_mtime) tell which workflows run; only a workflow's latest run can be live.
+    Jobs run in live runs only; markers(workflow_id, start_time) since the start of the latest run are interrupted jobs
+    unless it is live. n_completions counts those of `run_completions`, n_with_threads the ones whose threads are known.
+    """
+    count = lambda d, *n: d.groupBy(*RUN).agg(*n)
+    f = stored(L.facts(lines), "facts")
+    runs = stored(L.overview(lines), "runs")
+    last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("run_start"), F.desc("run_id"))) == 1
+    live = D.is_running(locks, as_of)
+    s = runs.withColumn("latest", last).join(live, "workflow_id", "left").withColumn("live", F.coalesce("running", F.lit(False)) & F.col("latest")).drop("running")
+
+    failed = L.failed_jobs(f)
+    running = D.reconcile(L.running_jobs(f).join(s.where("live").select(*RUN), RUN, "left_semi"), failed, live)
+    since = s.where("latest and not live").select(*RUN, "run_start")
+    left = markers.join(since, "workflow_id").where("run_start is null or start_time >= run_start")
+    one, known = F.count(F.lit(1)), F.count("threads")
+    done = run_completions(L.completed_jobs(f), metadata, runs.where("run_start is not null").select(*RUN, "run_start"))
+    for d in (count(running, one.alias("n_running")), count(failed, one.alias("n_failed")), count(left, one.alias("n_incomplete")), count(done, one.alias("n_completions"), known.alias("n_with_threads"), F.first("source").alias("source"))):
+        s = s.join(d, RUN, "left")
+    s = s.na.fill(0, ["n_running", "n_failed", "n_incomplete", "n_completions", "n_with_threads"])
+    return s.withColumn("status", D.status_of_log())
+
+
 def status_report(snap: DataFrame, eta: DataFrame, as_of: float) -> DataFrame:
     j = snap.join(eta, RUN, "left")
     return j.select(*RUN, "status", S.count_text(F.col("completed"), F.col("total")).alias("progress"), S.duration_text(F.lit(as_of) - F.col("run_start")).alias("elapsed"), "n_running", "n_failed", "n_incomplete", S.eta_text(F.col("seconds_remaining"), F.col("lower"), F.col("upper"), F.col("confidence")).alias("eta"))
