@@ -554,15 +554,34 @@ eta AS (SELECT workflow_id, run_id, CASE WHEN completed >= total THEN 'complete'
   CASE WHEN completed >= total THEN 1.0 WHEN completed = 0 THEN 0.05 ELSE conf END AS confidence FROM z)"""
 
 
-def _estimates(spark, d):
-    """Odd workflows have no list of pending jobs, some of them expected counts; every fifth doesn't tell its cores."""
+def _estimates(spark, d, begun=None, **more):
+    """Odd workflows have no list of pending jobs, some of them expected counts; every fifth doesn't tell its cores. Runs that aren't begun have nothing completed."""
     j = stored(A.numbered(spark, d), "jobs")
     ended = lambda k: F.count_if(F.col("ended") == k)
     snap = j.groupBy(*RUN).agg(F.count(F.lit(1)).alias("total"), ended("finished").alias("completed"), ended("failed").alias("pending"), (F.max("end_time") - F.min("start_time")).alias("elapsed"))
     snap = snap.withColumn("cores", F.when(F.col("workflow_id") % 5 != 0, F.col("workflow_id") + 1))
+    if begun is not None:
+        snap = snap.withColumn("completed", F.when(begun, F.col("completed")).otherwise(0))
     todo = _todo(j).where("state = 'running' or workflow_id % 2 = 0")
     expected = j.where("workflow_id % 4 = 1").groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("expected"))
-    return X.estimate_runs(snap, todo, _history(j), j.where("ended = 'finished'").select(*RUN, "rule"), AS_OF * 2, expected=expected)
+    return X.estimate_runs(snap, todo, _history(j), j.where("ended = 'finished'").select(*RUN, "rule"), AS_OF * 2, expected=expected, **more)
+
+
+_SIMPLE = """
+sp AS (SELECT workflow_id, run_id, sum(20 * t) FILTER (runs) AS spent, sum(t) AS th FROM jobs GROUP BY ALL),
+el AS (SELECT workflow_id, run_id, max(end_time) - min(start_time) AS elapsed FROM jj GROUP BY ALL),
+y AS (SELECT z.workflow_id, z.run_id, total, CASE WHEN z.workflow_id % 10 = 3 THEN 0 ELSE completed END AS completed, cores, th, coalesce(spent, 0) AS spent, elapsed, ge * threads / cores AS boot
+  FROM z LEFT JOIN sp USING (workflow_id, run_id) JOIN el USING (workflow_id, run_id)),
+se AS (SELECT *, CASE WHEN completed >= total THEN 'complete' WHEN completed = 0 OR elapsed <= 0 THEN 'bootstrap' ELSE 'simple' END AS method, greatest(0.3, 1 - completed / total) AS u,
+  CASE WHEN completed > 0 THEN CASE WHEN th IS NOT NULL THEN greatest(0, elapsed / completed * cores * th - spent) / cores ELSE elapsed / completed * (total - completed) END END AS e FROM y),
+simple AS (SELECT workflow_id, run_id, method, CASE method WHEN 'complete' THEN 0 WHEN 'bootstrap' THEN boot ELSE e END AS seconds_remaining, CASE method WHEN 'complete' THEN 0 WHEN 'bootstrap' THEN boot * 0.2 ELSE e * (1 - u) END AS lower,
+  CASE method WHEN 'complete' THEN 0 WHEN 'bootstrap' THEN boot * 3 ELSE e * (1 + 2 * u) END AS upper, CASE method WHEN 'complete' THEN 1.0 WHEN 'bootstrap' THEN 0.05 ELSE least(0.7, completed / 20) END AS confidence FROM se)"""
+
+
+@query("f18_simple_estimates", "SELECT workflow_id, run_id, method, round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper, round(confidence, 6) AS confidence FROM simple", f"{JOBS}, {_EST}, {_RUN_EST}, {_SIMPLE}")
+def simple_estimates(spark, d):
+    """Without timings of earlier runs, and with runs that have not completed a job."""
+    return rounded(rounded(_estimates(spark, d, F.col("workflow_id") % 10 != 3, has_history=False), "seconds_remaining", "lower", "upper", places=4), "confidence")
 
 
 @query("f20_run_estimates", "SELECT workflow_id, run_id, method, round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper, round(confidence, 6) AS confidence FROM eta", f"{JOBS}, {_EST}, {_RUN_EST}")
