@@ -50,6 +50,18 @@ def top_with_overflow(jobs: DataFrame, k: int = 8) -> DataFrame:
     return jobs.withColumn("r", r).withColumn("more", F.greatest(F.lit(0), F.count(F.lit(1)).over(w) - k)).where(F.col("r") <= k)
 
 
+def incomplete_files(markers: DataFrame, roots: DataFrame, k: int = 8) -> DataFrame:
+    """The first k output files of markers(workflow_id, output_path) in each workflow, and how many more there are; paths are relative to
+    roots(workflow_id, root) where they lie below it, and unknown where there is none."""
+    below = F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"))
+    j = markers.join(roots, "workflow_id", "left").withColumn("inside", F.startswith("output_path", below))
+    path = F.when(F.col("output_path").isNull(), "unknown").when(F.col("inside"), F.expr("substring(output_path, length(concat(regexp_replace(root, '/+$', ''), '/')) + 1)")).otherwise(F.col("output_path"))
+    j = j.select("workflow_id", path.alias("path"))
+    more = j.groupBy("workflow_id").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - k).alias("more"))
+    first = j.withColumn("r", F.row_number().over(Window.partitionBy("workflow_id").orderBy("path"))).where(F.col("r") <= k)
+    return first.join(more, "workflow_id")
+
+
 def page(rows: DataFrame, order: list, offset: int, n: int = 10) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(n)
 
