@@ -26,12 +26,12 @@ def carried(rows: DataFrame, by: list[str], order: list[str], chunk: Column, sum
     local = {k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()}
     local |= {k: F.last(v, True).over(inside) for k, v in lasts.items()} | {k: F.max(v).over(inside) for k, v in maxima.items()}
     rows = rows.withColumns(local)
-    # the whole last row, and no smaller set of columns, so that both readers of the chunks share one shuffle
-    ends = rows.groupBy(KEY, CHUNK).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (KEY, CHUNK)]), F.struct(*order)).alias("end_"))
+    # a chunk's last row has no next one; the hash is of all columns, so that both readers of the chunks share one shuffle
+    following = F.lead(F.hash(*[c for c, kind in rows.dtypes if not kind.startswith("map")])).over(Window.partitionBy(KEY, CHUNK).orderBy(*order))
+    ends = rows.withColumn("next_", following).where("next_ is null")
     before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    value = lambda k: F.col("end_").getField(k)
-    prefix = {k: F.coalesce(F.sum(value(k)).over(before), F.lit(0)) for k in sums}
-    prefix |= {k: F.last(value(k), True).over(before) for k in lasts} | {k: F.max(value(k)).over(before) for k in maxima}
+    prefix = {k: F.coalesce(F.sum(k).over(before), F.lit(0)) for k in sums}
+    prefix |= {k: F.last(k, True).over(before) for k in lasts} | {k: F.max(k).over(before) for k in maxima}
     ends = ends.select(KEY, CHUNK, *[c.alias(f"{k}_before") for k, c in prefix.items()])
     out = rows.join(ends, [KEY, CHUNK])
     whole = {k: F.col(k) + F.coalesce(f"{k}_before", F.lit(0)) for k in sums}
