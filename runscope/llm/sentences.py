@@ -1,22 +1,23 @@
 """Substring de-duplication by sliding sentence spans.
 
 Words are digits, letters and non-ASCII; A-Z count as a-z. A sentence ends where a
-mark (. ! ? , ; :) and white space, or a line end, stand between two words, whatever
+mark (. ! ?) and white space, or a line end, stand between two words, whatever
 symbols stand there too. Texts without such marks have sentences as well: one of more
-than `long` words is cut after words that a rule on their first and last byte chooses
-(so copies are cut alike), and what is left is cut every `most` words.
+than `long` words, and no other, is cut after words that a rule on their first and last
+byte chooses (so copies are cut alike), and its pieces are cut every `most` words.
 
 Every shortest run of consecutive sentences with at least `min_words` words, from each
 sentence on and up to each sentence, is hashed and joined over all documents; two runs
-are equal if their words are. So a passage that repeats is covered by its runs as far
-as its whole sentences go, if these have `min_words` words. A run counts if two documents
-hold it. Its first place, by doc_id and then place, stays; the sentences under any other
-place go.
+are equal if their words are. A text of fewer words is one run. So a passage that repeats
+is covered by its runs as far as its whole sentences go, if these have `min_words` words.
+A run counts if it stands at two places, in two documents or in one (`across`: in two
+only). Its first place, by doc_id and then place, stays; the sentences under any other
+place go, where places overlap too: of a sentence said over and over one stays.
 
 The hashes (one row a run, no text) are written once. The first document of a run is a
 minimum of longs, combined before the shuffle, so a run that very many documents hold
 is one row a task, and the join with the places can be split. Null texts and rows with
-null ids give nothing; empty and short texts have no runs. Texts may be of any length.
+null ids give nothing; texts without words have no runs. Texts may be of any length.
 Repeated rows with one doc_id are that document again: equal places are no repeats. An
 empty table gives no rows. Other columns are not looked at.
 """
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .shared import small_batches, texts, written
 
-MIN_WORDS, LONG, MOST = 45, 12, 8
+MIN_WORDS, LONG, MOST = 40, 16, 8
 _MARKS = np.zeros(256, bool)
-_MARKS[[ord(x) for x in ".!?,;:"]] = True
+_MARKS[[ord(x) for x in ".!?"]] = True
 
 
 def _since(flags: np.ndarray) -> np.ndarray:
@@ -58,9 +59,9 @@ class Sentences:
             first, last = d[w.start].astype(np.int64), d[w.end - 1].astype(np.int64)
             for b in (first, last):
                 b += 32 * ((b >= 65) & (b <= 90))
-            chosen = ((first + 3 * last) % 5 == 0) & np.repeat(size > long, size)
-            new[1:] |= chosen[:-1]
-            new |= _since(new) % most == 0
+            cut = np.repeat(size > long, size)
+            new[1:] |= (cut & ((first + 3 * last) % 5 == 0))[:-1]
+            new |= cut & (_since(new) % most == 0)
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], n) if n else self.first
         self.words = self.last - self.first
@@ -69,7 +70,7 @@ class Sentences:
         self.text_at = w.text_at
 
     def runs(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First sentence, last sentence (numbers over all texts) and hash of every shortest run of so many words."""
+        """First sentence, last sentence (numbers over all texts) and hash of every shortest run of so many words, and of whole shorter texts."""
         text = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
         c = np.concatenate([[0], np.cumsum(self.words)])
         here = np.arange(len(text))
@@ -79,7 +80,10 @@ class Sentences:
         ok = (i >= 0) & (j < len(text))
         i, j = i[ok], j[ok]
         same = text[i] == text[j]
-        i, j = np.divmod(np.unique(i[same] * len(text) + j[same]), max(1, len(text)))
+        size = c[self.at[1:]] - c[self.at[:-1]]
+        whole = (size > 0) & (size < min_words)
+        i, j = np.concatenate([i[same], self.at[:-1][whole]]), np.concatenate([j[same], self.at[1:][whole] - 1])
+        i, j = np.divmod(np.unique(i * len(text) + j), max(1, len(text)))
         h = self.of.hash
         up, down = K._powers(len(h) + 1)
         s = np.zeros(len(h) + 1, np.uint64)
@@ -107,14 +111,15 @@ def repeated_spans(
     min_words: int = MIN_WORDS,
     long: int = LONG,
     most: int = MOST,
+    across: bool = False,
 ) -> DataFrame:
-    """doc_id, i, j, first_doc_id, is_first: every place (sentences i to j) of a run that two documents hold."""
+    """doc_id, i, j, first_doc_id, is_first: every place (sentences i to j) of a run with two places; with across, in two documents."""
     small_batches(docs.sparkSession)
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
     spans = docs.mapInArrow(_spans(min_words, long, most), "h long, doc_id long, i int, j int")
     spans = written(spans, "spans")
-    held = spans.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    held = held.where("first_doc_id < last_doc_id").select("h", "first_doc_id")
+    held = spans.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    held = held.where(f"first_doc_id < last_doc_id or lo < hi and not {str(across).lower()}").select("h", "first_doc_id")
     held = written(held, "held")  # so that the join can split a hot run
     places = written(spans.join(held, "h"), "places")
     # only the first document's own places can be first
@@ -166,9 +171,10 @@ def without_repeats(
     min_words: int = MIN_WORDS,
     long: int = LONG,
     most: int = MOST,
+    across: bool = False,
 ) -> DataFrame:
     """doc_id, text: all documents, texts without the removed sentences."""
-    gone = repeats(docs, id_col, text_col, min_words=min_words, long=long, most=most)
+    gone = repeats(docs, id_col, text_col, min_words=min_words, long=long, most=most, across=across)
     gone = gone.where("n_removed > 0").select("doc_id", "removed")
     return texts(docs, id_col, text_col).join(gone, "doc_id", "left").mapInArrow(_cut(long, most), "doc_id long, text string")
 
@@ -178,23 +184,25 @@ SQL = rf"""
 WITH p AS (SELECT doc_id, k, regexp_extract_all(part, '[^{_N}]+') AS w
   FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k
         FROM (SELECT doc_id, string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                     '[{_N}]*(\n|[.!?,;:][{_N}]*[\t-\r ]|[\t-\r ][{_N}]*[.!?,;:])[{_N}]*', chr(10), 'g'), chr(10)) AS parts
+                     '[{_N}]*(\n|[.!?][{_N}]*[\t-\r ]|[\t-\r ][{_N}]*[.!?])[{_N}]*', chr(10), 'g'), chr(10)) AS parts
               FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))),
 x AS (SELECT doc_id, k, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS r FROM p WHERE len(w) > 0),
 c AS (SELECT *, n > {LONG} AND (CAST('0x' || left(hex(w), 2) AS INTEGER) + 3 * CAST('0x' || right(hex(w), 2) AS INTEGER)) % 5 = 0 AS chosen FROM x),
 y AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY r) AS piece
       FROM (SELECT *, coalesce(lag(chosen) OVER (PARTITION BY doc_id, k ORDER BY r), false) AS b FROM c)),
 z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k, piece ORDER BY r) - 1 AS q FROM y),
-v AS (SELECT doc_id, w, k, r, CAST(sum(CASE WHEN q % {MOST} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k, r) - 1 AS INTEGER) AS i FROM z),
+v AS (SELECT doc_id, w, k, r, CAST(sum(CASE WHEN q = 0 OR n > {LONG} AND q % {MOST} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k, r) - 1 AS INTEGER) AS i FROM z),
 s AS (SELECT doc_id, i, string_agg(w, ' ' ORDER BY k, r) AS t, count(*) AS n FROM v GROUP BY doc_id, i),
 u AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM s),
 e AS (SELECT a.doc_id, a.i, b.i AS j, b.c - a.c + a.n AS n, min(b.i) OVER (PARTITION BY a.doc_id, a.i) AS lo, max(a.i) OVER (PARTITION BY a.doc_id, b.i) AS hi
       FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {MIN_WORDS} AND b.c - a.c + a.n >= {MIN_WORDS}),
 l AS (SELECT doc_id, list(t ORDER BY i) AS t FROM s GROUP BY doc_id),
-g AS (SELECT e.doc_id, i, j, array_to_string(l.t[i + 1:j + 1], ' ') AS run FROM e JOIN l ON e.doc_id = l.doc_id WHERE j = lo OR i = hi),
-o AS (SELECT *, first_value(doc_id) OVER f AS fd, first_value(i) OVER f AS fi, max(doc_id) OVER (PARTITION BY run) AS ld
+b AS (SELECT doc_id, i, j FROM e WHERE j = lo OR i = hi UNION ALL SELECT doc_id, 0, max(i) FROM u GROUP BY doc_id HAVING max(c) < {MIN_WORDS}),
+g AS (SELECT b.doc_id, i, j, array_to_string(l.t[i + 1:j + 1], ' ') AS run FROM b JOIN l ON b.doc_id = l.doc_id),
+o AS (SELECT *, first_value(doc_id) OVER f AS fd, first_value(i) OVER f AS fi, max(doc_id) OVER (PARTITION BY run) AS ld,
+             min(i) OVER (PARTITION BY run) < max(i) OVER (PARTITION BY run) AS apart
       FROM g WINDOW f AS (PARTITION BY run ORDER BY doc_id, i)),
-h AS (SELECT doc_id, (doc_id, i) <> (fd, fi) AS goes, i, j, fd FROM o WHERE fd < ld),
+h AS (SELECT doc_id, (doc_id, i) <> (fd, fi) AS goes, i, j, fd FROM o WHERE fd < ld OR apart),
 m AS (SELECT doc_id, unnest(range(i, j + 1)) AS gone, fd FROM h WHERE goes),
 n AS (SELECT doc_id, list_sort(list_distinct(list(CAST(gone AS INTEGER)))) AS removed, list_sort(list_distinct(list(fd))) AS first_doc_ids, count(DISTINCT gone) AS n_removed
       FROM m GROUP BY doc_id)

@@ -16,7 +16,7 @@ def units(text):
     parts, end = [], 0
     for m in word.finditer(text):
         gap = text[end : m.start()]
-        if not parts or "\n" in gap or (re.search("[.!?,;:]", gap) and re.search(r"[\t-\r ]", gap)):
+        if not parts or "\n" in gap or (re.search("[.!?]", gap) and re.search(r"[\t-\r ]", gap)):
             parts.append([])
         parts[-1].append(m[0])
         end = m.end()
@@ -28,11 +28,12 @@ def units(text):
             b = w.encode()
             if len(p) > sentences.LONG and (b[0] + 3 * b[-1]) % 5 == 0:
                 pieces.append([])
-        out += [q[k : k + sentences.MOST] for q in pieces for k in range(0, len(q), sentences.MOST)]
+        most = sentences.MOST if len(p) > sentences.LONG else len(p)
+        out += [q[k : k + most] for q in pieces for k in range(0, len(q), most)]
     return out
 
 
-def brute(rows, least):
+def brute(rows, least, across=False):
     """doc_id -> (removed, first documents)."""
     runs, places = {}, {}
     for doc, text in rows:
@@ -40,13 +41,15 @@ def brute(rows, least):
             continue
         u = units(text)
         n = [len(x) for x in u]
+        if 0 < sum(n) < least:
+            runs.setdefault(tuple(w for x in u for w in x), set()).add((doc, 0, len(u) - 1))
         for i in range(len(u)):
             for j in range(i, len(u)):
                 size = sum(n[i : j + 1])
                 if size >= least and (size - n[j] < least or size - n[i] < least):
                     runs.setdefault(tuple(w for x in u[i : j + 1] for w in x), set()).add((doc, i, j))
     for found in runs.values():
-        if len({d for d, *_ in found}) > 1:
+        if len({d for d, *_ in found} if across else found) > 1:
             first = min(found)
             for d, i, j in found:
                 gone, docs = places.setdefault(d, (set(), set()))
@@ -56,10 +59,10 @@ def brute(rows, least):
     return {d: (sorted(g), sorted(f)) for d, (g, f) in places.items()}
 
 
-def check(spark, rows, least):
+def check(spark, rows, least, **options):
     d = spark.createDataFrame([(*r, "i", 1, "x") for r in rows], SCHEMA)
-    got = {r["doc_id"]: (r["removed"], r["first_doc_ids"]) for r in sentences.repeats(d, min_words=least).collect()}
-    assert got == brute(rows, least)
+    got = {r["doc_id"]: (r["removed"], r["first_doc_ids"]) for r in sentences.repeats(d, min_words=least, **options).collect()}
+    assert got == brute(rows, least, **options)
     return got
 
 
@@ -86,10 +89,23 @@ def test_passages_of_few_sentences_noise_and_edge_cases(spark):
     got = check(spark, rows, 30)
     assert got[1] == ([], [])
     assert {2, 7} <= set(got)
-    assert 8 not in got  # a document's own repeats aren't repeats across documents
+    assert got[8] == (list(range(1, 25)), [8])  # of one piece over and over the first stays
+    assert 8 not in check(spark, rows, 30, across=True)
     assert check(spark, [], 30) == {}
 
 
+def test_own_repeats_and_short_copies(spark):
+    v = [f"w{i}" for i in range(300)]
+    say = lambda a, n: ". ".join(" ".join(v[k : k + 10]) for k in range(a, a + n, 10)) + ". "
+    rows = [(1, say(0, 40)[:-2]), (2, say(0, 40).upper()), (3, say(100, 80) + "Then this. " + say(100, 80)), (4, say(200, 30)), (5, "Only one"), (6, "only ONE!"), (6, "only ONE!"), (7, "only two")]
+    got = check(spark, rows, sentences.MIN_WORDS)
+    assert got[1] == ([], []) and got[2] == ([0, 1, 2, 3], [1])
+    assert got[3] == (list(range(9, 17)), [3])
+    assert got[5] == ([], []) and got[6] == ([0], [5])
+    assert 4 not in got and 7 not in got
+    assert set(check(spark, rows, sentences.MIN_WORDS, across=True)) == {1, 2, 5, 6}
+
+
 def test_removal(spark):
     v = [f"w{i}" for i in range(60)]
     p = ". ".join(" ".join(v[k : k + 6]) for k in range(0, 60, 6)) + "."
