@@ -5,7 +5,9 @@ a bag of hashed word unigrams and bigrams. The weight of a document is its log
 likelihood ratio, target over raw, as a mean over its n-grams with `shrink` neutral
 ones added, so that a few words alone decide little. Documents are drawn without
 replacement in proportion to exp(scale * weight) by Gumbel top-k: key =
-scale * weight + Gumbel noise hashed from the id and a seed; the k largest stay.
+scale * weight + Gumbel noise hashed from the id and a seed; the k largest stay. With
+the default scale the noise is small beside the weights, so that clean documents stay:
+nearly a threshold of the weight. A smaller scale and a given k make it a draw.
 
 The raw counts cover every document. Target counts come from a sample of labelled
 rows, the `sample` smallest by hash of the id; half of them (another hash) fit the
