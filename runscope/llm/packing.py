@@ -46,14 +46,15 @@ from . import textkit as K
 from .shared import small_batches, texts, written
 
 CAPACITY, VOCABULARY = 2048, "byte_bpe_50k"
-_BLANK = re.compile(r"\s{10000}")
+_BLANK = re.compile(r"\s{300}")
 
 
 @lru_cache(maxsize=2)
 def _encoder(vocabulary: str):
     """The ids of the tokenizers library's file, from the same vocabulary's ranks by a library that is several times as fast.
 
-    That one's pattern matching runs out of stack in very long white space; texts with such go to the first one.
+    That one's pattern matching takes time quadratic in a run of white space, and stack in very long ones; texts with
+    runs of 300 go to the first one.
     """
     import public_tokenizers
     import tiktoken
@@ -66,7 +67,7 @@ def _encoder(vocabulary: str):
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
-        if len(text) >= 10_000 and _BLANK.search(text):
+        if len(text) >= 300 and _BLANK.search(text):
             return plain.encode(text, add_special_tokens=False).ids
         if any(x in text for x in special):
             return fast.encode(text, allowed_special="all", disallowed_special=())

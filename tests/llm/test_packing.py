@@ -1,5 +1,6 @@
 """Packing against the tokenizers library."""
 
+import time
 import zlib
 
 import numpy as np
@@ -22,6 +23,14 @@ TEXTS = [
 ]
 
 
+def test_long_runs_of_blanks_take_linear_time():
+    encode = packing._encoder(packing.VOCABULARY)
+    for text in ("x".join([" " * 9_000] * 50), "x".join(["\n" * 9_999] * 100), "x".join([" " * 299] * 3_000)):
+        began = time.process_time()
+        assert encode(text)
+        assert time.process_time() - began < 12  # was 13 and 35 s for the first two
+
+
 def test_ids_and_places_equal_the_tokenizer(spark, tokenizer):
     rows = [(i, t, "s", 0) for i, t in enumerate(TEXTS)] + [(None, "no id", "s", 0), (2, "another text of this id", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, offset int")
