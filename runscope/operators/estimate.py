@@ -169,8 +169,10 @@ def pending_proportional(completed: DataFrame, pending: DataFrame, current: Data
     """
     if current is not None:
         completed = completed.join(current.select(*RUN, "rule").distinct(), [*RUN, "rule"], "left_semi")
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(*RUN))
-    return completed.join(pending, RUN).select(*RUN, "rule", F.bround(F.col("pending") * share).cast("long").alias("pending")).where("pending > 0")
+    # multiplied first: n / total is inexact, and would move parts that lie half way between two numbers
+    rows = completed.withColumn("total_n", F.sum("n").over(Window.partitionBy(*RUN)))
+    part = F.bround(F.col("pending") * F.col("n") / F.col("total_n"))
+    return rows.join(pending, RUN).select(*RUN, "rule", part.cast("long").alias("pending")).where("pending > 0")
 
 
 def pending_per_rule(expected: DataFrame, completed: DataFrame, running: DataFrame, pending: DataFrame, current: DataFrame | None = None) -> DataFrame:

@@ -172,6 +172,13 @@ def test_pending_is_shared_with_even_rounding(spark):
     assert {r["rule"]: r["pending"] for r in X.pending_proportional(done, spark.createDataFrame([("w", "r", 5)], "workflow_id string, run_id string, pending long")).collect()} == {"a": 2, "b": 2}
 
 
+def test_parts_half_way_are_exact(spark):
+    """45 * 7 / 10 is 31.5, but 45 * (7 / 10) is a little less."""
+    done = spark.createDataFrame([("w", "r", "a", 7), ("w", "r", "b", 3)], "workflow_id string, run_id string, rule string, n long")
+    pending = spark.createDataFrame([("w", "r", 45)], "workflow_id string, run_id string, pending long")
+    assert {r["rule"]: r["pending"] for r in X.pending_proportional(done, pending).collect()} == {"a": 32, "b": 14}
+
+
 def test_tools(spark):
     rows = [("bwa", "[M::mem_process_seqs] Processed 10 reads\n[M::mem_process_seqs] Processed 5 reads"), ("samtools_sort", "[bam_sort_core] read 3 records\nread 2 records"), ("fastp", "total reads: 1000\nreads passed filter: 950\nProcessing 45.5%"), ("fgbio", "[INFO] Processed 2,000,000 records."), ("star", "Finished 5 reads"), ("other", "x"), ("bwa", None)]
     got = [(r["tool"], r["progress"] and r["progress"]["done"]) for r in G.tool_progress(spark.createDataFrame(rows, "rule string, content string").coalesce(1)).collect()]
