@@ -240,8 +240,9 @@ def _confidence_columns() -> list[Column]:
 def _shared_pending(counted: DataFrame, by_rule: DataFrame, rules: DataFrame, current: bool) -> DataFrame:
     """(run, rule, pending) of counted(run, pending, total_n): pending jobs shared like completions and, for other rules, like the history.
 
-    A rule whose part rounds to nothing gets no row. Of the history only as many rules, the most frequent first, can have
-    a part as there are twice the pending jobs; so many ranks are joined, and no run meets all rules.
+    A rule whose part rounds to nothing gets no row. Of the history's rules that a run has not completed only as many, the most
+    frequent first, can have a part as there are twice the pending jobs. Those that it has completed may rank before all of them, so
+    own_rules more ranks are joined; no run meets all rules.
     """
     part = F.bround(F.col("pending") * (F.col("share") / F.col("total_n"))).cast("long").alias("pending")
     own = by_rule.where("current" if current else "done > 0").join(rules.select("rule", F.col("n").alias("history")), "rule", "left")
@@ -250,7 +251,7 @@ def _shared_pending(counted: DataFrame, by_rule: DataFrame, rules: DataFrame, cu
     if not current:
         order = Window.orderBy(F.desc("n"), "rule")
         ranked = rules.select("rule", F.col("n").alias("share"), F.row_number().over(order).alias("rank"))  # a row a rule
-        most = F.least(2 * F.col("pending"), F.col("rules")).cast("int")
+        most = F.least(2 * F.col("pending") + F.col("own_rules"), F.col("rules")).cast("int")
         ranks = counted.where("rules > 0").select("*", F.explode(F.sequence(F.lit(1), most)).alias("rank")).join(ranked, "rank")
         out = out.unionByName(ranks.join(by_rule.where("done > 0").select(*RUN, "rule"), [*RUN, "rule"], "left_anti").select(*RUN, "rule", part))
     return out.where("pending > 0")
@@ -322,7 +323,7 @@ def estimate_runs(
     others = F.lit(0) if current is not None else F.coalesce("history", F.lit(0)) - F.coalesce("own_history", F.lit(0))
     exact = counted.where("planned").select(*RUN).join(by_rule.where("expected is not null"), RUN)
     exact = exact.select(*RUN, "rule", (F.col("expected") - F.coalesce("done", F.lit(0)) - F.coalesce("running", F.lit(0))).alias("pending")).where("pending > 0")
-    rest = counted.where("planned is null or not planned").select(*RUN, "pending", "rules", (F.coalesce("own_n", F.lit(0)) + others).alias("total_n"))
+    rest = counted.where("planned is null or not planned").select(*RUN, "pending", "rules", F.coalesce("done_rules", F.lit(0)).alias("own_rules"), (F.coalesce("own_n", F.lit(0)) + others).alias("total_n"))
     per_rule = exact.unionByName(_shared_pending(rest, by_rule, rules, current is not None))
     p = per_rule.join(rules, "rule", "left").crossJoin(F.broadcast(mean))
     typical = F.coalesce("typical_threads", F.lit(1.0))

@@ -167,6 +167,15 @@ def test_estimates(spark, history):
     assert simple["confidence"] == 0.1
 
 
+def test_rules_that_a_run_lacks_count_after_frequent_ones_that_it_has(spark):
+    """One pending job: of the history's rules the third most frequent has all of it, since both before it are completed here."""
+    s = samples(spark, [(rule, d, i, None, None, {}) for rule, d, n in (("a", 10, 9), ("b", 10, 8), ("c", 70, 6)) for i in range(n)])
+    snap = spark.createDataFrame([("w", "r", 3, 2, 100.0, 1)], "workflow_id string, run_id string, total long, completed long, elapsed double, cores int")
+    todo = spark.createDataFrame([], "workflow_id string, run_id string, rule string, threads int, wildcards map<string,string>, input_size long, state string, elapsed double")
+    done = spark.createDataFrame([("w", "r", "a"), ("w", "r", "b")], "workflow_id string, run_id string, rule string")
+    assert round(X.estimate_runs(snap, todo, s, done, 5 * DAY).first()["seconds_remaining"], 6) == 70.0
+
+
 def test_pending_is_shared_with_even_rounding(spark):
     done = spark.createDataFrame([("w", "r", "a", 1), ("w", "r", "b", 1)], "workflow_id string, run_id string, rule string, n long")
     assert {r["rule"]: r["pending"] for r in X.pending_proportional(done, spark.createDataFrame([("w", "r", 5)], "workflow_id string, run_id string, pending long")).collect()} == {"a": 2, "b": 2}
