@@ -230,14 +230,17 @@ def _stats_rows(lines: DataFrame, chunk_lines: int) -> DataFrame:
     A table goes from its title to the first blank line after its two head lines. Rows have two words or more.
     """
     text = F.trim("line")
-    words = F.split(text, r"\s+")
     head = text.startswith("-") | (text.startswith("job") & F.contains(text, F.lit("count")))
-    kind = F.when(text == "Job stats:", "title").when(text == "", "blank").when(~head & text.rlike(r"\s") & ~F.startswith("line", F.lit(" ")), "row")
-    x = lines.select(*RUN, "line_no", kind.alias("kind"), F.when(kind == "row", F.struct(words[0].alias("rule"), F.element_at(words, -1).alias("last"))).alias("row")).where("kind is not null")
-    x = carried(x, RUN, ["line_no"], _chunk(chunk_lines), lasts={"head": F.when(F.col("kind") == "title", F.col("line_no"))}).where("head is not null")
-    ends = x.where("kind = 'blank' and line_no > head + 2").groupBy(*RUN, "head").agg(F.min("line_no").alias("end"))
-    x = x.where("kind = 'row' and row.rule <> 'total'").join(ends, [*RUN, "head"], "left").where("end is null or line_no < end")
-    return x.select(*RUN, "row.rule", "row.last")
+    kind = F.when(text == "Job stats:", "title").when(text == "", "blank").when(~F.startswith("line", F.lit(" ")) & ~head & text.rlike(r"\s"), "row")
+    x = lines.select(*RUN, "line_no", kind.alias("kind"), F.when(kind == "row", text).alias("text")).where("kind is not null")
+    at = lambda k: F.when(F.col("kind") == k, F.col("line_no"))
+    x = carried(x, RUN, ["line_no"], _chunk(chunk_lines), lasts={"head": at("title"), "blank": at("blank")})
+    # the last blank line so far is the one that tells: if it is before the end of the head lines, all are
+    x = x.where("kind = 'row' and head is not null and (blank is null or blank <= head + 2)")
+    words = F.split("text", r"\s+")
+    # as a generator, so that no filter on words makes all lines of the log be split before it is known which are rows
+    x = x.select(*RUN, F.inline(F.array(F.struct(words[0].alias("rule"), F.element_at(words, -1).alias("last")))))
+    return x.where("rule <> 'total'")
 
 
 def expected_rules(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
