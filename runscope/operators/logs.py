@@ -9,6 +9,7 @@ where several of them are needed, the facts that `facts` made once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -22,8 +23,14 @@ RUN = ["workflow_id", "run_id"]
 CHUNK_LINES = 1 << 18  # lines of a run that one task takes at a time
 
 
-def parsed(lines: DataFrame, every: bool = False) -> DataFrame:
-    """What the lines with a pattern hold; with every, other lines stay with nulls. Patterns are tried only on lines with their fixed text."""
+FIELDS = ("threads", "wildcards", "log")
+
+
+def parsed(lines: DataFrame, every: bool = False, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """What the lines with a pattern hold; with every, other lines stay with nulls. Patterns are tried only on lines with their fixed text.
+
+    Lines of other fields than those asked for are like lines without a pattern.
+    """
     x = F.col("line")
     has = lambda *texts: reduce(or_, [F.contains(x, F.lit(t)) for t in texts])
     values = {
@@ -36,6 +43,7 @@ def parsed(lines: DataFrame, every: bool = False) -> DataFrame:
         "threads": (has("threads:"), S.threads(x)),
         "log": (has("log:"), S.log_path(x)),
     }
+    values = {k: v for k, v in values.items() if k not in FIELDS or k in fields}
     some = lines if every else lines.where(reduce(or_, [ok for ok, _ in values.values()]))  # by fixed text: no pattern is tried twice
     return some.select(*RUN, "line_no", *[F.when(ok, v).alias(k) for k, (ok, v) in values.items()])
 
@@ -58,36 +66,33 @@ def with_context(p: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     return out.withColumn("in_error", F.coalesce("in_error", F.lit(False)))
 
 
-def facts(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def facts(lines: DataFrame, chunk_lines: int = CHUNK_LINES, fields: Sequence[str] = FIELDS) -> DataFrame:
     """kind (block, finished, error), block (the rule block around it), rule, job_id, threads, wildcards, log, time, line_no.
 
     Of a block's values the first of each counts; time is the last time stamp before the job id
     of a block and before a finish. Blocks come without a job id, too. Takes lines, or lines with
-    their context as a stream has left them.
+    their context as a stream has left them. Of threads, wildcards and log only the fields that are asked for are read.
     """
     if "kind" in lines.columns:
         return lines
-    p = lines if "in_error" in lines.columns else with_context(parsed(lines), chunk_lines)
+    p = lines if "in_error" in lines.columns else with_context(parsed(lines, fields=fields), chunk_lines)
     kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
     number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
     # fields of one kind of line in one struct, so that few values are compared
     first = lambda value, ok: F.min_by(value, F.when(ok, F.col("line_no")))
     known = lambda c: first(F.col(c), F.col(c).isNotNull())
     has_id = F.col("job_id").isNotNull()
-    got = p.withColumns({"kind": kind, "number": number}).where("kind is not null").groupBy(*RUN, "kind", "number").agg(
+    got = p.withColumns({"kind": kind, "number": number}).where("kind is not null").groupBy(*RUN, "block", "kind", "number").agg(
         F.min("line_no").alias("line_no"),
-        F.min("block").alias("block"),
         F.min("finished").alias("finished"),
         first(F.struct("rule", "last_ts", "error_rule"), F.lit(True)).alias("first"),
         first(F.struct("job_id", "last_ts"), has_id).alias("id"),
-        known("threads").alias("threads"),
-        known("wildcards").alias("wildcards"),
-        known("log").alias("log"),
+        *[known(c).alias(c) for c in fields],
     )
     end = F.col("kind") == "finished"
     return got.select(
         *RUN, "kind", "block", F.coalesce("first.error_rule", "first.rule").alias("rule"),
-        F.coalesce("finished", "id.job_id").alias("job_id"), "threads", "wildcards", "log",
+        F.coalesce("finished", "id.job_id").alias("job_id"), *fields,
         F.when(end, F.col("first.last_ts")).otherwise(F.col("id.last_ts")).alias("time"), "line_no",
     )
 
@@ -135,28 +140,32 @@ def overview(lines: DataFrame) -> DataFrame:
     return got.select(*RUN, *_counts(), "run_start", "cores")
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """One row per rule block with a job id: rule, job_id, threads, wildcards, log, start and first line."""
-    f = facts(lines).where("kind = 'block' and job_id is not null")
-    return f.select(*RUN, "block", "rule", "job_id", "threads", "wildcards", "log", F.col("time").alias("start_time"), "line_no")
+def _given(f: DataFrame) -> list[str]:
+    return [c for c in FIELDS if c in f.columns]
 
 
-def scheduled_jobs(lines: DataFrame) -> DataFrame:
+def blocks(lines: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """One row per rule block with a job id: rule, job_id, the fields (threads, wildcards, log), start and first line."""
+    f = facts(lines, fields=fields).where("kind = 'block' and job_id is not null")
+    return f.select(*RUN, "block", "rule", "job_id", *fields, F.col("time").alias("start_time"), "line_no")
+
+
+def scheduled_jobs(lines: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """The first block of every job id."""
-    return _first_of(blocks(lines), ["job_id"], "block").drop("block")
+    return _first_of(blocks(lines, fields), ["job_id"], "block").drop("block")
 
 
 def job_threads(lines: DataFrame) -> DataFrame:
-    return blocks(lines).where("threads is not null").groupBy(*RUN, "job_id").agg(F.min_by("threads", "block").alias("threads"))
+    return blocks(lines, ("threads",)).where("threads is not null").groupBy(*RUN, "job_id").agg(F.min_by("threads", "block").alias("threads"))
 
 
 def finished_jobs(lines: DataFrame) -> DataFrame:
-    return facts(lines).where("kind = 'finished'").select(*RUN, "job_id", F.col("time").alias("end_time"), "rule", "line_no")
+    return facts(lines, fields=()).where("kind = 'finished'").select(*RUN, "job_id", F.col("time").alias("end_time"), "rule", "line_no")
 
 
 def completions_per_rule(lines: DataFrame) -> DataFrame:
     """Finished jobs by the rule of their id's last block, or else the current rule."""
-    f = facts(lines).where("job_id is not null and kind in ('block', 'finished')")
+    f = facts(lines, fields=()).where("job_id is not null and kind in ('block', 'finished')")
     last = F.max_by("rule", F.when(F.col("kind") == "block", F.col("block"))).over(Window.partitionBy(*RUN, "job_id"))
     done = f.withColumn("rule", F.coalesce(last, "rule")).where("kind = 'finished'")
     return done.groupBy(*RUN, "rule").agg(F.count(F.lit(1)).alias("completed"))
@@ -169,16 +178,16 @@ def completed_jobs(lines: DataFrame) -> DataFrame:
     """As-of match: a finish belongs to the latest start of its job id before it; both times are needed."""
     f = facts(lines).where("job_id is not null and kind in ('block', 'finished')")
     w = Window.partitionBy(*RUN, "job_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when(F.col("kind") == "block", F.struct("rule", F.col("time").alias("start_time"), "threads", "wildcards", "log"))
+    start = F.when(F.col("kind") == "block", F.struct("rule", F.col("time").alias("start_time"), *_given(f)))
     got = f.withColumn("s", F.last(start, True).over(w)).where("kind = 'finished' and time is not null and s.start_time is not null")
     got = got.select(*RUN, "job_id", "s", F.col("time").alias("end_time"), "line_no")
     got = _first_of(got.withColumn("line_no", -F.col("line_no")), ["job_id"], "line_no").select(*RUN, "job_id", "s.*", "end_time")
-    return got.select(*RUN, "job_id", "rule", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "threads", "wildcards", "log")
+    return got.select(*RUN, "job_id", "rule", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), *_given(f))
 
 
 def _with_owners(f: DataFrame) -> DataFrame:
     """Error blocks take what they don't say from the rule block around them, if it is of the same rule (own)."""
-    own = F.max(F.when(F.col("kind") == "block", F.struct("rule", "job_id", "threads", "wildcards", "log"))).over(Window.partitionBy(*RUN, "block"))
+    own = F.max(F.when(F.col("kind") == "block", F.struct("rule", "job_id", *_given(f)))).over(Window.partitionBy(*RUN, "block"))
     f = f.withColumn("own", F.when(F.col("kind") == "error", own))
     f = f.withColumn("own", F.when(F.col("own.rule") == F.col("rule"), F.col("own")))
     return f.withColumn("job_id", F.coalesce("job_id", "own.job_id"))
@@ -187,7 +196,8 @@ def _with_owners(f: DataFrame) -> DataFrame:
 def failed_jobs(lines: DataFrame) -> DataFrame:
     """Error blocks; fields inside win over those of the rule block if its rule is the same; the first of equal (rule, job id) stays."""
     err = _with_owners(facts(lines).where("kind <> 'finished'")).where("kind = 'error'")
-    got = err.select(*RUN, "rule", "job_id", F.coalesce("log", "own.log").alias("log"), "own.threads", "own.wildcards", "line_no")
+    given = {"log": F.coalesce("log", "own.log"), "threads": F.col("own.threads"), "wildcards": F.col("own.wildcards")}
+    got = err.select(*RUN, "rule", "job_id", *[given[c].alias(c) for c in ("log", "threads", "wildcards") if c in _given(err)], "line_no")
     return _first_of(got, ["rule", "job_id"], "line_no").drop("line_no")
 
 
@@ -199,7 +209,7 @@ def running_jobs(lines: DataFrame) -> DataFrame:
     f = _with_owners(facts(lines)).where("job_id is not null")
     ended = F.max((F.col("kind") != "block").cast("int")).over(Window.partitionBy(*RUN, "job_id"))
     open_ = f.withColumn("ended", ended).where("ended = 0")
-    return _first_of(open_, ["job_id"], "block").select(*RUN, "job_id", "rule", "threads", "wildcards", "log", F.col("time").alias("start_time"))
+    return _first_of(open_, ["job_id"], "block").select(*RUN, "job_id", "rule", *_given(f), F.col("time").alias("start_time"))
 
 
 def lifecycle(lines: DataFrame) -> DataFrame:
@@ -271,7 +281,7 @@ def run_plan(lines: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "expected")))).alias("expected"),
         F.sum("expected").alias("n_expected"),
     )
-    scheduled = scheduled_jobs(lines).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_scheduled"))
+    scheduled = scheduled_jobs(lines, ()).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_scheduled"))
     head = overview(lines).select(*RUN, "cores", "run_start")
     out = head.join(counts, RUN, "left").join(scheduled, RUN, "left")
     return out.withColumn("n_scheduled", F.coalesce("n_scheduled", F.lit(0)))
@@ -279,7 +289,7 @@ def run_plan(lines: DataFrame) -> DataFrame:
 
 def pending_jobs(lines: DataFrame, planned: DataFrame) -> DataFrame:
     """Planned jobs (workflow_id, run_id, job_id) that neither run nor ended."""
-    return planned.join(_with_owners(facts(lines)).select(*RUN, "job_id"), [*RUN, "job_id"], "left_anti")
+    return planned.join(_with_owners(facts(lines, fields=())).select(*RUN, "job_id"), [*RUN, "job_id"], "left_anti")
 
 
 def log_tail(lines: DataFrame, n: int = 500) -> DataFrame:

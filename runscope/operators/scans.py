@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY, CHUNK = "key_", "chunk_"
+KEY, CHUNK, HASH = "key_", "chunk_", "hash_"
+GROUP = [HASH, KEY, CHUNK]  # the hash is the first column to sort by: one number tells nearly all chunks apart
 
 
 def carried(rows: DataFrame, by: list[str], order: list[str], chunk: Column, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
@@ -22,18 +23,23 @@ def carried(rows: DataFrame, by: list[str], order: list[str], chunk: Column, sum
     sums, lasts, maxima = sums or {}, lasts or {}, maxima or {}
     # a struct is never null, so the join below adds no filter to one reader only, and null keys meet
     rows = rows.withColumns({KEY: F.struct(*by), CHUNK: F.coalesce(chunk.cast("long"), F.lit(-(2**62)))})
-    inside = Window.partitionBy(KEY, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(HASH, F.xxhash64(KEY, CHUNK)).repartition(*GROUP)
+    # what a chunk ends with is one aggregate of the shuffled rows; its hash is of all columns, so that it shares their shuffle, and the set
+    # of one number makes it an aggregate by hash, without a sort, of the few chunks of a task
+    at = F.struct(*order)
+    every = F.collect_set(F.hash(*[c for c, kind in rows.dtypes if not kind.startswith("map")]) % 1).alias("every_")
+    ends = {k: F.coalesce(F.sum(v), F.lit(0)) for k, v in sums.items()}
+    ends |= {k: F.max_by(v, F.when(v.isNotNull(), at)) for k, v in lasts.items()} | {k: F.max(v) for k, v in maxima.items()}
+    ends = rows.groupBy(*GROUP).agg(every, *[c.alias(k) for k, c in ends.items()]).where("size(every_) > 0")
+    inside = Window.partitionBy(*GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = {k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()}
     local |= {k: F.last(v, True).over(inside) for k, v in lasts.items()} | {k: F.max(v).over(inside) for k, v in maxima.items()}
     rows = rows.withColumns(local)
-    # a chunk's last row has no next one; the hash is of all columns, so that both readers of the chunks share one shuffle
-    following = F.lead(F.hash(*[c for c, kind in rows.dtypes if not kind.startswith("map")])).over(Window.partitionBy(KEY, CHUNK).orderBy(*order))
-    ends = rows.withColumn("next_", following).where("next_ is null")
     before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     prefix = {k: F.coalesce(F.sum(k).over(before), F.lit(0)) for k in sums}
     prefix |= {k: F.last(k, True).over(before) for k in lasts} | {k: F.max(k).over(before) for k in maxima}
-    ends = ends.select(KEY, CHUNK, *[c.alias(f"{k}_before") for k, c in prefix.items()])
-    out = rows.join(ends, [KEY, CHUNK])
+    ends = ends.select(*GROUP, *[c.alias(f"{k}_before") for k, c in prefix.items()])
+    out = rows.join(ends, GROUP)
     whole = {k: F.col(k) + F.coalesce(f"{k}_before", F.lit(0)) for k in sums}
     whole |= {k: F.coalesce(k, f"{k}_before") for k in lasts} | {k: F.greatest(k, f"{k}_before") for k in maxima}
-    return out.withColumns(whole).drop(KEY, CHUNK, *[f"{k}_before" for k in prefix])
+    return out.withColumns(whole).drop(*GROUP, *[f"{k}_before" for k in prefix])

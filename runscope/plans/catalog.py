@@ -273,7 +273,7 @@ def job_threads(spark, d):
 
 @query("c10_scheduled_jobs", "SELECT workflow_id, run_id, job_id, rule, threads, start_time FROM jj", JOBS)
 def scheduled(spark, d):
-    return L.scheduled_jobs(A.log_lines(spark, d)).select(*RUN, "job_id", "rule", "threads", "start_time")
+    return L.scheduled_jobs(A.log_lines(spark, d), ("threads",)).select(*RUN, "job_id", "rule", "threads", "start_time")
 
 
 @query("c11_run_start", "SELECT workflow_id, run_id, arg_min(start_time, job_id) AS run_start FROM jj GROUP BY ALL", JOBS)

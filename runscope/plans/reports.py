@@ -84,7 +84,7 @@ def snapshot(lines: DataFrame, live: DataFrame | None = None, incomplete: DataFr
     The facts of the logs, which three counts share, are written to a table.
     """
     count = lambda d, n: d.groupBy(*RUN).agg(F.count(F.lit(1)).alias(n))
-    s, f = L.overview(lines), stored(L.facts(lines), "facts")
+    s, f = L.overview(lines), stored(L.facts(lines, fields=()), "facts")
     for d, n in ((L.running_jobs(f), "n_running"), (L.failed_jobs(f), "n_failed"), (L.completed_jobs(f), "n_completed")):
         s = s.join(count(d, n), RUN, "left").withColumn(n, F.coalesce(n, F.lit(0)))
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("run_start"), F.desc("run_id"))) == 1
@@ -113,7 +113,7 @@ def whole_snapshot(lines: DataFrame, locks: DataFrame, markers: DataFrame, metad
     unless it is live. n_completions counts those of `run_completions`, n_with_threads the ones whose threads are known.
     """
     count = lambda d, *n: d.groupBy(*RUN).agg(*n)
-    f = stored(L.facts(lines), "facts")
+    f = stored(L.facts(lines, fields=("threads",)), "facts")
     runs = stored(L.overview(lines), "runs")
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("run_start"), F.desc("run_id"))) == 1
     live = D.is_running(locks, as_of)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from runscope.functions import scalars as S
 from runscope.operators import estimate as X
 from runscope.operators import logs as L
 from runscope.operators import scans
@@ -120,3 +121,38 @@ def test_states_in_days(spark, width):
     events = [(1, float(i // 3), i, "workflow_started" if i % 11 == 0 else "job_started") for i in range(60)]
     e = spark.createDataFrame(events, "workflow_id long, timestamp double, seq long, event_type string")
     assert [r["run_no"] for r in D.segment_runs(e, width).orderBy("seq").collect()] == [i // 11 + 1 for i in range(60)]
+
+
+def test_tables_of_job_statistics(spark):
+    """Two tables, one after blank lines and one without an end; no total, no line after a table, and words apart by tabs."""
+    text = ["", "Job stats:", "job count", "----- ----", "a\t3", "total 3", "total\t4", "b b 4", "", "c 5", "Job stats:", "job count", "----- ----", "    d 1", "e 6", "f x"]
+    d = spark.createDataFrame([("w", "r", i, t) for i, t in enumerate(text)], "workflow_id string, run_id string, line_no long, line string")
+    for size in (1, 3, 1000):
+        assert rows_of(L.expected_counts(d, size)) == rows_of(spark.createDataFrame([("w", "r", "a", 3), ("w", "r", "b", 4), ("w", "r", "e", 6)], "workflow_id string, run_id string, rule string, expected int"))
+        assert {r["rule"] for r in L.expected_rules(d, size).collect()} == {"a", "b", "e", "f"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_split_only_in_tables(lines):
+    """Splitting all lines of a log took more time than all else."""
+    x = plan_of(L.expected_counts(lines))
+    assert "split(" in x
+    assert not [at for at in x.splitlines() if "Filter" in at and "split(" in at]
+
+
+def test_only_fields_that_are_asked_for_are_read(lines):
+    for f in (L.completions_per_rule, lambda x: L.pending_jobs(x, x.selectExpr("workflow_id", "run_id", "line_no AS job_id")), L.run_plan):
+        assert S.WILDCARDS not in plan_of(f(lines))
+    assert S.WILDCARDS in plan_of(L.running_jobs(lines))
+    assert S.WILDCARDS not in plan_of(L.job_threads(lines))
+    few, all_ = L.facts(lines, fields=("threads",)), L.facts(lines)
+    assert rows_of(few) == rows_of(all_.drop("wildcards", "log"))
+
+
+def test_ends_of_chunks_need_no_second_sort(lines):
+    """Rows of a chunk are sorted once; what it ends with is an aggregate by hash of the same shuffle."""
+    x = plan_of(L.with_context(L.parsed(lines)))
+    assert len([at for at in x.splitlines() if "Sort [hash_" in at and "line_no" in at]) == 1
