@@ -241,7 +241,7 @@ def level_table(samples: DataFrame, as_of: float | None = None, strategy: str =
     threads, recency, consistency before as_of, median_size and sized.
 
     Samples are grouped by kind and month, and levels are put together from kinds. Counts by month tell from when on a level
-    has the newest samples that weigh in its mean, and only those are ranked. Two tables, of kinds and of levels, are written.
+    has the newest samples that weigh in its mean, and only those are ranked. Four tables are written, each of the size of kinds or levels.
     """
     if strategy not in ("index", "time"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -270,12 +270,14 @@ def level_table(samples: DataFrame, as_of: float | None = None, strategy: str =
         return out.drop("id", "m2")
     # by number of level, so that nothing but numbers is sorted
     half_life = DEFAULT.half_life_logs
-    ids = stored(rows.join(out.select(*LEVEL, "id"), LEVEL).groupBy("what").agg(F.collect_list("id").alias("ids")), "level-ids")  # a few levels a kind
-    months = kinds.join(ids, "what").select(F.explode("ids").alias("id"), "month", "n").groupBy("id", "month").agg(F.sum("n").alias("n"))
+    of_level = stored(rows.join(out.select(*LEVEL, "id"), LEVEL).select("what", "id"), "level-ids")  # a few levels a kind
+    months = kinds.join(of_level, "what").groupBy("id", "month").agg(F.sum("n").alias("n"))
     after = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc_nulls_last("month"))) - F.col("n")
     since = months.withColumn("after", after).where(F.col("after") < int(100 * half_life)).groupBy("id").agg(F.min(F.coalesce("month", F.lit(-(2**62)))).alias("since"))
-    each = samples.select(what(), "duration", "end_time", *TIE).join(ids, "what").select(F.explode("ids").alias("id"), "duration", "end_time", *TIE)
-    each = each.join(since, "id").where(F.coalesce(month, F.lit(-(2**62))) >= F.col("since"))
+    # since when a level ranks is told with the levels of a kind: samples too old are gone before a row a level is made or sent
+    starts = stored(of_level.join(since, "id").groupBy("what").agg(F.collect_list(F.struct("id", "since")).alias("starts")), "level-starts")
+    each = samples.select(what(), "duration", "end_time", *TIE, F.coalesce(month, F.lit(-(2**62))).alias("month")).join(starts, "what")
+    each = each.select(F.explode(F.filter("starts", lambda s: s["since"] <= F.col("month"))).alias("s"), "duration", "end_time", *TIE).select("s.id", "duration", "end_time", *TIE)
     return out.join(index_weighted_mean(each, ["id"], half_life), "id", "left").drop("id", "m2")
 
 

@@ -157,3 +157,18 @@ def test_estimates_by_age(history):
     assert all(math.isclose(r["expected"], want[r["rule"]], rel_tol=1e-9) for r in got)
     with pytest.raises(ValueError, match="strategy"):
         E.level_table(history, strategy="other")
+
+
+def test_old_samples_are_gone_before_they_are_sent(spark):
+    """A level joined its month after each sample had been sent once a level; now a kind of sample knows it, and only samples young enough are sent."""
+    h = spark.range(6000).selectExpr(
+        "'a' AS rule", "cast(id % 7 AS double) AS duration", "cast(id * 86400 AS double) AS end_time", "id AS input_size", "cast(1 AS int) AS threads",
+        "map('k', 'v') AS wildcards", "id AS k1", "0L AS k2", "0L AS k3", "0L AS k4",
+    )
+    t = E.level_table(h)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "explode(filter(starts" in plan and "since#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+    weights = [0.5 ** (i / 10) for i in range(1000)]
+    expected = sum((5999 - i) % 7 * w for i, w in enumerate(weights)) / sum(weights)
+    got = t.collect()
+    assert len(got) == 5 and all(abs(r["weighted_mean"] - expected) < 1e-9 for r in got)
