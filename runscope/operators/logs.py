@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .scans import carried
+from .scans import GROUP, KEY, carried, in_chunks
 
 RUN = ["workflow_id", "run_id"]
 CHUNK_LINES = 1 << 18  # lines of a run that one task takes at a time
@@ -26,10 +26,10 @@ CHUNK_LINES = 1 << 18  # lines of a run that one task takes at a time
 FIELDS = ("threads", "wildcards", "log")
 
 
-def parsed(lines: DataFrame, every: bool = False, fields: Sequence[str] = FIELDS) -> DataFrame:
+def parsed(lines: DataFrame, every: bool = False, fields: Sequence[str] = FIELDS, finishes: bool = True) -> DataFrame:
     """What the lines with a pattern hold; with every, other lines stay with nulls. Patterns are tried only on lines with their fixed text.
 
-    Lines of other fields than those asked for are like lines without a pattern.
+    Lines of other fields than those asked for are like lines without a pattern, and, if finishes is False, lines that can only be a finish.
     """
     x = F.col("line")
     has = lambda *texts: reduce(or_, [F.contains(x, F.lit(t)) for t in texts])
@@ -44,7 +44,7 @@ def parsed(lines: DataFrame, every: bool = False, fields: Sequence[str] = FIELDS
         "log": (has("log:"), S.log_path(x)),
     }
     values = {k: v for k, v in values.items() if k not in FIELDS or k in fields}
-    some = lines if every else lines.where(reduce(or_, [ok for ok, _ in values.values()]))  # by fixed text: no pattern is tried twice
+    some = lines if every else lines.where(reduce(or_, [ok for k, (ok, _) in values.items() if finishes or k != "finished"]))  # by fixed text: no pattern is tried twice
     return some.select(*RUN, "line_no", *[F.when(ok, v).alias(k) for k, (ok, v) in values.items()])
 
 
@@ -52,43 +52,75 @@ def _chunk(lines: int) -> Column:
     return F.floor(F.col("line_no") / lines)
 
 
-def with_context(p: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Block numbers, the last time stamp and rule so far, and if a line is in an error block."""
+def _carry() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Running counts and last values of a run's lines."""
     opens = F.col("error_rule").isNotNull()
     closes = F.col("rule_start").isNotNull() | F.col("ts").isNotNull()
     state = F.when(opens, True).when(closes, False)
     number = lambda c: c.isNotNull().cast("long")
-    out = carried(
-        p, RUN, ["line_no"], _chunk(chunk_lines),
-        sums={"block": number(F.col("rule_start")), "error_block": number(state)},
-        lasts={"last_ts": F.col("ts"), "rule": F.col("rule_start"), "in_error": state},
-    )
+    return {"block": number(F.col("rule_start")), "error_block": number(state)}, {"last_ts": F.col("ts"), "rule": F.col("rule_start"), "in_error": state}
+
+
+def with_context(p: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Block numbers, the last time stamp and rule so far, and if a line is in an error block."""
+    out = carried(p, RUN, ["line_no"], _chunk(chunk_lines), *_carry())
     return out.withColumn("in_error", F.coalesce("in_error", F.lit(False)))
 
 
-def facts(lines: DataFrame, chunk_lines: int = CHUNK_LINES, fields: Sequence[str] = FIELDS) -> DataFrame:
+def _first_known(fields: Sequence[str]) -> list[Column]:
+    """Aggregates of the lines or pieces of a block, a finish or an error block: of each value the first."""
+    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    return [F.min("finished").alias("finished"), F.min_by("first", "line_no").alias("first"), *[known(c) for c in ("id", *fields)], F.min("line_no").alias("line_no")]
+
+
+def _pieces(lines: DataFrame, chunk_lines: int, fields: Sequence[str], finishes: bool) -> DataFrame:
+    """kind, block, number and values of each block, finish and error block, a row for each chunk that it has lines in.
+
+    Lines are reduced inside their chunk; what came before the chunk is added to the few rows that are left.
+    """
+    p = parsed(lines, fields=fields, finishes=finishes)  # a finish tells nothing of other lines
+    sums, lasts = _carry()
+    lasts["plain"] = F.when(F.col("rule_start").isNotNull(), F.col("finished").isNull() & F.col("error_rule").isNull())
+    p, before = in_chunks(p, RUN, ["line_no"], _chunk(chunk_lines), sums, lasts)
+    # in_error is null before the first line of a chunk that tells: such lines go on with what the chunk before was in
+    kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("in_error").isNull(), "head").otherwise("block")
+    number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(0)
+    # a time stamp is in last_ts already; its line says nothing else of a block that a line of the same kind has begun
+    stamp = F.col("plain") & (kind == "block") & reduce(and_, [F.col(c).isNull() for c in ("rule_start", "job_id", *fields)])
+    p = p.where(~F.coalesce(stamp, F.lit(False))).withColumns({"kind": kind, "number": number})
+    p = p.withColumns({"first": F.struct("error_rule", "rule", "last_ts"), "id": F.when(F.col("job_id").isNotNull(), F.struct("job_id", "last_ts"))})
+    p = p.groupBy(*GROUP, "block", "kind", "number").agg(*_first_known(fields)).join(before, GROUP)
+    error = (F.col("kind") == "error") | ((F.col("kind") == "head") & F.coalesce("in_error_before", F.lit(False)))
+    block = F.col("block") + F.coalesce("block_before", F.lit(0))
+    kind = F.when(F.col("kind") == "finished", "finished").when(error, "error").when(block > 0, "block")
+    ts = lambda c: F.coalesce(f"{c}.last_ts", "last_ts_before").alias("last_ts")
+    return p.select(
+        *[F.col(f"{KEY}.{c}").alias(c) for c in RUN], block.alias("block"), kind.alias("kind"),
+        F.when(kind == "finished", F.col("number")).when(error, F.col("number") + F.coalesce("error_block_before", F.lit(0))).otherwise(0).alias("number"),
+        F.struct("first.error_rule", F.coalesce("first.rule", "rule_before").alias("rule"), F.when(kind == "finished", ts("first")).alias("last_ts")).alias("first"),  # no other kind asks for that time
+        F.when(F.col("id").isNotNull(), F.struct("id.job_id", ts("id"))).alias("id"), "finished", *fields, "line_no",
+    )
+
+
+def facts(lines: DataFrame, chunk_lines: int = CHUNK_LINES, fields: Sequence[str] = FIELDS, finishes: bool = True) -> DataFrame:
     """kind (block, finished, error), block (the rule block around it), rule, job_id, threads, wildcards, log, time, line_no.
 
     Of a block's values the first of each counts; time is the last time stamp before the job id
     of a block and before a finish. Blocks come without a job id, too. Takes lines, or lines with
-    their context as a stream has left them. Of threads, wildcards and log only the fields that are asked for are read.
+    their context as a stream has left them. Of threads, wildcards and log only the fields that are asked for are read;
+    finishes False leaves out finishes.
     """
     if "kind" in lines.columns:
-        return lines
-    p = lines if "in_error" in lines.columns else with_context(parsed(lines, fields=fields), chunk_lines)
-    kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
-    number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
-    # fields of one kind of line in one struct, so that few values are compared
-    first = lambda value, ok: F.min_by(value, F.when(ok, F.col("line_no")))
-    known = lambda c: first(F.col(c), F.col(c).isNotNull())
-    has_id = F.col("job_id").isNotNull()
-    got = p.withColumns({"kind": kind, "number": number}).where("kind is not null").groupBy(*RUN, "block", "kind", "number").agg(
-        F.min("line_no").alias("line_no"),
-        F.min("finished").alias("finished"),
-        first(F.struct("rule", "last_ts", "error_rule"), F.lit(True)).alias("first"),
-        first(F.struct("job_id", "last_ts"), has_id).alias("id"),
-        *[known(c).alias(c) for c in fields],
-    )
+        return lines if finishes else lines.where("kind <> 'finished'")
+    if "in_error" in lines.columns:
+        kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
+        number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
+        p = lines.withColumns({"kind": kind, "number": number, "first": F.struct("error_rule", "rule", "last_ts"), "id": F.when(F.col("job_id").isNotNull(), F.struct("job_id", "last_ts"))})
+    else:
+        p = _pieces(lines, chunk_lines, fields, finishes)
+    # by block, so that readers of a block's facts need no other shuffle
+    p = p.where("kind is not null" if finishes else "kind <> 'finished'").repartition(*RUN, "block")
+    got = p.groupBy(*RUN, "block", "kind", "number").agg(*_first_known(fields))
     end = F.col("kind") == "finished"
     return got.select(
         *RUN, "kind", "block", F.coalesce("first.error_rule", "first.rule").alias("rule"),
@@ -146,13 +178,13 @@ def _given(f: DataFrame) -> list[str]:
 
 def blocks(lines: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """One row per rule block with a job id: rule, job_id, the fields (threads, wildcards, log), start and first line."""
-    f = facts(lines, fields=fields).where("kind = 'block' and job_id is not null")
+    f = facts(lines, fields=fields, finishes=False).where("kind = 'block' and job_id is not null")
     return f.select(*RUN, "block", "rule", "job_id", *fields, F.col("time").alias("start_time"), "line_no")
 
 
 def scheduled_jobs(lines: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """The first block of every job id."""
-    return _first_of(blocks(lines, fields), ["job_id"], "block").drop("block")
+    return _first_of(blocks(lines, fields).repartition(*RUN, "job_id"), ["job_id"], "block").drop("block")  # sorted once, behind the shuffle
 
 
 def job_threads(lines: DataFrame) -> DataFrame:
@@ -195,7 +227,7 @@ def _with_owners(f: DataFrame) -> DataFrame:
 
 def failed_jobs(lines: DataFrame) -> DataFrame:
     """Error blocks; fields inside win over those of the rule block if its rule is the same; the first of equal (rule, job id) stays."""
-    err = _with_owners(facts(lines).where("kind <> 'finished'")).where("kind = 'error'")
+    err = _with_owners(facts(lines, finishes=False)).where("kind = 'error'")
     given = {"log": F.coalesce("log", "own.log"), "threads": F.col("own.threads"), "wildcards": F.col("own.wildcards")}
     got = err.select(*RUN, "rule", "job_id", *[given[c].alias(c) for c in ("log", "threads", "wildcards") if c in _given(err)], "line_no")
     return _first_of(got, ["rule", "job_id"], "line_no").drop("line_no")

@@ -74,10 +74,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = j.select("workflow_id", "run_id", "job_id", F.posexplode(F.array(*lines)).alias("i", "line")).where("line is not null").select("workflow_id", "run_id", (HEADER + F.col("job_id") * PER_JOB + F.col("i")).alias("line_no"), "line")
     rules = j.groupBy("workflow_id", "run_id", "rule").agg(F.count(F.lit(1)).alias("c"))
     at = F.row_number().over(Window.partitionBy("workflow_id", "run_id").orderBy("rule"))
-    stats = rules.select("workflow_id", "run_id", (at + 4).cast("long").alias("line_no"), F.concat_ws("    ", "rule", F.col("c").cast("string")).alias("line"))
-    head = F.array(*[F.struct(F.lit(i).cast("long").alias("line_no"), x.alias("line")) for i, x in [(0, text("Provided cores: ", F.col("workflow_id") + 1)), (1, F.lit("Job stats:")), (2, F.lit("job      count")), (3, F.lit("-----  -------")), (500, F.lit("total    1000")), (501, F.lit(""))]])
-    header = rules.select("workflow_id", "run_id").distinct().select("workflow_id", "run_id", F.inline(head))
-    return body.unionByName(stats).unionByName(header)
+    head = [(0, text("Provided cores: ", F.col("workflow_id") + 1)), (1, F.lit("Job stats:")), (2, F.lit("job      count")), (3, F.lit("-----  -------")), (500, F.lit("total    1000")), (501, F.lit(""))]
+    one = lambda i, x: F.struct(i.cast("long").alias("line_no"), x.alias("line"))
+    row = F.array(one(F.col("at") + 4, F.concat_ws("    ", "rule", F.col("c").cast("string"))))
+    # the first rule's row brings the run's other lines, so that jobs are read once for both
+    above = F.concat(row, F.when(F.col("at") == 1, F.array(*[one(F.lit(i), x) for i, x in head])).otherwise(F.array().cast("array<struct<line_no:bigint,line:string>>")))
+    return body.unionByName(rules.withColumn("at", at).select("workflow_id", "run_id", F.inline(above)))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,22 @@ def test_ends_of_chunks_need_no_second_sort(lines):
     """Rows of a chunk are sorted once; what it ends with is an aggregate by hash of the same shuffle."""
     x = plan_of(L.with_context(L.parsed(lines)))
     assert len([at for at in x.splitlines() if "Sort [hash_" in at and "line_no" in at]) == 1
+
+
+def test_facts_meet_their_block_without_another_shuffle(lines):
+    """Lines are reduced in their chunk, and facts are shuffled by block: its owner's values need no shuffle of their own."""
+    whole = [at for at in plan_of(L.failed_jobs(lines)).splitlines() if "Exchange hashpartitioning(workflow_id" in at and "block#" in at]
+    assert len(whole) == 1
+
+
+def test_odd_lines_in_chunks(spark):
+    """A rule that starts on a line that finishes a job, stamps after it, values on finish lines, and blocks and errors over many chunks."""
+    rnd = random.Random(7)
+    kinds = ["[Mon Jan  1 10:00:{:02d} 2024]", "rule a{}:", "rule b: Finished job {}.", "Finished job {}.", "Finished jobid: {} (Rule: a)", "Error in rule a{}:", "    jobid: {}", "    threads: {}", "    log: l{}", "    log: Finished job {}", "text {}", "rule c: Error in rule d{}:"]
+    text = [rnd.choice(kinds).format(rnd.randint(1, 9)) for _ in range(600)]
+    d = spark.createDataFrame([(1, "a", i, x) for i, x in enumerate(text)], "workflow_id long, run_id string, line_no long, line string").cache()
+    want = rows_of(L.facts(L.with_context(L.parsed(d), 1 << 40)))
+    for size in (1, 5, 1000):
+        assert rows_of(L.facts(d, size)) == want
+    no_finish = rows_of(L.facts(L.with_context(L.parsed(d), 1 << 40)).where("kind <> 'finished'"))
+    assert rows_of(L.facts(d, 5, finishes=False)) == no_finish
