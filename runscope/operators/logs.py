@@ -21,6 +21,7 @@ from .scans import GROUP, KEY, carried, in_chunks
 
 RUN = ["workflow_id", "run_id"]
 CHUNK_LINES = 1 << 18  # lines of a run that one task takes at a time
+WHOLE_RUNS = None  # instead: a run is scanned in one task. Lines whose table is partitioned by run, such as rendered ones, are then not shuffled at all
 
 
 FIELDS = ("threads", "wildcards", "log")
@@ -61,10 +62,33 @@ def _carry() -> tuple[dict[str, Column], dict[str, Column]]:
     return {"block": number(F.col("rule_start")), "error_block": number(state)}, {"last_ts": F.col("ts"), "rule": F.col("rule_start"), "in_error": state}
 
 
-def with_context(p: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def _running(rows: DataFrame, chunk_lines: int | None, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
+    """Rows with running counts and last values of their run, in order of lines."""
+    if chunk_lines is not None:
+        return carried(rows, RUN, ["line_no"], _chunk(chunk_lines), sums, lasts)
+    w = Window.partitionBy(*RUN).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({k: F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in sums.items()} | {k: F.last(v, True).over(w) for k, v in lasts.items()})
+
+
+def _in_order(lines: DataFrame, chunk_lines: int | None) -> DataFrame:
+    """Whole runs are sorted before their lines are parsed: short rows, and once."""
+    return lines.sortWithinPartitions(*RUN, "line_no") if chunk_lines is None else lines
+
+
+def with_context(p: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFrame:
     """Block numbers, the last time stamp and rule so far, and if a line is in an error block."""
-    out = carried(p, RUN, ["line_no"], _chunk(chunk_lines), *_carry())
-    return out.withColumn("in_error", F.coalesce("in_error", F.lit(False)))
+    return _running(p, chunk_lines, *_carry()).withColumn("in_error", F.coalesce("in_error", F.lit(False)))
+
+
+def _plain() -> Column:
+    """If the line that began a block is one of its lines."""
+    return F.when(F.col("rule_start").isNotNull(), F.col("finished").isNull() & F.col("error_rule").isNull())
+
+
+def _only_stamp(fields: Sequence[str]) -> Column:
+    """A time stamp is in last_ts already; its line says nothing else of a block that a line of the same kind has begun."""
+    silent = reduce(and_, [F.col(c).isNull() for c in ("rule_start", "job_id", *fields)])
+    return F.coalesce(F.col("plain") & (F.col("kind") == "block") & silent, F.lit(False))
 
 
 def _first_known(fields: Sequence[str]) -> list[Column]:
@@ -80,14 +104,12 @@ def _pieces(lines: DataFrame, chunk_lines: int, fields: Sequence[str], finishes:
     """
     p = parsed(lines, fields=fields, finishes=finishes)  # a finish tells nothing of other lines
     sums, lasts = _carry()
-    lasts["plain"] = F.when(F.col("rule_start").isNotNull(), F.col("finished").isNull() & F.col("error_rule").isNull())
+    lasts["plain"] = _plain()
     p, before = in_chunks(p, RUN, ["line_no"], _chunk(chunk_lines), sums, lasts)
     # in_error is null before the first line of a chunk that tells: such lines go on with what the chunk before was in
     kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("in_error").isNull(), "head").otherwise("block")
     number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(0)
-    # a time stamp is in last_ts already; its line says nothing else of a block that a line of the same kind has begun
-    stamp = F.col("plain") & (kind == "block") & reduce(and_, [F.col(c).isNull() for c in ("rule_start", "job_id", *fields)])
-    p = p.where(~F.coalesce(stamp, F.lit(False))).withColumns({"kind": kind, "number": number})
+    p = p.withColumns({"kind": kind, "number": number}).where(~_only_stamp(fields))
     p = p.withColumns({"first": F.struct("error_rule", "rule", "last_ts"), "id": F.when(F.col("job_id").isNotNull(), F.struct("job_id", "last_ts"))})
     p = p.groupBy(*GROUP, "block", "kind", "number").agg(*_first_known(fields)).join(before, GROUP)
     error = (F.col("kind") == "error") | ((F.col("kind") == "head") & F.coalesce("in_error_before", F.lit(False)))
@@ -102,7 +124,24 @@ def _pieces(lines: DataFrame, chunk_lines: int, fields: Sequence[str], finishes:
     )
 
 
-def facts(lines: DataFrame, chunk_lines: int = CHUNK_LINES, fields: Sequence[str] = FIELDS, finishes: bool = True) -> DataFrame:
+def _labelled(p: DataFrame) -> DataFrame:
+    """Lines with their context: which block, finish or error block they belong to."""
+    kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
+    number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
+    return p.withColumns({"kind": kind, "number": number, "first": F.struct("error_rule", "rule", "last_ts"), "id": F.when(F.col("job_id").isNotNull(), F.struct("job_id", "last_ts"))})
+
+
+def _reduced(p: DataFrame, fields: Sequence[str]) -> DataFrame:
+    got = p.groupBy(*RUN, "block", "kind", "number").agg(*_first_known(fields))
+    end = F.col("kind") == "finished"
+    return got.select(
+        *RUN, "kind", "block", F.coalesce("first.error_rule", "first.rule").alias("rule"),
+        F.coalesce("finished", "id.job_id").alias("job_id"), *fields,
+        F.when(end, F.col("first.last_ts")).otherwise(F.col("id.last_ts")).alias("time"), "line_no",
+    )
+
+
+def facts(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES, fields: Sequence[str] = FIELDS, finishes: bool = True) -> DataFrame:
     """kind (block, finished, error), block (the rule block around it), rule, job_id, threads, wildcards, log, time, line_no.
 
     Of a block's values the first of each counts; time is the last time stamp before the job id
@@ -112,21 +151,19 @@ def facts(lines: DataFrame, chunk_lines: int = CHUNK_LINES, fields: Sequence[str
     """
     if "kind" in lines.columns:
         return lines if finishes else lines.where("kind <> 'finished'")
+    asked = "kind is not null" if finishes else "kind <> 'finished'"
     if "in_error" in lines.columns:
-        kind = F.when(F.col("finished").isNotNull(), "finished").when(F.col("in_error"), "error").when(F.col("block") > 0, "block")
-        number = F.when(kind == "finished", F.col("line_no")).when(kind == "error", F.col("error_block")).otherwise(F.col("block"))
-        p = lines.withColumns({"kind": kind, "number": number, "first": F.struct("error_rule", "rule", "last_ts"), "id": F.when(F.col("job_id").isNotNull(), F.struct("job_id", "last_ts"))})
+        p = _labelled(lines).where(asked)
+    elif chunk_lines is None:
+        sums, lasts = _carry()
+        p = parsed(_in_order(lines, None), fields=fields, finishes=finishes)
+        p = _running(p, None, sums, lasts | {"plain": _plain()}).withColumn("in_error", F.coalesce("in_error", F.lit(False)))
+        p = _labelled(p).where(asked)
+        return _reduced(p.where(~_only_stamp(fields)), fields)
     else:
-        p = _pieces(lines, chunk_lines, fields, finishes)
+        p = _pieces(lines, chunk_lines, fields, finishes).where(asked)
     # by block, so that readers of a block's facts need no other shuffle
-    p = p.where("kind is not null" if finishes else "kind <> 'finished'").repartition(*RUN, "block")
-    got = p.groupBy(*RUN, "block", "kind", "number").agg(*_first_known(fields))
-    end = F.col("kind") == "finished"
-    return got.select(
-        *RUN, "kind", "block", F.coalesce("first.error_rule", "first.rule").alias("rule"),
-        F.coalesce("finished", "id.job_id").alias("job_id"), *fields,
-        F.when(end, F.col("first.last_ts")).otherwise(F.col("id.last_ts")).alias("time"), "line_no",
-    )
+    return _reduced(p.repartition(*RUN, "block"), fields)
 
 
 def _first_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -184,7 +221,9 @@ def blocks(lines: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
 
 def scheduled_jobs(lines: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """The first block of every job id."""
-    return _first_of(blocks(lines, fields).repartition(*RUN, "job_id"), ["job_id"], "block").drop("block")  # sorted once, behind the shuffle
+    b = blocks(lines, fields)
+    b = b if "kind" in lines.columns else b.repartition(*RUN, "job_id")  # sorted once, behind the shuffle
+    return _first_of(b, ["job_id"], "block").drop("block")
 
 
 def job_threads(lines: DataFrame) -> DataFrame:
@@ -244,13 +283,26 @@ def running_jobs(lines: DataFrame) -> DataFrame:
     return _first_of(open_, ["job_id"], "block").select(*RUN, "job_id", "rule", *_given(f), F.col("time").alias("start_time"))
 
 
-def lifecycle(lines: DataFrame) -> DataFrame:
+def job_counts(lines: DataFrame) -> DataFrame:
+    """n_running, n_failed and n_completed of each run with facts: the rows of `running_jobs`, `failed_jobs` and `completed_jobs`, counted in one pass."""
+    f = _with_owners(facts(lines, fields=()))
+    w = Window.partitionBy(*RUN, "job_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.last(F.when(F.col("kind") == "block", F.struct("time")), True).over(w)["time"]
+    known, error = F.col("job_id").isNotNull(), F.col("kind") == "error"
+    f = f.withColumn("done", known & (F.col("kind") == "finished") & F.col("time").isNotNull() & begun.isNotNull())
+    most = lambda c: F.max(c.cast("int"))
+    by_rule = f.groupBy(*RUN, "job_id", error.alias("failed"), F.when(error, F.col("rule")).alias("rule")).agg(most(F.col("done")).alias("done"), most(F.col("kind") != "block").alias("ended"))
+    by_job = by_rule.groupBy(*RUN, "job_id").agg(F.count_if("failed").alias("failed"), F.max("done").alias("done"), F.max("ended").alias("ended"))
+    return by_job.groupBy(*RUN).agg(F.count_if(known & (F.col("ended") == 0)).alias("n_running"), F.sum("failed").alias("n_failed"), F.sum("done").alias("n_completed"))
+
+
+def lifecycle(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFrame:
     """Every job id of a log: its last start with the fields that its blocks gave first or later, its end and what it is.
 
     status is failed, completed or running by what the log says last; end_order numbers the
     completed jobs of a run by their end.
     """
-    f = facts(lines).where("job_id is not null")
+    f = facts(lines, chunk_lines).where("job_id is not null")
     last = lambda c, kind: F.max_by(c, F.when((F.col("kind") == kind) & F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     ended = F.col("kind").isin("finished", "error")
     got = f.groupBy(*RUN, "job_id").agg(
@@ -262,11 +314,14 @@ def lifecycle(lines: DataFrame) -> DataFrame:
     status = F.when(F.col("last") == "finished", "completed").when(F.col("last") == "error", "failed").otherwise("running")
     got = got.withColumn("status", status).withColumn("end_time", F.when(F.col("last") == "finished", F.col("end_time"))).drop("last")
     done = F.col("status") == "completed"
-    got = carried(got, RUN, ["end_time", "job_id"], F.floor(F.col("end_time") / 3600), sums={"end_order": done.cast("long")})
+    if chunk_lines is None:
+        got = got.withColumn("end_order", F.sum(done.cast("long")).over(Window.partitionBy(*RUN).orderBy("end_time", "job_id").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        got = carried(got, RUN, ["end_time", "job_id"], F.floor(F.col("end_time") / 3600), sums={"end_order": done.cast("long")})
     return got.withColumn("end_order", F.when(done, F.col("end_order")).cast("int"))
 
 
-def _stats_rows(lines: DataFrame, chunk_lines: int) -> DataFrame:
+def _stats_rows(lines: DataFrame, chunk_lines: int | None) -> DataFrame:
     """run, rule and last word of the rows of each run's job statistics tables, without their totals.
 
     A table goes from its title to the first blank line after its two head lines. Rows have two words or more.
@@ -274,9 +329,9 @@ def _stats_rows(lines: DataFrame, chunk_lines: int) -> DataFrame:
     text = F.trim("line")
     head = text.startswith("-") | (text.startswith("job") & F.contains(text, F.lit("count")))
     kind = F.when(text == "Job stats:", "title").when(text == "", "blank").when(~F.startswith("line", F.lit(" ")) & ~head & text.rlike(r"\s"), "row")
-    x = lines.select(*RUN, "line_no", kind.alias("kind"), F.when(kind == "row", text).alias("text")).where("kind is not null")
+    x = _in_order(lines, chunk_lines).select(*RUN, "line_no", kind.alias("kind"), F.when(kind == "row", text).alias("text")).where("kind is not null")
     at = lambda k: F.when(F.col("kind") == k, F.col("line_no"))
-    x = carried(x, RUN, ["line_no"], _chunk(chunk_lines), lasts={"head": at("title"), "blank": at("blank")})
+    x = _running(x, chunk_lines, {}, {"head": at("title"), "blank": at("blank")})
     # the last blank line so far is the one that tells: if it is before the end of the head lines, all are
     x = x.where("kind = 'row' and head is not null and (blank is null or blank <= head + 2)")
     words = F.split("text", r"\s+")
@@ -285,12 +340,12 @@ def _stats_rows(lines: DataFrame, chunk_lines: int) -> DataFrame:
     return x.where("rule <> 'total'")
 
 
-def expected_rules(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def expected_rules(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFrame:
     """The rules of the job statistics table, whatever stands as their count."""
     return _stats_rows(lines, chunk_lines).select(*RUN, "rule").distinct()
 
 
-def expected_counts(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def expected_counts(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFrame:
     """The rules and counts of the job statistics table; rows whose last word is no integer are left out."""
     x = _stats_rows(lines, chunk_lines)
     return x.select(*RUN, "rule", F.col("last").try_cast("int").alias("expected")).where("expected is not null")
@@ -307,13 +362,13 @@ def run_start(lines: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     return out.join(fallback.select(*RUN, F.col("ctime")), RUN, "left").select(*RUN, F.coalesce("run_start", "ctime").alias("run_start"))
 
 
-def run_plan(lines: DataFrame) -> DataFrame:
+def run_plan(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFrame:
     """What a log announces, a row a run: cores, start, expected jobs by rule, and the number of scheduled jobs."""
-    counts = expected_counts(lines).groupBy(*RUN).agg(
+    counts = expected_counts(lines, chunk_lines).groupBy(*RUN).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "expected")))).alias("expected"),
         F.sum("expected").alias("n_expected"),
     )
-    scheduled = scheduled_jobs(lines, ()).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_scheduled"))
+    scheduled = scheduled_jobs(lines if chunk_lines else facts(lines, None, (), False), ()).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_scheduled"))
     head = overview(lines).select(*RUN, "cores", "run_start")
     out = head.join(counts, RUN, "left").join(scheduled, RUN, "left")
     return out.withColumn("n_scheduled", F.coalesce("n_scheduled", F.lit(0)))

@@ -243,7 +243,7 @@ def completions(spark, d):
 
 @query("c04_expected_counts", "SELECT workflow_id, run_id, rule, CAST(count(*) AS INTEGER) AS expected FROM jj GROUP BY ALL", JOBS)
 def expected(spark, d):
-    return L.expected_counts(A.log_lines(spark, d))
+    return L.expected_counts(A.log_lines(spark, d), L.WHOLE_RUNS)
 
 
 @query("c05_cores", "SELECT DISTINCT workflow_id, run_id, CAST(workflow_id + 1 AS INTEGER) AS cores FROM jj", JOBS)
@@ -253,7 +253,7 @@ def cores(spark, d):
 
 @query("c06_running_jobs", "SELECT workflow_id, run_id, job_id, rule, threads, 'flag=' || flag || ', status=' || status AS wildcards, 'logs/' || rule || '/' || job_id || '.log' AS log, start_time FROM jj WHERE ended = 'running'", JOBS)
 def running(spark, d):
-    return L.running_jobs(A.log_lines(spark, d))
+    return L.running_jobs(L.facts(A.log_lines(spark, d), L.WHOLE_RUNS))
 
 
 @query("c07_failed_jobs", "SELECT workflow_id, run_id, rule, job_id, 'logs/' || rule || '/' || job_id || '.log' AS log, threads, 'flag=' || flag || ', status=' || status AS wildcards FROM jj WHERE ended = 'failed'", JOBS)
@@ -268,12 +268,12 @@ def completed(spark, d):
 
 @query("c09_job_threads", "SELECT workflow_id, run_id, job_id, threads FROM jj WHERE threads IS NOT NULL", JOBS)
 def job_threads(spark, d):
-    return L.job_threads(A.log_lines(spark, d))
+    return L.job_threads(L.facts(A.log_lines(spark, d), L.WHOLE_RUNS, ("threads",), finishes=False))
 
 
 @query("c10_scheduled_jobs", "SELECT workflow_id, run_id, job_id, rule, threads, start_time FROM jj", JOBS)
 def scheduled(spark, d):
-    return L.scheduled_jobs(A.log_lines(spark, d), ("threads",)).select(*RUN, "job_id", "rule", "threads", "start_time")
+    return L.scheduled_jobs(L.facts(A.log_lines(spark, d), L.WHOLE_RUNS, ("threads",), finishes=False), ("threads",)).select(*RUN, "job_id", "rule", "threads", "start_time")
 
 
 @query("c11_run_start", "SELECT workflow_id, run_id, arg_min(start_time, job_id) AS run_start FROM jj GROUP BY ALL", JOBS)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+RUN, TIE = ["workflow_id", "run_id"], ["k1", "k2", "k3", "k4", "end_time"]
 PER_JOB, HEADER = 10, 1000
+TASK_JOBS = 1 << 17  # jobs of whole runs that one task takes: their lines are sorted in its memory
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,17 +52,28 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("event_type is not null")
 
 
+def _by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in as many tasks as their number asks for, all of a run in one."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_JOBS))
+    return samples(spark, sf_dir).repartition(tasks, *RUN)
+
+
+def _numbered(s: DataFrame, *ties: str) -> DataFrame:
+    s = s.withColumn("job_id", F.row_number().over(Window.partitionBy(*RUN).orderBy(*TIE, *ties)).cast("long"))
+    return s.withColumn("ended", F.when(F.col("job_id") % 10 == 7, "failed").when(F.col("job_id") % 10 == 9, "running").otherwise("finished"))
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with their job number in the run and how the job ended: every tenth fails, another tenth still runs."""
-    s = samples(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("workflow_id", "run_id").orderBy("k1", "k2", "k3", "k4", "end_time")).cast("long")
-    s = s.withColumn("job_id", n)
-    return s.withColumn("ended", F.when(F.col("job_id") % 10 == 7, "failed").when(F.col("job_id") % 10 == 9, "running").otherwise("finished"))
+    return _numbered(_by_run(spark, sf_dir))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """workflow_id, run_id, line_no, line: a run log for every workflow and month, rendered from the samples."""
-    j = numbered(spark, sf_dir)
+    """workflow_id, run_id, line_no, line: a run log for every workflow and month, rendered from the samples. All lines of a run come from one task."""
+    of_rule = Window.partitionBy(*RUN, "rule")
+    s = _by_run(spark, sf_dir).withColumns({"of_rule": F.row_number().over(of_rule.orderBy(*TIE)), "count": F.count(F.lit(1)).over(of_rule)})
+    s = s.withColumn("at", F.sum((F.col("of_rule") == 1).cast("long")).over(Window.partitionBy(*RUN).orderBy("rule", *TIE).rowsBetween(Window.unboundedPreceding, 0)))
+    j = _numbered(s, "of_rule")  # with a tie of the windows before, jobs are numbered behind them and come in order of their lines
     stamp = lambda c: F.concat(F.lit("["), F.date_format(F.timestamp_seconds(F.floor(c)), "EEE MMM d HH:mm:ss yyyy"), F.lit("]"))
     text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
     n, rule = F.col("job_id"), F.col("rule")
@@ -71,15 +84,14 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("ended") != "running", stamp(F.col("end_time"))), F.when(done, text("Finished job ", n, ".")).when(failed, text("Error in rule ", rule, ":")),
         F.when(done, text(n, " of 1000 steps (1%) done")).when(failed, text("    jobid: ", n)), F.when(failed, text("    log: logs/", rule, "/", n, ".log (check log file(s) for error details)")),
     ]
-    body = j.select("workflow_id", "run_id", "job_id", F.posexplode(F.array(*lines)).alias("i", "line")).where("line is not null").select("workflow_id", "run_id", (HEADER + F.col("job_id") * PER_JOB + F.col("i")).alias("line_no"), "line")
-    rules = j.groupBy("workflow_id", "run_id", "rule").agg(F.count(F.lit(1)).alias("c"))
-    at = F.row_number().over(Window.partitionBy("workflow_id", "run_id").orderBy("rule"))
     head = [(0, text("Provided cores: ", F.col("workflow_id") + 1)), (1, F.lit("Job stats:")), (2, F.lit("job      count")), (3, F.lit("-----  -------")), (500, F.lit("total    1000")), (501, F.lit(""))]
     one = lambda i, x: F.struct(i.cast("long").alias("line_no"), x.alias("line"))
-    row = F.array(one(F.col("at") + 4, F.concat_ws("    ", "rule", F.col("c").cast("string"))))
-    # the first rule's row brings the run's other lines, so that jobs are read once for both
-    above = F.concat(row, F.when(F.col("at") == 1, F.array(*[one(F.lit(i), x) for i, x in head])).otherwise(F.array().cast("array<struct<line_no:bigint,line:string>>")))
-    return body.unionByName(rules.withColumn("at", at).select("workflow_id", "run_id", F.inline(above)))
+    none = F.array().cast("array<struct<line_no:bigint,line:string>>")
+    # a run's first job brings the lines above its jobs, a rule's first one its row among them, so that jobs are read once for all
+    row = F.when(F.col("of_rule") == 1, F.array(one(F.col("at") + 4, F.concat_ws("    ", "rule", F.col("count").cast("string"))))).otherwise(none)
+    above = F.when(n == 1, F.array(*[one(F.lit(i), x) for i, x in head])).otherwise(none)
+    body = F.array(*[one(HEADER + n * PER_JOB + i, x) for i, x in enumerate(lines)])
+    return j.select(*RUN, F.inline(F.concat(above, row, body))).where("line is not null")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

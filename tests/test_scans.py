@@ -11,6 +11,7 @@ from runscope.operators import estimate as X
 from runscope.operators import logs as L
 from runscope.operators import scans
 from runscope.operators import state as D
+from runscope.plans import catalog
 from runscope.sources import adapters as A
 from runscope.sources import readers as R
 
@@ -175,3 +176,38 @@ def test_odd_lines_in_chunks(spark):
         assert rows_of(L.facts(d, size)) == want
     no_finish = rows_of(L.facts(L.with_context(L.parsed(d), 1 << 40)).where("kind <> 'finished'"))
     assert rows_of(L.facts(d, 5, finishes=False)) == no_finish
+
+
+def odd_lines(spark, runs=2):
+    """Runs of lines in which everything may come after everything."""
+    rnd = random.Random(11)
+    kinds = ["[Mon Jan  1 10:00:{:02d} 2024]", "[Mon Foo  1 10:00:{:02d} 2024]", "rule a{}:", "rule b: Finished job {}.", "Finished job {}.", "Error in rule a{}:", "    jobid: {}", "    jobid: {}", "    threads: {}", "    log: l{}", "    wildcards: k={}", "text {}"]
+    rows = [(1, f"r{k}", i, rnd.choice(kinds).format(rnd.randint(1, 9))) for k in range(runs) for i in range(500)]
+    return spark.createDataFrame(rows, "workflow_id long, run_id string, line_no long, line string").repartition(5)
+
+
+def test_whole_runs_give_the_same_facts(spark):
+    d = odd_lines(spark).cache()
+    for options in ({}, {"fields": ("threads",)}, {"finishes": False}):
+        assert rows_of(L.facts(d, L.WHOLE_RUNS, **options)) == rows_of(L.facts(d, 7, **options))
+    assert rows_of(L.lifecycle(d, L.WHOLE_RUNS)) == rows_of(L.lifecycle(d))
+    text = ["Job stats:", "job count", "----- ----", "a\t3", "total 3", "", "c 5", "Job stats:", "job count", "----- ----", "    d 1", "e 6"]
+    t = spark.createDataFrame([("w", "r", i, x) for i, x in enumerate(text)], "workflow_id string, run_id string, line_no long, line string")
+    assert rows_of(L.expected_counts(t, L.WHOLE_RUNS)) == rows_of(L.expected_counts(t))
+    assert rows_of(L.run_plan(t, L.WHOLE_RUNS)) == rows_of(L.run_plan(t))
+
+
+def test_jobs_are_counted_in_one_pass(spark):
+    f = L.facts(odd_lines(spark, 20)).cache()
+    count = lambda d: {r["run_id"]: r["count"] for r in d.groupBy("run_id").count().collect()}
+    running, failed, done = count(L.running_jobs(f)), count(L.failed_jobs(f)), count(L.completed_jobs(f))
+    got = L.job_counts(f).collect()
+    assert len(got) == 20 and sum(failed.values()) > 20
+    assert [(r["n_running"], r["n_failed"], r["n_completed"]) for r in got] == [tuple(c.get(r["run_id"], 0) for c in (running, failed, done)) for r in got]
+
+
+@pytest.mark.parametrize("name", ["c06_running_jobs", "c10_scheduled_jobs"])
+def test_rendered_lines_are_not_shuffled(spark, sf_dir, name):
+    """A run's lines come from one task, which reads all from them that a query asks for."""
+    plan = plan_of(catalog.QUERIES[name](spark, sf_dir))
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate inline")]
