@@ -238,7 +238,7 @@ def latest_progress(spark, d):
 
 @query("c02_completions_per_rule", "SELECT workflow_id, run_id, rule, count(*) AS completed FROM jj WHERE ended = 'finished' GROUP BY ALL", JOBS)
 def completions(spark, d):
-    return L.completions_per_rule(A.log_lines(spark, d))
+    return L.completions_per_rule(L.facts(A.log_lines(spark, d), L.WHOLE_RUNS, ()))
 
 
 @query("c04_expected_counts", "SELECT workflow_id, run_id, rule, CAST(count(*) AS INTEGER) AS expected FROM jj GROUP BY ALL", JOBS)
