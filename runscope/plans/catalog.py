@@ -258,7 +258,7 @@ def running(spark, d):
 
 @query("c07_failed_jobs", "SELECT workflow_id, run_id, rule, job_id, 'logs/' || rule || '/' || job_id || '.log' AS log, threads, 'flag=' || flag || ', status=' || status AS wildcards FROM jj WHERE ended = 'failed'", JOBS)
 def failed(spark, d):
-    return L.failed_jobs(A.log_lines(spark, d))
+    return L.failed_jobs(L.facts(A.log_lines(spark, d), L.WHOLE_RUNS, finishes=False))
 
 
 @query("c08_completed_jobs", "SELECT workflow_id, run_id, job_id, rule, start_time, end_time, duration, threads, 'flag=' || flag || ', status=' || status AS wildcards, 'logs/' || rule || '/' || job_id || '.log' AS log FROM jj WHERE ended = 'finished'", JOBS)
