@@ -263,7 +263,7 @@ def failed(spark, d):
 
 @query("c08_completed_jobs", "SELECT workflow_id, run_id, job_id, rule, start_time, end_time, duration, threads, 'flag=' || flag || ', status=' || status AS wildcards, 'logs/' || rule || '/' || job_id || '.log' AS log FROM jj WHERE ended = 'finished'", JOBS)
 def completed(spark, d):
-    return L.completed_jobs(A.log_lines(spark, d))
+    return L.completed_jobs(L.facts(A.log_lines(spark, d), L.WHOLE_RUNS))
 
 
 @query("c09_job_threads", "SELECT workflow_id, run_id, job_id, threads FROM jj WHERE threads IS NOT NULL", JOBS)
