@@ -707,7 +707,7 @@ def status_report(spark, d):
 
 @query("c12_lifecycle", "SELECT workflow_id, run_id, job_id, rule, threads, 'flag=' || flag || ', status=' || status AS wildcards, 'logs/' || rule || '/' || job_id || '.log' AS log, start_time, CASE WHEN ended = 'finished' THEN end_time END AS end_time, CASE ended WHEN 'finished' THEN 'completed' ELSE ended END AS status, CASE WHEN ended = 'finished' THEN CAST(row_number() OVER (PARTITION BY workflow_id, run_id ORDER BY CASE WHEN ended = 'finished' THEN end_time END NULLS LAST, job_id) AS INTEGER) END AS end_order FROM jj", JOBS)
 def lifecycle(spark, d):
-    return L.lifecycle(A.log_lines(spark, d))
+    return L.lifecycle(A.log_lines(spark, d), L.WHOLE_RUNS)
 
 
 @query("d27_run_plan", "SELECT workflow_id, run_id, CAST(workflow_id + 1 AS INTEGER) AS cores, arg_min(start_time, job_id) AS run_start, CAST(count(DISTINCT rule) AS INTEGER) AS n_rules, count(*) AS n_expected, count(*) AS n_scheduled FROM jj GROUP BY workflow_id, run_id", JOBS)

@@ -206,7 +206,7 @@ def test_jobs_are_counted_in_one_pass(spark):
     assert [(r["n_running"], r["n_failed"], r["n_completed"]) for r in got] == [tuple(c.get(r["run_id"], 0) for c in (running, failed, done)) for r in got]
 
 
-@pytest.mark.parametrize("name", ["c02_completions_per_rule", "c06_running_jobs", "c07_failed_jobs", "c08_completed_jobs", "c10_scheduled_jobs"])
+@pytest.mark.parametrize("name", ["c02_completions_per_rule", "c06_running_jobs", "c07_failed_jobs", "c08_completed_jobs", "c10_scheduled_jobs", "c12_lifecycle"])
 def test_rendered_lines_are_not_shuffled(spark, sf_dir, name):
     """A run's lines come from one task, which reads all from them that a query asks for."""
     plan = plan_of(catalog.QUERIES[name](spark, sf_dir))
