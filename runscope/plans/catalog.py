@@ -397,8 +397,9 @@ def fallback(spark, d):
 @query("d10_pending_jobs", "SELECT workflow_id, run_id, max(job_id) + 1 AS job_id FROM jj GROUP BY ALL", JOBS)
 def pending(spark, d):
     j = A.numbered(spark, d).select(*RUN, "job_id")
-    planned = j.unionByName(j.groupBy(*RUN).agg((F.max("job_id") + 1).alias("job_id")))
-    return L.pending_jobs(A.log_lines(spark, d), planned)
+    last = F.max("job_id").over(Window.partitionBy(*RUN))
+    planned = j.withColumn("last", last).select(*RUN, F.explode(F.when(F.col("job_id") == F.col("last"), F.array("job_id", F.col("job_id") + 1)).otherwise(F.array("job_id"))).alias("job_id"))
+    return L.pending_jobs(L.facts(A.log_lines(spark, d), L.WHOLE_RUNS, ()), planned)
 
 
 @query("d19_segment_runs", "SELECT workflow_id, run_no, count(*) AS n FROM (SELECT workflow_id, sum((event_type = 'job_submitted')::INT) OVER (PARTITION BY workflow_id ORDER BY timestamp, seq) AS run_no FROM e) GROUP BY ALL", EVENTS)
