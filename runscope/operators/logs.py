@@ -362,6 +362,12 @@ def run_start(lines: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     return out.join(fallback.select(*RUN, F.col("ctime")), RUN, "left").select(*RUN, F.coalesce("run_start", "ctime").alias("run_start"))
 
 
+def side_by_side(*tables: DataFrame) -> DataFrame:
+    """One row a run of tables that have one at most, nulls where a table has none. Unlike a join it puts no filter on one reader of a log only, so that all share their input."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return out.groupBy(*RUN).agg(*[F.any_value(c, True).alias(c) for c in out.columns if c not in RUN])
+
+
 def run_plan(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFrame:
     """What a log announces, a row a run: cores, start, expected jobs by rule, and the number of scheduled jobs."""
     counts = expected_counts(lines, chunk_lines).groupBy(*RUN).agg(
@@ -370,7 +376,7 @@ def run_plan(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFra
     )
     scheduled = scheduled_jobs(lines if chunk_lines else facts(lines, None, (), False), ()).groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_scheduled"))
     head = overview(lines).select(*RUN, "cores", "run_start")
-    out = head.join(counts, RUN, "left").join(scheduled, RUN, "left")
+    out = side_by_side(head, counts, scheduled)
     return out.withColumn("n_scheduled", F.coalesce("n_scheduled", F.lit(0)))
 
 

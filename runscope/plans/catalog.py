@@ -713,7 +713,7 @@ def lifecycle(spark, d):
 
 @query("d27_run_plan", "SELECT workflow_id, run_id, CAST(workflow_id + 1 AS INTEGER) AS cores, arg_min(start_time, job_id) AS run_start, CAST(count(DISTINCT rule) AS INTEGER) AS n_rules, count(*) AS n_expected, count(*) AS n_scheduled FROM jj GROUP BY workflow_id, run_id", JOBS)
 def run_plan(spark, d):
-    return L.run_plan(A.log_lines(spark, d)).select(*RUN, "cores", "run_start", F.size("expected").alias("n_rules"), "n_expected", "n_scheduled")
+    return L.run_plan(A.log_lines(spark, d), L.WHOLE_RUNS).select(*RUN, "cores", "run_start", F.size("expected").alias("n_rules"), "n_expected", "n_scheduled")
 
 
 _SNAP = f"""reg AS ({_REG}),

@@ -211,3 +211,14 @@ def test_rendered_lines_are_not_shuffled(spark, sf_dir, name):
     """A run's lines come from one task, which reads all from them that a query asks for."""
     plan = plan_of(catalog.QUERIES[name](spark, sf_dir))
     assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate inline")]
+
+
+@pytest.mark.parametrize("name", ["d27_run_plan"])
+def test_jobs_of_rendered_lines_are_not_shuffled(spark, sf_dir, name):
+    plan = plan_of(catalog.QUERIES[name](spark, sf_dir))
+    assert not [at for at in plan.splitlines() if "Exchange" in at and ("hash_" in at or "block#" in at or "job_id#" in at)]
+
+
+def test_reports_by_whole_runs(spark):
+    d = odd_lines(spark).cache()
+    assert rows_of(L.run_plan(d, L.WHOLE_RUNS)) == rows_of(L.run_plan(d))
