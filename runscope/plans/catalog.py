@@ -659,7 +659,7 @@ def page(spark, d):
 
 @query("i15_snapshot", "SELECT workflow_id, run_id, count(*) FILTER (ended = 'finished') AS n_completed, count(*) FILTER (ended = 'failed') AS n_failed, arg_min(start_time, job_id) AS run_start FROM jj GROUP BY ALL", JOBS)
 def snapshot(spark, d):
-    return R.snapshot(A.log_lines(spark, d)).select(*RUN, "n_completed", "n_failed", "run_start")
+    return R.snapshot(A.log_lines(spark, d), chunk_lines=L.WHOLE_RUNS).select(*RUN, "n_completed", "n_failed", "run_start")
 
 
 @query("i16_shares", "SELECT workflow_id, run_id, round(c * 100.0 / t, 6) AS succeeded, round(f * 100.0 / t, 6) AS failed, CAST(0 AS DOUBLE) AS incomplete, round((t - c - f) * 100.0 / t, 6) AS remaining, round((c + f) * 100.0 / t, 6) AS percent_done FROM (SELECT workflow_id, run_id, count(*) AS t, count(*) FILTER (ended = 'finished') AS c, count(*) FILTER (ended = 'failed') AS f FROM jj GROUP BY ALL)", JOBS)
@@ -700,7 +700,7 @@ def size_texts(spark, d):
   FROM (SELECT workflow_id, run_id, coalesce(max(job_id) FILTER (ended = 'finished'), 0) AS completed, CASE WHEN count(*) FILTER (ended = 'finished') > 0 THEN 1000 ELSE 0 END AS total, count(*) FILTER (ended = 'failed') AS n_failed, arg_min(start_time, job_id) AS run_start FROM jj GROUP BY ALL) q
   JOIN (SELECT workflow_id, run_id, {_ETA_TEXT} AS text FROM (SELECT * REPLACE (round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper) FROM eta)) eta USING (workflow_id, run_id)""", f"{JOBS}, {_EST}, {_RUN_EST}")
 def status_report(spark, d):
-    return R.status_report(R.snapshot(A.log_lines(spark, d)), run_estimates(spark, d), AS_OF)
+    return R.status_report(R.snapshot(A.log_lines(spark, d), chunk_lines=L.WHOLE_RUNS), run_estimates(spark, d), AS_OF)
 
 
 # ------------------------------------------------------------------ views put together

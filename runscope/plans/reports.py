@@ -78,15 +78,10 @@ def shares(snapshot: DataFrame) -> DataFrame:
     return snapshot.select(*RUN, part("completed").alias("succeeded"), part("n_failed").alias("failed"), part("n_incomplete").alias("incomplete"), (left / t * 100).alias("remaining"), ((F.col("completed") + F.col("n_failed")) / t * 100).alias("percent_done"))
 
 
-def snapshot(lines: DataFrame, live: DataFrame | None = None, incomplete: DataFrame | None = None) -> DataFrame:
-    """One row per run: counts, status, times. live(workflow_id, running) and incomplete(workflow_id, n) come from lock and marker files.
-
-    The facts of the logs, which three counts share, are written to a table.
-    """
-    count = lambda d, n: d.groupBy(*RUN).agg(F.count(F.lit(1)).alias(n))
-    s, f = L.overview(lines), stored(L.facts(lines, fields=()), "facts")
-    for d, n in ((L.running_jobs(f), "n_running"), (L.failed_jobs(f), "n_failed"), (L.completed_jobs(f), "n_completed")):
-        s = s.join(count(d, n), RUN, "left").withColumn(n, F.coalesce(n, F.lit(0)))
+def snapshot(lines: DataFrame, live: DataFrame | None = None, incomplete: DataFrame | None = None, chunk_lines: int | None = L.CHUNK_LINES) -> DataFrame:
+    """One row per run: counts, status, times. live(workflow_id, running) and incomplete(workflow_id, n) come from lock and marker files."""
+    s = L.side_by_side(L.overview(lines), L.job_counts(L.facts(lines, chunk_lines, ())))
+    s = s.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_running", "n_failed", "n_completed")})
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("run_start"), F.desc("run_id"))) == 1
     s = s.withColumn("latest", last)
     s = s.withColumn("live", F.lit(False)) if live is None else s.join(live.withColumnRenamed("running", "live"), "workflow_id", "left").withColumn("live", F.coalesce("live", F.lit(False)) & F.col("latest"))

@@ -12,6 +12,7 @@ from runscope.operators import logs as L
 from runscope.operators import scans
 from runscope.operators import state as D
 from runscope.plans import catalog
+from runscope.plans import reports as P
 from runscope.sources import adapters as A
 from runscope.sources import readers as R
 
@@ -213,7 +214,7 @@ def test_rendered_lines_are_not_shuffled(spark, sf_dir, name):
     assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate inline")]
 
 
-@pytest.mark.parametrize("name", ["d27_run_plan"])
+@pytest.mark.parametrize("name", ["d27_run_plan", "i15_snapshot"])
 def test_jobs_of_rendered_lines_are_not_shuffled(spark, sf_dir, name):
     plan = plan_of(catalog.QUERIES[name](spark, sf_dir))
     assert not [at for at in plan.splitlines() if "Exchange" in at and ("hash_" in at or "block#" in at or "job_id#" in at)]
@@ -221,4 +222,5 @@ def test_jobs_of_rendered_lines_are_not_shuffled(spark, sf_dir, name):
 
 def test_reports_by_whole_runs(spark):
     d = odd_lines(spark).cache()
+    assert rows_of(P.snapshot(d, chunk_lines=L.WHOLE_RUNS)) == rows_of(P.snapshot(d))
     assert rows_of(L.run_plan(d, L.WHOLE_RUNS)) == rows_of(L.run_plan(d))
