@@ -283,17 +283,31 @@ def running_jobs(lines: DataFrame) -> DataFrame:
     return _first_of(open_, ["job_id"], "block").select(*RUN, "job_id", "rule", *_given(f), F.col("time").alias("start_time"))
 
 
-def job_counts(lines: DataFrame) -> DataFrame:
-    """n_running, n_failed and n_completed of each run with facts: the rows of `running_jobs`, `failed_jobs` and `completed_jobs`, counted in one pass."""
-    f = _with_owners(facts(lines, fields=()))
+def outcomes(lines: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
+    """What became of every job id, in one pass: running and failed count its rows of `running_jobs` and `failed_jobs`, done is its row of
+    `completed_jobs` (rule, start_time, the fields, end_time) or null. Jobs without an id are one row."""
+    f = _with_owners(facts(lines, fields=fields))
     w = Window.partitionBy(*RUN, "job_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.last(F.when(F.col("kind") == "block", F.struct("time")), True).over(w)["time"]
+    given = ["rule", "start_time", *_given(f)]
+    begun = F.last(F.when(F.col("kind") == "block", F.struct("rule", F.col("time").alias("start_time"), *_given(f))), True).over(w)
     known, error = F.col("job_id").isNotNull(), F.col("kind") == "error"
-    f = f.withColumn("done", known & (F.col("kind") == "finished") & F.col("time").isNotNull() & begun.isNotNull())
-    most = lambda c: F.max(c.cast("int"))
-    by_rule = f.groupBy(*RUN, "job_id", error.alias("failed"), F.when(error, F.col("rule")).alias("rule")).agg(most(F.col("done")).alias("done"), most(F.col("kind") != "block").alias("ended"))
-    by_job = by_rule.groupBy(*RUN, "job_id").agg(F.count_if("failed").alias("failed"), F.max("done").alias("done"), F.max("ended").alias("ended"))
-    return by_job.groupBy(*RUN).agg(F.count_if(known & (F.col("ended") == 0)).alias("n_running"), F.sum("failed").alias("n_failed"), F.sum("done").alias("n_completed"))
+    done = known & (F.col("kind") == "finished") & F.col("time").isNotNull() & F.col("s.start_time").isNotNull()
+    f = f.withColumn("s", begun).withColumn("done", F.when(done, F.struct(*[F.col(f"s.{c}").alias(c) for c in given], F.col("time").alias("end_time"))))
+    got = f.groupBy(*RUN, "job_id").agg(
+        F.max((F.col("kind") != "block").cast("int")).alias("ended"), F.size(F.collect_set(F.when(error, F.struct("rule")))).cast("long").alias("failed"),
+        F.max_by("done", F.when(F.col("done").isNotNull(), F.col("line_no"))).alias("done"),
+    )
+    return got.select(*RUN, "job_id", (known & (F.col("ended") == 0)).cast("long").alias("running"), "failed", "done")
+
+
+def outcome_counts(jobs: DataFrame) -> DataFrame:
+    """n_running, n_failed and n_completed of each run with `outcomes`."""
+    return jobs.groupBy(*RUN).agg(F.sum("running").alias("n_running"), F.sum("failed").alias("n_failed"), F.count("done").alias("n_completed"))
+
+
+def job_counts(lines: DataFrame) -> DataFrame:
+    """n_running, n_failed and n_completed of each run with facts: the rows of `running_jobs`, `failed_jobs` and `completed_jobs`, counted in one pass."""
+    return outcome_counts(outcomes(lines))
 
 
 def lifecycle(lines: DataFrame, chunk_lines: int | None = CHUNK_LINES) -> DataFrame:

@@ -555,9 +555,9 @@ eta AS (SELECT workflow_id, run_id, CASE WHEN completed >= total THEN 'complete'
   CASE WHEN completed >= total THEN 1.0 WHEN completed = 0 THEN 0.05 ELSE conf END AS confidence FROM z)"""
 
 
-def _estimates(spark, d, begun=None, **more):
+def _estimates(spark, d, begun=None, jobs=None, **more):
     """Odd workflows have no list of pending jobs, some of them expected counts; every fifth doesn't tell its cores. Runs that aren't begun have nothing completed."""
-    j = stored(A.numbered(spark, d), "jobs")
+    j = stored(A.numbered(spark, d), "jobs") if jobs is None else jobs
     ended = lambda k: F.count_if(F.col("ended") == k)
     snap = j.groupBy(*RUN).agg(F.count(F.lit(1)).alias("total"), ended("finished").alias("completed"), ended("failed").alias("pending"), (F.max("end_time") - F.min("start_time")).alias("elapsed"))
     snap = snap.withColumn("cores", F.when(F.col("workflow_id") % 5 != 0, F.col("workflow_id") + 1))
@@ -586,8 +586,8 @@ def simple_estimates(spark, d):
 
 
 @query("f20_run_estimates", "SELECT workflow_id, run_id, method, round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper, round(confidence, 6) AS confidence FROM eta", f"{JOBS}, {_EST}, {_RUN_EST}")
-def run_estimates(spark, d):
-    return rounded(rounded(_estimates(spark, d), "seconds_remaining", "lower", "upper", places=4), "confidence")
+def run_estimates(spark, d, jobs=None):
+    return rounded(rounded(_estimates(spark, d, jobs=jobs), "seconds_remaining", "lower", "upper", places=4), "confidence")
 
 
 @query("f21_confidence_parts", "SELECT workflow_id, run_id, least(1.0, (SELECT count(*) FROM s) / 10.0) AS sample, CAST(0.9 AS DOUBLE) AS recency, CAST(0.5 AS DOUBLE) AS consistency, CASE WHEN workflow_id % 2 = 0 THEN round(count(DISTINCT rule) / (SELECT count(DISTINCT rule) FROM s), 6) ELSE round(1.0 + 1.0 / (SELECT count(DISTINCT rule) FROM s), 6) END AS coverage FROM s GROUP BY workflow_id, run_id", SAMPLES)
@@ -786,11 +786,11 @@ w AS (SELECT r.*, CASE WHEN live THEN open ELSE 0 END AS n_running, coalesce(mk.
 @query("d08_whole_snapshot", "SELECT workflow_id, run_id, CAST(completed AS INTEGER) AS completed, CAST(total AS INTEGER) AS total, run_start, latest, live, n_running, n_failed, n_incomplete, n_completions, n_with_threads, source, CASE WHEN n_running > 0 THEN 'running' WHEN n_failed > 0 THEN 'failed' WHEN n_incomplete > 0 THEN 'incomplete' WHEN completed < total AND NOT live THEN 'incomplete' WHEN live THEN 'running' ELSE 'completed' END AS status FROM w", _WHOLE)
 def whole_snapshot(spark, d):
     """Some workflows' logs have no errors, some are done, some have locks, fresh logs or markers, and some metadata."""
-    j = stored(A.numbered(spark, d), "jobs")
+    j = stored(A.numbered(spark, d).select(*RUN, "job_id", "rule", "start_time", "end_time", "threads", "wildcards", "ended"), "jobs")
     w = F.col("workflow_id")
-    lines = A.log_lines(spark, d).where(~((w % 3 == 1) & F.startswith("line", F.lit("Error in rule"))))
+    lines = A.log_lines_of(j).where(~((w % 3 == 1) & F.startswith("line", F.lit("Error in rule"))))
     lines = lines.withColumn("line", F.when(w % 6 == 4, F.replace("line", F.lit("of 1000 steps"), F.lit("of 1 steps"))).otherwise(F.col("line")))
     locks = j.select("workflow_id").distinct().select("workflow_id", (w % 7 != 0).alias("has_locks"), (w % 4 == 1).alias("has_incomplete"), (F.lit(AS_OF) - 200 * w).alias("log_mtime"))
     markers = j.where("ended = 'running' and workflow_id % 2 = 0").select("workflow_id", "start_time")
     metadata = j.where("ended = 'finished' and workflow_id % 5 <> 0").where(F.col("wildcards")["flag"] != "N").select("workflow_id", "rule", "start_time", "end_time")
-    return R.whole_snapshot(lines, locks, markers, metadata, AS_OF).drop("cores")
+    return R.whole_snapshot(lines, locks, markers, metadata, AS_OF, L.WHOLE_RUNS).drop("cores")

@@ -100,29 +100,32 @@ def run_completions(log_completed: DataFrame, metadata: DataFrame, runs: DataFra
     return D.augment_threads(both, log_completed)
 
 
-def whole_snapshot(lines: DataFrame, locks: DataFrame, markers: DataFrame, metadata: DataFrame, as_of: float) -> DataFrame:
+def whole_snapshot(lines: DataFrame, locks: DataFrame, markers: DataFrame, metadata: DataFrame, as_of: float, chunk_lines: int | None = L.CHUNK_LINES) -> DataFrame:
     """One row a run from all that a workflow leaves behind: counts and status from logs, locks, incomplete markers and metadata.
 
     locks(workflow_id, has_locks, has_incomplete, log_mtime) tell which workflows run; only a workflow's latest run can be live.
     Jobs run in live runs only; markers(workflow_id, start_time) since the start of the latest run are interrupted jobs
     unless it is live. n_completions counts those of `run_completions`, n_with_threads the ones whose threads are known.
+    What the logs tell, a row a run and one a job, is written to a table, as several steps read it.
     """
     count = lambda d, *n: d.groupBy(*RUN).agg(*n)
-    f = stored(L.facts(lines, fields=("threads",)), "facts")
-    runs = stored(L.overview(lines), "runs")
+    told = L.overview(lines).unionByName(L.outcomes(L.facts(lines, chunk_lines, ("threads",)), ("threads",)), allowMissingColumns=True)
+    told = stored(told, "logs")
+    runs = told.where("total is not null").select(*RUN, "completed", "total", "run_start", "cores")
+    jobs = told.where("total is null").select(*RUN, "job_id", "running", "failed", "done")
     last = F.row_number().over(Window.partitionBy("workflow_id").orderBy(F.desc("run_start"), F.desc("run_id"))) == 1
     live = D.is_running(locks, as_of)
     s = runs.withColumn("latest", last).join(live, "workflow_id", "left").withColumn("live", F.coalesce("running", F.lit(False)) & F.col("latest")).drop("running")
 
-    failed = L.failed_jobs(f)
-    running = D.reconcile(L.running_jobs(f).join(s.where("live").select(*RUN), RUN, "left_semi"), failed, live)
     since = s.where("latest and not live").select(*RUN, "run_start")
     left = markers.join(since, "workflow_id").where("run_start is null or start_time >= run_start")
     one, known = F.count(F.lit(1)), F.count("threads")
-    done = run_completions(L.completed_jobs(f), metadata, runs.where("run_start is not null").select(*RUN, "run_start"))
-    for d in (count(running, one.alias("n_running")), count(failed, one.alias("n_failed")), count(left, one.alias("n_incomplete")), count(done, one.alias("n_completions"), known.alias("n_with_threads"), F.first("source").alias("source"))):
+    done = run_completions(jobs.where("done is not null").select(*RUN, "job_id", "done.*"), metadata, runs.where("run_start is not null").select(*RUN, "run_start"))
+    # no job both runs and failed, so that running ones need no look at failures
+    for d in (L.outcome_counts(jobs).drop("n_completed"), count(left, one.alias("n_incomplete")), count(done, one.alias("n_completions"), known.alias("n_with_threads"), F.first("source").alias("source"))):
         s = s.join(d, RUN, "left")
     s = s.na.fill(0, ["n_running", "n_failed", "n_incomplete", "n_completions", "n_with_threads"])
+    s = s.withColumn("n_running", F.when(F.col("live"), F.col("n_running")).otherwise(0))
     return s.withColumn("status", D.status_of_log())
 
 

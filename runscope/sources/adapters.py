@@ -52,10 +52,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("event_type is not null")
 
 
-def _by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in as many tasks as their number asks for, all of a run in one."""
-    tasks = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_JOBS))
-    return samples(spark, sf_dir).repartition(tasks, *RUN)
+def _by_run(jobs: DataFrame, n: int) -> DataFrame:
+    """All jobs of a run in one task, in as many tasks as their number n asks for."""
+    return jobs.repartition(max(jobs.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_JOBS)), *RUN)
+
+
+def _samples_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_run(samples(spark, sf_dir), table(spark, sf_dir, "lineitem").count())
 
 
 def _numbered(s: DataFrame, *ties: str) -> DataFrame:
@@ -65,15 +68,30 @@ def _numbered(s: DataFrame, *ties: str) -> DataFrame:
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with their job number in the run and how the job ended: every tenth fails, another tenth still runs."""
-    return _numbered(_by_run(spark, sf_dir))
+    return _numbered(_samples_by_run(spark, sf_dir))
+
+
+def _with_rules(jobs: DataFrame, *order: str) -> DataFrame:
+    """Jobs with their number (of_rule) in their run's rule, that rule's count, and its place (at) among the run's rules."""
+    of_rule = Window.partitionBy(*RUN, "rule")
+    jobs = jobs.withColumns({"of_rule": F.row_number().over(of_rule.orderBy(*order)), "count": F.count(F.lit(1)).over(of_rule)})
+    return jobs.withColumn("at", F.sum((F.col("of_rule") == 1).cast("long")).over(Window.partitionBy(*RUN).orderBy("rule", *order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """workflow_id, run_id, line_no, line: a run log for every workflow and month, rendered from the samples. All lines of a run come from one task."""
-    of_rule = Window.partitionBy(*RUN, "rule")
-    s = _by_run(spark, sf_dir).withColumns({"of_rule": F.row_number().over(of_rule.orderBy(*TIE)), "count": F.count(F.lit(1)).over(of_rule)})
-    s = s.withColumn("at", F.sum((F.col("of_rule") == 1).cast("long")).over(Window.partitionBy(*RUN).orderBy("rule", *TIE).rowsBetween(Window.unboundedPreceding, 0)))
-    j = _numbered(s, "of_rule")  # with a tie of the windows before, jobs are numbered behind them and come in order of their lines
+    # with a tie of the windows before, jobs are numbered behind them and come in order of their lines
+    return _rendered(_numbered(_with_rules(_samples_by_run(spark, sf_dir), *TIE), "of_rule"))
+
+
+def log_lines_of(jobs: DataFrame) -> DataFrame:
+    """The same lines from a table of the numbered jobs that is there already."""
+    j = jobs.select(*RUN, "job_id", "rule", "start_time", "end_time", "threads", "ended", *[F.col("wildcards")[k].alias(k) for k in ("flag", "status")])
+    j = _with_rules(_by_run(j, jobs.count()), "job_id")
+    return _rendered(j.withColumn("wildcards", F.create_map(F.lit("flag"), F.col("flag"), F.lit("status"), F.col("status"))))
+
+
+def _rendered(j: DataFrame) -> DataFrame:
     stamp = lambda c: F.concat(F.lit("["), F.date_format(F.timestamp_seconds(F.floor(c)), "EEE MMM d HH:mm:ss yyyy"), F.lit("]"))
     text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
     n, rule = F.col("job_id"), F.col("rule")

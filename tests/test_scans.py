@@ -224,3 +224,18 @@ def test_reports_by_whole_runs(spark):
     d = odd_lines(spark).cache()
     assert rows_of(P.snapshot(d, chunk_lines=L.WHOLE_RUNS)) == rows_of(P.snapshot(d))
     assert rows_of(L.run_plan(d, L.WHOLE_RUNS)) == rows_of(L.run_plan(d))
+
+
+def test_lines_of_stored_jobs(spark, sf_dir):
+    lines = A.log_lines_of(A.numbered(spark, sf_dir))
+    assert rows_of(lines.where("workflow_id < 3")) == rows_of(A.log_lines(spark, sf_dir).where("workflow_id < 3"))
+
+
+def test_outcomes_of_jobs(spark):
+    f = L.facts(odd_lines(spark, 5)).cache()
+    got = L.outcomes(f, L.FIELDS).cache()
+    assert rows_of(got.where("done is not null").select("workflow_id", "run_id", "job_id", "done.*")) == rows_of(L.completed_jobs(f).drop("duration"))
+    assert rows_of(got.where("running = 1").select("run_id", "job_id")) == rows_of(L.running_jobs(f).select("run_id", "job_id"))
+    failed = L.failed_jobs(f)
+    assert rows_of(got.where("failed > 0").selectExpr("run_id", "job_id", "failed")) == rows_of(failed.groupBy("run_id", "job_id").agg(F.count(F.lit(1)).alias("failed")))
+    assert got.where("running = 1").join(failed, ["workflow_id", "run_id", "job_id"]).count() == 0
