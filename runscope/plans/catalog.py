@@ -700,7 +700,8 @@ def size_texts(spark, d):
   FROM (SELECT workflow_id, run_id, coalesce(max(job_id) FILTER (ended = 'finished'), 0) AS completed, CASE WHEN count(*) FILTER (ended = 'finished') > 0 THEN 1000 ELSE 0 END AS total, count(*) FILTER (ended = 'failed') AS n_failed, arg_min(start_time, job_id) AS run_start FROM jj GROUP BY ALL) q
   JOIN (SELECT workflow_id, run_id, {_ETA_TEXT} AS text FROM (SELECT * REPLACE (round(seconds_remaining, 4) AS seconds_remaining, round(lower, 4) AS lower, round(upper, 4) AS upper) FROM eta)) eta USING (workflow_id, run_id)""", f"{JOBS}, {_EST}, {_RUN_EST}")
 def status_report(spark, d):
-    return R.status_report(R.snapshot(A.log_lines(spark, d), chunk_lines=L.WHOLE_RUNS), run_estimates(spark, d), AS_OF)
+    j = stored(A.numbered(spark, d).drop("run_date"), "jobs")
+    return R.status_report(R.snapshot(A.log_lines_of(j), chunk_lines=L.WHOLE_RUNS), run_estimates(spark, d, j), AS_OF)
 
 
 # ------------------------------------------------------------------ views put together
